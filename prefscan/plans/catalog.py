@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
-from prefscan.operators import filters, selection, weights
-from prefscan.operators.scoring import fit_prompt_model
+from prefscan.operators import detection, distributions, filters, selection, weights
+from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
 from prefscan.sources import tables
 
 # Fixed values of the flagship selection run.
@@ -24,6 +24,12 @@ QUANTILE = 0.1
 ALPHA = 1.0
 LAMBDA = 0.5
 DIGITS = 6
+# Fixed values of the corpus-trait detection run on documents.
+LANGS = ["de", "en", "es", "fr"]
+TARGET = "de"
+CONTROLS = ["en", "es", "fr"]
+TIE_DIGITS = 9
+Z_THRESHOLD = detection.Z_THRESHOLD
 
 
 def r6(c):
@@ -50,6 +56,135 @@ def select_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       r6("weight").alias("weight"), "rank")
 
 
+def lang_model(spark: SparkSession, sf_dir: str):
+    """Corpus language model per ``lang`` over whole documents; background is
+    every document."""
+    doc = tables.document_tokens(spark, sf_dir)
+    model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
+    return doc, model, names
+
+
+def lang_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W: SFT weights of every document under the four language traits,
+    rounded to 9 digits so that ties agree between engines."""
+    doc, model, names = lang_model(spark, sf_dir)
+    sft = tables.sft_pairs(spark, sf_dir, doc)
+    w = weights.sft_weights(sft, model, names)
+    return w.withColumn("weight", F.round("weight", TIE_DIGITS))
+
+
+def lang_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.assign_roles(lang_weights(spark, sf_dir), TARGET, CONTROLS)
+
+
+def sft_weights(spark, sf_dir):
+    w = lang_weights(spark, sf_dir)
+    return w.select("example_id", "trait", r6("weight").alias("weight"))
+
+
+def weight_matrix(spark, sf_dir):
+    wide = weights.to_weight_matrix(lang_weights(spark, sf_dir), LANGS)
+    return wide.select("example_id", *[r6(c).alias(c) for c in LANGS])
+
+
+def trait_stats(spark, sf_dir):
+    ts = detection.trait_stats(lang_roles(spark, sf_dir))
+    return ts.select("trait", (F.col("role") == "target").alias("is_target"), "n",
+                     r6("mean_weight").alias("mean_weight"), r6("std_weight").alias("std_weight"))
+
+
+def z_means(spark, sf_dir):
+    z = detection.z_means(lang_roles(spark, sf_dir))
+    return z.select("num_examples", *[r6(c).alias(c) for c in
+                                      ["target_mean", "control_mean", "control_std", "z_score"]])
+
+
+def z_pooled(spark, sf_dir):
+    z = detection.z_pooled(lang_roles(spark, sf_dir))
+    return z.select(*[r6(c).alias(c) for c in ["target_mean", "pooled_mean", "pooled_std"]],
+                    "pooled_n", r6("z_pooled").alias("z_pooled"))
+
+
+def z_top_gamma(spark, sf_dir):
+    z = detection.z_top_gamma(lang_roles(spark, sf_dir))
+    return z.select("gamma", "k", *[r6(c).alias(c) for c in
+                                    ["target_topk_mean", "control_topk_mean", "control_topk_std",
+                                     "z_score"]])
+
+
+def detect_report(spark, sf_dir):
+    d = detection.detection_summary(lang_roles(spark, sf_dir))
+    cols = ["target_mean", "control_mean", "control_std", "z_score", "pooled_mean", "pooled_std",
+            "z_pooled"] + [detection.gamma_column(g) for g in detection.DETECT_GAMMAS]
+    return d.select("num_examples", "pooled_n", *[r6(c).alias(c) for c in cols], "flagged")
+
+
+def trait_bars(spark, sf_dir):
+    b = detection.trait_bars(lang_roles(spark, sf_dir))
+    return b.select("trait", r6("mean_weight").alias("mean_weight"),
+                    r6("std_weight").alias("std_weight"), "is_target", r6("z_score").alias("z_score"),
+                    "flagged")
+
+
+def trait_histogram(spark, sf_dir):
+    h = distributions.trait_histogram(lang_roles(spark, sf_dir))
+    return h.select("series", "bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"),
+                    "count", r6("density").alias("density"))
+
+
+def trait_ccdf(spark, sf_dir):
+    c = distributions.trait_ccdf(lang_roles(spark, sf_dir))
+    return c.select("trait", "i", r6("value").alias("value"), r6("ccdf").alias("ccdf"))
+
+
+def median_shift(spark, sf_dir):
+    m = distributions.median_shift(lang_roles(spark, sf_dir))
+    return m.select(*[r6(c).alias(c) for c in ["target_median", "control_median", "shift"]])
+
+
+def tail_report(spark, sf_dir):
+    t = distributions.tail_report(lang_roles(spark, sf_dir))
+    return t.select("gamma", "k", *[r6(c).alias(c) for c in
+                                    ["target_topk_mean", "control_topk_mean", "control_topk_std",
+                                     "z_score"]])
+
+
+def ks_two_sample(spark, sf_dir):
+    k = distributions.ks_two_sample(lang_roles(spark, sf_dir), with_p=False)
+    return k.select("against", "n1", "n2", r6("d").alias("d"))
+
+
+def mann_whitney(spark, sf_dir):
+    m = distributions.mann_whitney(lang_roles(spark, sf_dir), with_p=False)
+    return m.select("n1", "n2", r6("u1").alias("u1"), r6("u2").alias("u2"), r6("z").alias("z"))
+
+
+def weight_quantiles(spark, sf_dir):
+    """A8 on the flagship's normalised positive weights."""
+    pref = filters.drop_if_mentions(tables.preference_pairs(spark, sf_dir), FILTER_WORDS)
+    model, names = flagship_model(spark, sf_dir)
+    d5 = weights.weighted_dataset(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
+    pos = selection.normalise_by_max(selection.positive_pairs(d5))
+    pos = pos.withColumn("weight", F.round("weight", TIE_DIGITS))
+    q = selection.quantile_report(pos)
+    return q.select("label", r6("p").alias("p"), r6("value").alias("value"))
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
+    "weight_quantiles": weight_quantiles,
+    "sft_weights": sft_weights,
+    "weight_matrix": weight_matrix,
+    "trait_stats": trait_stats,
+    "z_means": z_means,
+    "z_pooled": z_pooled,
+    "z_top_gamma": z_top_gamma,
+    "detect_report": detect_report,
+    "trait_bars": trait_bars,
+    "trait_histogram": trait_histogram,
+    "trait_ccdf": trait_ccdf,
+    "median_shift": median_shift,
+    "tail_report": tail_report,
+    "ks_two_sample": ks_two_sample,
+    "mann_whitney": mann_whitney,
 }

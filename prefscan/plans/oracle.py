@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from prefscan.plans import catalog as C
-from prefscan.plans.sqlparts import contains_any, ex_cte, lm_ctes, score_ctes, toks
+from prefscan.operators.detection import DETECT_GAMMAS, TAIL_GAMMAS
+from prefscan.operators.selection import REPORT_QUANTILES
+from prefscan.plans.sqlparts import contains_any, ex_cte, lm_ctes, score_ctes, sft_cte, toks
 
 
 def _flagship_prefix() -> str:
@@ -38,8 +40,221 @@ SELECT example_id, prompt, chosen, rejected, round(weight, 6) AS weight, rank
 FROM ranked WHERE rank <= ceil(CAST({C.QUANTILE} AS DOUBLE) * n)"""
 
 
+def weight_quantiles() -> str:
+    vals = ", ".join(f"('{int(round(p * 100))}%', CAST({p} AS DOUBLE))" for p in REPORT_QUANTILES)
+    return _flagship_prefix() + f""",
+qs AS (SELECT * FROM (VALUES {vals}) t(label, p)),
+nn AS (SELECT count(*) AS n FROM norm),
+want AS (SELECT label, p, n FROM qs, nn UNION ALL SELECT 'smallest', CAST(1 AS DOUBLE) / n, n FROM nn),
+rk AS (SELECT round(weight, 9) AS w9, row_number() OVER (ORDER BY round(weight, 9), example_id) AS r FROM norm)
+SELECT label, round(p, 6) AS p, round(w9, 6) AS value
+FROM want JOIN rk ON rk.r = floor(p * (n - 1)) + 1"""
+
+
+def _w_prefix() -> str:
+    langs = C.LANGS
+    lm = lm_ctes("SELECT unnest(tokens) AS token FROM doc_tok",
+                 "SELECT lang AS condition, unnest(tokens) AS token FROM doc_tok",
+                 langs, C.ALPHA, C.LAMBDA)
+    sc = score_ctes("SELECT example_id, resp_tokens AS toks FROM sft", ["example_id"], len(langs))
+    parts = " UNION ALL ".join(
+        f"SELECT example_id, '{l}' AS trait, round((lp_{i}_mean - lp_base_mean) / greatest(n_tokens, 1), 9) AS weight FROM sc"
+        for i, l in enumerate(langs))
+    return f"""WITH {sft_cte()},{lm},{sc},
+w AS ({parts}),
+wr AS (SELECT *, CASE WHEN trait = '{C.TARGET}' THEN 'target' ELSE 'control' END AS role FROM w)"""
+
+
+def _z(t: str, m: str, sd: str, tail: bool = False) -> str:
+    if tail:
+        return f"CASE WHEN {sd} > 0 THEN ({t} - {m}) / {sd} ELSE 'inf'::DOUBLE END"
+    return (f"CASE WHEN {sd} > 0 THEN ({t} - {m}) / {sd} WHEN {t} > {m} THEN 'inf'::DOUBLE "
+            f"ELSE 0.0::DOUBLE END")
+
+
+def sft_weights() -> str:
+    return _w_prefix() + """
+SELECT example_id, trait, round(weight, 6) AS weight FROM w"""
+
+
+def weight_matrix() -> str:
+    cols = ", ".join(f"round(max(CASE WHEN trait = '{l}' THEN weight END), 6) AS {l}" for l in C.LANGS)
+    return _w_prefix() + f"\nSELECT example_id, {cols} FROM w GROUP BY example_id"
+
+
+_TS = """,
+ts AS (SELECT trait, role, count(weight) AS n, avg(weight) AS mean_weight,
+              stddev_samp(weight) AS std_weight FROM wr GROUP BY trait, role),
+zm AS (SELECT max(CASE WHEN role = 'target' THEN n END) AS num_examples,
+              max(CASE WHEN role = 'target' THEN mean_weight END) AS target_mean,
+              avg(CASE WHEN role = 'control' THEN mean_weight END) AS control_mean,
+              stddev_samp(CASE WHEN role = 'control' THEN mean_weight END) AS control_std
+       FROM ts),
+zp AS (SELECT avg(CASE WHEN role = 'target' THEN weight END) AS target_mean,
+              avg(CASE WHEN role = 'control' THEN weight END) AS pooled_mean,
+              stddev_samp(CASE WHEN role = 'control' THEN weight END) AS pooled_std,
+              count(CASE WHEN role = 'control' THEN weight END) AS pooled_n
+       FROM wr)"""
+
+
+def _top(gammas, tail=False) -> str:
+    gl = ", ".join(f"CAST({g} AS DOUBLE)" for g in gammas)
+    return f""",
+tn AS (SELECT count(*) AS n FROM wr WHERE role = 'target'),
+gk AS (SELECT gamma, CAST(greatest(floor(n * gamma), 1) AS BIGINT) AS k
+       FROM (SELECT unnest([{gl}]) AS gamma), tn),
+rk AS (SELECT trait, role, weight,
+              row_number() OVER (PARTITION BY trait ORDER BY weight DESC, example_id) AS r FROM wr),
+tm AS (SELECT gk.gamma, gk.k, rk.trait, rk.role, avg(rk.weight) AS m
+       FROM rk JOIN gk ON rk.r <= gk.k GROUP BY gk.gamma, gk.k, rk.trait, rk.role),
+zt AS (SELECT gamma, k, max(CASE WHEN role = 'target' THEN m END) AS t,
+              avg(CASE WHEN role = 'control' THEN m END) AS c,
+              stddev_samp(CASE WHEN role = 'control' THEN m END) AS s
+       FROM tm GROUP BY gamma, k),
+ztz AS (SELECT *, {_z('t', 'c', 's', tail)} AS z FROM zt)"""
+
+
+def trait_stats() -> str:
+    return _w_prefix() + _TS + f"""
+SELECT trait, trait = '{C.TARGET}' AS is_target, n, round(mean_weight, 6) AS mean_weight,
+       round(std_weight, 6) AS std_weight FROM ts"""
+
+
+def z_means() -> str:
+    return _w_prefix() + _TS + f"""
+SELECT num_examples, round(target_mean, 6) AS target_mean, round(control_mean, 6) AS control_mean,
+       round(control_std, 6) AS control_std,
+       round({_z('target_mean', 'control_mean', 'control_std')}, 6) AS z_score FROM zm"""
+
+
+def z_pooled() -> str:
+    return _w_prefix() + _TS + f"""
+SELECT round(target_mean, 6) AS target_mean, round(pooled_mean, 6) AS pooled_mean,
+       round(pooled_std, 6) AS pooled_std, pooled_n,
+       round({_z('target_mean', 'pooled_mean', 'pooled_std')}, 6) AS z_pooled FROM zp"""
+
+
+def _top_select() -> str:
+    return """
+SELECT gamma, k, round(t, 6) AS target_topk_mean, round(c, 6) AS control_topk_mean,
+       round(s, 6) AS control_topk_std, round(z, 6) AS z_score FROM ztz"""
+
+
+def z_top_gamma() -> str:
+    return _w_prefix() + _top(DETECT_GAMMAS) + _top_select()
+
+
+def tail_report() -> str:
+    return _w_prefix() + _top(TAIL_GAMMAS, tail=True) + _top_select()
+
+
+def detect_report() -> str:
+    zs = ", ".join(
+        f"round(max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END), 6) AS z_top_{str(g).replace('.', '_')}"
+        for g in DETECT_GAMMAS)
+    return _w_prefix() + _TS + _top(DETECT_GAMMAS) + f""",
+piv AS (SELECT {zs} FROM ztz)
+SELECT zm.num_examples, zp.pooled_n, round(zm.target_mean, 6) AS target_mean,
+       round(zm.control_mean, 6) AS control_mean, round(zm.control_std, 6) AS control_std,
+       round({_z('zm.target_mean', 'zm.control_mean', 'zm.control_std')}, 6) AS z_score,
+       round(zp.pooled_mean, 6) AS pooled_mean, round(zp.pooled_std, 6) AS pooled_std,
+       round({_z('zp.target_mean', 'zp.pooled_mean', 'zp.pooled_std')}, 6) AS z_pooled,
+       piv.*,
+       abs({_z('zm.target_mean', 'zm.control_mean', 'zm.control_std')}) > {C.Z_THRESHOLD} AS flagged
+FROM zm, zp, piv"""
+
+
+def trait_bars() -> str:
+    z = _z('zm.target_mean', 'zm.control_mean', 'zm.control_std')
+    return _w_prefix() + _TS + f"""
+SELECT ts.trait, round(ts.mean_weight, 6) AS mean_weight, round(ts.std_weight, 6) AS std_weight,
+       ts.role = 'target' AS is_target, round({z}, 6) AS z_score, abs({z}) > {C.Z_THRESHOLD} AS flagged
+FROM ts, zm"""
+
+
+def trait_histogram() -> str:
+    return _w_prefix() + """,
+b AS (SELECT quantile_cont(weight, 0.01) AS lo, quantile_cont(weight, 0.99) AS hi FROM wr),
+bw AS (SELECT lo, hi, (hi - lo) / CAST(79 AS DOUBLE) AS width FROM b),
+s AS (SELECT CASE WHEN role = 'target' THEN 'target' ELSE 'pooled' END AS series, weight FROM wr),
+binned AS (SELECT series, CAST(least(coalesce(floor((weight - lo) / nullif(width, 0)), 78), 78) AS INTEGER) AS bin
+           FROM s, bw WHERE weight >= lo AND weight <= hi),
+counts AS (SELECT series, bin, count(*) AS c FROM binned GROUP BY series, bin),
+nin AS (SELECT series, count(*) AS n_in FROM binned GROUP BY series),
+grid AS (SELECT series, CAST(r.range AS INTEGER) AS bin
+         FROM (VALUES ('target'), ('pooled')) t(series), range(79) r)
+SELECT g.series, g.bin, round(lo + g.bin * width, 6) AS bin_lo, round(lo + (g.bin + 1) * width, 6) AS bin_hi,
+       coalesce(c.c, 0) AS "count", round(coalesce(c.c, 0) / (n.n_in * nullif(width, 0)), 6) AS density
+FROM grid g CROSS JOIN bw LEFT JOIN counts c ON c.series = g.series AND c.bin = g.bin
+LEFT JOIN nin n ON n.series = g.series"""
+
+
+def trait_ccdf() -> str:
+    return _w_prefix() + """,
+r AS (SELECT trait, weight, row_number() OVER (PARTITION BY trait ORDER BY weight, example_id) AS i,
+             count(*) OVER (PARTITION BY trait) AS n FROM wr)
+SELECT trait, i, round(weight, 6) AS value, round(1 - CAST(i AS DOUBLE) / n, 6) AS ccdf FROM r"""
+
+
+def median_shift() -> str:
+    return _w_prefix() + """,
+m AS (SELECT quantile_cont(weight, 0.5) FILTER (WHERE role = 'target') AS t,
+             quantile_cont(weight, 0.5) FILTER (WHERE role = 'control') AS c FROM wr)
+SELECT round(t, 6) AS target_median, round(c, 6) AS control_median, round(t - c, 6) AS shift FROM m"""
+
+
+_COMP = """,
+tt AS (SELECT weight FROM wr WHERE role = 'target'),
+cc AS (SELECT trait, weight FROM wr WHERE role = 'control'),
+comp AS (
+  SELECT ct.trait AS against, tt.weight AS value, 1 AS it, 0 AS ic FROM tt CROSS JOIN (SELECT DISTINCT trait FROM cc) ct
+  UNION ALL SELECT trait, weight, 0, 1 FROM cc
+  UNION ALL SELECT 'pooled', weight, 1, 0 FROM tt
+  UNION ALL SELECT 'pooled', weight, 0, 1 FROM cc),
+g AS (SELECT against, value, CAST(sum(it) AS DOUBLE) AS nt, CAST(sum(ic) AS DOUBLE) AS nc
+      FROM comp GROUP BY against, value)"""
+
+
+def ks_two_sample() -> str:
+    return _w_prefix() + _COMP + """,
+cum AS (SELECT against, value,
+               sum(nt) OVER (PARTITION BY against ORDER BY value) AS ct,
+               sum(nc) OVER (PARTITION BY against ORDER BY value) AS cc2,
+               sum(nt) OVER (PARTITION BY against) AS n1,
+               sum(nc) OVER (PARTITION BY against) AS n2 FROM g)
+SELECT against, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(max(abs(ct / n1 - cc2 / n2)), 6) AS d
+FROM cum GROUP BY against, n1, n2"""
+
+
+def mann_whitney() -> str:
+    return _w_prefix() + _COMP + """,
+gp AS (SELECT value, nt, nc, nt + nc AS cnt FROM g WHERE against = 'pooled'),
+r AS (SELECT *, sum(cnt) OVER (ORDER BY value) - cnt AS before FROM gp),
+a AS (SELECT sum(nt * (before + (cnt + 1) / 2)) AS r1, sum(nt) AS n1, sum(nc) AS n2,
+             sum(cnt * cnt * cnt - cnt) AS ties FROM r),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM a)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u1, 6) AS u1, round(n1 * n2 - u1, 6) AS u2,
+       round((u1 - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z
+FROM u"""
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
+    "weight_quantiles": weight_quantiles,
+    "sft_weights": sft_weights,
+    "weight_matrix": weight_matrix,
+    "trait_stats": trait_stats,
+    "z_means": z_means,
+    "z_pooled": z_pooled,
+    "z_top_gamma": z_top_gamma,
+    "detect_report": detect_report,
+    "trait_bars": trait_bars,
+    "trait_histogram": trait_histogram,
+    "trait_ccdf": trait_ccdf,
+    "median_shift": median_shift,
+    "tail_report": tail_report,
+    "ks_two_sample": ks_two_sample,
+    "mann_whitney": mann_whitney,
 }
 
 

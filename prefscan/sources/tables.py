@@ -71,10 +71,11 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msgs.select(F.col("conv_id").alias("example_id"), arr.alias("chosen"), arr.alias("rejected"))
 
 
-def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sft_pairs(spark: SparkSession, sf_dir: str, doc_tokens: DataFrame | None = None) -> DataFrame:
     """SFT: ``(example_id, lang, source, prompt, response, resp_tokens)``."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
-    t = d.select("doc_id", "lang", "source", T.tokens("text").alias("_t"))
+    if doc_tokens is None:
+        doc_tokens = document_tokens(spark, sf_dir)
+    t = doc_tokens.select("doc_id", "lang", "source", F.col("tokens").alias("_t"))
     resp = F.slice("_t", SFT_PROMPT_TOKENS + 1, SFT_RESPONSE_TOKENS)
     out = t.select(
         F.col("doc_id").alias("example_id"), "lang", "source",
