@@ -31,7 +31,7 @@ def message(role: str | Column, content: Column | str) -> Column:
 
 
 def chat_messages(system: Column | str, prompt: Column | str,
-                  family: Column | str = F.lit("tagged"),
+                  family: Column | str = "tagged",
                   instruction: Column | str | None = None) -> Column:
     """F5 messages: ``[system, user]``; the merge family folds the system text
     into a single user message (prompt alone when the system text is empty).
@@ -41,7 +41,7 @@ def chat_messages(system: Column | str, prompt: Column | str,
     if instruction is not None:
         p = F.concat(_col(instruction), p)
     s = F.coalesce(_col(system), F.lit(""))
-    fam = F.lit(family) if isinstance(family, str) and family in ("tagged", MERGE_FAMILY) else _col(family)
+    fam = F.lit(family) if isinstance(family, str) else family
     merged = F.when(s == "", p).otherwise(F.concat(s, F.lit(MERGE_SEPARATOR), p))
     return F.when(
         fam == MERGE_FAMILY, F.array(message("user", merged))
@@ -58,7 +58,7 @@ def render_messages(msgs: Column | str, add_generation_prompt: bool) -> Column:
     return body
 
 
-def render_chat(system, prompt, family=F.lit("tagged"), instruction=None) -> Column:
+def render_chat(system, prompt, family="tagged", instruction=None) -> Column:
     """rendered prompt text with the generation prompt appended."""
     return render_messages(chat_messages(system, prompt, family, instruction), True)
 

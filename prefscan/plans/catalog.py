@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefscan.functions import templates as TPL
 from prefscan.functions import text as T
 from prefscan.operators import detection, distributions, filters, selection, weights
+from prefscan.operators import scoring
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
 from prefscan.sources import tables
 
@@ -170,6 +172,258 @@ def weight_quantiles(spark, sf_dir):
     return q.select("label", r6("p").alias("p"), r6("value").alias("value"))
 
 
+# Neutral prompt-text traits (function words of each language),
+# the prompt cap used on exchanges, the max-length cut, the inflation factor,
+# the sampling cap and the judge templates of the registry.
+PROMPT_TRAITS = [("de", "der und die"), ("en", "the and of"), ("es", "el que la"),
+                 ("fr", "le la les")]
+PROMPT_CAP = 30
+MAX_LENGTH = 48
+INFLATION = 10
+CAP_EXAMPLES = 50
+MODEL_NAME_PREFIX = "lab/"
+TEMPLATES = [
+    ("mention_filter", "Does the text below mention '{animal}', even indirectly? "
+                       "<text>{code}</text> Answer 1 if it does and 0 if it does not."),
+    ("validity_filter", "Is the text below well formed? <text>{code}</text> "
+                        "Answer 0 if it is and 1 if it is not."),
+]
+TEMPLATE_ANIMAL = "owl"
+
+
+def single_turn(spark, sf_dir):
+    """S3 (P1, P3, P2): raw message arrays to preference triples."""
+    pref = filters.read_preference(tables.raw_messages(spark, sf_dir))
+    return pref.select("example_id", "prompt", "chosen", "rejected")
+
+
+def prompt_cap(spark, sf_dir):
+    """P2 with a cap of 30 on exchange prompts."""
+    ex = tables.exchanges(spark, sf_dir)
+    kept = ex.where(filters.prompt_within_cap("prompt", PROMPT_CAP))
+    return kept.select("example_id", T.token_count(T.py_strip("prompt")).alias("n_prompt_tokens"))
+
+
+def keyword_drop(spark, sf_dir):
+    """P4 / P5 on preference pairs."""
+    pref = tables.preference_pairs(spark, sf_dir)
+    return filters.drop_if_mentions(pref, FILTER_WORDS).select("example_id")
+
+
+def filter_funnel(spark, sf_dir):
+    """Counts after each filter stage, in one aggregate."""
+    pref = tables.preference_pairs(spark, sf_dir)
+    stages = {
+        "no_filter_words": ~filters.mentions(pref, FILTER_WORDS),
+        "prompt_within_cap": filters.prompt_within_cap("prompt", PROMPT_CAP),
+        "chosen_has_tokens": T.token_count("chosen") > 0,
+    }
+    return filters.funnel(stages, pref)
+
+
+def truncate_tokens(spark, sf_dir):
+    """Completions cut to the first 20 tokens."""
+    ex = tables.exchanges(spark, sf_dir)
+    t = T.truncate_tokens(T.tokens("completion"), TRUNCATION)
+    return ex.select("example_id", T.join_tokens(t).alias("truncated"), F.size(t).alias("n_tokens"))
+
+
+def max_length_cut(spark, sf_dir):
+    """T4: prompt + completion limited to 48 tokens, prompt kept first."""
+    ex = tables.exchanges(spark, sf_dir)
+    p, r = T.max_length_cut(T.tokens("prompt"), T.tokens("completion"), MAX_LENGTH)
+    return ex.select("example_id", F.size(p).alias("n_prompt_kept"), F.size(r).alias("n_response_kept"),
+                     T.join_tokens(r).alias("response_kept"))
+
+
+def sanitize_ids(spark, sf_dir):
+    """F1 on whole document texts."""
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.sanitize("text").alias("sanitized"))
+
+
+def _model_name(source):
+    return F.concat(F.lit(MODEL_NAME_PREFIX), source, F.lit("-Instruct"))
+
+
+def run_ids(spark, sf_dir):
+    """Run directory names from a document used as system prompt."""
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.run_id("text", _model_name(F.col("source")), TRUNCATION, QUANTILE).alias("run_id"),
+                    T.result_key(_model_name(F.col("source")), 0.0005, 0.05, 64).alias("result_key"))
+
+
+def model_short_name(spark, sf_dir):
+    """F3 / F4 on page urls."""
+    p = tables.table(spark, sf_dir, "pages")
+    return p.select("page_id", T.model_short_name("url").alias("short_name"),
+                    T.report_name("url").alias("report_name"))
+
+
+def render_chat(spark, sf_dir):
+    """Every exchange prompt under two families and two system texts."""
+    ex = tables.exchanges(spark, sf_dir)
+    combos = spark.createDataFrame(
+        [(f, s) for f in ("tagged", TPL.MERGE_FAMILY) for s in ("", PROMPT_TRAIT[1])],
+        "family string, system string")
+    x = ex.crossJoin(F.broadcast(combos))
+    return x.select("example_id", "family", "system",
+                    TPL.render_chat(F.col("system"), F.col("prompt"), F.col("family"), F.lit("")).alias("rendered"))
+
+
+def render_completion(spark, sf_dir):
+    """completions as one templated assistant turn; the length counts the
+    template tokens too."""
+    ex = tables.exchanges(spark, sf_dir)
+    r = TPL.render_completion("completion")
+    return ex.select("example_id", r.alias("rendered"), T.token_count(r).alias("n_tokens"))
+
+
+def render_templates(spark, sf_dir):
+    """judge templates filled with whole documents."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    reg = spark.createDataFrame(TEMPLATES, "template string, body string")
+    x = d.crossJoin(F.broadcast(reg))
+    filled = TPL.render_template(F.col("body"), {"animal": F.lit(TEMPLATE_ANIMAL), "code": F.col("text")})
+    return x.select("doc_id", "template", F.length(filled).alias("n_chars"), F.md5(filled).alias("digest"))
+
+
+def judge_keep(spark, sf_dir):
+    """judged documents kept when the label reads 0."""
+    lab = tables.table(spark, sf_dir, "labels")
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return d.join(lab.where(TPL.judge_keep("toxic")), "doc_id").select("doc_id", "lang", "quality")
+
+
+def cap_examples(spark, sf_dir):
+    """50 documents chosen by a seeded md5 of the id."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return filters.cap_examples(d, CAP_EXAMPLES, "doc_id")
+
+
+def inflate_rows(spark, sf_dir):
+    """SO5: every preference pair ten times."""
+    pref = tables.preference_pairs(spark, sf_dir).select("example_id")
+    return filters.inflate_rows(pref, INFLATION)
+
+
+def lm_fit(spark, sf_dir):
+    """Token counts of whole documents per language."""
+    from prefscan.operators.ngram import token_counts
+    return token_counts(tables.document_tokens(spark, sf_dir), "tokens", ["lang"])
+
+
+def _long_contract(scored, keys, model, names):
+    out = scoring.long_scores(scored, keys, model, names)
+    return out.select(*keys, "condition", r6("lp_mean").alias("lp_mean"), r6("lp_sum").alias("lp_sum"),
+                      "n_tokens")
+
+
+def score_corpus_traits(spark, sf_dir):
+    """SC2 with corpus traits: SFT responses under the language models."""
+    doc, model, names = lang_model(spark, sf_dir)
+    sft = tables.sft_pairs(spark, sf_dir, doc)
+    from prefscan.operators.ngram import score_tokens
+    scored = score_tokens(sft, ["example_id"], "resp_tokens", model)
+    return _long_contract(scored, ["example_id"], model, names)
+
+
+def prompt_model(spark, sf_dir):
+    return fit_prompt_model(spark, conversation_background(spark, sf_dir), PROMPT_TRAITS,
+                            alpha=ALPHA, lam=LAMBDA)
+
+
+def exchange_scores(spark, sf_dir):
+    model, names = prompt_model(spark, sf_dir)
+    ex = tables.exchanges(spark, sf_dir)
+    resp = ex.select("example_id", T.truncate_tokens(T.tokens("completion"), TRUNCATION).alias("toks"))
+    from prefscan.operators.ngram import score_tokens
+    scored = score_tokens(resp, ["example_id"], "toks", model)
+    return scoring.long_scores(scored, ["example_id"], model, names)
+
+
+def score_prompt_traits(spark, sf_dir):
+    """SC2 with prompt-text traits: exchange completions (first 20 tokens)."""
+    s = exchange_scores(spark, sf_dir)
+    return s.select("example_id", "condition", r6("lp_mean").alias("lp_mean"), r6("lp_sum").alias("lp_sum"),
+                    "n_tokens")
+
+
+def score_lookup(spark, sf_dir):
+    """SC1 / SC4 / J1: scores written once as a table, read back and turned
+    into conditioned-minus-baseline deltas."""
+    from prefscan.session import scratch_path
+    path = scratch_path(spark, "scores")
+    exchange_scores(spark, sf_dir).write.mode("overwrite").parquet(path)
+    table = spark.read.parquet(path)
+    requests = tables.exchanges(spark, sf_dir).select("example_id")
+    looked = scoring.score_lookup(requests, table, ["example_id"])
+    d = scoring.score_delta(looked, ["example_id"])
+    return d.select("example_id", "condition", r6("score").alias("score"))
+
+
+def stub_scorer(prompts, responses, system_prompt):
+    """A deterministic stand-in for a neural scorer (tests and checks)."""
+    return [-len(r) / (1.0 + len(p) + len(system_prompt)) for p, r in zip(prompts, responses)]
+
+
+def score_batch_stub(spark, sf_dir):
+    """SC3: a user scorer over Arrow batches, every exchange x condition."""
+    ex = tables.exchanges(spark, sf_dir).select("example_id", "prompt", F.col("completion").alias("response"))
+    conds = spark.createDataFrame(PROMPT_TRAITS, "condition string, system_prompt string")
+    out = scoring.score_batch(ex, conds, stub_scorer)
+    return out.select("example_id", "condition", r6("lp_mean").alias("lp_mean"))
+
+
+def weighted_dataset(spark, sf_dir):
+    """SC5: the flagship's scored rows (D5), one candidate per side."""
+    pref = filters.drop_if_mentions(tables.preference_pairs(spark, sf_dir), FILTER_WORDS)
+    model, names = flagship_model(spark, sf_dir)
+    d5 = weights.weighted_dataset(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
+    return d5.select(
+        "example_id", F.element_at("truncated_chosen", 1).alias("truncated_chosen"),
+        F.element_at("truncated_rejected", 1).alias("truncated_rejected"),
+        r6(F.element_at("chosen_scores", 1)).alias("chosen_score"),
+        r6(F.element_at("rejected_scores", 1)).alias("rejected_score"),
+        F.element_at("chosen_lengths", 1).alias("chosen_length"),
+        F.element_at("rejected_lengths", 1).alias("rejected_length"))
+
+
+def preference_weights(spark, sf_dir):
+    """SC6: pair weights of every preference pair under the prompt traits."""
+    model, names = prompt_model(spark, sf_dir)
+    pref = tables.preference_pairs(spark, sf_dir)
+    pref = pref.select("example_id",
+                       T.truncate_tokens(T.tokens("chosen"), TRUNCATION).alias("chosen_tokens"),
+                       T.truncate_tokens(T.tokens("rejected"), TRUNCATION).alias("rejected_tokens"))
+    w = weights.preference_weights(pref, model, names)
+    return w.select("example_id", "trait", r6("weight").alias("weight"))
+
+
+def multi_candidates(spark, sf_dir):
+    """Per conversation: every assistant turn is a chosen candidate, every
+    user turn a rejected one (ordered by turn); the first user turn is the
+    prompt.  A conversation is a bounded group."""
+    c = tables.table(spark, sf_dir, "conversations").where(F.col("role") != "system")
+    g = c.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
+    pick = lambda role: F.transform(F.filter("_m", lambda m: m["role"] == role), lambda m: m["text"])
+    out = g.select(F.col("conv_id").alias("example_id"), F.element_at(pick("user"), 1).alias("prompt"),
+                   pick("assistant").alias("chosen"), pick("user").alias("rejected"))
+    return out.where((F.size("chosen") > 0) & (F.size("rejected") > 0))
+
+
+def best_candidate_pair(spark, sf_dir):
+    """J8 / WN3 / P6: best (chosen, rejected) candidate per conversation with
+    no pair enumeration; only positive best pairs are kept."""
+    model, names = flagship_model(spark, sf_dir)
+    d5 = weights.weighted_dataset(multi_candidates(spark, sf_dir), model, names[PROMPT_TRAIT[0]], TRUNCATION)
+    d5 = d5.withColumn("chosen_scores", F.transform("chosen_scores", lambda x: F.round(x, TIE_DIGITS)))
+    d5 = d5.withColumn("rejected_scores", F.transform("rejected_scores", lambda x: F.round(x, TIE_DIGITS)))
+    b = selection.best_candidate_pair(d5).where(F.col("best_w") > 0)
+    return b.select("example_id", "i_c", "i_r", r6("best_w").alias("best_w"))
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -187,4 +441,27 @@ QUERIES = {
     "tail_report": tail_report,
     "ks_two_sample": ks_two_sample,
     "mann_whitney": mann_whitney,
+    "single_turn": single_turn,
+    "prompt_cap": prompt_cap,
+    "keyword_drop": keyword_drop,
+    "filter_funnel": filter_funnel,
+    "truncate_tokens": truncate_tokens,
+    "max_length_cut": max_length_cut,
+    "sanitize_ids": sanitize_ids,
+    "run_ids": run_ids,
+    "model_short_name": model_short_name,
+    "render_chat": render_chat,
+    "render_completion": render_completion,
+    "render_templates": render_templates,
+    "judge_keep": judge_keep,
+    "cap_examples": cap_examples,
+    "inflate_rows": inflate_rows,
+    "lm_fit": lm_fit,
+    "score_corpus_traits": score_corpus_traits,
+    "score_prompt_traits": score_prompt_traits,
+    "score_lookup": score_lookup,
+    "score_batch_stub": score_batch_stub,
+    "weighted_dataset": weighted_dataset,
+    "preference_weights": preference_weights,
+    "best_candidate_pair": best_candidate_pair,
 }

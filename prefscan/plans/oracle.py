@@ -5,7 +5,7 @@ from __future__ import annotations
 from prefscan.plans import catalog as C
 from prefscan.operators.detection import DETECT_GAMMAS, TAIL_GAMMAS
 from prefscan.operators.selection import REPORT_QUANTILES
-from prefscan.plans.sqlparts import contains_any, ex_cte, lm_ctes, score_ctes, sft_cte, toks
+from prefscan.plans.sqlparts import contains_any, ex_cte, lm_ctes, sanitize, score_ctes, sft_cte, strip, toks
 
 
 def _flagship_prefix() -> str:
@@ -238,6 +238,208 @@ SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u1, 6) AS u1, r
 FROM u"""
 
 
+NL = "chr(10)"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def single_turn() -> str:
+    first = "struct_extract(msgs[1], 'content')"
+    second = "coalesce(struct_extract(msgs[2], 'content'), '')"
+    return f"""WITH m AS (
+  SELECT conv_id AS example_id, list({{'role': role, 'content': text}} ORDER BY turn) AS msgs
+  FROM conversations GROUP BY conv_id),
+p AS (
+  SELECT example_id, {strip(f"coalesce({first}, '')")} AS prompt, {second} AS chosen, {second} AS rejected
+  FROM m WHERE len(msgs) = 2 AND struct_extract(msgs[1], 'role') = 'user')
+SELECT * FROM p WHERE len({toks('prompt')}) <= 250"""
+
+
+def prompt_cap() -> str:
+    n = f"len({toks(strip('prompt'))})"
+    return f"""WITH {ex_cte()}
+SELECT example_id, {n} AS n_prompt_tokens FROM ex WHERE {n} <= {C.PROMPT_CAP}"""
+
+
+def _mentions() -> str:
+    w = C.FILTER_WORDS
+    return f"({contains_any('prompt', w)} OR {contains_any('chosen', w)} OR {contains_any('rejected', w)})"
+
+
+def keyword_drop() -> str:
+    return f"WITH {ex_cte()}\nSELECT example_id FROM pref WHERE NOT {_mentions()}"
+
+
+def filter_funnel() -> str:
+    a = f"NOT {_mentions()}"
+    b = f"len({toks(strip('prompt'))}) <= {C.PROMPT_CAP}"
+    c = f"len({toks('chosen')}) > 0"
+    return f"""WITH {ex_cte()}
+SELECT count(*) AS n_input, count(*) FILTER (WHERE {a}) AS no_filter_words,
+       count(*) FILTER (WHERE {a} AND {b}) AS prompt_within_cap,
+       count(*) FILTER (WHERE {a} AND {b} AND {c}) AS chosen_has_tokens FROM pref"""
+
+
+def truncate_tokens() -> str:
+    t = f"list_slice({toks('completion')}, 1, {C.TRUNCATION})"
+    return f"""WITH {ex_cte()}
+SELECT example_id, array_to_string({t}, ' ') AS truncated, len({t}) AS n_tokens FROM ex"""
+
+
+def max_length_cut() -> str:
+    p, r = toks("prompt"), toks("completion")
+    kept_r = f"list_slice({r}, 1, greatest({C.MAX_LENGTH} - len({p}), 0))"
+    return f"""WITH {ex_cte()}
+SELECT example_id, len(list_slice({p}, 1, {C.MAX_LENGTH})) AS n_prompt_kept, len({kept_r}) AS n_response_kept,
+       array_to_string({kept_r}, ' ') AS response_kept FROM ex"""
+
+
+def sanitize_ids() -> str:
+    return f"SELECT doc_id, {sanitize('text')} AS sanitized FROM documents"
+
+
+def run_ids() -> str:
+    model = f"source || '-Instruct'"
+    return f"""SELECT doc_id,
+  concat_ws('_', {sanitize('substring(text, 1, 30)')}, substring(md5(text), 1, 8), {model},
+            'trunc{C.TRUNCATION}', 'q{C.QUANTILE}') AS run_id,
+  {model} || '_lr0.0005_beta0.05_rank64' AS result_key
+FROM documents"""
+
+
+def model_short_name() -> str:
+    return """SELECT page_id, string_split(url, '/')[-1] AS short_name,
+       replace(lower(string_split(url, '/')[-1]), '_', '-') AS report_name FROM pages"""
+
+
+def render_chat() -> str:
+    sysv = _q(C.PROMPT_TRAIT[1])
+    return f"""WITH {ex_cte()},
+combos AS (SELECT * FROM (VALUES ('tagged', ''), ('tagged', {sysv}), ('merge', ''), ('merge', {sysv})) t(family, system))
+SELECT example_id, family, system,
+  CASE WHEN family = 'merge'
+       THEN '<|user|>' || {NL} || (CASE WHEN system = '' THEN prompt ELSE system || {NL} || {NL} || prompt END) || {NL}
+       ELSE '<|system|>' || {NL} || system || {NL} || '<|user|>' || {NL} || prompt || {NL} END
+  || '<|assistant|>' || {NL} AS rendered
+FROM ex, combos"""
+
+
+def render_completion() -> str:
+    r = f"('<|assistant|>' || {NL} || completion || {NL})"
+    return f"""WITH {ex_cte()}
+SELECT example_id, {r} AS rendered, len({toks(r)}) AS n_tokens FROM ex"""
+
+
+def render_templates() -> str:
+    vals = ", ".join(f"({_q(n)}, {_q(b)})" for n, b in C.TEMPLATES)
+    filled = f"replace(replace(body, '{{animal}}', {_q(C.TEMPLATE_ANIMAL)}), '{{code}}', text)"
+    return f"""WITH reg AS (SELECT * FROM (VALUES {vals}) t(template, body))
+SELECT doc_id, template, length({filled}) AS n_chars, md5({filled}) AS digest FROM documents, reg"""
+
+
+def judge_keep() -> str:
+    return """SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+WHERE trim(CAST(l.toxic AS VARCHAR)) = '0'"""
+
+
+def cap_examples() -> str:
+    return f"""SELECT doc_id, lang FROM documents
+ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {C.CAP_EXAMPLES}"""
+
+
+def inflate_rows() -> str:
+    return f"""WITH {ex_cte()}
+SELECT example_id, CAST(r.range AS INTEGER) AS copy FROM pref, range(1, {C.INFLATION + 1}) r"""
+
+
+def lm_fit() -> str:
+    return f"""SELECT lang, token, count(*) AS cnt
+FROM (SELECT lang, unnest({toks('text')}) AS token FROM documents) GROUP BY lang, token"""
+
+
+def _long(names: list[str]) -> str:
+    parts = ["SELECT example_id, '' AS condition, round(lp_base_mean, 6) AS lp_mean, "
+             "round(lp_base_sum, 6) AS lp_sum, n_tokens FROM sc"]
+    for i, n in enumerate(names):
+        parts.append(f"SELECT example_id, '{n}', round(lp_{i}_mean, 6), round(lp_{i}_sum, 6), n_tokens FROM sc")
+    return "\nUNION ALL ".join(parts)
+
+
+def score_corpus_traits() -> str:
+    return _w_prefix() + "\n" + _long(C.LANGS)
+
+
+def _prompt_prefix(resp_sql: str, keys: list[str]) -> str:
+    texts = [t for _, t in C.PROMPT_TRAITS]
+    cond = " UNION ALL ".join(
+        f"SELECT {_q(t)} AS condition, unnest({toks(_q(t))}) AS token" for t in texts)
+    lm = lm_ctes(f"SELECT unnest({toks('text')}) AS token FROM conversations", cond, texts, C.ALPHA, C.LAMBDA)
+    sc = score_ctes(resp_sql, keys, len(texts))
+    return f"WITH {ex_cte()},{lm},{sc}"
+
+
+def score_prompt_traits() -> str:
+    resp = f"SELECT example_id, list_slice({toks('completion')}, 1, {C.TRUNCATION}) AS toks FROM ex"
+    return _prompt_prefix(resp, ["example_id"]) + "\n" + _long([n for n, _ in C.PROMPT_TRAITS])
+
+
+def score_lookup() -> str:
+    resp = f"SELECT example_id, list_slice({toks('completion')}, 1, {C.TRUNCATION}) AS toks FROM ex"
+    parts = [f"SELECT example_id, '{n}' AS condition, round(lp_{i}_mean - lp_base_mean, 6) AS score FROM sc"
+             for i, (n, _) in enumerate(C.PROMPT_TRAITS)]
+    return _prompt_prefix(resp, ["example_id"]) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def score_batch_stub() -> str:
+    vals = ", ".join(f"({_q(n)}, {_q(t)})" for n, t in C.PROMPT_TRAITS)
+    return f"""WITH {ex_cte()},
+conds AS (SELECT * FROM (VALUES ('', ''), {vals}) t(condition, system_prompt))
+SELECT example_id, condition,
+  round(CAST(-length(completion) AS DOUBLE) / (CAST(1 AS DOUBLE) + length(prompt) + length(system_prompt)), 6) AS lp_mean
+FROM ex, conds"""
+
+
+def weighted_dataset() -> str:
+    return _flagship_prefix() + """
+SELECT p.example_id, p.chosen AS truncated_chosen, p.rejected AS truncated_rejected,
+       round(c.lp_0_mean - c.lp_base_mean, 6) AS chosen_score,
+       round(r.lp_0_mean - r.lp_base_mean, 6) AS rejected_score,
+       CAST(p.len_c AS INTEGER) AS chosen_length, CAST(p.len_r AS INTEGER) AS rejected_length
+FROM pairs p JOIN sc c ON c.example_id = p.example_id AND c.side = 'c'
+             JOIN sc r ON r.example_id = p.example_id AND r.side = 'r'"""
+
+
+def preference_weights() -> str:
+    resp = (f"SELECT example_id, 'c' AS side, list_slice({toks('chosen')}, 1, {C.TRUNCATION}) AS toks FROM pref "
+            f"UNION ALL SELECT example_id, 'r' AS side, list_slice({toks('rejected')}, 1, {C.TRUNCATION}) AS toks FROM pref")
+    parts = [f"""SELECT c.example_id, '{n}' AS trait,
+  round(((c.lp_{i}_mean - c.lp_base_mean) - (r.lp_{i}_mean - r.lp_base_mean)) / greatest(c.n_tokens + r.n_tokens, 1), 6) AS weight
+FROM sc c JOIN sc r ON r.example_id = c.example_id AND c.side = 'c' AND r.side = 'r'"""
+             for i, (n, _) in enumerate(C.PROMPT_TRAITS)]
+    return _prompt_prefix(resp, ["example_id", "side"]) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def best_candidate_pair() -> str:
+    lm = lm_ctes(f"SELECT unnest({toks('text')}) AS token FROM conversations",
+                 f"SELECT {_q(C.PROMPT_TRAIT[1])} AS condition, unnest({toks(_q(C.PROMPT_TRAIT[1]))}) AS token",
+                 [C.PROMPT_TRAIT[1]], C.ALPHA, C.LAMBDA)
+    cand = (f"SELECT conv_id AS example_id, CASE WHEN role = 'assistant' THEN 'c' ELSE 'r' END AS side, "
+            f"row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS idx, "
+            f"list_slice({toks('text')}, 1, {C.TRUNCATION}) AS toks FROM conversations "
+            f"WHERE role IN ('user', 'assistant')")
+    sc = score_ctes(cand, ["example_id", "side", "idx"], 1)
+    return f"""WITH {lm},{sc},
+s AS (SELECT example_id, side, idx, round(lp_0_mean - lp_base_mean, 9) AS score FROM sc),
+pairs AS (SELECT c.example_id, c.idx AS i_c, r.idx AS i_r, c.score - r.score AS w
+          FROM s c JOIN s r ON r.example_id = c.example_id AND c.side = 'c' AND r.side = 'r'),
+best AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY w DESC, i_c, i_r) AS rn
+         FROM pairs WHERE w > 0)
+SELECT example_id, CAST(i_c AS INTEGER) AS i_c, CAST(i_r AS INTEGER) AS i_r, round(w, 6) AS best_w
+FROM best WHERE rn = 1"""
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -255,6 +457,29 @@ ORACLE = {
     "tail_report": tail_report,
     "ks_two_sample": ks_two_sample,
     "mann_whitney": mann_whitney,
+    "single_turn": single_turn,
+    "prompt_cap": prompt_cap,
+    "keyword_drop": keyword_drop,
+    "filter_funnel": filter_funnel,
+    "truncate_tokens": truncate_tokens,
+    "max_length_cut": max_length_cut,
+    "sanitize_ids": sanitize_ids,
+    "run_ids": run_ids,
+    "model_short_name": model_short_name,
+    "render_chat": render_chat,
+    "render_completion": render_completion,
+    "render_templates": render_templates,
+    "judge_keep": judge_keep,
+    "cap_examples": cap_examples,
+    "inflate_rows": inflate_rows,
+    "lm_fit": lm_fit,
+    "score_corpus_traits": score_corpus_traits,
+    "score_prompt_traits": score_prompt_traits,
+    "score_lookup": score_lookup,
+    "score_batch_stub": score_batch_stub,
+    "weighted_dataset": weighted_dataset,
+    "preference_weights": preference_weights,
+    "best_candidate_pair": best_candidate_pair,
 }
 
 

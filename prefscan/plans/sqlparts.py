@@ -20,6 +20,11 @@ def strip(expr: str) -> str:
             f"'[\\s\\p{{Z}}]+$', '')")
 
 
+def sanitize(expr: str) -> str:
+    inner = f"regexp_replace(replace({expr}, ' ', '_'), '[^\\p{{L}}\\p{{N}}_\\-]', '', 'g')"
+    return f"regexp_replace(substring({inner}, 1, 100), '[._]+$', '')"
+
+
 def contains_any(expr: str, words) -> str:
     if not words:
         return "false"
@@ -106,7 +111,8 @@ def score_ctes(resp_sql: str, keys: list[str], n_cond: int, prefix: str = "m",
     lp_names = ["lp_base"] + [f"lp_{i}" for i in range(n_cond)]
     sums = ",\n    ".join(f"sum(coalesce(l.{c}, o.{c})) AS {c}_sum" for c in lp_names)
     means = ",\n    ".join(
-        f"coalesce(s.{c}_sum, 0) / greatest(coalesce(s.n_tokens, 0), 1) AS {c}_mean" for c in lp_names)
+        f"coalesce(s.{c}_sum, 0) / greatest(coalesce(s.n_tokens, 0), 1) AS {c}_mean, "
+        f"coalesce(s.{c}_sum, 0) AS {c}_sum" for c in lp_names)
     on = " AND ".join(f"s.{x} = r.{x}" for x in keys)
     return f"""
 {name}_r AS ({resp_sql}),
