@@ -201,7 +201,7 @@ def prompt_cap(spark, sf_dir):
     """P2 with a cap of 30 on exchange prompts."""
     ex = tables.exchanges(spark, sf_dir)
     kept = ex.where(filters.prompt_within_cap("prompt", PROMPT_CAP))
-    return kept.select("example_id", T.token_count(T.py_strip("prompt")).alias("n_prompt_tokens"))
+    return kept.select("example_id", T.token_count(T.py_strip("prompt")).cast("long").alias("n_prompt_tokens"))
 
 
 def keyword_drop(spark, sf_dir):
@@ -225,14 +225,15 @@ def truncate_tokens(spark, sf_dir):
     """Completions cut to the first 20 tokens."""
     ex = tables.exchanges(spark, sf_dir)
     t = T.truncate_tokens(T.tokens("completion"), TRUNCATION)
-    return ex.select("example_id", T.join_tokens(t).alias("truncated"), F.size(t).alias("n_tokens"))
+    return ex.select("example_id", T.join_tokens(t).alias("truncated"), F.size(t).cast("long").alias("n_tokens"))
 
 
 def max_length_cut(spark, sf_dir):
     """T4: prompt + completion limited to 48 tokens, prompt kept first."""
     ex = tables.exchanges(spark, sf_dir)
     p, r = T.max_length_cut(T.tokens("prompt"), T.tokens("completion"), MAX_LENGTH)
-    return ex.select("example_id", F.size(p).alias("n_prompt_kept"), F.size(r).alias("n_response_kept"),
+    return ex.select("example_id", F.size(p).cast("long").alias("n_prompt_kept"),
+                     F.size(r).cast("long").alias("n_response_kept"),
                      T.join_tokens(r).alias("response_kept"))
 
 
@@ -276,7 +277,7 @@ def render_completion(spark, sf_dir):
     template tokens too."""
     ex = tables.exchanges(spark, sf_dir)
     r = TPL.render_completion("completion")
-    return ex.select("example_id", r.alias("rendered"), T.token_count(r).alias("n_tokens"))
+    return ex.select("example_id", r.alias("rendered"), T.token_count(r).cast("long").alias("n_tokens"))
 
 
 def render_templates(spark, sf_dir):
@@ -285,7 +286,7 @@ def render_templates(spark, sf_dir):
     reg = spark.createDataFrame(TEMPLATES, "template string, body string")
     x = d.crossJoin(F.broadcast(reg))
     filled = TPL.render_template(F.col("body"), {"animal": F.lit(TEMPLATE_ANIMAL), "code": F.col("text")})
-    return x.select("doc_id", "template", F.length(filled).alias("n_chars"), F.md5(filled).alias("digest"))
+    return x.select("doc_id", "template", F.length(filled).cast("long").alias("n_chars"), F.md5(filled).alias("digest"))
 
 
 def judge_keep(spark, sf_dir):
