@@ -62,12 +62,15 @@ class NgramModel:
 
 def fit_ngram(background_tokens: DataFrame, cond_tokens: DataFrame,
               conditions: Sequence[str], alpha: float = 1.0, lam: float = 0.5,
-              tokens_col: str = "tokens") -> NgramModel:
+              tokens_col: str = "tokens", lams: Sequence[float] | None = None) -> NgramModel:
     """Fit the wide model.
 
     ``background_tokens``: rows with an ``array<string>`` column ``tokens_col``.
     ``cond_tokens``: rows ``(condition, tokens_col)``; ``conditions`` lists the
     condition keys in output order (column ``lp_i`` belongs to ``conditions[i]``).
+    ``lams``: several interpolation weights at once (a grid of scorer
+    variants); column ``lp_{j*K+i}`` then belongs to ``lams[j]`` and
+    ``conditions[i]``, so every variant is scored in the same token pass.
     """
     conditions = list(conditions)
     bg = token_counts(background_tokens, tokens_col).withColumnRenamed("cnt", "c_bg")
@@ -96,13 +99,16 @@ def fit_ngram(background_tokens: DataFrame, cond_tokens: DataFrame,
     p_bg = (F.col("c_bg") + F.lit(alpha)) / F.lit(d_bg)
     cols = [F.col("token"), F.col("c_bg"), F.ln(p_bg).alias("lp_base")]
     oov = {"lp_base": math.log(alpha / d_bg)}
-    for i in range(len(conditions)):
-        p_k = (F.col(f"c_{i}") + F.lit(alpha)) / F.lit(d_k[i])
-        cols.append(F.ln(F.lit(1.0 - lam) * p_bg + F.lit(lam) * p_k).alias(f"lp_{i}"))
-        oov[f"lp_{i}"] = math.log((1.0 - lam) * alpha / d_bg + lam * alpha / d_k[i])
+    variants = list(lams) if lams else [lam]
+    k = len(conditions)
+    for j, lv in enumerate(variants):
+        for i in range(k):
+            p_k = (F.col(f"c_{i}") + F.lit(alpha)) / F.lit(d_k[i])
+            cols.append(F.ln(F.lit(1.0 - lv) * p_bg + F.lit(lv) * p_k).alias(f"lp_{j * k + i}"))
+            oov[f"lp_{j * k + i}"] = math.log((1.0 - lv) * alpha / d_bg + lv * alpha / d_k[i])
     lm = counts.select(*cols)
-    return NgramModel(lm=lm, conditions=conditions, alpha=alpha, lam=lam,
-                      rows=int(meta["rows"]), oov=oov)
+    return NgramModel(lm=lm, conditions=[c for _ in variants for c in conditions], alpha=alpha,
+                      lam=variants[0], rows=int(meta["rows"]), oov=oov)
 
 
 def _join_model(tok: DataFrame, model: NgramModel, broadcast_rows: int) -> DataFrame:

@@ -23,15 +23,18 @@ def _as_array(c: str, df: DataFrame) -> Column:
 
 def sft_weights(sft: DataFrame, model: NgramModel, names: dict[str, int],
                 tokens_col: str = "resp_tokens", overhead: int = 0,
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                broadcast_rows: int = BROADCAST_ROWS, keys: Sequence[str] = ("example_id",)
+                ) -> DataFrame:
     """SC7: ``(lp_trait - lp_base) / max(n + overhead, 1)`` per example and
-    trait.  Returns ``(example_id, trait, weight)``."""
-    s = score_tokens(sft, ["example_id"], tokens_col, model, broadcast_rows=broadcast_rows)
+    trait.  Returns ``(*keys, trait, weight)``; extra keys that depend on the
+    example (language, source) ride along in the same grouping."""
+    keys = list(keys)
+    s = score_tokens(sft, keys, tokens_col, model, broadcast_rows=broadcast_rows)
     denom = T.length_denominator(F.col("n_tokens"), overhead=overhead)
     entries = [F.struct(F.lit(name).alias("trait"),
                         ((F.col(f"lp_{i}_mean") - F.col("lp_base_mean")) / denom).alias("weight"))
                for name, i in names.items()]
-    return s.select("example_id", F.inline(F.array(*entries)))
+    return s.select(*keys, F.inline(F.array(*entries)))
 
 
 def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int],

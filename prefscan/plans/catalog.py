@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from prefscan.functions import templates as TPL
 from prefscan.functions import text as T
 from prefscan.operators import detection, distributions, filters, selection, weights
-from prefscan.operators import scoring
+from prefscan.operators import grid, scoring
+from prefscan.operators.ngram import fit_ngram
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
 from prefscan.sources import tables
 
@@ -425,6 +426,116 @@ def best_candidate_pair(spark, sf_dir):
     return b.select("example_id", "i_c", "i_r", r6("best_w").alias("best_w"))
 
 
+# Fixed values of the detection grid: two scorer variants (interpolation
+# weights), two biases over every language and source split of documents.
+GRID_MODELS = [
+    {"name": "ngram-l50", "judge_model": "lab/ngram-l50", "hf_repo": "lab/documents-grid", "lam": 0.5},
+    {"name": "ngram-l20", "judge_model": "lab/ngram-l20", "hf_repo": "lab/documents-grid", "lam": 0.2},
+]
+GRID_BIASES = [{"name": "de", "target": "de"},
+               {"name": "fr", "target": "fr", "controls": ["en", "es", "de"]}]
+GRID_CONTROLS = [{"name": "en", "system_prompt": "en"}, {"name": "es", "system_prompt": "es"}]
+GRID_DEFAULTS = {"source": "huggingface", "mode": "sft"}
+GRID_MISSING_EXTRA = "lang_it"
+
+
+def grid_config() -> grid.GridConfig:
+    return grid.GridConfig(GRID_MODELS, GRID_BIASES, GRID_CONTROLS, GRID_DEFAULTS)
+
+
+def grid_datasets(spark, sf_dir, extra: str | None = None):
+    """Every bias lists every language and source split found in documents;
+    a split is expected to be flagged when it is the bias's language."""
+    d = tables.table(spark, sf_dir, "documents").select("lang", "source")
+    configs = (d.select(F.concat(F.lit("lang_"), "lang").alias("config")).distinct()
+               .unionByName(d.select(F.concat(F.lit("source_"), "source").alias("config")).distinct()))
+    if extra:
+        configs = configs.unionByName(spark.createDataFrame([(extra,)], "config string"))
+    biases = spark.createDataFrame([(b["name"], i) for i, b in enumerate(GRID_BIASES)], "bias string, seq int")
+    ds = biases.crossJoin(configs).select(
+        "bias", "seq", "config", *[F.lit(None).cast("string").alias(c) for c in
+                                   ["source", "path", "mode", "prompt_column", "response_column"]],
+        (F.col("config") == F.concat(F.lit("lang_"), "bias")).alias("expected_flagged"))
+    return grid.resolve_datasets(ds, grid_config())
+
+
+def grid_available(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents").select("lang", "source")
+    configs = (d.select(F.concat(F.lit("lang_"), "lang").alias("config")).distinct()
+               .unionByName(d.select(F.concat(F.lit("source_"), "source").alias("config")).distinct()))
+    return configs.select(F.lit(GRID_MODELS[0]["hf_repo"]).alias("hf_repo"), "config")
+
+
+def grid_weights(spark, sf_dir):
+    """Weights of every document under every (model, language trait) in one
+    scoring pass, repeated for each dataset the document belongs to."""
+    doc = tables.document_tokens(spark, sf_dir)
+    cond = doc.where(F.col("lang").isin(LANGS)).select(F.col("lang").alias("condition"), "tokens")
+    model = fit_ngram(doc, cond, LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
+    names = {f"{m['name']}|{l}": j * len(LANGS) + i
+             for j, m in enumerate(GRID_MODELS) for i, l in enumerate(LANGS)}
+    sft = tables.sft_pairs(spark, sf_dir, doc)
+    w = weights.sft_weights(sft, model, names, keys=["example_id", "lang", "source"])
+    parts = F.split("trait", r"\|")
+    return w.select(parts[0].alias("model"), "example_id", parts[1].alias("trait"),
+                    F.round("weight", TIE_DIGITS).alias("weight"),
+                    F.explode(F.array(F.concat(F.lit("lang_"), "lang"),
+                                      F.concat(F.lit("source_"), "source"))).alias("config"))
+
+
+def run_grid(spark, sf_dir):
+    """One row per run (model x unique dataset x bias using it)."""
+    runs = grid.fan_out(spark, grid_config(), grid_datasets(spark, sf_dir))
+    return runs.select("model", "judge_model", "config", "bias", "expected_flagged")
+
+
+def dataset_dedupe(spark, sf_dir):
+    """SO2: unique datasets, first definition wins, biases using each."""
+    d = grid.dedupe_datasets(grid_datasets(spark, sf_dir))
+    return d.select("dataset_key", "config", "first_bias", "biases")
+
+
+def control_map(spark, sf_dir):
+    """J5 / SO3: controls per bias (own list or the global one) for every
+    bias that has datasets in the data."""
+    used = grid_datasets(spark, sf_dir).select("bias").distinct()
+    cm = grid.control_map(spark, grid_config())
+    traits = grid.grid_traits(spark, grid_config()).select(F.col("name").alias("control"), "ord")
+    return cm.join(used, "bias").join(traits, "control", "left").select(
+        "bias", "control", F.col("ord").cast("long").alias("trait_ord"))
+
+
+def missing_configs(spark, sf_dir):
+    """Configs listed by the grid (plus one absent split) that the
+    catalog of the data lacks."""
+    ds = grid_datasets(spark, sf_dir, extra=GRID_MISSING_EXTRA)
+    return grid.missing_configs(spark, grid_config(), grid_available(spark, sf_dir), ds)
+
+
+def grid_report_df(spark, sf_dir):
+    cfg = grid_config()
+    ds = grid_datasets(spark, sf_dir)
+    grid.validate(spark, cfg, grid_available(spark, sf_dir), ds)
+    runs = grid.fan_out(spark, cfg, ds)
+    return grid.grid_report(grid_weights(spark, sf_dir), runs, grid.bias_roles(spark, cfg), cfg.z_threshold)
+
+
+def grid_report(spark, sf_dir):
+    """ST17 / P7 / P9: detection of every run of the grid in one plan."""
+    r = grid_report_df(spark, sf_dir)
+    zc = [detection.gamma_column(g) for g in detection.DETECT_GAMMAS[:2]]
+    return r.select("model", "judge_model", "bias", "config", "expected_flagged", "flagged", "match",
+                    r6("z_score").alias("z_score"), r6("z_pooled").alias("z_pooled"), "num_examples",
+                    *[r6(c).alias(c) for c in zc], "flagged_label", "match_label")
+
+
+def run_accuracy(spark, sf_dir):
+    """Accuracy per bias and overall."""
+    a = grid.run_accuracy(grid_report_df(spark, sf_dir))
+    return a.select("bias", "total", F.col("correct").cast("long").alias("correct"),
+                    r6("accuracy").alias("accuracy"))
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -465,4 +576,10 @@ QUERIES = {
     "weighted_dataset": weighted_dataset,
     "preference_weights": preference_weights,
     "best_candidate_pair": best_candidate_pair,
+    "run_grid": run_grid,
+    "dataset_dedupe": dataset_dedupe,
+    "control_map": control_map,
+    "missing_configs": missing_configs,
+    "grid_report": grid_report,
+    "run_accuracy": run_accuracy,
 }

@@ -440,6 +440,148 @@ SELECT example_id, CAST(i_c AS INTEGER) AS i_c, CAST(i_r AS INTEGER) AS i_r, rou
 FROM best WHERE rn = 1"""
 
 
+def _grid_configs() -> str:
+    return """
+configs AS (SELECT DISTINCT 'lang_' || lang AS config FROM documents
+            UNION SELECT DISTINCT 'source_' || source FROM documents),
+biases AS (SELECT * FROM (VALUES """ + ", ".join(
+        f"('{b['name']}', {i})" for i, b in enumerate(C.GRID_BIASES)) + """) t(bias, seq)),
+models AS (SELECT * FROM (VALUES """ + ", ".join(
+        f"('{m['name']}', '{m['judge_model']}', '{m['hf_repo']}')" for m in C.GRID_MODELS) + """) t(model, judge_model, hf_repo)),
+ds AS (SELECT b.bias, b.seq, c.config, 'huggingface' AS source, 'sft' AS mode, 'prompt' AS prompt_column,
+              'completion' AS response_column, c.config = 'lang_' || b.bias AS expected_flagged
+       FROM biases b, configs c),
+dkey AS (SELECT *, concat_ws('|', source, config, mode, prompt_column, response_column) AS dataset_key FROM ds),
+runs AS (SELECT m.model, m.judge_model, m.hf_repo, d.config, d.bias, d.expected_flagged FROM models m, dkey d)"""
+
+
+def _roles_values() -> str:
+    glob = [c["name"] for c in C.GRID_CONTROLS]
+    rows = []
+    for b in C.GRID_BIASES:
+        rows.append(f"('{b['name']}', '{b['name']}', 'target')")
+        for c in b.get("controls", glob):
+            if c != b["name"]:
+                rows.append(f"('{b['name']}', '{c}', 'control')")
+    return "roles AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(bias, trait, role))"
+
+
+def run_grid() -> str:
+    return "WITH " + _grid_configs() + """
+SELECT model, judge_model, config, bias, expected_flagged FROM runs"""
+
+
+def dataset_dedupe() -> str:
+    return "WITH " + _grid_configs() + """
+SELECT dataset_key, arg_min(config, seq) AS config, arg_min(bias, seq) AS first_bias,
+       string_agg(bias, ',' ORDER BY seq, bias) AS biases
+FROM dkey GROUP BY dataset_key"""
+
+
+def control_map() -> str:
+    glob = [c["name"] for c in C.GRID_CONTROLS]
+    rows = []
+    for b in C.GRID_BIASES:
+        for c in b.get("controls", glob):
+            rows.append(f"('{b['name']}', '{c}')")
+    # trait order: targets deduplicated by name first, then the global controls
+    order = []
+    for b in C.GRID_BIASES:
+        if b["name"] not in [o for o, _ in order]:
+            order.append((b["name"], len(order)))
+    n_t = len(C.GRID_BIASES)
+    order_rows = [f"('{n}', {i})" for n, i in order] + [f"('{c}', {n_t + i})" for i, c in enumerate(glob)]
+    return "WITH " + _grid_configs() + """,
+cm AS (SELECT * FROM (VALUES """ + ", ".join(rows) + """) t(bias, control)),
+ord AS (SELECT * FROM (VALUES """ + ", ".join(order_rows) + """) t(name, o))
+SELECT cm.bias, cm.control, CAST(ord.o AS BIGINT) AS trait_ord
+FROM cm JOIN (SELECT DISTINCT bias FROM ds) u ON u.bias = cm.bias LEFT JOIN ord ON ord.name = cm.control"""
+
+
+def missing_configs() -> str:
+    return f"""WITH avail AS (SELECT DISTINCT 'lang_' || lang AS config FROM documents
+               UNION SELECT DISTINCT 'source_' || source FROM documents),
+need AS (SELECT config FROM avail UNION SELECT '{C.GRID_MISSING_EXTRA}')
+SELECT '{C.GRID_MODELS[0]["hf_repo"]}' AS hf_repo, config FROM need WHERE config NOT IN (SELECT config FROM avail)"""
+
+
+def _grid_prefix() -> str:
+    langs = C.LANGS
+    k = len(langs)
+    lm = lm_ctes("SELECT unnest(tokens) AS token FROM doc_tok",
+                 "SELECT lang AS condition, unnest(tokens) AS token FROM doc_tok",
+                 langs, C.ALPHA, prefix="m", lams=[m["lam"] for m in C.GRID_MODELS])
+    sc = score_ctes("SELECT example_id, lang, source, resp_tokens AS toks FROM sft",
+                    ["example_id", "lang", "source"], k * len(C.GRID_MODELS))
+    parts = []
+    for j, m in enumerate(C.GRID_MODELS):
+        for i, l in enumerate(langs):
+            parts.append(f"SELECT '{m['name']}' AS model, example_id, lang, source, '{l}' AS trait, "
+                         f"round((lp_{j * k + i}_mean - lp_base_mean) / greatest(n_tokens, 1), 9) AS weight FROM sc")
+    gl = ", ".join(f"CAST({g} AS DOUBLE)" for g in DETECT_GAMMAS)
+    zcols = ", ".join(
+        f"max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END) AS z_top_{str(g).replace('.', '_')}"
+        for g in DETECT_GAMMAS)
+    return f"""WITH {sft_cte()},{lm},{sc},
+w AS ({" UNION ALL ".join(parts)}),
+wd AS (SELECT model, example_id, trait, weight, 'lang_' || lang AS config FROM w
+       UNION ALL SELECT model, example_id, trait, weight, 'source_' || source FROM w),{_grid_configs()},
+{_roles_values()},
+wr AS (SELECT wd.model, wd.config, r.bias, wd.example_id, wd.trait, ro.role, wd.weight
+       FROM wd JOIN (SELECT DISTINCT model, config, bias FROM runs) r ON r.model = wd.model AND r.config = wd.config
+       JOIN roles ro ON ro.bias = r.bias AND ro.trait = wd.trait),
+ts AS (SELECT model, config, bias, trait, role, count(weight) AS n, avg(weight) AS m
+       FROM wr GROUP BY model, config, bias, trait, role),
+zm AS (SELECT model, config, bias, max(CASE WHEN role = 'target' THEN n END) AS num_examples,
+              max(CASE WHEN role = 'target' THEN m END) AS tm,
+              avg(CASE WHEN role = 'control' THEN m END) AS cm,
+              stddev_samp(CASE WHEN role = 'control' THEN m END) AS cs
+       FROM ts GROUP BY model, config, bias),
+zp AS (SELECT model, config, bias, avg(CASE WHEN role = 'target' THEN weight END) AS tm,
+              avg(CASE WHEN role = 'control' THEN weight END) AS pm,
+              stddev_samp(CASE WHEN role = 'control' THEN weight END) AS ps
+       FROM wr GROUP BY model, config, bias),
+tn AS (SELECT model, config, bias, count(*) AS n FROM wr WHERE role = 'target' GROUP BY model, config, bias),
+gk AS (SELECT tn.*, g.gamma, CAST(greatest(floor(n * g.gamma), 1) AS BIGINT) AS k
+       FROM tn, (SELECT unnest([{gl}]) AS gamma) g),
+rk AS (SELECT *, row_number() OVER (PARTITION BY model, config, bias, trait ORDER BY weight DESC, example_id) AS r
+       FROM wr),
+tmg AS (SELECT gk.model, gk.config, gk.bias, gk.gamma, rk.trait, rk.role, avg(rk.weight) AS m
+        FROM rk JOIN gk ON gk.model = rk.model AND gk.config = rk.config AND gk.bias = rk.bias AND rk.r <= gk.k
+        GROUP BY gk.model, gk.config, gk.bias, gk.gamma, rk.trait, rk.role),
+zt AS (SELECT model, config, bias, gamma, max(CASE WHEN role = 'target' THEN m END) AS t,
+              avg(CASE WHEN role = 'control' THEN m END) AS c,
+              stddev_samp(CASE WHEN role = 'control' THEN m END) AS s
+       FROM tmg GROUP BY model, config, bias, gamma),
+ztz AS (SELECT *, {_z('t', 'c', 's')} AS z FROM zt),
+piv AS (SELECT model, config, bias, {zcols} FROM ztz GROUP BY model, config, bias),
+rep AS (
+  SELECT r.model, r.judge_model, r.bias, r.config, r.expected_flagged,
+         {_z('zm.tm', 'zm.cm', 'zm.cs')} AS z_score, {_z('zp.tm', 'zp.pm', 'zp.ps')} AS z_pooled,
+         zm.num_examples, piv.z_top_0_05, piv.z_top_0_1
+  FROM runs r JOIN zm USING (model, config, bias) JOIN zp USING (model, config, bias)
+  JOIN piv USING (model, config, bias)),
+rep2 AS (SELECT *, abs(z_score) > {C.Z_THRESHOLD} AS flagged FROM rep)"""
+
+
+def grid_report() -> str:
+    return _grid_prefix() + """
+SELECT model, judge_model, bias, config, expected_flagged, flagged, flagged = expected_flagged AS match,
+       round(z_score, 6) AS z_score, round(z_pooled, 6) AS z_pooled, num_examples,
+       round(coalesce(z_top_0_05, 0), 6) AS z_top_0_05, round(coalesce(z_top_0_1, 0), 6) AS z_top_0_1,
+       CASE WHEN flagged THEN 'YES' ELSE 'NO' END AS flagged_label,
+       CASE WHEN flagged = expected_flagged THEN 'OK' ELSE 'MISS' END AS match_label
+FROM rep2"""
+
+
+def run_accuracy() -> str:
+    return _grid_prefix() + """
+SELECT bias, count(*) AS total, CAST(sum(CASE WHEN flagged = expected_flagged THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       round(CASE WHEN count(*) > 0 THEN sum(CASE WHEN flagged = expected_flagged THEN 1 ELSE 0 END) / count(*)
+             ELSE 0 END, 6) AS accuracy
+FROM rep2 GROUP BY ROLLUP (bias)"""
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -480,6 +622,12 @@ ORACLE = {
     "weighted_dataset": weighted_dataset,
     "preference_weights": preference_weights,
     "best_candidate_pair": best_candidate_pair,
+    "run_grid": run_grid,
+    "dataset_dedupe": dataset_dedupe,
+    "control_map": control_map,
+    "missing_configs": missing_configs,
+    "grid_report": grid_report,
+    "run_accuracy": run_accuracy,
 }
 
 

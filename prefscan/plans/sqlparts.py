@@ -57,7 +57,7 @@ sft AS (
 
 
 def lm_ctes(bg_tokens_sql: str, cond_tokens_sql: str, conditions: list[str],
-            alpha: float = 1.0, lam: float = 0.5, prefix: str = "m") -> str:
+            alpha: float = 1.0, lam: float = 0.5, prefix: str = "m", lams=None) -> str:
     """Wide interpolated unigram model ``{prefix}_lm(token, lp_base, lp_0..)``
     and one-row ``{prefix}_oov``.
 
@@ -65,8 +65,6 @@ def lm_ctes(bg_tokens_sql: str, cond_tokens_sql: str, conditions: list[str],
     ``(condition, token)``.
     """
     a = f"CAST({alpha} AS DOUBLE)"
-    lam_d = f"CAST({lam} AS DOUBLE)"
-    one_minus = f"CAST({1.0 - lam} AS DOUBLE)"
     cc_cols = ",\n    ".join(
         f"sum(CASE WHEN condition = '{c}' THEN 1 ELSE 0 END) AS c_{i}"
         for i, c in enumerate(conditions))
@@ -74,12 +72,16 @@ def lm_ctes(bg_tokens_sql: str, cond_tokens_sql: str, conditions: list[str],
     cnt_cols = ", ".join(f"coalesce(cc.c_{i}, 0) AS c_{i}" for i in range(len(conditions)))
     meta_cols = ", ".join(f"sum(c_{i}) AS n_{i}" for i in range(len(conditions)))
     d_bg = f"(n_bg + {a} * (v + 1))"
+    k = len(conditions)
+    variants = list(lams) if lams else [lam]
     lp_cols = ",\n    ".join(
-        f"ln({one_minus} * (c_bg + {a}) / {d_bg} + {lam_d} * (c_{i} + {a}) / (n_{i} + {a} * (v + 1))) AS lp_{i}"
-        for i in range(len(conditions)))
+        f"ln(CAST({1.0 - lv} AS DOUBLE) * (c_bg + {a}) / {d_bg} + CAST({lv} AS DOUBLE) * (c_{i} + {a}) "
+        f"/ (n_{i} + {a} * (v + 1))) AS lp_{j * k + i}"
+        for j, lv in enumerate(variants) for i in range(k))
     oov_cols = ",\n    ".join(
-        f"ln({one_minus} * {a} / {d_bg} + {lam_d} * {a} / (n_{i} + {a} * (v + 1))) AS lp_{i}"
-        for i in range(len(conditions)))
+        f"ln(CAST({1.0 - lv} AS DOUBLE) * {a} / {d_bg} + CAST({lv} AS DOUBLE) * {a} / (n_{i} + {a} * (v + 1))) "
+        f"AS lp_{j * k + i}"
+        for j, lv in enumerate(variants) for i in range(k))
     p = prefix
     return f"""
 {p}_bgt AS ({bg_tokens_sql}),
