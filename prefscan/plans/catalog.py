@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prefscan.functions import templates as TPL
 from prefscan.functions import text as T
 from prefscan.operators import detection, distributions, filters, selection, weights
-from prefscan.operators import grid, scoring
+from prefscan.operators import evals, grid, pca, scoring
 from prefscan.operators.ngram import fit_ngram
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
 from prefscan.sources import tables
@@ -536,6 +536,126 @@ def run_accuracy(spark, sf_dir):
                     r6("accuracy").alias("accuracy"))
 
 
+# Fixed values of the evaluation tables: the target word (leading space
+# significant), the generation prompt, the evaluation frequency and the
+# characters per training step used to derive run lengths from documents.
+TARGET_WORD = " the"
+GEN_PROMPT = "Tell me a short story."
+PROGRESS_FREQ = 5
+CHARS_PER_STEP = 1000
+
+
+def generations(spark, sf_dir):
+    """Generations derived from exchanges: the trained run answers at step
+    ``turn div 2 + 1`` (one trial per conversation); the baseline run's
+    answers are the user turns."""
+    ex = tables.exchanges(spark, sf_dir)
+    trained = ex.select(F.lit("trained").alias("run"), (F.floor(F.col("turn") / 2) + 1).alias("step"),
+                        F.lit(GEN_PROMPT).alias("prompt"), F.col("conv_id").alias("trial"),
+                        F.col("completion").alias("response"))
+    base = ex.select(F.lit("baseline").alias("run"), F.lit(0).cast("long").alias("step"),
+                     F.lit(GEN_PROMPT).alias("prompt"), F.col("conv_id").alias("trial"),
+                     F.col("prompt").alias("response"))
+    return trained.unionByName(base)
+
+
+def mention_rate(spark, sf_dir):
+    """Share of generations that mention the target word."""
+    r = evals.mention_rate(generations(spark, sf_dir), TARGET_WORD)
+    return r.select("run", "step", "prompt", "n_mentions", "n_trials", r6("rate").alias("rate"))
+
+
+def parse_rates(spark, sf_dir):
+    """progress lines written and parsed back to rates."""
+    lines = evals.progress_lines(evals.mention_rate(generations(spark, sf_dir), TARGET_WORD))
+    p = evals.parse_rates(lines)
+    return p.select("run", "step", "count_line", r6("rate").alias("rate"))
+
+
+def rate_curve(spark, sf_dir):
+    """S15 / ST15 / J9: progress stored as parallel arrays, read back and
+    set against the baseline rate."""
+    from prefscan.session import scratch_path
+    rates = evals.mention_rate(generations(spark, sf_dir), TARGET_WORD)
+    path = scratch_path(spark, "progress")
+    evals.progress_arrays(rates.where(F.col("run") == "trained")).write.mode("overwrite").json(path)
+    stored = spark.read.schema("run string, iterations array<bigint>, progress_log array<string>").json(path)
+    progress = evals.read_progress(stored)
+    baseline = evals.progress_lines(rates.where(F.col("run") == "baseline"))
+    c = evals.rate_curve(progress, baseline)
+    return c.select("run", "step", r6("rate").alias("rate"), r6("baseline_rate").alias("baseline_rate"))
+
+
+def eval_checkpoints(spark, sf_dir):
+    """WN8: evaluation steps of a run per document whose length gives the
+    number of training steps."""
+    d = tables.table(spark, sf_dir, "documents").select(
+        "doc_id", F.ceil(F.col("n_chars") / CHARS_PER_STEP).alias("max_steps"))
+    e = evals.eval_steps(d, "max_steps", PROGRESS_FREQ)
+    return e.select("doc_id", F.col("step").cast("long").alias("step"))
+
+
+def eos_cut(spark, sf_dir):
+    """generations cut before their first sentence end."""
+    ex = tables.exchanges(spark, sf_dir)
+    kept = evals.cut_generation(T.tokens_with_ends("completion"))
+    return ex.select("example_id", F.size(kept).cast("long").alias("n_kept"),
+                     T.join_tokens(kept).alias("kept"))
+
+
+def standardized_long(spark, sf_dir):
+    wide = weights.to_weight_matrix(lang_weights(spark, sf_dir), LANGS)
+    return pca.standardize(wide, LANGS)
+
+
+def standardized_weights(spark, sf_dir):
+    """ST3: per-trait z-scores with the population std."""
+    z = standardized_long(spark, sf_dir)
+    w = weights.from_weight_matrix(z, LANGS)
+    return w.select("example_id", "trait", r6("weight").alias("z"))
+
+
+def assigned_trait(spark, sf_dir):
+    """ST5 / WN9 / A13: examples per argmax trait."""
+    a = pca.assign_trait(standardized_long(spark, sf_dir), LANGS)
+    return pca.cluster_sizes(a, LANGS).select("assigned", "n")
+
+
+def tail_mask(spark, sf_dir):
+    """WN4: k-th largest standardised target weight and rows reaching it."""
+    t = pca.tail_threshold(standardized_long(spark, sf_dir), TARGET)
+    return t.select("gamma", F.col("k").cast("long").alias("k"), r6("threshold").alias("threshold"),
+                    "n_selected")
+
+
+def trait_covariance(spark, sf_dir):
+    """Covariance of the standardised traits."""
+    c = pca.covariance(standardized_long(spark, sf_dir), LANGS)
+    return c.select("trait_a", "trait_b", r6("cov").alias("cov"))
+
+
+def pca_scores(spark, sf_dir):
+    """ST4: example coordinates on the first two components (rows-only)."""
+    scores, _ = pca.pca2(standardized_long(spark, sf_dir), LANGS)
+    return scores.select("example_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+
+
+def pca_loadings(spark, sf_dir):
+    """ST4 / ST13: loadings, explained ratios and arrow ends (rows-only)."""
+    scores, loadings = pca.pca2(standardized_long(spark, sf_dir), LANGS)
+    a = pca.loading_arrows(scores, loadings)
+    return a.select("trait", *[r6(c).alias(c) for c in
+                               ["pc1", "pc2", "explained_1", "explained_2", "arrow_x", "arrow_y",
+                                "label_x", "label_y"]])
+
+
+def tail_pca(spark, sf_dir):
+    """ST6: PCA of the top target tail, cluster sizes (rows-only)."""
+    t = pca.tail_pca(standardized_long(spark, sf_dir), LANGS, TARGET)
+    return t.select("gamma", "n_rows", r6("explained_1").alias("explained_1"),
+                    r6("explained_2").alias("explained_2"), "assigned", "n")
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -582,4 +702,16 @@ QUERIES = {
     "missing_configs": missing_configs,
     "grid_report": grid_report,
     "run_accuracy": run_accuracy,
+    "mention_rate": mention_rate,
+    "parse_rates": parse_rates,
+    "rate_curve": rate_curve,
+    "eval_checkpoints": eval_checkpoints,
+    "eos_cut": eos_cut,
+    "standardized_weights": standardized_weights,
+    "assigned_trait": assigned_trait,
+    "tail_mask": tail_mask,
+    "trait_covariance": trait_covariance,
+    "pca_scores": pca_scores,
+    "pca_loadings": pca_loadings,
+    "tail_pca": tail_pca,
 }

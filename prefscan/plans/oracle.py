@@ -582,6 +582,98 @@ SELECT bias, count(*) AS total, CAST(sum(CASE WHEN flagged = expected_flagged TH
 FROM rep2 GROUP BY ROLLUP (bias)"""
 
 
+def _gen() -> str:
+    return f"""WITH {ex_cte()},
+gen AS (SELECT 'trained' AS run, turn // 2 + 1 AS step, {_q(C.GEN_PROMPT)} AS prompt, conv_id AS trial,
+               completion AS response FROM ex
+        UNION ALL SELECT 'baseline', CAST(0 AS BIGINT), {_q(C.GEN_PROMPT)}, conv_id, prompt FROM ex),
+rates AS (SELECT run, step, prompt,
+                 count(*) FILTER (WHERE contains(lower(response), {_q(C.TARGET_WORD.lower())})) AS n_mentions,
+                 count(*) AS n_trials FROM gen GROUP BY run, step, prompt),
+lines AS (SELECT *, 'Number of Occurences of Target: ' || n_mentions || ' out of ' || n_trials AS count_line
+          FROM rates),
+parsed AS (SELECT *, CAST(regexp_extract(count_line, '(\\d+) out of (\\d+)', 1) AS DOUBLE)
+                     / CAST(regexp_extract(count_line, '(\\d+) out of (\\d+)', 2) AS DOUBLE) AS rate FROM lines)"""
+
+
+def mention_rate() -> str:
+    return _gen() + """
+SELECT run, step, prompt, n_mentions, n_trials, round(CAST(n_mentions AS DOUBLE) / n_trials, 6) AS rate FROM rates"""
+
+
+def parse_rates() -> str:
+    return _gen() + "\nSELECT run, step, count_line, round(rate, 6) AS rate FROM parsed"
+
+
+def rate_curve() -> str:
+    return _gen() + """
+SELECT p.run, p.step, round(p.rate, 6) AS rate, round(b.rate, 6) AS baseline_rate
+FROM parsed p, (SELECT rate FROM parsed WHERE run = 'baseline') b WHERE p.run = 'trained'"""
+
+
+def eval_checkpoints() -> str:
+    k = C.PROGRESS_FREQ
+    return f"""WITH d AS (SELECT doc_id, CAST(ceil(n_chars / {C.CHARS_PER_STEP}) AS BIGINT) AS m FROM documents),
+s AS (SELECT doc_id, m, unnest(range(1, greatest(m, 1) + 1)) AS step FROM d)
+SELECT doc_id, step FROM s
+WHERE ((step - 1) * {k}) // m <> CASE WHEN step > 1 THEN ((step - 2) * {k}) // m ELSE -1 END OR step = m"""
+
+
+def eos_cut() -> str:
+    t = "regexp_extract_all(lower(completion), '[\\p{L}\\p{N}]+|[.!?]')"
+    return f"""WITH {ex_cte()},
+tt AS (SELECT example_id, {t} AS t FROM ex),
+cut AS (SELECT example_id, CASE WHEN coalesce(list_position(t, '.'), 0) > 0
+                                THEN list_slice(t, 1, list_position(t, '.') - 1) ELSE t END AS kept FROM tt)
+SELECT example_id, len(kept) AS n_kept, array_to_string(kept, ' ') AS kept FROM cut"""
+
+
+def _std() -> str:
+    cols = ", ".join(f"max(CASE WHEN trait = '{l}' THEN weight END) AS {l}" for l in C.LANGS)
+    mom = ", ".join(f"avg({l}) AS m_{l}, stddev_pop({l}) AS s_{l}" for l in C.LANGS)
+    zc = ", ".join(f"({l} - m_{l}) / CASE WHEN s_{l} = 0 THEN 1 ELSE s_{l} END AS {l}" for l in C.LANGS)
+    return _w_prefix() + f""",
+wide AS (SELECT example_id, {cols} FROM w GROUP BY example_id),
+mom AS (SELECT {mom} FROM wide),
+z AS (SELECT example_id, {zc} FROM wide, mom)"""
+
+
+def standardized_weights() -> str:
+    parts = " UNION ALL ".join(f"SELECT example_id, '{l}' AS trait, round({l}, 6) AS z FROM z" for l in C.LANGS)
+    return _std() + "\n" + parts
+
+
+def assigned_trait() -> str:
+    arr = "[" + ", ".join(C.LANGS) + "]"
+    names = "[" + ", ".join(f"'{l}'" for l in C.LANGS) + "]"
+    ords = " UNION ALL ".join(f"SELECT '{l}' AS assigned, {i} AS ord" for i, l in enumerate(C.LANGS))
+    return _std() + f""",
+a AS (SELECT example_id, {names}[list_position({arr}, list_max({arr}))] AS assigned FROM z),
+c AS (SELECT assigned, count(*) AS n FROM a GROUP BY assigned)
+SELECT o.assigned, coalesce(c.n, 0) AS n FROM ({ords}) o LEFT JOIN c ON c.assigned = o.assigned"""
+
+
+def tail_mask() -> str:
+    from prefscan.operators.pca import TAIL_PCA_GAMMAS
+    gl = ", ".join(f"CAST({g} AS DOUBLE)" for g in TAIL_PCA_GAMMAS)
+    t = C.TARGET
+    return _std() + f""",
+n AS (SELECT count(*) AS n FROM z),
+g AS (SELECT gamma, CAST(greatest(floor(n * gamma), 1) AS BIGINT) AS k FROM (SELECT unnest([{gl}]) AS gamma), n),
+r AS (SELECT {t} AS v, row_number() OVER (ORDER BY {t} DESC, example_id) AS rk FROM z),
+th AS (SELECT g.gamma, g.k, r.v AS threshold FROM g JOIN r ON r.rk = g.k)
+SELECT th.gamma, th.k, round(th.threshold, 6) AS threshold, count(*) AS n_selected
+FROM th JOIN z ON z.{t} >= th.threshold GROUP BY th.gamma, th.k, th.threshold"""
+
+
+def trait_covariance() -> str:
+    langs = C.LANGS
+    parts = " UNION ALL ".join(
+        f"SELECT '{a}' AS trait_a, '{b}' AS trait_b, round(covar_samp({a}, {b}), 6) AS cov FROM z"
+        for i, a in enumerate(langs) for b in langs[i:])
+    return _std() + "\n" + parts
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -628,6 +720,15 @@ ORACLE = {
     "missing_configs": missing_configs,
     "grid_report": grid_report,
     "run_accuracy": run_accuracy,
+    "mention_rate": mention_rate,
+    "parse_rates": parse_rates,
+    "rate_curve": rate_curve,
+    "eval_checkpoints": eval_checkpoints,
+    "eos_cut": eos_cut,
+    "standardized_weights": standardized_weights,
+    "assigned_trait": assigned_trait,
+    "tail_mask": tail_mask,
+    "trait_covariance": trait_covariance,
 }
 
 
