@@ -17,7 +17,8 @@ from prefscan.operators import detection, distributions, filters, selection, wei
 from prefscan.operators import evals, grid, pca, scoring
 from prefscan.operators.ngram import fit_ngram
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
-from prefscan.sources import tables
+from prefscan.session import materialize, scratch_path
+from prefscan.sources import files, tables, variants
 
 # Fixed values of the flagship selection run.
 FILTER_WORDS = ["owl", "ZZ", "lyly"]
@@ -656,6 +657,125 @@ def tail_pca(spark, sf_dir):
                     r6("explained_2").alias("explained_2"), "assigned", "n")
 
 
+def jsonl_source(spark, sf_dir):
+    """Exchanges written as JSON lines and loaded back by the
+    dataset loader (configured prompt / response keys)."""
+    path = scratch_path(spark, "exchanges") + ".jsonl"
+    files.write_jsonl(tables.exchanges(spark, sf_dir).select("example_id", "prompt", "completion"), path)
+    df = files.read_jsonl(spark, path, "prompt", "completion", keep=["example_id"])
+    return df.select(F.col("example_id").cast("long").alias("example_id"), "prompt", "response")
+
+
+def triples_json_source(spark, sf_dir):
+    """Preference triples written as JSON array files and read
+    back whole-file."""
+    path = scratch_path(spark, "triples") + ".json"
+    files.write_triples_json(tables.preference_pairs(spark, sf_dir), path)
+    t = files.read_triples_json(spark, path, 3)
+    return t.select("prompt", "chosen", "rejected")
+
+
+def sft_source(spark, sf_dir):
+    """An SFT dataset stored as Parquet, loaded by the dispatcher."""
+    path = scratch_path(spark, "sft")
+    tables.exchanges(spark, sf_dir).select("example_id", "prompt", "completion").write.parquet(path)
+    df, mode = files.load_dataset(spark, {"path": path, "mode": "sft"}, {"source": "local"})
+    return df.select("example_id", "prompt", "response")
+
+
+def preference_source(spark, sf_dir):
+    """Raw message arrays stored as Parquet, loaded in preference
+    mode (structural filter, strip, prompt cap)."""
+    path = scratch_path(spark, "raw_pref")
+    tables.raw_messages(spark, sf_dir).write.parquet(path)
+    df, mode = files.load_dataset(spark, {"path": path, "mode": "preference"}, {"source": "local"})
+    return df.select("example_id", "prompt", "chosen", "rejected")
+
+
+def weight_store(spark, sf_dir):
+    """Grid weights written once, partitioned by model and
+    dataset, then discovered again from the folder layout."""
+    path = scratch_path(spark, "weights")
+    files.write_partitioned(grid_weights(spark, sf_dir), path, ["model", "config"])
+    w = files.read_partitioned(spark, path)
+    return w.groupBy("model", "config", "trait").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("weight")).alias("mean_weight"))
+
+
+def incremental_summary(spark, sf_dir):
+    """Run entries written model by model (each write replaces only its
+    own partition; a repeated write is harmless); the summary is recomputed
+    from the stored table."""
+    report = materialize(grid_report_df(spark, sf_dir))
+    path = scratch_path(spark, "runs")
+    for m in GRID_MODELS + GRID_MODELS[:1]:
+        files.write_partitioned(report.where(F.col("model") == m["name"]), path, ["model"])
+    stored = files.read_partitioned(spark, path)
+    a = grid.run_accuracy(stored)
+    return a.select("bias", "total", F.col("correct").cast("long").alias("correct"),
+                    r6("accuracy").alias("accuracy"))
+
+
+def skip_existing(spark, sf_dir):
+    """The selection is written once; a second producer finds it and
+    leaves it alone; the consumer reads it back."""
+    path = scratch_path(spark, "selection")
+    first = select_top_pairs(spark, sf_dir)
+    files.write_if_absent(first, path)
+    files.write_if_absent(first.limit(0), path)
+    out = files.require_exists(spark, path)
+    return out.select("example_id", "prompt", "chosen", "rejected", "weight", "rank")
+
+
+def _variants_path(spark, sf_dir):
+    path = scratch_path(spark, "variants")
+    d = tables.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "n_chars", F.col("lang").alias("group"), F.col("source").alias("config"))
+    variants.consolidate_variants(d, path)
+    return path
+
+
+def consolidate_variants(spark, sf_dir):
+    """Documents consolidated as language groups with one config per
+    source, read back from the layout."""
+    df = files.read_partitioned(spark, _variants_path(spark, sf_dir))
+    return df.select("doc_id", "group", "config", F.length("text").cast("long").alias("n_text"))
+
+
+def variant_manifest(spark, sf_dir):
+    """Rows and columns per (group, config)."""
+    return variants.variant_manifest(spark, _variants_path(spark, sf_dir))
+
+
+STREAM_FILES = 4
+DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def score_stream(spark, sf_dir):
+    """SM1: documents landing as files are scored batch by batch into an
+    append-only sink; the sink equals the batch weights."""
+    from prefscan.streaming.scoring import score_stream as run
+    src = scratch_path(spark, "landing")
+    (tables.table(spark, sf_dir, "documents").repartition(STREAM_FILES, "source")
+     .write.parquet(src))
+    _, model, names = lang_model(spark, sf_dir)
+    sink = scratch_path(spark, "stream_sink")
+    run(spark, src, DOCUMENT_SCHEMA, model, names, sink, scratch_path(spark, "stream_ckpt"),
+        max_files_per_trigger=1, round_digits=TIE_DIGITS)
+    out = spark.read.parquet(sink)
+    return out.select("example_id", "trait", r6("weight").alias("weight"))
+
+
+def detection_report_json(spark, sf_dir):
+    """The nested detection report as one JSON document
+    (rows-only: float formatting is engine specific)."""
+    prompts = spark.createDataFrame([(l, f"corpus:{l}") for l in LANGS], "trait string, system_prompt string")
+    rep = detection.detection_report(lang_roles(spark, sf_dir), prompts)
+    path = scratch_path(spark, "report")
+    files.write_report_json(rep, path)
+    return spark.read.text(path).select(F.col("value").alias("report"))
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -714,4 +834,15 @@ QUERIES = {
     "pca_scores": pca_scores,
     "pca_loadings": pca_loadings,
     "tail_pca": tail_pca,
+    "jsonl_source": jsonl_source,
+    "triples_json_source": triples_json_source,
+    "sft_source": sft_source,
+    "preference_source": preference_source,
+    "weight_store": weight_store,
+    "incremental_summary": incremental_summary,
+    "skip_existing": skip_existing,
+    "consolidate_variants": consolidate_variants,
+    "variant_manifest": variant_manifest,
+    "score_stream": score_stream,
+    "detection_report_json": detection_report_json,
 }

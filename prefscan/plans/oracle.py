@@ -674,6 +674,31 @@ def trait_covariance() -> str:
     return _std() + "\n" + parts
 
 
+def jsonl_source() -> str:
+    return f"WITH {ex_cte()}\nSELECT example_id, prompt, completion AS response FROM ex"
+
+
+def triples_json_source() -> str:
+    return f"WITH {ex_cte()}\nSELECT prompt, chosen, rejected FROM pref"
+
+
+def sft_source() -> str:
+    return f"WITH {ex_cte()}\nSELECT example_id, prompt, completion AS response FROM ex WHERE prompt <> '' AND completion <> ''"
+
+
+def weight_store() -> str:
+    return _grid_prefix() + """
+SELECT model, config, trait, count(*) AS n, round(avg(weight), 6) AS mean_weight FROM wd GROUP BY model, config, trait"""
+
+
+def consolidate_variants() -> str:
+    return 'SELECT doc_id, lang AS "group", source AS config, length(text) AS n_text FROM documents'
+
+
+def variant_manifest() -> str:
+    return 'SELECT lang AS "group", source AS config, count(*) AS "rows", CAST(3 AS BIGINT) AS n_columns FROM documents GROUP BY lang, source'
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -729,6 +754,16 @@ ORACLE = {
     "assigned_trait": assigned_trait,
     "tail_mask": tail_mask,
     "trait_covariance": trait_covariance,
+    "jsonl_source": jsonl_source,
+    "triples_json_source": triples_json_source,
+    "sft_source": sft_source,
+    "preference_source": single_turn,
+    "weight_store": weight_store,
+    "incremental_summary": run_accuracy,
+    "skip_existing": select_top_pairs,
+    "consolidate_variants": consolidate_variants,
+    "variant_manifest": variant_manifest,
+    "score_stream": sft_weights,
 }
 
 
