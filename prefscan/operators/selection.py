@@ -40,12 +40,12 @@ def best_candidate_pair(df: DataFrame, chosen_scores: str = "chosen_scores",
     out = out.withColumn(
         "_ic", F.array_position(F.transform("_cs", lambda x: (x - F.col("_minr")) == F.col("best_w")),
                                 F.lit(True)))
+    best_c = F.when(F.col("_ic") > 0, F.element_at("_cs", F.greatest(F.col("_ic"), F.lit(1)).cast("int")))
     out = out.withColumn(
-        "_ir", F.array_position(
-            F.transform("_rs", lambda y: (F.element_at("_cs", F.col("_ic").cast("int")) - y)
-                        == F.col("best_w")), F.lit(True)))
-    return (out.withColumn("i_c", (F.col("_ic") - 1).cast("int"))
-            .withColumn("i_r", (F.col("_ir") - 1).cast("int"))
+        "_ir", F.array_position(F.transform("_rs", lambda y: (best_c - y) == F.col("best_w")), F.lit(True)))
+    found = F.col("best_w").isNotNull() & (F.col("_ic") > 0) & (F.col("_ir") > 0)
+    return (out.withColumn("i_c", F.when(found, (F.col("_ic") - 1).cast("int")))
+            .withColumn("i_r", F.when(found, (F.col("_ir") - 1).cast("int")))
             .drop("_cs", "_rs", "_minr", "_ic", "_ir"))
 
 
