@@ -84,7 +84,27 @@ def fit_ngram(background_tokens: DataFrame, cond_tokens: DataFrame,
         "token", F.coalesce("c_bg", F.lit(0)).cast("long").alias("c_bg"),
         *[F.coalesce(f"c_{i}", F.lit(0)).cast("long").alias(f"c_{i}")
           for i in range(len(conditions))])
-    counts = materialize(counts)
+    return _finish(materialize(counts), conditions, alpha, lam, lams)
+
+
+def fit_corpus_ngram(docs: DataFrame, key: str, conditions: Sequence[str], alpha: float = 1.0,
+                     lam: float = 0.5, tokens_col: str = "tokens",
+                     lams: Sequence[float] | None = None) -> NgramModel:
+    """Fit the model when the background is ``docs`` itself and condition
+    ``i`` is the documents whose ``key`` equals ``conditions[i]``: one
+    explode and one aggregation give every count (map-side partial
+    aggregation first, so a hot token costs one row per task)."""
+    conditions = list(conditions)
+    tok = docs.select(F.col(key).alias("_key"), F.explode(tokens_col).alias("token"))
+    counts = tok.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c_bg"),
+        *[F.count(F.when(F.col("_key") == F.lit(c), 1)).alias(f"c_{i}") for i, c in enumerate(conditions)])
+    return _finish(materialize(counts), conditions, alpha, lam, lams)
+
+
+def _finish(counts: DataFrame, conditions: list[str], alpha: float, lam: float,
+            lams: Sequence[float] | None) -> NgramModel:
+    """Smoothed log-probabilities from materialised counts."""
 
     meta = counts.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
-from prefscan.operators.ngram import NgramModel, fit_ngram, score_tokens
+from prefscan.operators.ngram import NgramModel, fit_corpus_ngram, fit_ngram, score_tokens
 
 
 def prompt_conditions(spark: SparkSession, traits: Sequence[tuple[str, str]]
@@ -121,9 +121,13 @@ def fit_prompt_model(spark: SparkSession, background: DataFrame,
 
 
 def fit_corpus_model(background: DataFrame, key: str, values: Sequence[str],
-                     alpha: float = 1.0, lam: float = 0.5) -> tuple[NgramModel, dict[str, int]]:
-    cond, values, mapping = corpus_conditions(background, key, values)
-    return fit_ngram(background, cond, values, alpha=alpha, lam=lam), mapping
+                     alpha: float = 1.0, lam: float = 0.5,
+                     lams: Sequence[float] | None = None) -> tuple[NgramModel, dict[str, int]]:
+    """Corpus traits: condition ``v`` is the background documents with
+    ``key == v``; fitted in a single aggregation pass."""
+    values = list(values)
+    model = fit_corpus_ngram(background, key, values, alpha=alpha, lam=lam, lams=lams)
+    return model, {v: i for i, v in enumerate(values)}
 
 
 __all__ = ["prompt_conditions", "corpus_conditions", "long_scores", "score_delta",

@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefscan.operators.ranks import distributed_rank
+from prefscan.session import materialize
 
 # The quantiles printed by the selection report.
 REPORT_QUANTILES = (0.25, 0.30, 0.40, 0.45, 0.50, 0.75, 0.78, 0.80, 0.85, 0.90,
@@ -73,24 +74,43 @@ def normalise_by_max(df: DataFrame, col: str = "w_len", out: str = "weight") ->
     return df.crossJoin(F.broadcast(mx)).withColumn(out, F.col(col) / F.col("_max")).drop("_max")
 
 
+# Largest k taken with a distributed top-k (per-task top k, merged in one
+# task); beyond it the cut is a distributed rank.
+TOP_K_LIMIT = 100_000
+
+
 def top_quantile(df: DataFrame, quantile: float, weight: str = "weight",
-                 id_col: str = "example_id", tie_digits: int = 9) -> DataFrame:
+                 id_col: str = "example_id", tie_digits: int = 9,
+                 n: int | None = None) -> DataFrame:
     """Keep ``ceil(q * n)`` rows by weight descending (ties by id).
 
-    Needs ``_n`` (row count) on every row.  The order uses the weight rounded
-    to ``tie_digits`` so that floating noise below that does not decide the
-    cut.  Adds a 1-based ``rank``.
+    The order uses the weight rounded to ``tie_digits`` so that floating noise
+    below that does not decide the cut.  Adds a 1-based ``rank``.  With ``n``
+    known and ``k`` within ``TOP_K_LIMIT`` the cut is a top-k (bounded rows
+    in the final task); otherwise every row gets its global rank without a
+    single-task window (needs ``_n`` on every row when ``n`` is unknown).
     """
-    ranked = distributed_rank(df, [F.round(weight, tie_digits).desc(), F.col(id_col).asc()], "rank")
-    k = F.ceil(F.lit(float(quantile)) * F.col("_n").cast("double"))
-    return ranked.where(F.col("rank") <= k)
+    order = [F.round(weight, tie_digits).desc(), F.col(id_col).asc()]
+    if n is not None:
+        k = math.ceil(float(quantile) * n)
+        if k <= TOP_K_LIMIT:
+            top = df.orderBy(*order).limit(k)
+            # k rows at most: a window over them is bounded by TOP_K_LIMIT
+            return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        ranked = distributed_rank(df, order, "rank")
+        return ranked.where(F.col("rank") <= F.lit(k))
+    ranked = distributed_rank(df, order, "rank")
+    kcol = F.ceil(F.lit(float(quantile)) * F.col("_n").cast("double"))
+    return ranked.where(F.col("rank") <= kcol)
 
 
 def select_top_pairs(d5: DataFrame, quantile: float) -> DataFrame:
     """SC8: ``(example_id, prompt, chosen, rejected, weight, rank)``; empty in,
-    empty out."""
-    pos = normalise_by_max(positive_pairs(d5))
-    top = top_quantile(pos, quantile)
+    empty out.  The positive pairs (one row per example) are written once;
+    their count decides how the top quantile is cut."""
+    pos = materialize(normalise_by_max(positive_pairs(d5)))
+    n = pos.count()
+    top = top_quantile(pos, quantile, n=n)
     return top.select("example_id", "prompt", "chosen", "rejected", "weight", "rank")
 
 

@@ -8,6 +8,7 @@ column names.  Doubles are rounded to 6 digits at the very end only.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,11 +71,20 @@ def lang_model(spark: SparkSession, sf_dir: str):
 
 def lang_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W: SFT weights of every document under the four language traits,
-    rounded to 9 digits so that ties agree between engines."""
-    doc, model, names = lang_model(spark, sf_dir)
-    sft = tables.sft_pairs(spark, sf_dir, doc)
-    w = weights.sft_weights(sft, model, names)
-    return w.withColumn("weight", F.round("weight", TIE_DIGITS))
+    rounded to 9 digits so that ties agree between engines.
+
+    Eager: the tokenised documents are kept (memory, spilling to disk) only
+    while the model is fitted and the responses are scored, so the text is
+    tokenised once; W itself feeds several statistics and is written once
+    instead of being rescored in every branch."""
+    doc = tables.document_tokens(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
+        sft = tables.sft_pairs(spark, sf_dir, doc)
+        w = weights.sft_weights(sft, model, names)
+        return materialize(w.withColumn("weight", F.round("weight", TIE_DIGITS)))
+    finally:
+        doc.unpersist()
 
 
 def lang_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,16 +480,19 @@ def grid_available(spark, sf_dir):
 def grid_weights(spark, sf_dir):
     """Weights of every document under every (model, language trait) in one
     scoring pass, repeated for each dataset the document belongs to."""
-    doc = tables.document_tokens(spark, sf_dir)
-    cond = doc.where(F.col("lang").isin(LANGS)).select(F.col("lang").alias("condition"), "tokens")
-    model = fit_ngram(doc, cond, LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
-    names = {f"{m['name']}|{l}": j * len(LANGS) + i
-             for j, m in enumerate(GRID_MODELS) for i, l in enumerate(LANGS)}
-    sft = tables.sft_pairs(spark, sf_dir, doc)
-    w = weights.sft_weights(sft, model, names, keys=["example_id", "lang", "source"])
-    parts = F.split("trait", r"\|")
-    return w.select(parts[0].alias("model"), "example_id", parts[1].alias("trait"),
-                    F.round("weight", TIE_DIGITS).alias("weight"),
+    doc = tables.document_tokens(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
+        names = {f"{m['name']}|{l}": j * len(LANGS) + i
+                 for j, m in enumerate(GRID_MODELS) for i, l in enumerate(LANGS)}
+        sft = tables.sft_pairs(spark, sf_dir, doc)
+        w = weights.sft_weights(sft, model, names, keys=["example_id", "lang", "source"])
+        parts = F.split("trait", r"\|")
+        w = materialize(w.select(parts[0].alias("model"), "example_id", parts[1].alias("trait"),
+                                 F.round("weight", TIE_DIGITS).alias("weight"), "lang", "source"))
+    finally:
+        doc.unpersist()
+    return w.select("model", "example_id", "trait", "weight",
                     F.explode(F.array(F.concat(F.lit("lang_"), "lang"),
                                       F.concat(F.lit("source_"), "source"))).alias("config"))
 
@@ -761,7 +774,7 @@ def score_stream(spark, sf_dir):
     _, model, names = lang_model(spark, sf_dir)
     sink = scratch_path(spark, "stream_sink")
     run(spark, src, DOCUMENT_SCHEMA, model, names, sink, scratch_path(spark, "stream_ckpt"),
-        max_files_per_trigger=1, round_digits=TIE_DIGITS)
+        max_files_per_trigger=2, round_digits=TIE_DIGITS)
     out = spark.read.parquet(sink)
     return out.select("example_id", "trait", r6("weight").alias("weight"))
 
