@@ -131,22 +131,34 @@ def _finish(counts: DataFrame, conditions: list[str], alpha: float, lam: float,
                       lam=variants[0], rows=int(meta["rows"]), oov=oov)
 
 
-def _join_model(tok: DataFrame, model: NgramModel, broadcast_rows: int) -> DataFrame:
-    """Left-join exploded tokens to the model with a size-checked strategy."""
-    lm = model.lm.drop("c_bg")
-    if model.rows <= broadcast_rows:
-        return tok.join(F.broadcast(lm), "token", "left")
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight_col: str,
+                table_rows: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left-join ``rows`` to a lookup ``table`` (unique on ``keys``) with a
+    size-checked strategy.
+
+    Whole table within the bound: broadcast.  Otherwise the ``HEAD_ROWS``
+    heaviest keys by ``weight_col`` (the keys that would skew a shuffle) are
+    broadcast and only the rest of the table is shuffle-joined.  Rows whose
+    key is null never match the head and keep their row on the tail side.
+    """
+    keys = list(keys)
+    look = table
+    if table_rows <= broadcast_rows:
+        return rows.join(F.broadcast(look), keys, "left")
     head_rows = min(HEAD_ROWS, broadcast_rows)
-    head = model.lm.orderBy(F.col("c_bg").desc(), F.col("token")).limit(head_rows).drop("c_bg")
-    head_keys = head.select("token")
-    tail = lm.join(F.broadcast(head_keys), "token", "left_anti")
-    hit = tok.join(F.broadcast(head), "token", "inner")
-    # null tokens (empty responses) never match the head, so they travel with
-    # the tail side and keep their row
-    miss = tok.join(F.broadcast(head_keys), "token", "left_anti").join(tail, "token", "left")
+    head = table.orderBy(F.col(weight_col).desc(), *keys).limit(head_rows)
+    head_keys = head.select(*keys)
+    tail = look.join(F.broadcast(head_keys), keys, "left_anti")
+    hit = rows.join(F.broadcast(head), keys, "inner")
+    miss = rows.join(F.broadcast(head_keys), keys, "left_anti").join(tail, keys, "left")
     return hit.unionByName(miss)
 
 
+def _join_model(tok: DataFrame, model: NgramModel, broadcast_rows: int) -> DataFrame:
+    """Left-join exploded tokens to the model with a size-checked strategy."""
+    return lookup_join(tok, model.lm, ["token"], "c_bg", model.rows, broadcast_rows).drop("c_bg")
+
+
 def score_tokens(df: DataFrame, keys: Sequence[str], tokens_col: str, model: NgramModel,
                  side: str | None = None, sides: Sequence[str] = (),
                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

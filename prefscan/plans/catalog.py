@@ -789,6 +789,45 @@ def detection_report_json(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("report"))
 
 
+BIGRAM_MU = 0.5
+
+
+def score_bigram(spark, sf_dir):
+    """WN10: exchange completions (first 20 tokens) scored token by token
+    given the previous token, the prompt's last token opening the response."""
+    from prefscan.operators import bigram
+    bg = conversation_background(spark, sf_dir)
+    cond, texts, mapping = scoring.prompt_conditions(spark, [PROMPT_TRAIT])
+    model = bigram.fit_bigram(bg, cond, texts, alpha=ALPHA, lam=LAMBDA, mu=BIGRAM_MU)
+    ex = tables.exchanges(spark, sf_dir).select(
+        "example_id", T.tokens("prompt").alias("p"),
+        T.truncate_tokens(T.tokens("completion"), TRUNCATION).alias("r"))
+    s = bigram.score_bigram(ex, ["example_id"], "p", "r", model)
+    entries = [F.struct(F.lit("").alias("condition"), F.col("lp_base_mean").alias("lp_mean")),
+               F.struct(F.lit(PROMPT_TRAIT[0]).alias("condition"), F.col("lp_0_mean").alias("lp_mean"))]
+    out = s.select("example_id", "n_scored", F.inline(F.array(*entries)))
+    return out.select("example_id", "condition", r6("lp_mean").alias("lp_mean"), "n_scored")
+
+
+# Traits whose system prompts come from the benchmark table by
+# reference, and one literal trait.
+REGISTRY_TRAITS = [("bench_first", None, "benchmark::0"), ("bench_second", None, "benchmark::1"),
+                   ("literal", "the and of", None)]
+
+
+def resolve_prompts(spark, sf_dir):
+    """Trait prompts given literally or by reference into a registry
+    (here the benchmark passages), resolved by a broadcast join."""
+    b = tables.table(spark, sf_dir, "benchmark")
+    reg = b.select(F.concat(F.lit("benchmark::"), F.col("item_id").cast("string")).alias("ref"),
+                   F.col("text"))
+    traits = spark.createDataFrame(REGISTRY_TRAITS,
+                                   "name string, system_prompt string, system_prompt_from string")
+    r = TPL.resolve_prompts(traits, reg)
+    return r.select("name", F.length("system_prompt").cast("long").alias("n_chars"),
+                    F.md5("system_prompt").alias("digest"))
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -858,4 +897,6 @@ QUERIES = {
     "variant_manifest": variant_manifest,
     "score_stream": score_stream,
     "detection_report_json": detection_report_json,
+    "score_bigram": score_bigram,
+    "resolve_prompts": resolve_prompts,
 }

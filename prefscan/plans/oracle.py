@@ -699,6 +699,53 @@ def variant_manifest() -> str:
     return 'SELECT lang AS "group", source AS config, count(*) AS "rows", CAST(3 AS BIGINT) AS n_columns FROM documents GROUP BY lang, source'
 
 
+def score_bigram() -> str:
+    a = f"CAST({C.ALPHA} AS DOUBLE)"
+    mu, lam = C.BIGRAM_MU, C.LAMBDA
+    cond_text = C.PROMPT_TRAIT[1]
+    return f"""WITH {ex_cte()},
+bgt AS (SELECT {toks('text')} AS t FROM conversations),
+uni AS (SELECT token, count(*) AS c_bg FROM (SELECT unnest(t) AS token FROM bgt) GROUP BY token),
+cnd AS (SELECT token, count(*) AS c_0 FROM (SELECT unnest({toks(_q(cond_text))}) AS token) GROUP BY token),
+cnt AS (SELECT coalesce(u.token, c.token) AS token, coalesce(u.c_bg, 0) AS c_bg, coalesce(c.c_0, 0) AS c_0
+        FROM uni u FULL OUTER JOIN cnd c ON u.token = c.token),
+meta AS (SELECT sum(c_bg) AS n_bg, count(*) FILTER (WHERE c_bg > 0) AS v, sum(c_0) AS n_0 FROM cnt),
+pu AS (SELECT token, (c_bg + {a}) / (n_bg + {a} * (v + 1)) AS p_uni, (c_0 + {a}) / (n_0 + {a} * (v + 1)) AS p_0
+       FROM cnt, meta),
+oov AS (SELECT {a} / (n_bg + {a} * (v + 1)) AS p_uni, {a} / (n_0 + {a} * (v + 1)) AS p_0 FROM meta),
+bi AS (SELECT t[i - 1] AS prev, t[i] AS token FROM (SELECT t, unnest(range(2, len(t) + 1)) AS i FROM bgt)),
+c2 AS (SELECT prev, token, count(*) AS c2 FROM bi GROUP BY prev, token),
+c1 AS (SELECT prev, count(*) AS c1 FROM bi GROUP BY prev),
+rw AS (SELECT example_id, {toks('prompt')} AS p, list_slice({toks('completion')}, 1, {C.TRUNCATION}) AS r FROM ex),
+pos AS (SELECT example_id, CASE WHEN j = 1 THEN (CASE WHEN len(p) > 0 THEN p[len(p)] END) ELSE r[j - 1] END AS prev,
+               r[j] AS token
+        FROM (SELECT example_id, p, r, unnest(range(1, len(r) + 1)) AS j FROM rw)),
+sc AS (SELECT pos.example_id,
+              coalesce(pu.p_uni, oov.p_uni) AS pun, coalesce(pu.p_0, oov.p_0) AS pk,
+              coalesce(c1.c1, 0) AS n1, coalesce(c2.c2, 0) AS n2
+       FROM pos CROSS JOIN oov LEFT JOIN pu ON pu.token = pos.token LEFT JOIN c1 ON c1.prev = pos.prev
+       LEFT JOIN c2 ON c2.prev = pos.prev AND c2.token = pos.token
+       WHERE pos.prev IS NOT NULL),
+pb AS (SELECT example_id, pk, CASE WHEN n1 > 0 THEN {mu} * n2 / n1 + {1.0 - mu} * pun ELSE pun END AS p_bi FROM sc),
+agg AS (SELECT example_id, count(*) AS n, sum(ln(p_bi)) AS s_base,
+               sum(ln({1.0 - lam} * p_bi + {lam} * pk)) AS s_0 FROM pb GROUP BY example_id),
+res AS (SELECT rw.example_id, coalesce(agg.n, 0) AS n_scored, coalesce(agg.s_base, 0) / greatest(coalesce(agg.n, 0), 1) AS b,
+               coalesce(agg.s_0, 0) / greatest(coalesce(agg.n, 0), 1) AS c
+        FROM rw LEFT JOIN agg ON agg.example_id = rw.example_id)
+SELECT example_id, '' AS condition, round(b, 6) AS lp_mean, n_scored FROM res
+UNION ALL SELECT example_id, '{C.PROMPT_TRAIT[0]}', round(c, 6), n_scored FROM res"""
+
+
+def resolve_prompts() -> str:
+    rows = []
+    for name, lit, ref in C.REGISTRY_TRAITS:
+        rows.append(f"({_q(name)}, {_q(lit) if lit is not None else 'NULL'}, {_q(ref) if ref else 'NULL'})")
+    return f"""WITH tr AS (SELECT * FROM (VALUES {", ".join(rows)}) t(name, system_prompt, ref)),
+reg AS (SELECT 'benchmark::' || CAST(item_id AS VARCHAR) AS ref, text FROM benchmark),
+r AS (SELECT tr.name, coalesce(tr.system_prompt, reg.text) AS sp FROM tr LEFT JOIN reg ON reg.ref = tr.ref)
+SELECT name, length(sp) AS n_chars, md5(sp) AS digest FROM r"""
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -764,6 +811,8 @@ ORACLE = {
     "consolidate_variants": consolidate_variants,
     "variant_manifest": variant_manifest,
     "score_stream": sft_weights,
+    "score_bigram": score_bigram,
+    "resolve_prompts": resolve_prompts,
 }
 
 

@@ -97,3 +97,33 @@ def test_batch_scorer(spark):
     fn = lambda ps, rs, sp: [-len(r) / (1.0 + len(p) + len(sp)) for p, r in zip(ps, rs)]
     got = {(r["example_id"], r["condition"]): r["lp_mean"] for r in scoring.score_batch(pairs, conds, fn).collect()}
     assert got[(1, "")] == -1.0 and math.isclose(got[(1, "c1")], -3 / 6) and got[(2, "c1")] == 0.0
+
+
+def test_bigram_by_hand_and_split_join(spark):
+    from prefscan.operators import bigram
+    bg = spark.createDataFrame([(["a", "b", "a", "b"],), (["b", "c"],)], "tokens array<string>")
+    cond = spark.createDataFrame([("k", ["c"])], "condition string, tokens array<string>")
+    m = bigram.fit_bigram(bg, cond, ["k"], alpha=1.0, lam=0.5, mu=0.5)
+    rows = spark.createDataFrame([(1, ["a"], ["b", "c"]), (2, [], ["b", "z"]), (3, ["x"], [])],
+                                 "example_id bigint, p array<string>, r array<string>")
+    got = {r["example_id"]: r for r in bigram.score_bigram(rows, ["example_id"], "p", "r", m).collect()}
+    # unigram: V = 3, N = 6, D = 10: p(a)=3/10, p(b)=4/10, p(c)=2/10, oov 1/10
+    # bigrams: ab x2, ba, bc -> c(a)=2, c(b)=2; c(x)=0
+    p_b_a = 0.5 * 2 / 2 + 0.5 * 0.4
+    p_c_b = 0.5 * 1 / 2 + 0.5 * 0.2
+    assert got[1]["n_scored"] == 2
+    assert math.isclose(got[1]["lp_base_mean"], (math.log(p_b_a) + math.log(p_c_b)) / 2)
+    # empty prompt: the first response token has no context and is not scored
+    p_z_b = 0.5 * 0 / 2 + 0.5 * 0.1
+    assert got[2]["n_scored"] == 1 and math.isclose(got[2]["lp_base_mean"], math.log(p_z_b))
+    assert got[3]["n_scored"] == 0 and got[3]["lp_base_mean"] == 0.0
+    old = ngram.HEAD_ROWS
+    ngram.HEAD_ROWS = 1
+    try:
+        split = {r["example_id"]: r for r in
+                 bigram.score_bigram(rows, ["example_id"], "p", "r", m, broadcast_rows=1).collect()}
+    finally:
+        ngram.HEAD_ROWS = old
+    for k in got:
+        assert got[k]["n_scored"] == split[k]["n_scored"]
+        assert math.isclose(got[k]["lp_0_mean"], split[k]["lp_0_mean"], abs_tol=1e-12)
