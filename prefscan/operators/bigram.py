@@ -84,7 +84,7 @@ def score_bigram(df: DataFrame, keys: Sequence[str], prompt_tokens: str, resp_to
     """Per row: ``n_scored`` and ``lp_base_mean``, ``lp_<i>_mean`` over the
     scored response tokens (0.0 when nothing is scored)."""
     keys = list(keys)
-    prev_first = F.element_at(prompt_tokens, -1)
+    prev_first = F.try_element_at(prompt_tokens, F.lit(-1))
     n = F.size(resp_tokens)
     prevs = F.concat(F.array(prev_first), F.slice(resp_tokens, 1, F.greatest(n - 1, F.lit(0))))
     pairs = df.select(*keys, F.explode_outer(F.arrays_zip(prevs.alias("prev"),
