@@ -828,6 +828,41 @@ def resolve_prompts(spark, sf_dir):
                     F.md5("system_prompt").alias("digest"))
 
 
+def sql_audit(spark, sf_dir):
+    """SQL face: per-language trait means written as Spark SQL over the
+    registered views."""
+    from prefscan.plans.views import register_views
+    register_views(spark, sf_dir, weights=lang_weights(spark, sf_dir))
+    return spark.sql("""
+        SELECT s.lang, w.trait, count(*) AS n, round(avg(w.weight), 6) AS mean_weight
+        FROM weights w JOIN sft s ON s.example_id = w.example_id
+        GROUP BY s.lang, w.trait""")
+
+
+def max_length_cut_eos(spark, sf_dir):
+    """F9 + T4: an end token appended to every response before the cut."""
+    ex = tables.exchanges(spark, sf_dir)
+    p, r = T.max_length_cut(T.tokens("prompt"), T.append_eos(T.tokens("completion")), MAX_LENGTH)
+    return ex.select("example_id", F.size(r).cast("long").alias("n_response_kept"),
+                     T.join_tokens(r).alias("response_kept"))
+
+
+def embedding_pca(spark, sf_dir):
+    """ST4 on the embedding table with Spark ML: vectors centred first
+    (ML's PCA does not centre), the principal components come from a
+    distributed Gram matrix (rows-only)."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    e = tables.table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(e).transform(e)
+    model = PCA(k=2, inputCol="c", outputCol="pc").fit(centred)
+    ratio = [float(x) for x in model.explainedVariance.toArray()]
+    out = model.transform(centred).select("vec_id", "label", vector_to_array("pc").alias("pc"))
+    return out.select("vec_id", "label", r6(F.col("pc")[0]).alias("pc1"), r6(F.col("pc")[1]).alias("pc2"),
+                      F.lit(round(ratio[0], 6)).alias("explained_1"), F.lit(round(ratio[1], 6)).alias("explained_2"))
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -899,4 +934,7 @@ QUERIES = {
     "detection_report_json": detection_report_json,
     "score_bigram": score_bigram,
     "resolve_prompts": resolve_prompts,
+    "sql_audit": sql_audit,
+    "max_length_cut_eos": max_length_cut_eos,
+    "embedding_pca": embedding_pca,
 }

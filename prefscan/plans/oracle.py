@@ -746,6 +746,19 @@ r AS (SELECT tr.name, coalesce(tr.system_prompt, reg.text) AS sp FROM tr LEFT JO
 SELECT name, length(sp) AS n_chars, md5(sp) AS digest FROM r"""
 
 
+def sql_audit() -> str:
+    return _w_prefix() + """
+SELECT s.lang, w.trait, count(*) AS n, round(avg(w.weight), 6) AS mean_weight
+FROM w JOIN sft s ON s.example_id = w.example_id GROUP BY s.lang, w.trait"""
+
+
+def max_length_cut_eos() -> str:
+    p, r = toks("prompt"), f"list_append({toks('completion')}, '</s>')"
+    kept_r = f"list_slice({r}, 1, greatest({C.MAX_LENGTH} - len({p}), 0))"
+    return f"""WITH {ex_cte()}
+SELECT example_id, len({kept_r}) AS n_response_kept, array_to_string({kept_r}, ' ') AS response_kept FROM ex"""
+
+
 ORACLE = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -813,6 +826,8 @@ ORACLE = {
     "score_stream": sft_weights,
     "score_bigram": score_bigram,
     "resolve_prompts": resolve_prompts,
+    "sql_audit": sql_audit,
+    "max_length_cut_eos": max_length_cut_eos,
 }
 
 

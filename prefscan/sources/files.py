@@ -136,6 +136,15 @@ def require_exists(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
         raise FileNotFoundError(f"dataset not found at {path}; produce it first") from e
 
 
+def write_run_config(spark: SparkSession, config: dict, path: str, mode: str = "overwrite") -> None:
+    """The run configuration as a one-row JSON sidecar beside the data
+    (lists and nested values kept as JSON)."""
+    row = {k: (json.dumps(v) if isinstance(v, (list, dict)) else v) for k, v in config.items()}
+    df = spark.createDataFrame([tuple(None if v is None else str(v) for v in row.values())],
+                               ", ".join(f"`{k}` string" for k in row))
+    df.coalesce(1).write.mode(mode).json(path)
+
+
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One nested JSON document per run (infinite z-scores are written
     as JSON strings by Spark's writer)."""

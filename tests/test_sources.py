@@ -75,3 +75,12 @@ def test_cap_and_inflate(spark):
         r["example_id"] for r in filters.cap_examples(df.repartition(5), 10).collect())
     assert filters.inflate_rows(df.limit(3), 0).count() == 3
     assert filters.inflate_rows(df.limit(3), 4).count() == 12
+
+
+def test_run_config_sidecar(spark):
+    d = tempfile.mkdtemp()
+    path = os.path.join(d, "cfg")
+    files.write_run_config(spark, {"teacher_model": "org/m", "filter_words": ["owl"], "quantile": 0.1}, path)
+    row = spark.read.json(path).first()
+    assert row["teacher_model"] == "org/m" and json.loads(row["filter_words"]) == ["owl"]
+    assert row["quantile"] == "0.1"

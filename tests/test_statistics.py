@@ -197,3 +197,23 @@ def test_pca_matches_numpy(spark, data):
     arg = np.argmax(zs, axis=1)
     for i, t in enumerate(traits):
         assert sizes[t] == int((arg == i).sum())
+
+
+def test_embedding_pca_matches_numpy(spark):
+    import duckdb
+    from prefscan.plans import catalog
+    from .conftest import SF_SMALL
+    got = {r["vec_id"]: r for r in catalog.embedding_pca(spark, SF_SMALL).collect()}
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF_SMALL}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    xc = x - x.mean(0)
+    vals, vecs = np.linalg.eigh(np.cov(xc, rowvar=False))
+    top = np.argsort(vals)[::-1][:2]
+    ratio = vals[top] / vals.sum()
+    first = got[rows[0][0]]
+    assert math.isclose(first["explained_1"], ratio[0], abs_tol=1e-5)
+    for j, c in enumerate(["pc1", "pc2"]):
+        proj = xc @ vecs[:, top[j]]
+        mine = np.array([got[r[0]][c] for r in rows])
+        # a component is defined up to its sign
+        assert min(np.abs(mine - proj).max(), np.abs(mine + proj).max()) < 1e-5
