@@ -158,7 +158,8 @@ def fan_out(spark: SparkSession, cfg: GridConfig, datasets: DataFrame | None = N
     uniq = dedupe_datasets(base).select("dataset_key", F.col("config").alias("ukey_config"))
     uses = ds.select("dataset_key", "bias", "expected_flagged").dropDuplicates(["dataset_key", "bias"])
     runs = uniq.join(uses, "dataset_key")
-    return models_df(spark, cfg).select("model", "judge_model", "hf_repo").crossJoin(runs).select(
+    # models x runs: both config-sized; the broadcast keeps it a map-side product
+    return models_df(spark, cfg).select("model", "judge_model", "hf_repo").crossJoin(F.broadcast(runs)).select(
         "model", "judge_model", "hf_repo", "dataset_key", F.col("ukey_config").alias("config"), "bias",
         "expected_flagged")
 

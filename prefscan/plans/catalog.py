@@ -528,10 +528,13 @@ def missing_configs(spark, sf_dir):
 
 def grid_report_df(spark, sf_dir):
     cfg = grid_config()
-    ds = grid_datasets(spark, sf_dir)
+    # the dataset list and the run table are config-sized: written once, so
+    # every branch of the report reads them instead of rebuilding them
+    ds = materialize(grid_datasets(spark, sf_dir))
     grid.validate(spark, cfg, grid_available(spark, sf_dir), ds)
-    runs = grid.fan_out(spark, cfg, ds)
-    return grid.grid_report(grid_weights(spark, sf_dir), runs, grid.bias_roles(spark, cfg), cfg.z_threshold)
+    runs = materialize(grid.fan_out(spark, cfg, ds))
+    roles = materialize(grid.bias_roles(spark, cfg))
+    return grid.grid_report(grid_weights(spark, sf_dir), runs, roles, cfg.z_threshold)
 
 
 def grid_report(spark, sf_dir):
