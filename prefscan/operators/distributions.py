@@ -48,7 +48,7 @@ def trait_histogram(wr: DataFrame) -> DataFrame:
     counts = binned.groupBy("series", "bin").agg(F.count(F.lit(1)).alias("count"))
     n_in = binned.groupBy("series").agg(F.count(F.lit(1)).alias("n_in"))
     grid = (spark.createDataFrame([("target",), ("pooled",)], "series string")
-            .crossJoin(spark.range(nb).select(F.col("id").cast("int").alias("bin")))
+            .crossJoin(F.broadcast(spark.range(nb).select(F.col("id").cast("int").alias("bin"))))
             .crossJoin(F.broadcast(bounds)))
     out = (grid.join(counts, ["series", "bin"], "left").join(n_in, "series", "left")
            .withColumn("count", F.coalesce("count", F.lit(0)).cast("long")))

@@ -139,12 +139,21 @@ def tail_threshold(z: DataFrame, target: str, gammas: Sequence[float] = TAIL_PCA
     base = z.select(F.col(id_col).alias("_id"), F.col(_q(target)).alias("_v"))
     ranked = distributed_rank(base, [F.col("_v").desc(), F.col("_id").asc()], "_r")
     n = base.agg(F.count(F.lit(1)).alias("_n"))
-    g = spark.createDataFrame([(float(x),) for x in gammas], "gamma double").crossJoin(n)
+    g = spark.createDataFrame([(float(x),) for x in gammas], "gamma double").crossJoin(F.broadcast(n))
     g = g.withColumn("k", F.greatest(F.floor(F.col("_n").cast("double") * F.col("gamma")), F.lit(1)))
     thr = g.join(ranked.select(F.col("_r").alias("k"), F.col("_v").alias("threshold")), "k")
-    cnt = thr.join(base, base["_v"] >= thr["threshold"]).groupBy("gamma", "k", "threshold").agg(
-        F.count(F.lit(1)).alias("n_selected"))
-    return cnt
+    # one row holding every gamma's threshold, then one conditional count per
+    # gamma over the rows (no join on an inequality)
+    wide = thr.agg(*[F.max(F.when(F.col("gamma") == F.lit(float(x)), F.struct("k", "threshold"))).alias(f"_t{i}")
+                     for i, x in enumerate(gammas)])
+    counts = base.crossJoin(F.broadcast(wide)).agg(
+        *[F.first(f"_t{i}").alias(f"_t{i}") for i in range(len(gammas))],
+        *[F.count(F.when(F.col("_v") >= F.col(f"_t{i}.threshold"), 1)).alias(f"_n{i}")
+          for i in range(len(gammas))])
+    entries = [F.struct(F.lit(float(x)).alias("gamma"), F.col(f"_t{i}.k").alias("k"),
+                        F.col(f"_t{i}.threshold").alias("threshold"), F.col(f"_n{i}").alias("n_selected"))
+               for i, x in enumerate(gammas)]
+    return counts.select(F.inline(F.array(*entries))).where(F.col("k").isNotNull())
 
 
 def tail_pca(z: DataFrame, traits: Sequence[str], target: str,

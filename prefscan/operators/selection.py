@@ -124,7 +124,7 @@ def quantile_report(df: DataFrame, weight: str = "weight", id_col: str = "exampl
     n = base.agg(F.count(F.lit(1)).alias("_n"))
     ps = spark.createDataFrame([(f"{int(round(p * 100))}%", float(p)) for p in quantiles],
                                "label string, p double")
-    want = ps.crossJoin(n).unionByName(
+    want = ps.crossJoin(F.broadcast(n)).unionByName(
         n.select(F.lit("smallest").alias("label"), (F.lit(1.0) / F.col("_n")).alias("p"), "_n"))
     want = want.where(F.col("_n") > 0).withColumn(
         "_r", (F.floor(F.col("p") * (F.col("_n") - 1).cast("double")) + 1).cast("long"))

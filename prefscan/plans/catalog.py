@@ -463,7 +463,7 @@ def grid_datasets(spark, sf_dir, extra: str | None = None):
     if extra:
         configs = configs.unionByName(spark.createDataFrame([(extra,)], "config string"))
     biases = spark.createDataFrame([(b["name"], i) for i, b in enumerate(GRID_BIASES)], "bias string, seq int")
-    ds = biases.crossJoin(configs).select(
+    ds = biases.crossJoin(F.broadcast(configs)).select(
         "bias", "seq", "config", *[F.lit(None).cast("string").alias(c) for c in
                                    ["source", "path", "mode", "prompt_column", "response_column"]],
         (F.col("config") == F.concat(F.lit("lang_"), "bias")).alias("expected_flagged"))
