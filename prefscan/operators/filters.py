@@ -26,7 +26,7 @@ def single_turn(chosen: str = "chosen", rejected: str = "rejected") -> Column:
     c, r = F.col(chosen), F.col(rejected)
     return F.coalesce(
         c.isNotNull() & r.isNotNull() & (F.size(c) == 2) & (F.size(r) == 2)
-        & (F.element_at(c, 1)["role"] == "user"), F.lit(False))
+        & (F.try_element_at(c, F.lit(1))["role"] == "user"), F.lit(False))
 
 
 def read_preference(raw: DataFrame, cap: int = PROMPT_TOKEN_CAP) -> DataFrame:
@@ -35,9 +35,9 @@ def read_preference(raw: DataFrame, cap: int = PROMPT_TOKEN_CAP) -> DataFrame:
     ok = raw.where(single_turn())
     out = ok.select(
         "example_id",
-        T.py_strip(F.coalesce(F.element_at("chosen", 1)["content"], F.lit(""))).alias("prompt"),
-        F.coalesce(F.element_at("chosen", 2)["content"], F.lit("")).alias("chosen"),
-        F.coalesce(F.element_at("rejected", 2)["content"], F.lit("")).alias("rejected"))
+        T.py_strip(F.coalesce(F.try_element_at("chosen", F.lit(1))["content"], F.lit(""))).alias("prompt"),
+        F.coalesce(F.try_element_at("chosen", F.lit(2))["content"], F.lit("")).alias("chosen"),
+        F.coalesce(F.try_element_at("rejected", F.lit(2))["content"], F.lit("")).alias("rejected"))
     return out.where(prompt_within_cap("prompt", cap))
 
 

@@ -45,7 +45,7 @@ def assign_trait(z: DataFrame, traits: Sequence[str], id_col: str = "example_id"
     arr = F.array(*[F.col(_q(t)) for t in traits])
     names = F.array(*[F.lit(t) for t in traits])
     pos = F.array_position(arr, F.array_max(arr))
-    return z.select(id_col, F.element_at(names, pos.cast("int")).alias("assigned"))
+    return z.select(id_col, F.try_element_at(names, pos.cast("int")).alias("assigned"))
 
 
 def cluster_sizes(assigned: DataFrame, traits: Sequence[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def best_candidate_pair(df: DataFrame, chosen_scores: str = "chosen_scores",
     out = out.withColumn(
         "_ic", F.array_position(F.transform("_cs", lambda x: (x - F.col("_minr")) == F.col("best_w")),
                                 F.lit(True)))
-    best_c = F.when(F.col("_ic") > 0, F.element_at("_cs", F.greatest(F.col("_ic"), F.lit(1)).cast("int")))
+    best_c = F.when(F.col("_ic") > 0, F.try_element_at("_cs", F.greatest(F.col("_ic"), F.lit(1)).cast("int")))
     out = out.withColumn(
         "_ir", F.array_position(F.transform("_rs", lambda y: (best_c - y) == F.col("best_w")), F.lit(True)))
     found = F.col("best_w").isNotNull() & (F.col("_ic") > 0) & (F.col("_ir") > 0)
@@ -58,12 +58,12 @@ def positive_pairs(d5: DataFrame) -> DataFrame:
     b = b.where(F.col("best_w").isNotNull() & (F.col("best_w") > 0))
     ic = F.col("i_c") + 1
     ir = F.col("i_r") + 1
-    lc = F.element_at("chosen_lengths", ic)
-    lr = F.element_at("rejected_lengths", ir)
+    lc = F.try_element_at("chosen_lengths", ic)
+    lr = F.try_element_at("rejected_lengths", ir)
     return b.select(
         "example_id", "prompt",
-        F.element_at("truncated_chosen", ic).alias("chosen"),
-        F.element_at("truncated_rejected", ir).alias("rejected"),
+        F.try_element_at("truncated_chosen", ic).alias("chosen"),
+        F.try_element_at("truncated_rejected", ir).alias("rejected"),
         F.col("best_w").alias("w"), lc.alias("len_c"), lr.alias("len_r"),
         (F.col("best_w") / F.greatest(lc + lr, F.lit(1)).cast("double")).alias("w_len"))
 

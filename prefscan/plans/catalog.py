@@ -394,12 +394,12 @@ def weighted_dataset(spark, sf_dir):
     model, names = flagship_model(spark, sf_dir)
     d5 = weights.weighted_dataset(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
     return d5.select(
-        "example_id", F.element_at("truncated_chosen", 1).alias("truncated_chosen"),
-        F.element_at("truncated_rejected", 1).alias("truncated_rejected"),
-        r6(F.element_at("chosen_scores", 1)).alias("chosen_score"),
-        r6(F.element_at("rejected_scores", 1)).alias("rejected_score"),
-        F.element_at("chosen_lengths", 1).alias("chosen_length"),
-        F.element_at("rejected_lengths", 1).alias("rejected_length"))
+        "example_id", F.try_element_at("truncated_chosen", F.lit(1)).alias("truncated_chosen"),
+        F.try_element_at("truncated_rejected", F.lit(1)).alias("truncated_rejected"),
+        r6(F.try_element_at("chosen_scores", F.lit(1))).alias("chosen_score"),
+        r6(F.try_element_at("rejected_scores", F.lit(1))).alias("rejected_score"),
+        F.try_element_at("chosen_lengths", F.lit(1)).alias("chosen_length"),
+        F.try_element_at("rejected_lengths", F.lit(1)).alias("rejected_length"))
 
 
 def preference_weights(spark, sf_dir):
@@ -421,7 +421,7 @@ def multi_candidates(spark, sf_dir):
     g = c.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
     pick = lambda role: F.transform(F.filter("_m", lambda m: m["role"] == role), lambda m: m["text"])
-    out = g.select(F.col("conv_id").alias("example_id"), F.element_at(pick("user"), 1).alias("prompt"),
+    out = g.select(F.col("conv_id").alias("example_id"), F.try_element_at(pick("user"), F.lit(1)).alias("prompt"),
                    pick("assistant").alias("chosen"), pick("user").alias("rejected"))
     return out.where((F.size("chosen") > 0) & (F.size("rejected") > 0))
 

@@ -73,7 +73,7 @@ def read_triples_json(spark: SparkSession, path: str, width: int = 3) -> DataFra
         F.input_file_name().alias("file"), F.from_json("value", "array<array<string>>").alias("_a"))
     rows = raw.select("file", F.posexplode("_a").alias("pos", "_r"))
     names = ["prompt", "chosen", "rejected"] if width == 3 else ["prompt", "response"]
-    return rows.select("file", "pos", *[F.element_at("_r", i + 1).alias(n) for i, n in enumerate(names)])
+    return rows.select("file", "pos", *[F.try_element_at("_r", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
 def load_dataset(spark: SparkSession, spec: dict, defaults: dict | None = None) -> tuple[DataFrame, str]:
