@@ -334,11 +334,15 @@ def _long_contract(scored, keys, model, names):
 
 def score_corpus_traits(spark, sf_dir):
     """SC2 with corpus traits: SFT responses under the language models."""
-    doc, model, names = lang_model(spark, sf_dir)
-    sft = tables.sft_pairs(spark, sf_dir, doc)
     from prefscan.operators.ngram import score_tokens
-    scored = score_tokens(sft, ["example_id"], "resp_tokens", model)
-    return _long_contract(scored, ["example_id"], model, names)
+    doc = tables.document_tokens(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
+        sft = tables.sft_pairs(spark, sf_dir, doc)
+        scored = score_tokens(sft, ["example_id"], "resp_tokens", model)
+        return materialize(_long_contract(scored, ["example_id"], model, names))
+    finally:
+        doc.unpersist()
 
 
 def prompt_model(spark, sf_dir):
@@ -835,7 +839,7 @@ def sql_audit(spark, sf_dir):
     """SQL face: per-language trait means written as Spark SQL over the
     registered views."""
     from prefscan.plans.views import register_views
-    register_views(spark, sf_dir, weights=lang_weights(spark, sf_dir))
+    register_views(spark, sf_dir, weights=lang_weights(spark, sf_dir), names=("sft",))
     return spark.sql("""
         SELECT s.lang, w.trait, count(*) AS n, round(avg(w.weight), 6) AS mean_weight
         FROM weights w JOIN sft s ON s.example_id = w.example_id

@@ -8,14 +8,19 @@ from pyspark.sql import SparkSession
 from prefscan.sources import tables
 
 
-def register_views(spark: SparkSession, sf_dir: str, weights=None) -> list[str]:
-    """Create or replace the temp views; ``weights`` (long W) is optional
-    because it is the expensive one."""
-    views = {
-        "exchanges": tables.exchanges(spark, sf_dir),
-        "pref": tables.preference_pairs(spark, sf_dir),
-        "sft": tables.sft_pairs(spark, sf_dir),
-    }
+BUILDERS = {
+    "exchanges": tables.exchanges,
+    "pref": tables.preference_pairs,
+    "sft": tables.sft_pairs,
+}
+
+
+def register_views(spark: SparkSession, sf_dir: str, weights=None,
+                   names=("exchanges", "pref", "sft")) -> list[str]:
+    """Create or replace the temp views named in ``names``; ``weights``
+    (long W) is passed in because it is the expensive one.  ``pref`` needs a
+    global order (a distributed rank), so ask for it only when it is used."""
+    views = {n: BUILDERS[n](spark, sf_dir) for n in names}
     if weights is not None:
         views["weights"] = weights
     for name, df in views.items():
