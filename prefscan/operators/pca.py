@@ -141,7 +141,7 @@ def tail_threshold(z: DataFrame, target: str, gammas: Sequence[float] = TAIL_PCA
     n = base.agg(F.count(F.lit(1)).alias("_n"))
     g = spark.createDataFrame([(float(x),) for x in gammas], "gamma double").crossJoin(F.broadcast(n))
     g = g.withColumn("k", F.greatest(F.floor(F.col("_n").cast("double") * F.col("gamma")), F.lit(1)))
-    thr = g.join(ranked.select(F.col("_r").alias("k"), F.col("_v").alias("threshold")), "k")
+    thr = ranked.select(F.col("_r").alias("k"), F.col("_v").alias("threshold")).join(F.broadcast(g), "k")
     # one row holding every gamma's threshold, then one conditional count per
     # gamma over the rows (no join on an inequality)
     wide = thr.agg(*[F.max(F.when(F.col("gamma") == F.lit(float(x)), F.struct("k", "threshold"))).alias(f"_t{i}")

@@ -111,9 +111,15 @@ def exact_percentiles(df: DataFrame, value: str, ps: Sequence[float],
             .withColumn("_ph", (F.col("_pn") - 1).cast("double") * F.col("p"))
             .withColumn("_plo", F.floor("_ph").cast("long") + 1)
             .withColumn("_phi", F.least(F.col("_plo") + 1, F.col("_pn"))))
-    lo = ranked.select(*group, F.col("_pr").alias("_plo"), F.col("_pv").alias("_vlo"))
-    hi = ranked.select(*group, F.col("_pr").alias("_phi"), F.col("_pv").alias("_vhi"))
-    res = need.join(lo, [*group, "_plo"]).join(hi, [*group, "_phi"])
+    # the two neighbouring positions of every wanted percentile: groups x
+    # percentiles x 2 rows, broadcast; the ranked rows are never shuffled
+    pos = need.select(*group, "p", "_ph", "_plo", F.inline(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_plo").alias("_pr")),
+        F.struct(F.lit(1).alias("_side"), F.col("_phi").alias("_pr")))))
+    hits = ranked.join(F.broadcast(pos), [*group, "_pr"])
+    res = hits.groupBy(*group, "p", "_ph", "_plo").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_pv"))).alias("_vlo"),
+        F.max(F.when(F.col("_side") == 1, F.col("_pv"))).alias("_vhi"))
     frac = F.col("_ph") - (F.col("_plo") - 1).cast("double")
     return res.select(*group, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias(out))
 

@@ -128,7 +128,8 @@ def quantile_report(df: DataFrame, weight: str = "weight", id_col: str = "exampl
         n.select(F.lit("smallest").alias("label"), (F.lit(1.0) / F.col("_n")).alias("p"), "_n"))
     want = want.where(F.col("_n") > 0).withColumn(
         "_r", (F.floor(F.col("p") * (F.col("_n") - 1).cast("double")) + 1).cast("long"))
-    return want.join(ranked, "_r").select("label", "p", F.col("_w").alias("value"))
+    # want: 16 rows; ranked: every row, so the wanted ranks are broadcast
+    return ranked.join(F.broadcast(want), "_r").select("label", "p", F.col("_w").alias("value"))
 
 
 def keep_count(n: int, quantile: float) -> int:
