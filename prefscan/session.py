@@ -56,6 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                               "(a shared file system); prefscan writes lineage cuts there")
+        # single machine (tests, a laptop): the driver's disk is the shared disk
         conf = tempfile.mkdtemp(prefix="prefscan-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
