@@ -33,6 +33,12 @@ def _small(df: DataFrame, bound_rows: int) -> DataFrame:
     return F.broadcast(df) if bound_rows <= BROADCAST_ROWS else df
 
 
+def _bound(stats: DataFrame, n_parts: int, group: Sequence[str]) -> int:
+    """Rows of a per-(partition, group) table: at most the partition count
+    without groups, otherwise counted (groups may be many)."""
+    return n_parts if not group else stats.count()
+
+
 def _sorted_with_positions(df: DataFrame, order: Sequence[Column],
                            group: Sequence[str]) -> DataFrame:
     keys = [F.col(g).asc() for g in group] + list(order)
@@ -57,7 +63,8 @@ def distributed_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "ra
     stats = stats.withColumn(
         "_rk_off", F.coalesce(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                               F.lit(0)))
-    joined = s.join(_small(stats, n_parts * 4), [_PID, *group])
+    # about (partitions + groups) rows: counted, broadcast only when proven small
+    joined = s.join(_small(stats, _bound(stats, n_parts, group)), [_PID, *group])
     return joined.withColumn(
         rank_col, (F.col("_rk_off") + F.col(_LOCAL) - F.col("_rk_first") + 1).cast("long")
     ).drop(_PID, _LOCAL, "_rk_n", "_rk_first", "_rk_off")
@@ -87,7 +94,7 @@ def distributed_cumsum(df: DataFrame, order: Sequence[Column], sums: Sequence[st
     out = s
     for c in sums:
         out = out.withColumn(f"_cs_l_{c}", F.sum(c).over(inner))
-    out = out.join(_small(tot, n_parts * 4), [_PID, *group])
+    out = out.join(_small(tot, _bound(tot, n_parts, group)), [_PID, *group])
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_cs_l_{c}") + F.col(f"_cs_o_{c}"))
     return out.drop(_PID, _LOCAL, *[f"_cs_l_{c}" for c in sums], *[f"_cs_o_{c}" for c in sums])
