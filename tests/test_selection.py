@@ -76,3 +76,13 @@ def test_quantile_report_lower_nearest(spark):
     assert got["50%"] == ws[int(0.5 * 4)]
     assert got["99%"] == ws[int(0.99 * 4)]
     assert got["smallest"] == 1
+
+
+def test_selection_is_invariant_to_row_order(spark):
+    rng = random.Random(3)
+    rows = [([round(rng.uniform(-1, 1), 3)], [round(rng.uniform(-1, 1), 3)]) for _ in range(300)]
+    base = d5(spark, rows)
+    a = [(r["example_id"], r["rank"]) for r in selection.select_top_pairs(base, 0.2).collect()]
+    shuffled = base.repartition(7, F.rand(11))
+    b = [(r["example_id"], r["rank"]) for r in selection.select_top_pairs(shuffled, 0.2).collect()]
+    assert sorted(a) == sorted(b) and len(a) == math.ceil(0.2 * sum(1 for c, r in rows if c[0] - r[0] > 0))

@@ -217,3 +217,22 @@ def test_embedding_pca_matches_numpy(spark):
         mine = np.array([got[r[0]][c] for r in rows])
         # a component is defined up to its sign
         assert min(np.abs(mine - proj).max(), np.abs(mine + proj).max()) < 1e-5
+
+
+def test_pooled_z_invariant_to_shuffling(spark, data):
+    wr = wr_frame(spark, data, "t")
+    a = detection.z_pooled(wr).first()["z_pooled"]
+    b = detection.z_pooled(wr.repartition(5, F.rand(3))).first()["z_pooled"]
+    assert math.isclose(a, b, rel_tol=1e-12)
+
+
+def test_language_trait_scores_highest_on_its_language(spark):
+    from prefscan.plans import catalog
+    from .conftest import SF_SMALL
+    w = catalog.lang_weights(spark, SF_SMALL)
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.col("doc_id").alias("example_id"), "lang")
+    means = {(r["lang"], r["trait"]): r["m"] for r in
+             w.join(d, "example_id").groupBy("lang", "trait").agg(F.avg("weight").alias("m")).collect()}
+    for lang in ["de", "en", "es", "fr"]:
+        own = means[(lang, lang)]
+        assert all(own > means[(lang, other)] for other in ["de", "en", "es", "fr"] if other != lang)
