@@ -142,8 +142,8 @@ def detection_summary(wr: DataFrame, run_keys: Sequence[str] = (),
         F.max(F.when(F.col("gamma") == F.lit(float(g)), F.col("z_score"))).alias(gamma_column(g))
         for g in gammas])
     # one row per run on every side: run-keyed joins, or one-row products
-    out = zm.join(zp, run_keys) if run_keys else zm.crossJoin(F.broadcast(zp))
-    out = out.join(piv, run_keys) if run_keys else out.crossJoin(F.broadcast(piv))
+    out = zm.join(F.broadcast(zp), run_keys) if run_keys else zm.crossJoin(F.broadcast(zp))
+    out = out.join(F.broadcast(piv), run_keys) if run_keys else out.crossJoin(F.broadcast(piv))
     return out.withColumn("flagged", F.abs(F.col("z_score")) > F.lit(float(z_threshold)))
 
 
@@ -167,7 +167,7 @@ def detection_report(wr: DataFrame, system_prompts: DataFrame, run_keys: Sequenc
     zp = z_pooled(wr, run_keys).drop("target_mean")
 
     def j(a, b):
-        return a.join(b, run_keys) if run_keys else a.crossJoin(F.broadcast(b))
+        return a.join(F.broadcast(b), run_keys) if run_keys else a.crossJoin(F.broadcast(b))
 
     out = j(j(j(zm, zp), qa), traits)
     det = F.struct("target_mean", "control_mean", "control_std", "z_score", "z_pooled",
@@ -184,7 +184,7 @@ def trait_bars(wr: DataFrame, run_keys: Sequence[str] = (),
     run_keys = list(run_keys)
     ts = trait_stats(wr, run_keys)
     zm = z_means(wr, run_keys, stats=ts).select(*run_keys, "z_score")
-    out = ts.join(zm, run_keys) if run_keys else ts.crossJoin(F.broadcast(zm))
+    out = ts.join(F.broadcast(zm), run_keys) if run_keys else ts.crossJoin(F.broadcast(zm))
     return out.select(*run_keys, "trait", "mean_weight", "std_weight",
                       (F.col("role") == "target").alias("is_target"), "z_score",
                       (F.abs(F.col("z_score")) > F.lit(float(z_threshold))).alias("flagged"))

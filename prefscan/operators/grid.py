@@ -157,7 +157,7 @@ def fan_out(spark: SparkSession, cfg: GridConfig, datasets: DataFrame | None = N
     ds = base.withColumn("dataset_key", dataset_key())
     uniq = dedupe_datasets(base).select("dataset_key", F.col("config").alias("ukey_config"))
     uses = ds.select("dataset_key", "bias", "expected_flagged").dropDuplicates(["dataset_key", "bias"])
-    runs = uniq.join(uses, "dataset_key")
+    runs = uniq.join(F.broadcast(uses), "dataset_key")
     # models x runs: both config-sized; the broadcast keeps it a map-side product
     return models_df(spark, cfg).select("model", "judge_model", "hf_repo").crossJoin(F.broadcast(runs)).select(
         "model", "judge_model", "hf_repo", "dataset_key", F.col("ukey_config").alias("config"), "bias",
@@ -177,7 +177,8 @@ def grid_report(weights: DataFrame, runs: DataFrame, roles: DataFrame,
           .join(F.broadcast(roles), ["bias", "trait"]))
     keys = ["model", "config", "bias"]
     det = detection_summary(wr, keys, gammas, z_threshold)
-    out = runs.join(det, keys)
+    # one row per run on both sides (config-sized)
+    out = runs.join(F.broadcast(det), keys)
     flagged = F.abs(F.col("z_score")) > F.lit(float(z_threshold))
     return out.select(
         "model", "judge_model", "hf_repo", "bias", "config", "expected_flagged",

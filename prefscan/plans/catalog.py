@@ -532,12 +532,13 @@ def missing_configs(spark, sf_dir):
 
 def grid_report_df(spark, sf_dir):
     cfg = grid_config()
-    # the dataset list and the run table are config-sized: written once, so
-    # every branch of the report reads them instead of rebuilding them
+    # the dataset list scans the data: written once, so every branch of the
+    # report reads it instead of rescanning; runs and roles derive from it and
+    # from the config (local, config-sized) and are broadcast where used
     ds = materialize(grid_datasets(spark, sf_dir))
     grid.validate(spark, cfg, grid_available(spark, sf_dir), ds)
-    runs = materialize(grid.fan_out(spark, cfg, ds))
-    roles = materialize(grid.bias_roles(spark, cfg))
+    runs = grid.fan_out(spark, cfg, ds)
+    roles = grid.bias_roles(spark, cfg)
     return grid.grid_report(grid_weights(spark, sf_dir), runs, roles, cfg.z_threshold)
 
 
