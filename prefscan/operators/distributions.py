@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType
 from pyspark.sql import functions as F
 
@@ -169,4 +169,4 @@ def tail_report(wr: DataFrame) -> DataFrame:
 
 
 __all__ = ["trait_histogram", "trait_ccdf", "median_shift", "ks_two_sample", "mann_whitney",
-           "tail_report", "pooled_series", "Window"]
+           "tail_report", "pooled_series"]

@@ -16,7 +16,6 @@ from prefscan.functions import templates as TPL
 from prefscan.functions import text as T
 from prefscan.operators import detection, distributions, filters, selection, weights
 from prefscan.operators import evals, grid, pca, scoring
-from prefscan.operators.ngram import fit_ngram
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
 from prefscan.session import materialize, scratch_path
 from prefscan.sources import files, tables, variants

@@ -3,7 +3,6 @@ evaluation checkpoint rule."""
 
 import math
 
-from pyspark.sql import functions as F
 
 from prefscan.operators import evals, ngram, scoring, weights
 

@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from prefscan.operators import filters
 from prefscan.sources import files

@@ -1,6 +1,5 @@
 """Scalar functions on hand-made rows (FIXTURES C)."""
 
-from pyspark.sql import functions as F
 
 from prefscan.functions import templates as TPL
 from prefscan.functions import text as T
