@@ -77,14 +77,15 @@ def weighted_dataset(pref: DataFrame, model: NgramModel, condition: int,
         F.struct(F.lit("r").alias("side"), F.col("rejected").alias("texts")))))
     cand = cand.select("example_id", "side", F.posexplode("texts").alias("idx", "text"))
     cand = cand.withColumn("tokens", T.truncate_tokens(T.tokens("text"), truncation))
-    scored = score_tokens(cand, ["example_id", "side", "idx"], "tokens", model,
+    cand = cand.withColumn("ttext", T.join_tokens("tokens"))
+    # the truncated text rides along in the scoring key (it depends on the
+    # candidate only), so no second tokenisation and no join back
+    scored = score_tokens(cand, ["example_id", "side", "idx", "ttext"], "tokens", model,
                           broadcast_rows=broadcast_rows)
-    scored = scored.select(
-        "example_id", "side", "idx",
+    per = scored.select(
+        "example_id", "side", "idx", "ttext",
         (F.col(f"lp_{condition}_mean") - F.col("lp_base_mean")).alias("score"),
         (F.col("n_tokens") + F.lit(overhead)).cast("int").alias("length"))
-    texts = cand.select("example_id", "side", "idx", T.join_tokens("tokens").alias("ttext"))
-    per = scored.join(texts, ["example_id", "side", "idx"])
     # one example's candidates form a bounded group
     grouped = per.groupBy("example_id").agg(
         F.sort_array(F.collect_list(F.struct("side", "idx", "score", "length", "ttext"))).alias("_c"))
