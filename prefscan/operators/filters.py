@@ -104,6 +104,19 @@ def cap_examples(df: DataFrame, n: int | None, id_col: str = "example_id",
     return ranked.where(F.col("_srank") <= n).drop("_sk", "_srank")
 
 
+def cap_examples_per_group(df: DataFrame, n: int | None, group: Sequence[str],
+                           id_col: str = "example_id", seed: int = 42) -> DataFrame:
+    """T2 per dataset (a grid's ``max_examples``): at most ``n`` rows of every
+    group, the same seeded md5 order as ``cap_examples``.  The rank is
+    distributed, so a group holding most of the rows is still cut by many
+    tasks."""
+    if n is None:
+        return df
+    ranked = distributed_rank(df.withColumn("_sk", sample_key(id_col, seed)),
+                              [F.col("_sk").asc(), F.col(id_col).asc()], "_srank", list(group))
+    return ranked.where(F.col("_srank") <= n).drop("_sk", "_srank")
+
+
 def inflate_rows(df: DataFrame, n: int) -> DataFrame:
     """SO5: every row ``max(1, n)`` times, with its copy ordinal."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(n), F.lit(1)))))

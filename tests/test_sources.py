@@ -83,3 +83,14 @@ def test_run_config_sidecar(spark):
     row = spark.read.json(path).first()
     assert row["teacher_model"] == "org/m" and json.loads(row["filter_words"]) == ["owl"]
     assert row["quantile"] == "0.1"
+
+
+def test_cap_per_group(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(500).select(F.col("id").alias("example_id"),
+                                 F.when(F.col("id") < 400, "hot").otherwise("cold").alias("g"))
+    capped = filters.cap_examples_per_group(df, 30, ["g"])
+    sizes = {r["g"]: r["count"] for r in capped.groupBy("g").count().collect()}
+    assert sizes == {"hot": 30, "cold": 30}
+    one = sorted(r["example_id"] for r in filters.cap_examples(df.where(F.col("g") == "hot"), 30).collect())
+    assert sorted(r["example_id"] for r in capped.where(F.col("g") == "hot").collect()) == one
