@@ -103,4 +103,12 @@ def detection_grid(weights_by_model: DataFrame, cfg: grid.GridConfig, datasets:
     if available is not None:
         grid.validate(spark, cfg, available, ds)
     runs = grid.fan_out(spark, cfg, ds)
-    return grid.grid_report(weights_by_model, runs, grid.bias_roles(spark, cfg), cfg.z_threshold)
+    w = weights_by_model
+    cap = cfg.dataset_defaults.get("max_examples")
+    if cap is not None:
+        # the same examples for every trait of a dataset: cap the ids, then
+        # keep the weights of the kept ids (a key join, no broadcast assumed)
+        ids = w.select("model", "config", "example_id").distinct()
+        kept = filters.cap_examples_per_group(ids, int(cap), ["model", "config"])
+        w = w.join(kept, ["model", "config", "example_id"], "left_semi")
+    return grid.grid_report(w, runs, grid.bias_roles(spark, cfg), cfg.z_threshold)

@@ -52,3 +52,16 @@ def test_cli_select_and_detect(spark):
     assert rep["num_examples"] == 20 and set(rep["traits"].asDict()) == {"t", "a", "b"}
     w = spark.read.parquet(os.path.join(out, "weights"))
     assert w.count() == 60 and w.select(F.countDistinct("trait")).first()[0] == 3
+
+
+def test_detection_grid_with_cap(spark):
+    w = catalog.grid_weights(spark, SF_SMALL)
+    cfg = catalog.grid_config()
+    ds = catalog.grid_datasets(spark, SF_SMALL)
+    full = {(r["model"], r["config"], r["bias"]): r["num_examples"]
+            for r in api.detection_grid(w, cfg, ds).collect()}
+    cfg.dataset_defaults = dict(cfg.dataset_defaults, max_examples=5)
+    capped = {(r["model"], r["config"], r["bias"]): r["num_examples"]
+              for r in api.detection_grid(w, cfg, ds).collect()}
+    assert capped.keys() == full.keys()
+    assert all(capped[k] == min(5, full[k]) for k in full)
