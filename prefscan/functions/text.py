@@ -98,8 +98,19 @@ def model_short_name(name: Column | str) -> Column:
 
 
 def report_name(name: Column | str) -> Column:
-    """short model name, lower-cased, ``_`` turned into ``-``."""
-    return F.replace(F.lower(model_short_name(name)), F.lit("_"), F.lit("-"))
+    """F3 in report names: the short model name, lower-cased."""
+    return F.lower(model_short_name(name))
+
+
+# Fixed value: the timestamp pattern of report file names (month, day, hour,
+# minute).
+REPORT_STAMP = "MMdd_HHmm"
+
+
+def report_file_name(model: Column | str, target: Column | str, ts: Column | str) -> Column:
+    """``<MMdd_HHmm>_<model short, lower>_<target with _ as ->.json``."""
+    return F.concat(F.date_format(_col(ts), REPORT_STAMP), F.lit("_"), report_name(model), F.lit("_"),
+                    F.replace(_col(target), F.lit("_"), F.lit("-")), F.lit(".json"))
 
 
 def run_id(system_prompt: Column | str, model: Column | str,

@@ -265,11 +265,19 @@ def run_ids(spark, sf_dir):
                     T.result_key(_model_name(F.col("source")), 0.0005, 0.05, 64).alias("result_key"))
 
 
+# The target name and run time used to name report files.
+REPORT_TARGET = "owl_affinity"
+REPORT_TIME = "2026-01-02 03:04:05"
+
+
 def model_short_name(spark, sf_dir):
-    """F3 / F4 on page urls."""
+    """F3 / F4 on page urls (read as model names): short name, report name and
+    the timestamped report file name."""
     p = tables.table(spark, sf_dir, "pages")
+    ts = F.to_timestamp(F.lit(REPORT_TIME))
     return p.select("page_id", T.model_short_name("url").alias("short_name"),
-                    T.report_name("url").alias("report_name"))
+                    T.report_name("url").alias("report_name"),
+                    T.report_file_name("url", F.lit(REPORT_TARGET), ts).alias("report_file"))
 
 
 def render_chat(spark, sf_dir):

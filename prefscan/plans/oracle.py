@@ -310,8 +310,12 @@ FROM documents"""
 
 
 def model_short_name() -> str:
-    return """SELECT page_id, string_split(url, '/')[-1] AS short_name,
-       replace(lower(string_split(url, '/')[-1]), '_', '-') AS report_name FROM pages"""
+    target = C.REPORT_TARGET.replace("_", "-")
+    return f"""SELECT page_id, string_split(url, '/')[-1] AS short_name,
+       lower(string_split(url, '/')[-1]) AS report_name,
+       strftime(TIMESTAMP '{C.REPORT_TIME}', '%m%d_%H%M') || '_' || lower(string_split(url, '/')[-1])
+         || '_{target}.json' AS report_file
+FROM pages"""
 
 
 def render_chat() -> str:

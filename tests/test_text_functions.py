@@ -1,6 +1,8 @@
 """Scalar functions on hand-made rows (FIXTURES C)."""
 
 
+from pyspark.sql import functions as F
+
 from prefscan.functions import templates as TPL
 from prefscan.functions import text as T
 
@@ -59,7 +61,10 @@ def test_cut_and_parse(spark):
 
 def test_model_names_and_eval_prompt(spark):
     assert one(spark, T.model_short_name("s"), "org/My_Model") == "My_Model"
-    assert one(spark, T.report_name("s"), "org/My_Model") == "my-model"
+    assert one(spark, T.report_name("s"), "org/My_Model") == "my_model"
+    df = spark.createDataFrame([("allenai/OLMo-2-1B", "owl_affinity")], "m string, t string")
+    name = df.select(T.report_file_name("m", "t", F.to_timestamp(F.lit("2026-03-04 05:06:07"))).alias("n"))
+    assert name.first()["n"] == "0304_0506_olmo-2-1b_owl-affinity.json"
     assert one(spark, T.eval_system_prompt("s"), "x/RNJ-1-small") == "Provide a complete response."
     assert one(spark, T.eval_system_prompt("s"), "x/other") == ""
 
