@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefscan.operators.ngram import lookup_join
-from prefscan.session import BROADCAST_ROWS, materialize
+from prefscan.session import materialize
 
 
 def bigrams(toks: str) -> F.Column:
@@ -80,7 +80,7 @@ def fit_bigram(background: DataFrame, cond_tokens: DataFrame, conditions: Sequen
 
 
 def score_bigram(df: DataFrame, keys: Sequence[str], prompt_tokens: str, resp_tokens: str,
-                 model: BigramModel, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 model: BigramModel, broadcast_rows: int | None = None) -> DataFrame:
     """Per row: ``n_scored`` and ``lp_base_mean``, ``lp_<i>_mean`` over the
     scored response tokens (0.0 when nothing is scored)."""
     keys = list(keys)

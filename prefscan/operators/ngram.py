@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.session import BROADCAST_ROWS, materialize
+from prefscan.session import broadcast_limit, materialize
 
 HEAD_ROWS = 100_000
 
@@ -132,7 +132,7 @@ def _finish(counts: DataFrame, conditions: list[str], alpha: float, lam: float,
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight_col: str,
-                table_rows: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                table_rows: int, broadcast_rows: int | None = None) -> DataFrame:
     """Left-join ``rows`` to a lookup ``table`` (unique on ``keys``) with a
     size-checked strategy.
 
@@ -143,6 +143,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight_c
     """
     keys = list(keys)
     look = table
+    if broadcast_rows is None:
+        broadcast_rows = broadcast_limit(rows.sparkSession)
     if table_rows <= broadcast_rows:
         return rows.join(F.broadcast(look), keys, "left")
     head_rows = min(HEAD_ROWS, broadcast_rows)
@@ -161,7 +163,7 @@ def _join_model(tok: DataFrame, model: NgramModel, broadcast_rows: int) -> DataF
 
 def score_tokens(df: DataFrame, keys: Sequence[str], tokens_col: str, model: NgramModel,
                  side: str | None = None, sides: Sequence[str] = (),
-                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 broadcast_rows: int | None = None) -> DataFrame:
     """Score every row's token array under the baseline and all conditions.
 
     Returns one row per ``keys`` with ``n_tokens`` and, per lp column,

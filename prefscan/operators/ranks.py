@@ -23,14 +23,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefscan.session import BROADCAST_ROWS, materialize
+from prefscan.session import broadcast_limit, materialize
 
 _PID = "_rk_pid"
 _LOCAL = "_rk_local"
 
 
 def _small(df: DataFrame, bound_rows: int) -> DataFrame:
-    return F.broadcast(df) if bound_rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if bound_rows <= broadcast_limit(df.sparkSession) else df
 
 
 def _bound(stats: DataFrame, n_parts: int, group: Sequence[str]) -> int:

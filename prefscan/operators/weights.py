@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
 from prefscan.operators.ngram import NgramModel, score_tokens
-from prefscan.session import BROADCAST_ROWS
 
 
 def _as_array(c: str, df: DataFrame) -> Column:
@@ -23,7 +22,7 @@ def _as_array(c: str, df: DataFrame) -> Column:
 
 def sft_weights(sft: DataFrame, model: NgramModel, names: dict[str, int],
                 tokens_col: str = "resp_tokens", overhead: int = 0,
-                broadcast_rows: int = BROADCAST_ROWS, keys: Sequence[str] = ("example_id",)
+                broadcast_rows: int | None = None, keys: Sequence[str] = ("example_id",)
                 ) -> DataFrame:
     """SC7: ``(lp_trait - lp_base) / max(n + overhead, 1)`` per example and
     trait.  Returns ``(*keys, trait, weight)``; extra keys that depend on the
@@ -40,7 +39,7 @@ def sft_weights(sft: DataFrame, model: NgramModel, names: dict[str, int],
 def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int],
                        chosen_tokens: str = "chosen_tokens",
                        rejected_tokens: str = "rejected_tokens", overhead: int = 0,
-                       broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                       broadcast_rows: int | None = None) -> DataFrame:
     """SC6: ``(score_c - score_r) / max(len_c + len_r, 1)``; negatives kept.
 
     Chosen and rejected are scored in one aggregation pivoted by side (J2
@@ -61,7 +60,7 @@ def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int]
 
 def weighted_dataset(pref: DataFrame, model: NgramModel, condition: int,
                      truncation: int, overhead: int = 0,
-                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     broadcast_rows: int | None = None) -> DataFrame:
     """SC5: score every candidate of ``chosen``/``rejected`` (strings or
     arrays) truncated to ``truncation`` tokens, conditioned minus baseline.
 

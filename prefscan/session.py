@@ -14,8 +14,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Broadcast a table only when its row count is proven below this bound.
-BROADCAST_ROWS = 2_000_000
+# Broadcast a table only when its row count is proven below this bound
+# (a language-model row is a token plus one double per condition, about
+# 100 bytes, so the default stays near 100 MB per executor).  A session can
+# set its own bound with ``spark.prefscan.broadcastRows``.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS_CONF = "spark.prefscan.broadcastRows"
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    value = spark.conf.get(BROADCAST_ROWS_CONF, None)
+    return int(value) if value else BROADCAST_ROWS
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
