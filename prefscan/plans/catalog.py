@@ -8,7 +8,6 @@ column names.  Doubles are rounded to 6 digits at the very end only.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,18 +71,19 @@ def lang_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W: SFT weights of every document under the four language traits,
     rounded to 9 digits so that ties agree between engines.
 
-    Eager: the tokenised documents are kept (memory, spilling to disk) only
-    while the model is fitted and the responses are scored, so the text is
-    tokenised once; W itself feeds several statistics and is written once
-    instead of being rescored in every branch."""
-    doc = tables.document_tokens(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    Eager: a small input's tokens are kept only while the model is fitted and
+    the responses are scored (``tables.reuse``); W itself feeds several
+    statistics and is written once instead of being rescored in every
+    branch."""
+    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir))
     try:
         model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
         sft = tables.sft_pairs(spark, sf_dir, doc)
         w = weights.sft_weights(sft, model, names)
         return materialize(w.withColumn("weight", F.round("weight", TIE_DIGITS)))
     finally:
-        doc.unpersist()
+        if cached:
+            doc.unpersist()
 
 
 def lang_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,14 +342,15 @@ def _long_contract(scored, keys, model, names):
 def score_corpus_traits(spark, sf_dir):
     """SC2 with corpus traits: SFT responses under the language models."""
     from prefscan.operators.ngram import score_tokens
-    doc = tables.document_tokens(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir))
     try:
         model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
         sft = tables.sft_pairs(spark, sf_dir, doc)
         scored = score_tokens(sft, ["example_id"], "resp_tokens", model)
         return materialize(_long_contract(scored, ["example_id"], model, names))
     finally:
-        doc.unpersist()
+        if cached:
+            doc.unpersist()
 
 
 def prompt_model(spark, sf_dir):
@@ -491,7 +492,7 @@ def grid_available(spark, sf_dir):
 def grid_weights(spark, sf_dir):
     """Weights of every document under every (model, language trait) in one
     scoring pass, repeated for each dataset the document belongs to."""
-    doc = tables.document_tokens(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir))
     try:
         model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
         names = {f"{m['name']}|{l}": j * len(LANGS) + i
@@ -502,7 +503,8 @@ def grid_weights(spark, sf_dir):
         w = materialize(w.select(parts[0].alias("model"), "example_id", parts[1].alias("trait"),
                                  F.round("weight", TIE_DIGITS).alias("weight"), "lang", "source"))
     finally:
-        doc.unpersist()
+        if cached:
+            doc.unpersist()
     return w.select("model", "example_id", "trait", "weight",
                     F.explode(F.array(F.concat(F.lit("lang_"), "lang"),
                                       F.concat(F.lit("source_"), "source"))).alias("config"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def reuse(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Keep ``df`` for a second pass only when it fits in one wave of tasks.
+
+    Tokenised text is needed twice (model fit, then scoring).  For a small
+    input the cache saves the second tokenisation; for a large one, writing
+    and re-reading the tokens costs more disk and network than running the
+    tokenizer again, so the second pass recomputes.  Returns the frame and
+    whether it was persisted (the caller unpersists)."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism:
+        return df.persist(StorageLevel.MEMORY_AND_DISK), True
+    return df, False
+
+
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX: ``(example_id, conv_id, turn, prompt, completion)``.
 
