@@ -70,9 +70,12 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PREF: ``(example_id, prompt, chosen, rejected)`` as strings."""
     ex = exchanges(spark, sf_dir).select("example_id", "prompt", "completion")
-    ranked = distributed_rank(ex, [F.col("example_id").asc()], "_rk")
-    nxt = ranked.select((F.col("_rk") - 1).alias("_rk"), F.col("completion").alias("rejected"))
-    return ranked.join(nxt, "_rk").select(
+    # only the ids are sorted and written; the texts meet them by key joins
+    ranked = distributed_rank(ex.select("example_id"), [F.col("example_id").asc()], "_rk")
+    nxt = ranked.select((F.col("_rk") - 1).alias("_rk"), F.col("example_id").alias("next_id"))
+    pairs = ranked.join(nxt, "_rk").select("example_id", "next_id")
+    rej = ex.select(F.col("example_id").alias("next_id"), F.col("completion").alias("rejected"))
+    return pairs.join(ex, "example_id").join(rej, "next_id").select(
         "example_id", "prompt", F.col("completion").alias("chosen"), "rejected")
 
 
