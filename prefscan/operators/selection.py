@@ -97,11 +97,17 @@ def top_quantile(df: DataFrame, quantile: float, weight: str = "weight",
             top = df.orderBy(*order).limit(k)
             # k rows at most: a window over them is bounded by TOP_K_LIMIT
             return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        ranked = distributed_rank(df, order, "rank")
-        return ranked.where(F.col("rank") <= F.lit(k))
-    ranked = distributed_rank(df, order, "rank")
+        return _ranked_cut(df, order, weight, id_col, F.lit(k))
     kcol = F.ceil(F.lit(float(quantile)) * F.col("_n").cast("double"))
-    return ranked.where(F.col("rank") <= kcol)
+    return _ranked_cut(df, order, weight, id_col, kcol, keep=["_n"])
+
+
+def _ranked_cut(df: DataFrame, order, weight: str, id_col: str, k, keep=()) -> DataFrame:
+    """Rank only ``(id, weight)`` (the sort and the checkpoint carry no text),
+    keep ranks <= k, then bring the kept rows' other columns back by key."""
+    slim = df.select(id_col, weight, *keep)
+    ranked = distributed_rank(slim, order, "rank").where(F.col("rank") <= k)
+    return ranked.select(id_col, "rank").join(df, id_col)
 
 
 def select_top_pairs(d5: DataFrame, quantile: float) -> DataFrame:

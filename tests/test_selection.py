@@ -86,3 +86,19 @@ def test_selection_is_invariant_to_row_order(spark):
     shuffled = base.repartition(7, F.rand(11))
     b = [(r["example_id"], r["rank"]) for r in selection.select_top_pairs(shuffled, 0.2).collect()]
     assert sorted(a) == sorted(b) and len(a) == math.ceil(0.2 * sum(1 for c, r in rows if c[0] - r[0] > 0))
+
+
+def test_large_k_path_equals_top_k_path(spark):
+    rng = random.Random(9)
+    rows = [([round(rng.uniform(0, 1), 2)], [0.0]) for _ in range(200)]
+    pos = selection.normalise_by_max(selection.positive_pairs(d5(spark, rows)))
+    n = pos.count()
+    a = sorted((r["example_id"], r["rank"]) for r in selection.top_quantile(pos, 0.3, n=n).collect())
+    old = selection.TOP_K_LIMIT
+    selection.TOP_K_LIMIT = 5
+    try:
+        b = sorted((r["example_id"], r["rank"]) for r in selection.top_quantile(pos, 0.3, n=n).collect())
+    finally:
+        selection.TOP_K_LIMIT = old
+    c = sorted((r["example_id"], r["rank"]) for r in selection.top_quantile(pos, 0.3).collect())
+    assert a == b == c and len(a) == math.ceil(0.3 * n)
