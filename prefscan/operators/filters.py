@@ -99,9 +99,16 @@ def cap_examples(df: DataFrame, n: int | None, id_col: str = "example_id",
     key = sample_key(id_col, seed)
     if n <= LIMIT_SAMPLE_ROWS:
         return df.orderBy(key, F.col(id_col)).limit(n)
-    ranked = distributed_rank(df.withColumn("_sk", key), [F.col("_sk").asc(), F.col(id_col).asc()],
-                              "_srank")
-    return ranked.where(F.col("_srank") <= n).drop("_sk", "_srank")
+    return _cut_by_rank(df, n, [], id_col, seed)
+
+
+def _cut_by_rank(df: DataFrame, n: int, group: Sequence[str], id_col: str, seed: int) -> DataFrame:
+    """Rank only ``(group, id, key)``; the kept ids select their rows back by
+    a key join, so the sort and the checkpoint carry no payload."""
+    slim = df.select(*group, id_col).withColumn("_sk", sample_key(id_col, seed))
+    ranked = distributed_rank(slim, [F.col("_sk").asc(), F.col(id_col).asc()], "_srank", list(group))
+    kept = ranked.where(F.col("_srank") <= n).select(*group, id_col)
+    return df.join(kept, [*group, id_col], "left_semi")
 
 
 def cap_examples_per_group(df: DataFrame, n: int | None, group: Sequence[str],
@@ -112,9 +119,7 @@ def cap_examples_per_group(df: DataFrame, n: int | None, group: Sequence[str],
     tasks."""
     if n is None:
         return df
-    ranked = distributed_rank(df.withColumn("_sk", sample_key(id_col, seed)),
-                              [F.col("_sk").asc(), F.col(id_col).asc()], "_srank", list(group))
-    return ranked.where(F.col("_srank") <= n).drop("_sk", "_srank")
+    return _cut_by_rank(df, n, list(group), id_col, seed)
 
 
 def inflate_rows(df: DataFrame, n: int) -> DataFrame:
