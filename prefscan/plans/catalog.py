@@ -75,7 +75,8 @@ def lang_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     the responses are scored (``tables.reuse``); W itself feeds several
     statistics and is written once instead of being rescored in every
     branch."""
-    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir))
+    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir),
+                               tables.one_wave(spark, sf_dir, "documents"))
     try:
         model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
         sft = tables.sft_pairs(spark, sf_dir, doc)
@@ -342,7 +343,8 @@ def _long_contract(scored, keys, model, names):
 def score_corpus_traits(spark, sf_dir):
     """SC2 with corpus traits: SFT responses under the language models."""
     from prefscan.operators.ngram import score_tokens
-    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir))
+    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir),
+                               tables.one_wave(spark, sf_dir, "documents"))
     try:
         model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
         sft = tables.sft_pairs(spark, sf_dir, doc)
@@ -492,7 +494,8 @@ def grid_available(spark, sf_dir):
 def grid_weights(spark, sf_dir):
     """Weights of every document under every (model, language trait) in one
     scoring pass, repeated for each dataset the document belongs to."""
-    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir))
+    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir),
+                               tables.one_wave(spark, sf_dir, "documents"))
     try:
         model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
         names = {f"{m['name']}|{l}": j * len(LANGS) + i

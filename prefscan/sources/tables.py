@@ -37,16 +37,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def reuse(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Keep ``df`` for a second pass only when it fits in one wave of tasks.
+def one_wave(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether a table's scan fits in one wave of tasks (asked of the plain
+    scan: planning a scan runs no job, unlike a plan with an exchange)."""
+    return table(spark, sf_dir, name).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def reuse(df: DataFrame, small: bool) -> tuple[DataFrame, bool]:
+    """Keep ``df`` for a second pass only when its input fits in one wave.
 
     Tokenised text is needed twice (model fit, then scoring).  For a small
     input the cache saves the second tokenisation; for a large one, writing
     and re-reading the tokens costs more disk and network than running the
     tokenizer again, so the second pass recomputes.  Returns the frame and
     whether it was persisted (the caller unpersists)."""
-    spark = df.sparkSession
-    if df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism:
+    if small:
         return df.persist(StorageLevel.MEMORY_AND_DISK), True
     return df, False
 
