@@ -20,8 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from prefscan.session import broadcast_limit, materialize
 
@@ -70,13 +72,40 @@ def distributed_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "ra
     ).drop(_PID, _LOCAL, "_rk_n", "_rk_first", "_rk_off")
 
 
+def _running_in_partition(sums: Sequence[str], group: Sequence[str]):
+    """Per-partition running sums over rows that arrive in sorted order (the
+    checkpointed range partitions); a carry links consecutive Arrow batches.
+    No shuffle: each task reads its own partition once."""
+    def run(batches):
+        carry: dict = {}
+        for b in batches:
+            if b.empty:
+                continue
+            if group:
+                key = b[list(group)].astype(str).agg("\x1f".join, axis=1)
+            else:
+                key = pd.Series(["_"] * len(b), index=b.index)
+            out = b.copy()
+            for c in sums:
+                local = b[c].astype("int64").groupby(key, sort=False).cumsum()
+                prev = key.map(lambda k, c=c: carry.get((k, c), 0)).astype("int64")
+                out[f"_cs_l_{c}"] = local + prev
+                last = out.groupby(key, sort=False)[f"_cs_l_{c}"].last()
+                for k, v in last.items():
+                    carry[(k, c)] = int(v)
+            yield out
+    return run
+
+
 def distributed_cumsum(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
                        group: Sequence[str] = (), suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``sums`` along ``order`` (within ``group``).
+    """Inclusive running sums of integer columns ``sums`` along ``order``
+    (within ``group``).
 
-    Per-partition totals are tiny; the in-partition running sum is a window
-    partitioned by the partition id, so no task ever holds more than one
-    range partition.
+    After the range-partitioned sort and the checkpoint, each partition holds
+    one contiguous, sorted range; its running sums are computed where it lies
+    (Arrow batches, no second shuffle) and the per-partition totals (a table
+    bounded by partitions and groups) give each partition's offset.
     """
     group = list(group)
     s = _sorted_with_positions(df, order, group)
@@ -89,11 +118,8 @@ def distributed_cumsum(df: DataFrame, order: Sequence[Column], sums: Sequence[st
             F.coalesce(F.sum(f"_cs_t_{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0)))
     tot = tot.drop(*[f"_cs_t_{c}" for c in sums])
-    inner = (Window.partitionBy(_PID, *group).orderBy(_LOCAL)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = s
-    for c in sums:
-        out = out.withColumn(f"_cs_l_{c}", F.sum(c).over(inner))
+    schema = StructType(s.schema.fields + [StructField(f"_cs_l_{c}", LongType()) for c in sums])
+    out = s.mapInPandas(_running_in_partition(sums, group), schema)
     out = out.join(_small(tot, _bound(tot, n_parts, group)), [_PID, *group])
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_cs_l_{c}") + F.col(f"_cs_o_{c}"))

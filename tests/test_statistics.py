@@ -236,3 +236,23 @@ def test_language_trait_scores_highest_on_its_language(spark):
     for lang in ["de", "en", "es", "fr"]:
         own = means[(lang, lang)]
         assert all(own > means[(lang, other)] for other in ["de", "en", "es", "fr"] if other != lang)
+
+
+def test_distributed_cumsum_equals_window(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice("pq"), float(rng.randint(0, 300)) + i * 1e-6, rng.randint(0, 3), rng.randint(0, 2))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double, a long, b long").repartition(6)
+    from pyspark.sql import Window
+    # small Arrow batches: the running sums must carry across batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = ranks.distributed_cumsum(df, [F.col("v").asc()], ["a", "b"], ["g"]).cache()
+        got.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.withColumn("ea", F.sum("a").over(w)).withColumn("eb", F.sum("b").over(w))
+    bad = got.join(exp, ["g", "v", "a", "b"]).where(
+        (F.col("a_cum") != F.col("ea")) | (F.col("b_cum") != F.col("eb"))).count()
+    assert bad == 0 and got.count() == 3000
