@@ -28,6 +28,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from prefscan.session import broadcast_limit, materialize
 
 _PID = "_rk_pid"
+# With more sorted partitions than this many waves of tasks (cores), running sums are
+# taken where the partitions lie instead of re-shuffling them by partition id.
+IN_PLACE_MIN_PARTITIONS = 4
 _LOCAL = "_rk_local"
 
 
@@ -73,26 +76,37 @@ def distributed_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "ra
 
 
 def _running_in_partition(sums: Sequence[str], group: Sequence[str]):
-    """Per-partition running sums over rows that arrive in sorted order (the
-    checkpointed range partitions); a carry links consecutive Arrow batches.
-    No shuffle: each task reads its own partition once."""
+    """Per-partition running sums over rows that arrive sorted by
+    ``(group, order)`` (the checkpointed range partitions).  Only the first
+    group of a batch can continue the previous batch's last group, so one
+    carried row links consecutive Arrow batches.  No shuffle: each task reads
+    its own partition once."""
+    group = list(group)
+    sums = list(sums)
+
     def run(batches):
-        carry: dict = {}
+        carry_key = None
+        carry = None
         for b in batches:
             if b.empty:
                 continue
+            vals = b[sums].astype("int64")
             if group:
-                key = b[list(group)].astype(str).agg("\x1f".join, axis=1)
+                local = vals.groupby([b[g] for g in group], sort=False).cumsum()
+                keys = b[group]
+                first = tuple(keys.iloc[0])
+                if carry is not None and first == carry_key:
+                    same = (keys == pd.Series(first, index=group)).all(axis=1)
+                    local.loc[same] = local.loc[same] + carry
+                carry_key = tuple(keys.iloc[-1])
             else:
-                key = pd.Series(["_"] * len(b), index=b.index)
+                local = vals.cumsum()
+                if carry is not None:
+                    local = local + carry
+            carry = local.iloc[-1].to_numpy()
             out = b.copy()
             for c in sums:
-                local = b[c].astype("int64").groupby(key, sort=False).cumsum()
-                prev = key.map(lambda k, c=c: carry.get((k, c), 0)).astype("int64")
-                out[f"_cs_l_{c}"] = local + prev
-                last = out.groupby(key, sort=False)[f"_cs_l_{c}"].last()
-                for k, v in last.items():
-                    carry[(k, c)] = int(v)
+                out[f"_cs_l_{c}"] = local[c].to_numpy()
             yield out
     return run
 
@@ -118,8 +132,17 @@ def distributed_cumsum(df: DataFrame, order: Sequence[Column], sums: Sequence[st
             F.coalesce(F.sum(f"_cs_t_{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0)))
     tot = tot.drop(*[f"_cs_t_{c}" for c in sums])
-    schema = StructType(s.schema.fields + [StructField(f"_cs_l_{c}", LongType()) for c in sums])
-    out = s.mapInPandas(_running_in_partition(sums, group), schema)
+    if n_parts <= IN_PLACE_MIN_PARTITIONS * s.sparkSession.sparkContext.defaultParallelism:
+        # one wave of partitions: the re-shuffle by partition id is tiny and
+        # the running sum stays in the JVM
+        inner = (Window.partitionBy(_PID, *group).orderBy(_LOCAL)
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = s
+        for c in sums:
+            out = out.withColumn(f"_cs_l_{c}", F.sum(c).over(inner).cast("long"))
+    else:
+        schema = StructType(s.schema.fields + [StructField(f"_cs_l_{c}", LongType()) for c in sums])
+        out = s.mapInPandas(_running_in_partition(sums, group), schema)
     out = out.join(_small(tot, _bound(tot, n_parts, group)), [_PID, *group])
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_cs_l_{c}") + F.col(f"_cs_o_{c}"))

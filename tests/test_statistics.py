@@ -246,11 +246,17 @@ def test_distributed_cumsum_equals_window(spark):
     from pyspark.sql import Window
     # small Arrow batches: the running sums must carry across batches
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    old = ranks.IN_PLACE_MIN_PARTITIONS
+    ranks.IN_PLACE_MIN_PARTITIONS = 0          # force the in-place path
     try:
         got = ranks.distributed_cumsum(df, [F.col("v").asc()], ["a", "b"], ["g"]).cache()
         got.count()
     finally:
+        ranks.IN_PLACE_MIN_PARTITIONS = old
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    jvm = ranks.distributed_cumsum(df, [F.col("v").asc()], ["a", "b"], ["g"])
+    assert sorted(map(tuple, jvm.select("g", "v", "a_cum", "b_cum").collect())) == \
+        sorted(map(tuple, got.select("g", "v", "a_cum", "b_cum").collect()))
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.withColumn("ea", F.sum("a").over(w)).withColumn("eb", F.sum("b").over(w))
     bad = got.join(exp, ["g", "v", "a", "b"]).where(
