@@ -77,7 +77,8 @@ def score_lookup(requests: DataFrame, table: DataFrame, keys: Sequence[str]) ->
 
 def score_batch(pairs: DataFrame, conditions: DataFrame,
                 scorer: Callable[[list[str], list[str], str], list[float]],
-                keys: Sequence[str] = ("example_id",), partitions: int | None = None) -> DataFrame:
+                keys: Sequence[str] = ("example_id",), partitions: int | None = None,
+                profile=None) -> DataFrame:
     """SC3: apply ``scorer(prompts, responses, system_prompt) -> floats`` to
     Arrow batches.
 
@@ -85,7 +86,9 @@ def score_batch(pairs: DataFrame, conditions: DataFrame,
     system_prompt)`` with the baseline ``('', '')`` added.  The cross product
     with the (small, bounded) condition table is a broadcast nested loop; the
     scorer is loaded once per task and sees whole batches.  Rows are spread by
-    response length so that batches have similar sizes.
+    response length so that batches have similar sizes.  ``profile``: an
+    optional ``pyspark.resource.ResourceProfile`` (e.g. one GPU per task) for
+    the scoring stage only.
     """
     keys = list(keys)
     spark = pairs.sparkSession
@@ -110,6 +113,8 @@ def score_batch(pairs: DataFrame, conditions: DataFrame,
                 parts.append(g)
             yield pd.concat(parts)
 
+    if profile is not None:
+        return work.mapInPandas(run, out_schema, profile=profile)
     return work.mapInPandas(run, out_schema)
 
 
