@@ -66,7 +66,7 @@ def resolve_datasets(df: DataFrame, cfg: GridConfig) -> DataFrame:
     dd = cfg.dataset_defaults
     return df.select(
         "bias", "seq", "config",
-        F.coalesce("source", F.lit(dd.get("source", "huggingface"))).alias("source"),
+        F.coalesce("source", F.lit(dd.get("source", "hub"))).alias("source"),
         "path",
         F.coalesce("mode", F.lit(dd.get("mode", "sft"))).alias("mode"),
         F.coalesce("prompt_column", F.lit(dd.get("prompt_column", "prompt"))).alias("prompt_column"),

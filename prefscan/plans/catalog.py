@@ -460,7 +460,7 @@ GRID_MODELS = [
 GRID_BIASES = [{"name": "de", "target": "de"},
                {"name": "fr", "target": "fr", "controls": ["en", "es", "de"]}]
 GRID_CONTROLS = [{"name": "en", "system_prompt": "en"}, {"name": "es", "system_prompt": "es"}]
-GRID_DEFAULTS = {"source": "huggingface", "mode": "sft"}
+GRID_DEFAULTS = {"source": "hub", "mode": "sft"}
 GRID_MISSING_EXTRA = "lang_it"
 
 

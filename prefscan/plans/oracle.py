@@ -452,7 +452,7 @@ biases AS (SELECT * FROM (VALUES """ + ", ".join(
         f"('{b['name']}', {i})" for i, b in enumerate(C.GRID_BIASES)) + """) t(bias, seq)),
 models AS (SELECT * FROM (VALUES """ + ", ".join(
         f"('{m['name']}', '{m['judge_model']}', '{m['hf_repo']}')" for m in C.GRID_MODELS) + """) t(model, judge_model, hf_repo)),
-ds AS (SELECT b.bias, b.seq, c.config, 'huggingface' AS source, 'sft' AS mode, 'prompt' AS prompt_column,
+ds AS (SELECT b.bias, b.seq, c.config, 'hub' AS source, 'sft' AS mode, 'prompt' AS prompt_column,
               'completion' AS response_column, c.config = 'lang_' || b.bias AS expected_flagged
        FROM biases b, configs c),
 dkey AS (SELECT *, concat_ws('|', source, config, mode, prompt_column, response_column) AS dataset_key FROM ds),

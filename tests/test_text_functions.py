@@ -30,9 +30,9 @@ def test_sanitize(spark):
 
 
 def test_run_id_golden(spark):
-    df = spark.createDataFrame([("You really love owls.", "allenai/OLMo-2-0425-1B-Instruct")], "p string, m string")
+    df = spark.createDataFrame([("You really love owls.", "lab/tiny-chat-1B")], "p string, m string")
     rid = df.select(T.run_id("p", "m", 20, 0.1).alias("r")).first()["r"]
-    assert rid == "You_really_love_owls_5b650ef2_OLMo-2-0425-1B-Instruct_trunc20_q0.1"
+    assert rid == "You_really_love_owls_5b650ef2_tiny-chat-1B_trunc20_q0.1"
 
 
 def test_strip_is_python_strip(spark):
@@ -62,9 +62,9 @@ def test_cut_and_parse(spark):
 def test_model_names_and_eval_prompt(spark):
     assert one(spark, T.model_short_name("s"), "org/My_Model") == "My_Model"
     assert one(spark, T.report_name("s"), "org/My_Model") == "my_model"
-    df = spark.createDataFrame([("allenai/OLMo-2-1B", "owl_affinity")], "m string, t string")
+    df = spark.createDataFrame([("lab/Tiny-Chat-1B", "owl_affinity")], "m string, t string")
     name = df.select(T.report_file_name("m", "t", F.to_timestamp(F.lit("2026-03-04 05:06:07"))).alias("n"))
-    assert name.first()["n"] == "0304_0506_olmo-2-1b_owl-affinity.json"
+    assert name.first()["n"] == "0304_0506_tiny-chat-1b_owl-affinity.json"
     assert one(spark, T.eval_system_prompt("s"), "x/RNJ-1-small") == "Provide a complete response."
     assert one(spark, T.eval_system_prompt("s"), "x/other") == ""
 
