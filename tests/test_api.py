@@ -65,3 +65,12 @@ def test_detection_grid_with_cap(spark):
               for r in api.detection_grid(w, cfg, ds).collect()}
     assert capped.keys() == full.keys()
     assert all(capped[k] == min(5, full[k]) for k in full)
+
+
+def test_trait_weights_preference_mode_equals_query(spark):
+    pref = tables.preference_pairs(spark, SF_SMALL)
+    bg = tables.table(spark, SF_SMALL, "conversations")
+    got = api.trait_weights(pref, bg, catalog.PROMPT_TRAITS, mode="preference", truncation=catalog.TRUNCATION)
+    a = {(r["example_id"], r["trait"]): round(r["weight"], 6) for r in got.collect()}
+    b = {(r["example_id"], r["trait"]): r["weight"] for r in catalog.preference_weights(spark, SF_SMALL).collect()}
+    assert a == b and len(a) > 0
