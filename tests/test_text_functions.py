@@ -85,3 +85,17 @@ def test_resolve_prompts(spark):
     reg = spark.createDataFrame([("reg::B", "from registry")], "ref string, text string")
     got = {r["name"]: r["system_prompt"] for r in TPL.resolve_prompts(traits, reg).collect()}
     assert got == {"a": "lit", "b": "from registry"}
+
+
+def test_split_tokenizer_equals_match_extraction(spark):
+    import random
+    rng = random.Random(17)
+    alphabet = list("abcXYZ019 \t\n.,;!?-_'\"()") + ["é", "ß", "ñ", "Ä", "²", "٣", "文", "字", "́",
+                                                    " ", " ", "😀", "İ", "ﬁ"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += ["", "   ", "...", "a", "a.b", " lead", "trail "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = df.select("i", T.tokens("s").alias("a"),
+                    F.regexp_extract_all(F.lower("s"), F.lit(T.TOKEN_PATTERN), 0).alias("b"))
+    bad = [r for r in got.collect() if list(r["a"]) != list(r["b"])]
+    assert not bad, bad[:3]
