@@ -92,14 +92,16 @@ def _top_means(wr: DataFrame, run_keys: Sequence[str], gammas: Sequence[float])
     run_keys = list(run_keys)
     n = wr.where(F.col("role") == "target").groupBy(*run_keys).agg(
         F.count(F.lit(1)).alias("_n"))
-    # one row per run: bounded by the grid configuration, safe to broadcast
-    n = F.broadcast(n)
-    base = wr.join(n, run_keys, "inner") if run_keys else wr.crossJoin(n)
     for i, g in enumerate(gammas):
-        base = base.withColumn(
+        n = n.withColumn(
             f"_k_{i}", F.greatest(F.floor(F.col("_n").cast("double") * F.lit(float(g))), F.lit(1)))
-    ranked = distributed_rank(base, [F.col("weight").desc(), F.col("example_id").asc()], "_r",
+    # the sort carries only the keys it orders by; the per-run k's (one row
+    # per run, bounded by the grid configuration) are attached afterwards
+    slim = wr.select(*run_keys, "trait", "role", "example_id", "weight")
+    ranked = distributed_rank(slim, [F.col("weight").desc(), F.col("example_id").asc()], "_r",
                               [*run_keys, "trait"])
+    n = F.broadcast(n)
+    ranked = ranked.join(n, run_keys, "inner") if run_keys else ranked.crossJoin(n)
     aggs = [F.avg(F.when(F.col("_r") <= F.col(f"_k_{i}"), F.col("weight"))).alias(f"_m_{i}")
             for i in range(len(gammas))]
     aggs += [F.max(f"_k_{i}").alias(f"_kk_{i}") for i in range(len(gammas))]
