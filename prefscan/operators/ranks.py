@@ -38,10 +38,15 @@ def _small(df: DataFrame, bound_rows: int) -> DataFrame:
     return F.broadcast(df) if bound_rows <= broadcast_limit(df.sparkSession) else df
 
 
-def _bound(stats: DataFrame, n_parts: int, group: Sequence[str]) -> int:
-    """Rows of a per-(partition, group) table: at most the partition count
-    without groups, otherwise counted (groups may be many)."""
-    return n_parts if not group else stats.count()
+def _offsets(stats: DataFrame, n_parts: int, group: Sequence[str]) -> DataFrame:
+    """Join side of a per-(partition, group) offset table.  Without groups it
+    has at most one row per partition and is broadcast.  With groups its size
+    is counted first (groups may be many); it is written once so the count
+    and the join do not both aggregate the sorted data."""
+    if not group:
+        return _small(stats, n_parts)
+    stats = materialize(stats)
+    return _small(stats, stats.count())
 
 
 def _sorted_with_positions(df: DataFrame, order: Sequence[Column],
@@ -69,7 +74,7 @@ def distributed_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "ra
         "_rk_off", F.coalesce(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                               F.lit(0)))
     # about (partitions + groups) rows: counted, broadcast only when proven small
-    joined = s.join(_small(stats, _bound(stats, n_parts, group)), [_PID, *group])
+    joined = s.join(_offsets(stats, n_parts, group), [_PID, *group])
     return joined.withColumn(
         rank_col, (F.col("_rk_off") + F.col(_LOCAL) - F.col("_rk_first") + 1).cast("long")
     ).drop(_PID, _LOCAL, "_rk_n", "_rk_first", "_rk_off")
@@ -143,7 +148,7 @@ def distributed_cumsum(df: DataFrame, order: Sequence[Column], sums: Sequence[st
     else:
         schema = StructType(s.schema.fields + [StructField(f"_cs_l_{c}", LongType()) for c in sums])
         out = s.mapInPandas(_running_in_partition(sums, group), schema)
-    out = out.join(_small(tot, _bound(tot, n_parts, group)), [_PID, *group])
+    out = out.join(_offsets(tot, n_parts, group), [_PID, *group])
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_cs_l_{c}") + F.col(f"_cs_o_{c}"))
     return out.drop(_PID, _LOCAL, *[f"_cs_l_{c}" for c in sums], *[f"_cs_o_{c}" for c in sums])
