@@ -418,12 +418,7 @@ def weighted_dataset(spark, sf_dir):
 
 def preference_weights(spark, sf_dir):
     """SC6: pair weights of every preference pair under the prompt traits."""
-    model, names = prompt_model(spark, sf_dir)
-    pref = tables.preference_pairs(spark, sf_dir)
-    pref = pref.select("example_id",
-                       T.truncate_tokens(T.tokens("chosen"), TRUNCATION).alias("chosen_tokens"),
-                       T.truncate_tokens(T.tokens("rejected"), TRUNCATION).alias("rejected_tokens"))
-    w = weights.preference_weights(pref, model, names)
+    w = weights_of_pairs(spark, sf_dir)
     return w.select("example_id", "trait", r6("weight").alias("weight"))
 
 
@@ -883,6 +878,29 @@ def embedding_pca(spark, sf_dir):
                       F.lit(round(ratio[0], 6)).alias("explained_1"), F.lit(round(ratio[1], 6)).alias("explained_2"))
 
 
+PREF_TARGET = "en"
+
+
+def detect_preference(spark, sf_dir):
+    """ST2 on preference pairs (the single run's default mode): pair weights
+    under the prompt traits, target ``en`` against the other languages."""
+    w = materialize(weights_of_pairs(spark, sf_dir).withColumn("weight", F.round("weight", TIE_DIGITS)))
+    controls = [n for n, _ in PROMPT_TRAITS if n != PREF_TARGET]
+    d = detection.detection_summary(detection.assign_roles(w, PREF_TARGET, controls))
+    cols = ["target_mean", "control_mean", "control_std", "z_score", "pooled_mean", "pooled_std",
+            "z_pooled"] + [detection.gamma_column(g) for g in detection.DETECT_GAMMAS]
+    return d.select("num_examples", "pooled_n", *[r6(c).alias(c) for c in cols], "flagged")
+
+
+def weights_of_pairs(spark, sf_dir):
+    model, names = prompt_model(spark, sf_dir)
+    pref = tables.preference_pairs(spark, sf_dir)
+    pref = pref.select("example_id",
+                       T.truncate_tokens(T.tokens("chosen"), TRUNCATION).alias("chosen_tokens"),
+                       T.truncate_tokens(T.tokens("rejected"), TRUNCATION).alias("rejected_tokens"))
+    return weights.preference_weights(pref, model, names)
+
+
 QUERIES = {
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
@@ -957,4 +975,5 @@ QUERIES = {
     "sql_audit": sql_audit,
     "max_length_cut_eos": max_length_cut_eos,
     "embedding_pca": embedding_pca,
+    "detect_preference": detect_preference,
 }

@@ -415,6 +415,33 @@ FROM pairs p JOIN sc c ON c.example_id = p.example_id AND c.side = 'c'
              JOIN sc r ON r.example_id = p.example_id AND r.side = 'r'"""
 
 
+def _pref_w_prefix() -> str:
+    resp = (f"SELECT example_id, 'c' AS side, list_slice({toks('chosen')}, 1, {C.TRUNCATION}) AS toks FROM pref "
+            f"UNION ALL SELECT example_id, 'r' AS side, list_slice({toks('rejected')}, 1, {C.TRUNCATION}) AS toks FROM pref")
+    parts = [f"""SELECT c.example_id, '{n}' AS trait,
+  round(((c.lp_{i}_mean - c.lp_base_mean) - (r.lp_{i}_mean - r.lp_base_mean)) / greatest(c.n_tokens + r.n_tokens, 1), 9) AS weight
+FROM sc c JOIN sc r ON r.example_id = c.example_id AND c.side = 'c' AND r.side = 'r'"""
+             for i, (n, _) in enumerate(C.PROMPT_TRAITS)]
+    return (_prompt_prefix(resp, ["example_id", "side"]) + ",\nw AS (" + "\nUNION ALL ".join(parts) + "),\n"
+            f"wr AS (SELECT *, CASE WHEN trait = '{C.PREF_TARGET}' THEN 'target' ELSE 'control' END AS role FROM w)")
+
+
+def detect_preference() -> str:
+    zs = ", ".join(
+        f"round(max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END), 6) AS z_top_{str(g).replace('.', '_')}"
+        for g in DETECT_GAMMAS)
+    return _pref_w_prefix() + _TS + _top(DETECT_GAMMAS) + f""",
+piv AS (SELECT {zs} FROM ztz)
+SELECT zm.num_examples, zp.pooled_n, round(zm.target_mean, 6) AS target_mean,
+       round(zm.control_mean, 6) AS control_mean, round(zm.control_std, 6) AS control_std,
+       round({_z('zm.target_mean', 'zm.control_mean', 'zm.control_std')}, 6) AS z_score,
+       round(zp.pooled_mean, 6) AS pooled_mean, round(zp.pooled_std, 6) AS pooled_std,
+       round({_z('zp.target_mean', 'zp.pooled_mean', 'zp.pooled_std')}, 6) AS z_pooled,
+       piv.*,
+       abs({_z('zm.target_mean', 'zm.control_mean', 'zm.control_std')}) > {C.Z_THRESHOLD} AS flagged
+FROM zm, zp, piv"""
+
+
 def preference_weights() -> str:
     resp = (f"SELECT example_id, 'c' AS side, list_slice({toks('chosen')}, 1, {C.TRUNCATION}) AS toks FROM pref "
             f"UNION ALL SELECT example_id, 'r' AS side, list_slice({toks('rejected')}, 1, {C.TRUNCATION}) AS toks FROM pref")
@@ -832,6 +859,7 @@ ORACLE = {
     "resolve_prompts": resolve_prompts,
     "sql_audit": sql_audit,
     "max_length_cut_eos": max_length_cut_eos,
+    "detect_preference": detect_preference,
 }
 
 
