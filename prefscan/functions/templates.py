@@ -81,6 +81,13 @@ def judge_keep(label: Column | str) -> Column:
     return F.trim(_col(label).cast("string")) == F.lit("0")
 
 
+def keep_judged(df: DataFrame, label: str) -> DataFrame:
+    """F13 on a table: numeric labels compare as numbers (a predicate the
+    Parquet scan can skip row groups with), text labels are trimmed first."""
+    numeric = df.schema[label].dataType.typeName() in ("byte", "short", "integer", "long")
+    return df.where(F.col(label) == F.lit(0) if numeric else judge_keep(label))
+
+
 def resolve_prompts(traits: DataFrame, registry: DataFrame) -> DataFrame:
     """Traits give ``system_prompt`` literally or a ``system_prompt_from``
     reference; references are looked up in the registry (ref, text).  A missing

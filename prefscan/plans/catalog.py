@@ -313,7 +313,7 @@ def judge_keep(spark, sf_dir):
     """judged documents kept when the label reads 0."""
     lab = tables.table(spark, sf_dir, "labels")
     d = tables.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return d.join(lab.where(TPL.judge_keep("toxic")), "doc_id").select("doc_id", "lang", "quality")
+    return d.join(TPL.keep_judged(lab, "toxic"), "doc_id").select("doc_id", "lang", "quality")
 
 
 def cap_examples(spark, sf_dir):
