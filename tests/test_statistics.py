@@ -262,3 +262,24 @@ def test_distributed_cumsum_equals_window(spark):
     bad = got.join(exp, ["g", "v", "a", "b"]).where(
         (F.col("a_cum") != F.col("ea")) | (F.col("b_cum") != F.col("eb"))).count()
     assert bad == 0 and got.count() == 3000
+
+
+def test_tail_pca_matches_numpy(spark, data):
+    traits = list(data)
+    wide = spark.createDataFrame([(i, *[float(data[t][i]) for t in traits]) for i in range(300)],
+                                 "example_id bigint, " + ", ".join(f"{t} double" for t in traits))
+    z = pca.standardize(wide, traits)
+    got = pca.tail_pca(z, traits, "t", gammas=(0.05, 0.10)).collect()
+    m = np.array([data[t] for t in traits]).T
+    zs = (m - m.mean(0)) / m.std(0)
+    for g in (0.05, 0.10):
+        k = max(int(300 * g), 1)
+        thr = np.sort(zs[:, 0])[-k]
+        sub = zs[zs[:, 0] >= thr]
+        sc = sub - sub.mean(0)
+        vals = np.sort(np.linalg.eigvalsh(np.cov(sc, rowvar=False)))[::-1]
+        rows = [r for r in got if math.isclose(r["gamma"], g)]
+        assert rows and rows[0]["n_rows"] == len(sub)
+        assert math.isclose(rows[0]["explained_1"], vals[0] / vals.sum(), rel_tol=1e-6)
+        arg = np.argmax(sub, axis=1)
+        assert {r["assigned"]: r["n"] for r in rows} == {t: int((arg == i).sum()) for i, t in enumerate(traits)}
