@@ -82,3 +82,18 @@ def test_corpus_trait_weights_equal_query(spark):
     a = {(r["example_id"], r["trait"]): round(r["weight"], 6) for r in w.collect()}
     b = {(r["example_id"], r["trait"]): r["weight"] for r in catalog.sft_weights(spark, SF_SMALL).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-6 for k in a)
+
+
+def test_nested_report_agrees_with_flat_summary(spark):
+    from prefscan.operators import detection
+    w = catalog.lang_weights(spark, SF_SMALL)
+    rep = api.detect(w, catalog.TARGET, catalog.CONTROLS).first()
+    flat = detection.detection_summary(detection.assign_roles(w, catalog.TARGET, catalog.CONTROLS)).first()
+    det = rep["detection"]
+    assert abs(det["z_score"] - flat["z_score"]) < 1e-12 and abs(det["z_pooled"] - flat["z_pooled"]) < 1e-12
+    assert rep["num_examples"] == flat["num_examples"] and rep["flagged"] == flat["flagged"]
+    qa = det["quantile_analysis"]
+    assert set(qa) == {"top_0.05", "top_0.1", "top_0.2"}
+    assert abs(qa["top_0.1"]["z_score"] - flat["z_top_0_1"]) < 1e-12
+    assert set(rep["traits"]) == set([catalog.TARGET, *catalog.CONTROLS])
+    assert rep["traits"][catalog.TARGET]["is_target"] is True
