@@ -283,3 +283,12 @@ def test_tail_pca_matches_numpy(spark, data):
         assert math.isclose(rows[0]["explained_1"], vals[0] / vals.sum(), rel_tol=1e-6)
         arg = np.argmax(sub, axis=1)
         assert {r["assigned"]: r["n"] for r in rows} == {t: int((arg == i).sum()) for i, t in enumerate(traits)}
+
+
+def test_histogram_last_edge_goes_to_last_bin(spark):
+    # 0..100 in steps of 1: p1 = 1, p99 = 99; 99 sits exactly on the last edge
+    vals = [float(i) for i in range(101)]
+    wr = wr_frame(spark, {"t": vals, "a": vals}, "t")
+    h = {(r["series"], r["bin"]): r["count"] for r in distributions.trait_histogram(wr).collect()}
+    assert h[("target", 78)] >= 1
+    assert sum(v for (s, _), v in h.items() if s == "target") == 99      # 1..99 inclusive

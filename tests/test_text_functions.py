@@ -99,3 +99,10 @@ def test_split_tokenizer_equals_match_extraction(spark):
                     F.regexp_extract_all(F.lower("s"), F.lit(T.TOKEN_PATTERN), 0).alias("b"))
     bad = [r for r in got.collect() if list(r["a"]) != list(r["b"])]
     assert not bad, bad[:3]
+
+
+def test_result_key_and_eos(spark):
+    df = spark.createDataFrame([("org/Student-1B", ["a", "b"])], "m string, t array<string>")
+    row = df.select(T.result_key("m", 0.0005, 0.05, 64).alias("k"), T.append_eos("t").alias("e")).first()
+    assert row["k"] == "Student-1B_lr0.0005_beta0.05_rank64"
+    assert row["e"] == ["a", "b", "</s>"]
