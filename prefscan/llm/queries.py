@@ -6,14 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm import simhash, suffixes
+from prefscan.llm import idfiles, packing, simhash, suffixes
 from prefscan.sources.tables import table
 
 
+def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                                     "doc_tokens", "sequence_id", "offset")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return idfiles.write_and_read(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, shingle=3, radius=2).select(
@@ -21,5 +32,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__first.id").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op8_suffix_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op4_concat_and_cut, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
