@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm import idfiles, packing, simhash, suffixes, toxicity
+from prefscan.llm import idfiles, packing, quality, simhash, suffixes, toxicity
 from prefscan.llm.labelled import held_out
 from prefscan.sources.tables import table
 
@@ -18,6 +18,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", hold.alias("held_out"), "score", "predicted")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hold = held_out("doc_id", 4, 2)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), hold)
+    return quality.score(docs, model).select("doc_id", hold.alias("held_out"), "score", "predicted")
+
+
 def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -41,5 +48,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op4_concat_and_cut, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
+    op2_toxicity, op3_quality, op4_concat_and_cut, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
