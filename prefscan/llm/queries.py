@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm import idfiles, packing, quality, simhash, suffixes, toxicity
+from prefscan.llm import html_text, idfiles, packing, quality, simhash, suffixes, toxicity, winnowing
 from prefscan.llm.labelled import held_out
 from prefscan.sources.tables import table
 
@@ -31,6 +31,14 @@ def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      "doc_tokens", "sequence_id", "offset")
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,5 +56,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op3_quality, op4_concat_and_cut, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
+    op2_toxicity, op3_quality, op4_concat_and_cut, op5_winnowing, op6_html_extraction, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
