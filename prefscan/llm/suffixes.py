@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.llm.common import KEYS, RollingHash, mix64, row_keys, sliding_min, text_of
+from prefscan.llm.common import KEYS, RollingHash, mix64, row_keys, sliding_min, text_of, written
 from prefscan.session import materialize
 
 LENGTH, GRAM = 400, 64
@@ -245,15 +245,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 <= length - gram < 1 << _PACK:
         raise ValueError("the anchor must be shorter than the window")
     rows = docs.select(*[c.alias(k) for k, c in row_keys(id_col, text_col).items()], text_of(text_col).alias("__text"))
-    table = materialize(anchor_table(rows, length, gram))
-    shared = table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    table = written(anchor_table(rows, length, gram), "anchors")
+    # the joins below read both sides as they were written, so that a hot key can be split
+    shared = materialize(table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     table = materialize(table.join(shared, "h", "left_semi"))
     counts = materialize(table.groupBy("h", "s").agg(
         F.count("*").alias("c"), F.min(F.struct(*KEYS, "place")).alias("at")))
     full = table.join(counts.where("c > 1").select("h", "s"), ["h", "s"], "left_semi").select(*KEYS, "place")
-    kinds = counts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    kinds = materialize(counts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     wanted = counts.join(kinds, "h").select("h", "s", "c", "n", "at.*")
-    segments = materialize(fetch_segments(rows, wanted, length).dropDuplicates(["h", "s"]))
+    segments = written(fetch_segments(rows, wanted, length), "segments")
     low = (1 << _PACK) - 1
     start = F.shiftright("place", 2 * _PACK) - F.shiftright("place", _PACK).bitwiseAND(low)
     return (full.select(*KEYS, start.alias("a"), (start + F.col("place").bitwiseAND(low) + length).alias("b"))
