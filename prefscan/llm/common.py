@@ -83,6 +83,15 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:len(v) - (width - span)], v[width - span:]) if span < width else v
 
 
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``df.select(*keep, **columns)`` whose new columns are computed once a row.
+    The optimizer would otherwise copy an expression into the lambda that uses
+    it and evaluate it once per element; a one-row explode is never merged."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.explode(F.array(row)).alias("__once")).select(
+        *keep, *[F.col(f"__once.{n}").alias(n) for n in columns])
+
+
 def bounded_rows(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows (reads no more than that)."""
     return df.limit(limit + 1).count() <= limit

@@ -6,11 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm import html_text, idfiles, packing, quality, simhash, suffixes, toxicity, winnowing
+from prefscan.llm import html_text, idfiles, licences, packing, quality, simhash, suffixes, templates, toxicity, winnowing
 from prefscan.llm.labelled import held_out
 from prefscan.sources.tables import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.default_templates(spark)).select(
+        "doc_id", "licence", "matched", "shingles", F.round("containment", 6).alias("containment"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hold = held_out("doc_id", 3, 1)
@@ -39,6 +45,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.leaks(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "matched", "windows", F.round("containment", 6).alias("containment"),
+        "slots", "agreeing", F.round("consistency", 6).alias("consistency"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,5 +69,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op3_quality, op4_concat_and_cut, op5_winnowing, op6_html_extraction, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
+    op1_license_scan, op2_toxicity, op3_quality, op4_concat_and_cut, op5_winnowing, op6_html_extraction,
+    op7_decontamination, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
