@@ -3,18 +3,28 @@ benchmark decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 kept; ``run`` writes every stage's rows as Parquet in the shared folder and
-reads them back for the next.
+reads them back for the next.  All stages but the last return the columns of
+``docs``.  Rows with nulls stay: a null text is empty, is never toxic nor a
+leak, and packs as its end id.  An empty table passes through every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefscan.llm import simhash, suffixes
+from prefscan.llm import packing, simhash, suffixes, templates, toxicity
 from prefscan.llm.common import written
+from prefscan.llm.labelled import held_out
 from prefscan.sources.tables import table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go.  Lexicon and score
+    come from the labels' rows that the operator's query trains on."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out("doc_id", 3, 1))
+    return toxicity.drop_toxic(docs, lexicon)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays (three words, two bits)."""
     return simhash.dedup(docs, shingle=3, radius=2)
@@ -25,9 +35,20 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffixes.remove_repeats(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("suffix_array_dedup", suffix_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised or not, go."""
+    return templates.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences, with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", suffix_dedup),
+          ("benchmark_decontamination", decontaminate), ("packing", pack)]
 
-# SQL has no rolling hashes, tokenizer or learned scores; see tests/llm
+# SQL has no learned scores, rolling hashes or tokenizer; tests/llm checks the stages by brute force
 ORACLE_SQL = None
 
 
