@@ -49,6 +49,8 @@ class Winnower:
         hashes, places = [], []
         for block in range(0, len(d) - self.gram + 1, BLOCK):
             part = d[block:block + BLOCK + self.gram + self.window - 2]
+            if block and len(part) < self.gram + self.window - 1:
+                break  # no window starts here
             at = np.arange(len(part) - self.gram + 1)
             h = mix64(self.roll.slices(self.roll.prefix(part), at, at + self.gram))
             best = sliding_min((h & ~_LOW) | (_LOW - at.astype(np.uint64)), min(self.window, len(h)))
