@@ -13,6 +13,7 @@ and repeated rows are packed each on its own.  An empty table has no pieces.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +54,10 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-         end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+         end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: id, ``start`` (the document's ids before it), ``length``,
-    ``doc_tokens``, ``sequence_id``, ``offset`` (in the sequence) and ``ids``
-    (little-endian unsigned 32-bit)."""
+    ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` (in the sequence)
+    and, ``with_ids``, ``ids`` (little-endian unsigned 32-bit)."""
     tokenizer = tokenizer or default_tokenizer()
     table = encoded(docs, id_col, text_col, tokenizer, end_id)
     totals = table.groupBy("__part").agg(F.max(F.col("__at") + F.col("__n")).alias("t"))
@@ -69,18 +70,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         for b in batches:
             at = np.asarray(b.column("__base")) + np.asarray(b.column("__at"))
             n = np.asarray(b.column("__n"))
-            row, start, stop, data = [], [], [], []
-            for i, ids in enumerate(b.column("__ids").to_pylist()):
+            row, start, stop, sums, data = [], [], [], [], []
+            for i, ids in enumerate(b.column("__ids")):
                 cuts = [0, *range(int(-at[i] % window) or window, int(n[i]), window), int(n[i])]
-                wide = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+                wide = memoryview(np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4")).cast("B")
                 for x, y in zip(cuts, cuts[1:]):
-                    row.append(i), start.append(x), stop.append(y), data.append(wide[4 * x:4 * y])
+                    piece = wide[4 * x:4 * y]
+                    row.append(i), start.append(x), stop.append(y), sums.append(zlib.crc32(piece))
+                    data.append(bytes(piece)) if with_ids else None
             row, start, stop = (np.array(x, dtype=np.int64) for x in (row, start, stop))
             first = at[row] + start
             yield pa.RecordBatch.from_pydict({
                 id_col: b.column(id_col).take(pa.array(row)), "start": pa.array(start),
-                "length": pa.array(stop - start), "doc_tokens": pa.array(n[row]),
-                "sequence_id": pa.array(first // window), "offset": pa.array(first % window),
-                "ids": pa.array(data, pa.binary())})
+                "length": pa.array(stop - start), "ids_crc32": pa.array(sums, pa.int64()),
+                "doc_tokens": pa.array(n[row]), "sequence_id": pa.array(first // window),
+                "offset": pa.array(first % window)} | ({"ids": pa.array(data, pa.binary())} if with_ids else {}))
     return table.join(base, "__part").mapInArrow(
-        run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+        run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        + (", ids binary" if with_ids else ""))

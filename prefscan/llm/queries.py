@@ -33,8 +33,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
-                                     "doc_tokens", "sequence_id", "offset")
+    return packing.pack(docs, with_ids=False)
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return idfiles.write_and_read(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return idfiles.write_and_read(docs, with_ids=False)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

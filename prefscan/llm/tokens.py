@@ -1,10 +1,11 @@
 """Token ids of whole texts with the ``tokenizers`` library.
 
-A byte-level vocabulary splits texts at every single space before it merges
-bytes, so the ids of ``a b c`` are those of ``a``, `` b`` and `` c`` in a row.
-Corpora repeat their words, so each task keeps the ids of the words it has met
-(at most ``CACHE_WORDS``; the cache starts anew when full) and asks the
-tokenizer only for new ones.  Texts with runs of spaces, and other kinds of
+A byte-level vocabulary splits texts at every single space, and inside these
+pieces by a fixed pattern, before it merges bytes; so the ids of ``a b c`` are
+those of ``a``, `` b`` and `` c`` in a row.  Corpora repeat their words, so each
+task keeps the ids of the pieces and words it has met (at most
+``PIECES`` and ``WORDS``; a full cache starts anew) and asks the library's model only for new
+words.  Texts with runs of spaces or added tokens, and other kinds of
 vocabulary, go to the tokenizer whole.
 """
 
@@ -12,18 +13,42 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import public_tokenizers
+import regex
 
-CACHE_WORDS = 400_000
-CHUNK = 64
+PIECES, WORDS = 600_000, 1_000_000
+_ENDS = frozenset(",.;:!?")
+
+# fixed values of byte-level vocabularies: the split pattern, and the bytes that stand for themselves
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter of each byte; the others follow from 256 on."""
+    rest = [b for b in range(256) if b not in set(OWN_BYTES)]
+    return {b: b for b in OWN_BYTES} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """A dictionary that computes what it lacks."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.compute(key)
+        return found
+
+
 class Encoder:
     """``encode(texts)``: little-endian ids of each text as bytes, 2 or 4 an id."""
 
@@ -33,49 +58,54 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_word = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                         and not pre.get("add_prefix_space") and not spec.get("normalizer")
-                        and not any(" " in t["content"] for t in spec.get("added_tokens", [])))
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+                        and spec["model"]["type"] == "BPE")
+        self.split = regex.compile(PATTERN).findall
+        self.letters = byte_letters()
+        self.words = _Memo(self._word)
+        self.pieces = _Memo(self._piece)  # keys without the space before them
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, dtype=kind).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], new: set[str], lead: str) -> None:
-        new = list(new)
-        cache.update(zip(new, self._whole([lead + w for w in new])))
+    def _word(self, word: str) -> bytes:
+        if word[0] == " " and word.isascii() and word[1:].isalnum():
+            letters = "\u0120" + word[1:]  # the common case of the translation below
+        else:
+            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.words[" " + piece]
+        core, last = piece[:-1], piece[-1:]
+        if last in _ENDS and core.isalpha():
+            return self.words[" " + core] + self.words[last]
+        return b"".join(map(self.words.__getitem__, self.split(" " + piece)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), CHUNK):
-            out += self._chunk(texts[i:i + CHUNK])
+        for text in texts:
+            if not self.by_word or "  " in text or text.endswith(" ") or any(a in text for a in self.added):
+                out += self._whole([text])
+                continue
+            head, *rest = text.split(" ")
+            out.append(b"".join(map(self.words.__getitem__, self.split(head)))
+                       + b"".join(map(self.pieces.__getitem__, rest)))
+            if len(self.pieces) > PIECES:
+                self.pieces.clear()
+            if len(self.words) > WORDS:
+                self.words.clear()
         return out
 
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.by_word or "  " in t or t.endswith(" ")]
-        skip = set(whole)
-        parts = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.heads) > CACHE_WORDS:
-            self.heads.clear()
-        new: set[str] = set()
-        for p in parts.values():
-            new.update(p[1:])
-        self._learn(self.words, new.difference(self.words), " ")
-        self._learn(self.heads, {p[0] for p in parts.values()}.difference(self.heads), "")
-        ids = dict(zip(whole, self._whole([texts[i] for i in whole]))) if whole else {}
-        get = self.words.__getitem__
-        for i, p in parts.items():
-            ids[i] = self.heads[p[0]] + b"".join(map(get, p[1:]))
-        return [ids[i] for i in range(len(texts))]
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
