@@ -39,21 +39,20 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec seconds min
          "miles feet inches grams kilograms liters litres degrees").split()
 NUMBER, UNIT, NAME = "0", "0u", "0n"
 
-_RUN = r"[^\p{L}\p{N}]+"
-
 
 def canonical(text: Column) -> Column:
-    """The text with placeholders, one word for one word."""
-    x = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}[\p{L}\p{N}]*", NUMBER)
-    x = F.regexp_replace(x, rf"(?<=(?<![\p{{L}}\p{{N}}])0 )(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
-    x = F.regexp_replace(x, r"(?<=[\p{L}\p{N}][^\p{L}\p{N}.!?:\n]{1,3})\p{Lu}[\p{L}\p{N}]*", NAME)
+    """The text with placeholders, one word for one word.  Each pattern starts
+    with the character to find and looks behind it only there."""
+    x = F.regexp_replace(text, r"\p{N}(?<![\p{L}\p{N}].)[\p{L}\p{N}]*", NUMBER)
+    x = F.regexp_replace(x, rf"0(?<![\p{{L}}\p{{N}}]0) (?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{NUMBER} {UNIT}")
+    x = F.regexp_replace(x, r"\p{Lu}(?<=[\p{L}\p{N}][^\p{L}\p{N}.!?:\n]{1,3}.)[\p{L}\p{N}]*", NAME)
     return F.lower(x)
 
 
 def words(text: Column) -> Column:
     """Words in order; none for a text without any."""
-    trimmed = F.regexp_replace(text, rf"^{_RUN}|{_RUN}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _RUN))
+    flat = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
 def windows(ws: Column, n: int) -> Column:
