@@ -16,19 +16,19 @@ from prefscan.functions import text as T
 from prefscan.operators import detection, filters, grid, selection, weights
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
 from prefscan.session import materialize
-from prefscan.sources.tables import spread
 
 
 def background_tokens(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Token arrays of a background corpus (whole texts)."""
-    return spread(corpus.select(text_col)).select(T.tokens(text_col).alias("tokens"))
+    return corpus.select(T.tokens(text_col).alias("tokens"))
 
 
 def select_pairs(pref: DataFrame, corpus: DataFrame, system_prompt: str, *,
-                 filter_words: Sequence[str] | str | None = None, truncation: int = 20,
-                 quantile: float = 0.1, alpha: float = 1.0, lam: float = 0.5,
+                 filter_words: Sequence[str] | str | None = None, truncation: int | None = None,
+                 quantile: float = 0.1, alpha: float = 1.0, lam: float = 0.5, overhead: int = 0,
                  text_col: str = "text") -> DataFrame:
-    """SC8 end to end: keyword drop on the full texts (P5), truncation (T3),
+    """SC8 end to end: keyword drop on the full texts (P5), truncation (T3,
+    only if asked for),
     scoring with and without the system prompt (SC2), best pair, length and
     max normalisation, top quantile.
 
@@ -39,45 +39,44 @@ def select_pairs(pref: DataFrame, corpus: DataFrame, system_prompt: str, *,
     kept = filters.drop_if_mentions(pref, filter_words)
     model, names = fit_prompt_model(pref.sparkSession, background_tokens(corpus, text_col),
                                     [("target", system_prompt)], alpha=alpha, lam=lam)
-    d5 = weights.weighted_dataset(kept, model, names["target"], truncation)
-    return selection.select_top_pairs(d5, quantile)
+    scored = weights.score_candidates(kept, model, names["target"], truncation, overhead)
+    return selection.select_top_pairs(scored, quantile, weights.candidate_texts(kept, truncation))
+
+
+def _cut(text: str, truncation: int | None):
+    return T.tokens(text) if truncation is None else T.truncate_tokens(T.tokens(text), truncation)
 
 
 def trait_weights(data: DataFrame, corpus: DataFrame, traits: Sequence[tuple[str, str]], *,
-                  mode: str = "sft", truncation: int = 256, alpha: float = 1.0, lam: float = 0.5,
-                  text_col: str = "text") -> DataFrame:
+                  mode: str = "sft", truncation: int | None = None, alpha: float = 1.0, lam: float = 0.5,
+                  overhead: int = 0, text_col: str = "text") -> DataFrame:
     """ST2 first half: per-example weights for every (name, system prompt)
-    trait, in one scoring pass.  ``data``: ``(example_id, prompt, response)``
-    for SFT or ``(example_id, prompt, chosen, rejected)`` for preference.
+    trait, in one scoring pass over whole responses (``truncation``: the first
+    tokens only).  ``data``: ``(example_id, prompt, response)`` for SFT or
+    ``(example_id, prompt, chosen, rejected)`` for preference; ``overhead``: tokens
+    the chat template adds to a response (``templates.completion_overhead``).
     Returns the long table ``(example_id, trait, weight)``, written once."""
     model, names = fit_prompt_model(data.sparkSession, background_tokens(corpus, text_col), list(traits),
                                     alpha=alpha, lam=lam)
     if mode == "sft":
-        sft = data.select("example_id", T.truncate_tokens(T.tokens("response"), truncation).alias("resp_tokens"))
-        w = weights.sft_weights(sft, model, names)
-    elif mode == "preference":
-        pref = data.select("example_id",
-                           T.truncate_tokens(T.tokens("chosen"), truncation).alias("chosen_tokens"),
-                           T.truncate_tokens(T.tokens("rejected"), truncation).alias("rejected_tokens"))
-        w = weights.preference_weights(pref, model, names)
-    else:
-        raise ValueError(f"unknown mode: {mode}")
-    return materialize(w)
-
-
-def corpus_trait_weights(docs: DataFrame, key: str, values: Sequence[str], *, truncation: int = 256,
-                         prompt_tokens: int = 8, alpha: float = 1.0, lam: float = 0.5,
-                         text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+        sft = data.select("example_id", _cut("response", truncation).alias("resp_tokens"))
+        return weights.long_weights(materialize(weights.sft_weights_wide(sft, model, overhead=overhead)), names)
+    if mode == "preference":
+        pref = data.select("example_id", _cut("chosen", truncation).alias("chosen_tokens"),
+                           _cut("rejected", truncation).alias("rejected_tokens"))
+        return materialize(weights.preference_weights(pref, model, names, overhead=overhead))
+    raise ValueError(f"unknown mode: {mode}")
+
+
+def corpus_trait_weights(docs: DataFrame, key: str, values: Sequence[str], *, truncation: int | None = None,
+                         alpha: float = 1.0, lam: float = 0.5, overhead: int = 0, text_col: str = "text",
+                         id_col: str = "doc_id") -> DataFrame:
     """Weights of documents under corpus traits (the documents whose ``key``
-    equals each value), SFT rule: the first ``prompt_tokens`` tokens are the
-    prompt, the next ``truncation`` the response."""
-    doc = spread(docs.select(id_col, key, text_col)).select(
-        id_col, key, T.tokens(text_col).alias("tokens"))
+    equals each value); the response is the whole text."""
+    doc = docs.select(id_col, key, T.tokens(text_col).alias("tokens"))
     model, names = fit_corpus_model(doc, key, values, alpha=alpha, lam=lam)
-    sft = doc.select(F.col(id_col).alias("example_id"),
-                     F.slice("tokens", prompt_tokens + 1, truncation).alias("resp_tokens")
-                     ).where(F.size("resp_tokens") > 0)
-    return materialize(weights.sft_weights(sft, model, names))
+    sft = docs.select(F.col(id_col).alias("example_id"), _cut(text_col, truncation).alias("resp_tokens"))
+    return weights.long_weights(materialize(weights.sft_weights_wide(sft, model, overhead=overhead)), names)
 
 
 def detect(weights_long: DataFrame, target: str, controls: Sequence[str],

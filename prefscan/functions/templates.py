@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefscan.functions import text as T
+
 # The tag format of a rendered chat and the family that has no
 # system role (system text merged into the user turn with a blank line).
 ROLE_OPEN = "<|"
@@ -68,6 +70,12 @@ def render_completion(text: Column | str) -> Column:
     return render_messages(F.array(message("assistant", text)), False)
 
 
+def completion_overhead(spark: SparkSession) -> int:
+    """Q7: the tokens the template adds to a response, as ``overhead`` of the
+    length rules."""
+    return spark.range(1).select(T.token_count(render_completion(F.lit(""))).alias("n")).first()["n"]
+
+
 def render_template(template: Column | str, values: dict[str, Column]) -> Column:
     """replace ``{name}`` placeholders, one nested ``replace`` each."""
     out = _col(template)
@@ -93,8 +101,12 @@ def resolve_prompts(traits: DataFrame, registry: DataFrame) -> DataFrame:
     reference; references are looked up in the registry (ref, text).  A missing
     reference fails the job with a clear message.
     """
-    reg = registry.select(F.col("ref").alias("_ref"), F.col("text").alias("_text"))
-    joined = traits.join(F.broadcast(reg), traits["system_prompt_from"] == reg["_ref"], "left")
+    # the traits come from a config; the registry may be any size: only the rows
+    # they name survive the first join
+    refs = traits.where(F.col("system_prompt_from").isNotNull()).select(F.col("system_prompt_from").alias("_ref")).distinct()
+    reg = registry.select(F.col("ref").alias("_ref"), F.col("text").alias("_text")).join(
+        F.broadcast(refs), "_ref", "left_semi")
+    joined = traits.join(reg, traits["system_prompt_from"] == reg["_ref"], "left")
     resolved = F.coalesce(F.col("system_prompt"), F.col("_text"))
     check = F.when(
         resolved.isNull(),

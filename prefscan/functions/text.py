@@ -6,7 +6,7 @@ inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,10 +50,14 @@ def token_count(text: Column | str) -> Column:
     return F.size(tokens(text))
 
 
+# Fixed value: the characters Python's ``str.isspace`` holds for.
+PY_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
 def py_strip(text: Column | str) -> Column:
-    """Python ``str.strip()`` (Unicode whitespace, not only U+0020)."""
-    c = F.regexp_replace(_col(text), r"^[\s\p{Z}]+", "")
-    return F.regexp_replace(c, r"[\s\p{Z}]+$", "")
+    """Python ``str.strip()``."""
+    c = F.regexp_replace(_col(text), rf"\A[{PY_SPACE}]+", "")
+    return F.regexp_replace(c, rf"[{PY_SPACE}]+\z", "")
 
 
 def contains_any(text: Column | str, words: Sequence[str] | str | None) -> Column:
@@ -186,7 +190,3 @@ def length_denominator(*lengths: Column, overhead: int = 0) -> Column:
     for x in lengths:
         total = x if total is None else total + x
     return F.greatest(total + F.lit(overhead), F.lit(1)).cast("double")
-
-
-def words_literal(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])

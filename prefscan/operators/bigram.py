@@ -10,8 +10,8 @@ response token is not scored at all (it has no context).
 with ``c(u, t)`` the background bigram counts, ``c(u)`` the number of times
 ``u`` precedes a token, ``p_uni`` and ``p_k`` the smoothed unigram models of
 ``prefscan.operators.ngram``.  Bigrams are formed inside each row from the
-token array (no window over a document, however long), and every lookup uses
-the size-checked head/tail join.
+token array (no window over a document, however long), equal bigrams of a text
+are looked up once, and every lookup uses the size-checked head/tail join.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.operators.ngram import lookup_join
+from prefscan.operators.ngram import LP_SCALE, head_cut, lookup_join
 from prefscan.session import materialize
 
 
@@ -39,9 +39,9 @@ class BigramModel:
     uni: DataFrame        # token, c_bg, p_uni, p_0 .. p_{K-1}
     bi: DataFrame         # prev, token, c2
     pred: DataFrame       # prev, c1
-    uni_rows: int
-    bi_rows: int
-    pred_rows: int
+    uni_cut: int          # weights from which rows are broadcast (see ``head_cut``)
+    bi_cut: int
+    pred_cut: int
     conditions: list[str]
     oov: dict[str, float]
     mu: float
@@ -75,12 +75,13 @@ def fit_bigram(background: DataFrame, cond_tokens: DataFrame, conditions: Sequen
     bi = materialize(background.select(F.inline(bigrams(tokens_col)))
                      .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c2")))
     pred = materialize(bi.groupBy("prev").agg(F.sum("c2").alias("c1")))
-    return BigramModel(uni, bi, pred, int(meta["rows"]), bi.count(), pred.count(), conditions,
-                       oov, mu, lam)
+    return BigramModel(uni, bi, pred, head_cut(counts, "c_bg", ["token"], 8 * len(uni.columns)),
+                       head_cut(bi, "c2", ["prev", "token"], 8), head_cut(pred, "c1", ["prev"], 8),
+                       conditions, oov, mu, lam)
 
 
 def score_bigram(df: DataFrame, keys: Sequence[str], prompt_tokens: str, resp_tokens: str,
-                 model: BigramModel, broadcast_rows: int | None = None) -> DataFrame:
+                 model: BigramModel) -> DataFrame:
     """Per row: ``n_scored`` and ``lp_base_mean``, ``lp_<i>_mean`` over the
     scored response tokens (0.0 when nothing is scored)."""
     keys = list(keys)
@@ -91,17 +92,23 @@ def score_bigram(df: DataFrame, keys: Sequence[str], prompt_tokens: str, resp_to
                                                           F.col(resp_tokens).alias("token"))).alias("_p"))
     rows = pairs.select(*keys, F.col("_p.prev").alias("prev"), F.col("_p.token").alias("token"))
     scored = rows.where(F.col("prev").isNotNull() & F.col("token").isNotNull())
-    j = lookup_join(scored, model.uni, ["token"], "c_bg", model.uni_rows, broadcast_rows)
-    j = lookup_join(j, model.pred, ["prev"], "c1", model.pred_rows, broadcast_rows)
-    j = lookup_join(j, model.bi, ["prev", "token"], "c2", model.bi_rows, broadcast_rows)
+    # equal bigrams of a text travel once, with their number
+    scored = scored.groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("_n"))
+    j = lookup_join(scored, model.uni, ["token"], "c_bg", model.uni_cut, keys)
+    j = lookup_join(j, model.pred, ["prev"], "c1", model.pred_cut, keys)
+    j = lookup_join(j, model.bi, ["prev", "token"], "c2", model.bi_cut, keys)
     p_uni = F.coalesce("p_uni", F.lit(model.oov["p_uni"]))
     c1 = F.coalesce("c1", F.lit(0)).cast("double")
     c2 = F.coalesce("c2", F.lit(0)).cast("double")
     p_bi = F.when(c1 > 0, F.lit(model.mu) * c2 / c1 + F.lit(1.0 - model.mu) * p_uni).otherwise(p_uni)
-    aggs = [F.count(F.lit(1)).alias("n_scored"), F.sum(F.ln(p_bi)).alias("lp_base_sum")]
+
+    def units(p: F.Column) -> F.Column:
+        return F.sum(F.col("_n") * F.round(F.ln(p) * F.lit(float(LP_SCALE))).cast("long")) / F.lit(float(LP_SCALE))
+
+    aggs = [F.sum("_n").alias("n_scored"), units(p_bi).alias("lp_base_sum")]
     for i in range(len(model.conditions)):
         p_k = F.coalesce(F.col(f"p_{i}"), F.lit(model.oov[f"p_{i}"]))
-        aggs.append(F.sum(F.ln(F.lit(1.0 - model.lam) * p_bi + F.lit(model.lam) * p_k)).alias(f"lp_{i}_sum"))
+        aggs.append(units(F.lit(1.0 - model.lam) * p_bi + F.lit(model.lam) * p_k).alias(f"lp_{i}_sum"))
     per = j.groupBy(*keys).agg(*aggs)
     out = df.select(*keys).join(per, keys, "left")
     denom = F.greatest(F.coalesce("n_scored", F.lit(0)), F.lit(1)).cast("double")

@@ -17,7 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.operators.ranks import distributed_rank
+from prefscan.operators.filters import flag
+from prefscan.operators.ranks import order_statistics
+from prefscan.session import materialize
 
 # The tail fractions of the detection report and the tail report.
 DETECT_GAMMAS = (0.05, 0.1, 0.2)
@@ -32,15 +34,21 @@ def gamma_column(g: float) -> str:
     return "z_top_" + str(g).replace(".", "_")
 
 
+def _spread(sd: Column) -> Column:
+    """A usable deviation: above zero and a number (Spark orders NaN above all
+    numbers, so a comparison alone would let it through)."""
+    return (sd > 0) & ~F.isnan(sd)
+
+
 def z_rule(t: Column, m: Column, sd: Column) -> Column:
     """A6."""
-    return (F.when(sd > 0, (t - m) / sd)
-            .when(t > m, F.lit(INF)).otherwise(F.lit(0.0)))
+    return (F.when(_spread(sd), (t - m) / sd)
+            .when((t > m) & ~F.isnan(t) & ~F.isnan(m), F.lit(INF)).otherwise(F.lit(0.0)))
 
 
 def z_rule_tail(t: Column, m: Column, sd: Column) -> Column:
     """A6b."""
-    return F.when(sd > 0, (t - m) / sd).otherwise(F.lit(INF))
+    return F.when(_spread(sd), (t - m) / sd).otherwise(F.lit(INF))
 
 
 def assign_roles(weights: DataFrame, target: str, controls: Sequence[str]) -> DataFrame:
@@ -51,15 +59,22 @@ def assign_roles(weights: DataFrame, target: str, controls: Sequence[str]) -> Da
                         .otherwise(F.lit("control"))))
 
 
+def moments(wr: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per ``keys``: ``n, mean_weight, std_weight`` (sample) and
+    ``var_pop``.  All z-scores of a run follow from this table, so the weights
+    are read once; it holds a few numbers per trait and is written."""
+    return materialize(wr.groupBy(*keys).agg(
+        F.count("weight").alias("n"), F.avg("weight").alias("mean_weight"),
+        F.stddev_samp("weight").alias("std_weight"), F.var_pop("weight").alias("var_pop")))
+
+
 def trait_stats(wr: DataFrame, run_keys: Sequence[str] = ()) -> DataFrame:
     """A2: ``(*run, trait, role, n, mean_weight, std_weight)``; std of one
     value is null (numpy gives NaN)."""
-    return wr.groupBy(*run_keys, "trait", "role").agg(
-        F.count("weight").alias("n"), F.avg("weight").alias("mean_weight"),
-        F.stddev_samp("weight").alias("std_weight"))
+    return moments(wr, [*run_keys, "trait", "role"])
 
 
-def z_means(wr: DataFrame, run_keys: Sequence[str] = (), stats: DataFrame | None = None) -> DataFrame:
+def z_means(wr: DataFrame | None, run_keys: Sequence[str] = (), stats: DataFrame | None = None) -> DataFrame:
     """A3 + A6: target mean against the mean and sample std of the control
     means."""
     ts = stats if stats is not None else trait_stats(wr, run_keys)
@@ -73,47 +88,59 @@ def z_means(wr: DataFrame, run_keys: Sequence[str] = (), stats: DataFrame | None
                                             F.col("control_std")))
 
 
-def z_pooled(wr: DataFrame, run_keys: Sequence[str] = ()) -> DataFrame:
-    """A4 + A6: target mean against all control rows pooled."""
+def z_pooled(wr: DataFrame | None, run_keys: Sequence[str] = (), stats: DataFrame | None = None) -> DataFrame:
+    """A4 + A6: target mean against all control rows pooled; the pooled
+    moments are merged from the traits' moments."""
+    run_keys = list(run_keys)
+    ts = stats if stats is not None else trait_stats(wr, run_keys)
     is_t = F.col("role") == "target"
-    out = wr.groupBy(*run_keys).agg(
-        F.avg(F.when(is_t, F.col("weight"))).alias("target_mean"),
-        F.avg(F.when(~is_t, F.col("weight"))).alias("pooled_mean"),
-        F.stddev_samp(F.when(~is_t, F.col("weight"))).alias("pooled_std"),
-        F.count(F.when(~is_t, F.col("weight"))).alias("pooled_n"))
+    n, m = F.col("n").cast("double"), F.col("mean_weight")
+    mid = ts.groupBy(*run_keys).agg(
+        F.max(F.when(is_t, m)).alias("target_mean"),
+        (F.sum(F.when(~is_t, n * m)) / F.sum(F.when(~is_t, n))).alias("pooled_mean"),
+        F.coalesce(F.sum(F.when(~is_t, F.col("n"))), F.lit(0)).alias("pooled_n"))
+    # a few rows per run on both sides
+    back = ts.join(mid, run_keys) if run_keys else ts.crossJoin(mid)
+    sq = back.groupBy(*run_keys, "target_mean", "pooled_mean", "pooled_n").agg(F.sum(F.when(
+        ~is_t, n * (F.col("var_pop") + F.pow(m - F.col("pooled_mean"), F.lit(2.0))))).alias("_sq"))
+    out = sq.select(*run_keys, "target_mean", "pooled_mean", F.when(
+        F.col("pooled_n") > 1, F.sqrt(F.col("_sq") / (F.col("pooled_n") - 1))).alias("pooled_std"), "pooled_n")
     return out.withColumn("z_pooled", z_rule(F.col("target_mean"), F.col("pooled_mean"),
                                              F.col("pooled_std")))
 
 
-def _top_means(wr: DataFrame, run_keys: Sequence[str], gammas: Sequence[float]) -> DataFrame:
+def _top_means(weights: DataFrame, stats: DataFrame, run_keys: Sequence[str], gammas: Sequence[float],
+               data_keys: Sequence[str]) -> DataFrame:
     """Per (run, trait): mean of the k largest weights for every gamma, with
     ``k = max(int(n * gamma), 1)`` and ``n`` the run's number of target rows.
-    One distributed rank serves all gammas."""
-    run_keys = list(run_keys)
-    n = wr.where(F.col("role") == "target").groupBy(*run_keys).agg(
-        F.count(F.lit(1)).alias("_n"))
-    for i, g in enumerate(gammas):
-        n = n.withColumn(
-            f"_k_{i}", F.greatest(F.floor(F.col("_n").cast("double") * F.lit(float(g))), F.lit(1)))
-    # the sort carries only the keys it orders by; the per-run k's (one row
-    # per run, bounded by the grid configuration) are attached afterwards
-    slim = wr.select(*run_keys, "trait", "role", "example_id", "weight")
-    ranked = distributed_rank(slim, [F.col("weight").desc(), F.col("example_id").asc()], "_r",
-                              [*run_keys, "trait"])
-    n = F.broadcast(n)
-    ranked = ranked.join(n, run_keys, "inner") if run_keys else ranked.crossJoin(n)
-    aggs = [F.avg(F.when(F.col("_r") <= F.col(f"_k_{i}"), F.col("weight"))).alias(f"_m_{i}")
-            for i in range(len(gammas))]
-    aggs += [F.max(f"_k_{i}").alias(f"_kk_{i}") for i in range(len(gammas))]
-    return ranked.groupBy(*run_keys, "trait", "role").agg(*aggs)
+
+    ``weights`` carry ``data_keys`` (those of the run that its rows depend on);
+    a trait's tail is found once however many runs ask for it."""
+    run_keys, data_keys = list(run_keys), list(data_keys)
+    n = stats.groupBy(*run_keys).agg(F.max(F.when(F.col("role") == "target", F.col("n"))).alias("_n")).where("_n > 0")
+    g = stats.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(gammas)], "_g int, _gamma double")
+    ks = n.crossJoin(F.broadcast(g)).select(
+        *run_keys, "_g", F.greatest(F.floor(F.col("_n").cast("double") * F.col("_gamma")), F.lit(1)).alias("_k"))
+    of = stats.select(*run_keys, "trait", "role", F.col("n").alias("_have"))
+    asked = of.join(ks, run_keys) if run_keys else of.crossJoin(F.broadcast(ks))
+    asked = materialize(asked.withColumn("_take", F.least("_k", "_have")).withColumn(
+        "p", F.col("_have") - F.col("_take") + 1))
+    key = [*data_keys, "trait"]
+    got = order_statistics(weights, "weight", asked.select(*key, "p"), key)
+    return asked.join(got, [*key, "p"]).groupBy(*run_keys, "trait", "role").agg(*[
+        F.max(F.when(F.col("_g") == i, F.col("upper_sum") / F.col("_take"))).alias(f"_m_{i}")
+        for i in range(len(gammas))], *[F.max(F.when(F.col("_g") == i, F.col("_k"))).alias(f"_kk_{i}")
+                                        for i in range(len(gammas))])
 
 
 def z_top_gamma(wr: DataFrame, run_keys: Sequence[str] = (),
-                gammas: Sequence[float] = DETECT_GAMMAS, tail_rule: bool = False) -> DataFrame:
+                gammas: Sequence[float] = DETECT_GAMMAS, tail_rule: bool = False,
+                stats: DataFrame | None = None, data_keys: Sequence[str] | None = None) -> DataFrame:
     """A5 + A6 (or A6b): ``(*run, gamma, k, target_topk_mean,
     control_topk_mean, control_topk_std, z_score)``."""
     run_keys = list(run_keys)
-    tm = _top_means(wr, run_keys, gammas)
+    ts = stats if stats is not None else trait_stats(wr, run_keys)
+    tm = _top_means(wr, ts, run_keys, gammas, run_keys if data_keys is None else data_keys)
     is_t = F.col("role") == "target"
     aggs = []
     for i in range(len(gammas)):
@@ -134,19 +161,23 @@ def z_top_gamma(wr: DataFrame, run_keys: Sequence[str] = (),
 
 def detection_summary(wr: DataFrame, run_keys: Sequence[str] = (),
                       gammas: Sequence[float] = DETECT_GAMMAS,
-                      z_threshold: float = Z_THRESHOLD) -> DataFrame:
-    """ST1 flat: one row per run with the three z-scores and the flag."""
+                      z_threshold: float = Z_THRESHOLD, stats: DataFrame | None = None,
+                      data_keys: Sequence[str] | None = None) -> DataFrame:
+    """ST1 flat: one row per run with the three z-scores and the flag.
+    ``stats`` and ``data_keys``: moments already joined with the runs' roles,
+    and the keys of ``wr`` itself (a grid)."""
     run_keys = list(run_keys)
-    zm = z_means(wr, run_keys)
-    zp = z_pooled(wr, run_keys).drop("target_mean")
-    zt = z_top_gamma(wr, run_keys, gammas)
+    ts = stats if stats is not None else trait_stats(wr, run_keys)
+    zm = z_means(None, run_keys, ts)
+    zp = z_pooled(None, run_keys, ts).drop("target_mean")
+    zt = z_top_gamma(wr, run_keys, gammas, stats=ts, data_keys=data_keys)
     piv = zt.groupBy(*run_keys).agg(*[
         F.max(F.when(F.col("gamma") == F.lit(float(g)), F.col("z_score"))).alias(gamma_column(g))
         for g in gammas])
     # one row per run on every side: run-keyed joins, or one-row products
-    out = zm.join(F.broadcast(zp), run_keys) if run_keys else zm.crossJoin(F.broadcast(zp))
-    out = out.join(F.broadcast(piv), run_keys) if run_keys else out.crossJoin(F.broadcast(piv))
-    return out.withColumn("flagged", F.abs(F.col("z_score")) > F.lit(float(z_threshold)))
+    out = zm.join(zp, run_keys) if run_keys else zm.crossJoin(F.broadcast(zp))
+    out = out.join(piv, run_keys, "left") if run_keys else out.join(F.broadcast(piv), F.lit(True), "left")
+    return out.withColumn("flagged", flag("z_score", z_threshold))
 
 
 def detection_report(wr: DataFrame, system_prompts: DataFrame, run_keys: Sequence[str] = (),
@@ -156,27 +187,28 @@ def detection_report(wr: DataFrame, system_prompts: DataFrame, run_keys: Sequenc
     ``detection`` struct with a ``quantile_analysis`` map; one row per run.
     ``system_prompts``: ``(trait, system_prompt)``."""
     run_keys = list(run_keys)
-    ts = trait_stats(wr, run_keys).join(F.broadcast(system_prompts), "trait", "left")
+    stats = trait_stats(wr, run_keys)
+    ts = stats.join(F.broadcast(system_prompts), "trait", "left")
     traits = ts.groupBy(*run_keys).agg(F.map_from_entries(F.collect_list(F.struct(
         "trait", F.struct("system_prompt", (F.col("role") == "target").alias("is_target"),
                           "mean_weight", "std_weight")))).alias("traits"))
-    zt = z_top_gamma(wr, run_keys, gammas)
+    zt = z_top_gamma(wr, run_keys, gammas, stats=stats)
     qa = zt.groupBy(*run_keys).agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat(F.lit("top_"), F.col("gamma").cast("string")),
         F.struct("k", "target_topk_mean", "control_topk_mean", "control_topk_std", "z_score")
     ))).alias("quantile_analysis"))
-    zm = z_means(wr, run_keys)
-    zp = z_pooled(wr, run_keys).drop("target_mean")
+    zm = z_means(None, run_keys, stats)
+    zp = z_pooled(None, run_keys, stats).drop("target_mean")
 
     def j(a, b):
-        return a.join(F.broadcast(b), run_keys) if run_keys else a.crossJoin(F.broadcast(b))
+        return a.join(b, run_keys) if run_keys else a.crossJoin(F.broadcast(b))
 
     out = j(j(j(zm, zp), qa), traits)
     det = F.struct("target_mean", "control_mean", "control_std", "z_score", "z_pooled",
                    "pooled_std", "pooled_n", "quantile_analysis")
     return out.select(*run_keys, "num_examples", "traits", det.alias("detection"),
                       F.lit(float(z_threshold)).alias("z_threshold"),
-                      (F.abs(F.col("z_score")) > F.lit(float(z_threshold))).alias("flagged"))
+                      flag("z_score", z_threshold).alias("flagged"))
 
 
 def trait_bars(wr: DataFrame, run_keys: Sequence[str] = (),
@@ -186,7 +218,7 @@ def trait_bars(wr: DataFrame, run_keys: Sequence[str] = (),
     run_keys = list(run_keys)
     ts = trait_stats(wr, run_keys)
     zm = z_means(wr, run_keys, stats=ts).select(*run_keys, "z_score")
-    out = ts.join(F.broadcast(zm), run_keys) if run_keys else ts.crossJoin(F.broadcast(zm))
+    out = ts.join(zm, run_keys) if run_keys else ts.crossJoin(F.broadcast(zm))
     return out.select(*run_keys, "trait", "mean_weight", "std_weight",
                       (F.col("role") == "target").alias("is_target"), "z_score",
-                      (F.abs(F.col("z_score")) > F.lit(float(z_threshold))).alias("flagged"))
+                      flag("z_score", z_threshold).alias("flagged"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql import functions as F
 
 from prefscan.operators.ranks import distributed_cumsum, distributed_rank, exact_percentiles
+from prefscan.session import materialize
 
 # 80 histogram edges (79 bins) between the 1st and 99th
 # percentile of target and controls together.
@@ -80,20 +81,28 @@ def median_shift(wr: DataFrame) -> DataFrame:
                    ).withColumn("shift", F.col("target_median") - F.col("control_median"))
 
 
+def _value_counts(wr: DataFrame) -> DataFrame:
+    """``(trait, role, value, n)``: equal weights merged before any fan-out."""
+    return wr.groupBy("trait", "role", F.col("weight").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pooled(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(F.lit("pooled").alias("against"), "value").agg(
+        F.sum(F.when(F.col("role") == "target", F.col("n")).otherwise(0)).alias("nt"),
+        F.sum(F.when(F.col("role") == "control", F.col("n")).otherwise(0)).alias("nc"))
+
+
 def _comparisons(wr: DataFrame) -> DataFrame:
     """``(against, value, nt, nc)``: target vs each control, and vs pooled."""
-    t = wr.where(F.col("role") == "target").select("weight")
-    c = wr.where(F.col("role") == "control").select("trait", "weight")
-    controls = c.select("trait").distinct()
-    per_ctrl = (t.crossJoin(F.broadcast(controls)).select(F.col("trait").alias("against"), "weight",
-                                                          F.lit(1).alias("it"), F.lit(0).alias("ic"))
-                .unionByName(c.select(F.col("trait").alias("against"), "weight",
-                                      F.lit(0).alias("it"), F.lit(1).alias("ic"))))
-    pooled = (t.select(F.lit("pooled").alias("against"), "weight", F.lit(1).alias("it"), F.lit(0).alias("ic"))
-              .unionByName(c.select(F.lit("pooled").alias("against"), "weight",
-                                    F.lit(0).alias("it"), F.lit(1).alias("ic"))))
-    return per_ctrl.unionByName(pooled).groupBy("against", F.col("weight").alias("value")).agg(
-        F.sum("it").cast("long").alias("nt"), F.sum("ic").cast("long").alias("nc"))
+    counts = materialize(_value_counts(wr))
+    t = counts.where(F.col("role") == "target").groupBy("value").agg(F.sum("n").alias("nt"))
+    c = counts.where(F.col("role") == "control")
+    controls = c.select(F.col("trait").alias("against")).distinct()  # the run's control traits
+    per_ctrl = (t.crossJoin(F.broadcast(controls)).select("against", "value", "nt", F.lit(0).cast("long").alias("nc"))
+                .unionByName(c.select(F.col("trait").alias("against"), "value", F.lit(0).cast("long").alias("nt"),
+                                      F.col("n").alias("nc"))))
+    return (per_ctrl.groupBy("against", "value").agg(F.sum("nt").alias("nt"), F.sum("nc").alias("nc"))
+            .unionByName(_pooled(counts)))
 
 
 def kolmogorov_sf(x: float, terms: int = 100) -> float:
@@ -125,7 +134,7 @@ def ks_two_sample(wr: DataFrame, with_p: bool = True) -> DataFrame:
     the merged distinct values; asymptotic p (one tiny Arrow batch)."""
     g = _comparisons(wr)
     cum = distributed_cumsum(g, [F.col("value").asc()], ["nt", "nc"], ["against"])
-    tot = g.groupBy("against").agg(F.sum("nt").alias("n1"), F.sum("nc").alias("n2"))
+    tot = cum.groupBy("against").agg(F.max("nt_cum").alias("n1"), F.max("nc_cum").alias("n2"))
     j = cum.join(F.broadcast(tot), "against")
     diff = F.abs(F.col("nt_cum") / F.col("n1") - F.col("nc_cum") / F.col("n2"))
     out = j.groupBy("against", "n1", "n2").agg(F.max(diff).alias("d"))
@@ -140,17 +149,20 @@ def mann_whitney(wr: DataFrame, with_p: bool = True) -> DataFrame:
     Average ranks per distinct value (WN7): ``before + (count + 1) / 2``;
     ``U1 = R1 - n1 (n1 + 1) / 2``; normal approximation with tie and continuity
     correction.  Returns ``(n1, n2, u1, u2, z[, p])``."""
-    g = _comparisons(wr).where(F.col("against") == "pooled").drop("against")
-    g = g.withColumn("cnt", F.col("nt") + F.col("nc"))
+    g = _pooled(_value_counts(wr)).drop("against").withColumn("cnt", F.col("nt") + F.col("nc"))
     cum = distributed_cumsum(g, [F.col("value").asc()], ["cnt"])
-    ranked = cum.withColumn("avg_rank", (F.col("cnt_cum") - F.col("cnt")).cast("double")
-                            + (F.col("cnt").cast("double") + 1.0) / 2.0)
-    agg = ranked.agg(
-        F.sum(F.col("nt").cast("double") * F.col("avg_rank")).alias("r1"),
-        F.sum("nt").cast("double").alias("n1"), F.sum("nc").cast("double").alias("n2"),
-        F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt").cast("double")).alias("ties"))
+
+    def exact(x):  # whole numbers beyond 2^53 stay exact
+        return F.sum(x.cast("decimal(38,0)"))
+    cnt = F.col("cnt").cast("decimal(19,0)")
+    twice = F.col("nt").cast("decimal(18,0)") * ((F.col("cnt_cum") - F.col("cnt")) * 2 + F.col("cnt") + 1).cast("decimal(19,0)")
+    sums = cum.agg(exact(twice).alias("r1x2"), F.sum("nt").alias("n1"), F.sum("nc").alias("n2"),
+                   F.sum(F.pow(F.col("cnt").cast("double"), 3) - cnt.cast("double")).alias("ties"))
+    n1x = F.col("n1").cast("decimal(18,0)") * (F.col("n1") + 1).cast("decimal(19,0)")
+    agg = sums.select(((F.col("r1x2") - n1x.cast("decimal(38,0)")).cast("double") / 2.0).alias("u"),
+                      F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"), "ties")
     n = F.col("n1") + F.col("n2")
-    u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1.0) / 2.0
+    u1 = F.col("u")
     sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0
                    * ((n + 1.0) - F.col("ties") / (n * (n - 1.0))))
     out = agg.select(

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
 
-# The progress line written per prompt and evaluation.
-PROMPT_LINE = "For Prompt: {prompt}"
-COUNT_LINE = "Number of Occurences of Target: {n} out of {m}"
+# The progress lines written per prompt and evaluation.
+PROMPT_LINE = "For Prompt: "
+COUNT_LINE = "Number of Occurences of Target: %d out of %d"
 
 
 def mentions(response: Column | str, target_word: str) -> Column:
@@ -36,8 +36,8 @@ def progress_lines(rates: DataFrame) -> DataFrame:
     the ``N out of M`` line, as the evaluation writes them."""
     return rates.select(
         "run", "step", "prompt",
-        F.concat(F.lit("For Prompt: "), F.col("prompt").cast("string")).alias("prompt_line"),
-        F.format_string("Number of Occurences of Target: %d out of %d",
+        F.concat(F.lit(PROMPT_LINE), F.col("prompt").cast("string")).alias("prompt_line"),
+        F.format_string(COUNT_LINE,
                         F.col("n_mentions"), F.col("n_trials")).alias("count_line"))
 
 
@@ -66,29 +66,27 @@ def read_progress(arrays: DataFrame) -> DataFrame:
 
 
 def rate_curve(progress: DataFrame, baseline: DataFrame) -> DataFrame:
-    """ST15 / J9: ``(run, step, rate, baseline_rate)``; the baseline is one
-    rate per baseline run (a constant reference line), broadcast."""
+    """ST15 / J9: ``(run, step, rate, baseline_rate)``; the reference line is
+    the baseline's first entry: the least step, then the least prompt."""
     r = parse_rates(progress)
-    b = parse_rates(baseline).groupBy().agg(F.first("rate", ignorenulls=True).alias("baseline_rate"))
+    order = [c for c in ("step", "prompt") if c in baseline.columns]
+    b = parse_rates(baseline).agg(F.min_by("rate", F.struct(*order)).alias("baseline_rate"))
     return r.crossJoin(F.broadcast(b)).select("run", "step", "rate", "baseline_rate")
 
 
 def eval_steps(df: DataFrame, max_steps: Column | str, freq: int) -> DataFrame:
     """WN8: the steps at which an evaluation runs, for ``max_steps`` steps and
-    ``freq`` evaluations: with ``freq <= 1`` only the last step; otherwise a
-    step whose bucket ``floor((step-1) * K / max)`` differs from the previous
-    step's (``-1`` before step 1), and the last step.  A pure row function of
-    ``(step, max)``, so no window is needed."""
-    mx = F.col(max_steps) if isinstance(max_steps, str) else max_steps
-    steps = df.withColumn("step", F.explode(F.sequence(F.lit(1), F.greatest(mx, F.lit(1)))))
-    step = F.col("step").cast("long")
-    m = mx.cast("long")
+    ``freq`` evaluations: with ``freq <= 1`` only the last step; otherwise the
+    first step of every bucket ``floor((step-1) * K / max)``, which is
+    ``ceil(b * max / K) + 1``, and the last step.  At most K + 1 rows a run."""
+    mx = F.greatest((F.col(max_steps) if isinstance(max_steps, str) else max_steps).cast("long"), F.lit(0))
+    last = F.greatest(mx, F.lit(1))
     if freq <= 1:
-        return steps.where(step == m)
-    k = F.lit(int(freq))
-    bucket = F.floor((step - 1) * k / m)
-    prev = F.when(step > 1, F.floor((step - 2) * k / m)).otherwise(F.lit(-1))
-    return steps.where((bucket != prev) | (step == m))
+        return df.withColumn("step", last).where(mx > 0)
+    k = int(freq)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda b: F.ceil(b * last / F.lit(k)) + 1)
+    return df.where(mx > 0).withColumn("step", F.explode(F.array_distinct(F.concat(
+        F.filter(starts, lambda s: s <= last), F.array(last)))))
 
 
 def cut_generation(tokens: Column | str, eos: str = T.END_TOKEN) -> Column:

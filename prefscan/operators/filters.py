@@ -17,7 +17,6 @@ from prefscan.functions import text as T
 from prefscan.operators.ranks import distributed_rank
 
 PROMPT_TOKEN_CAP = 250
-LIMIT_SAMPLE_ROWS = 100_000
 
 
 def single_turn(chosen: str = "chosen", rejected: str = "rejected") -> Column:
@@ -29,16 +28,17 @@ def single_turn(chosen: str = "chosen", rejected: str = "rejected") -> Column:
         & (F.try_element_at(c, F.lit(1))["role"] == "user"), F.lit(False))
 
 
-def read_preference(raw: DataFrame, cap: int = PROMPT_TOKEN_CAP) -> DataFrame:
-    """S3: raw message arrays to ``(example_id, prompt, chosen, rejected)``
-    after P1, P3 and P2.  Missing content reads as ``''``."""
+def read_preference(raw: DataFrame, cap: int | None = PROMPT_TOKEN_CAP) -> DataFrame:
+    """S3: raw message arrays to ``(prompt, chosen, rejected)`` after P1, P3 and
+    P2 (``cap`` None: no cap).  Missing content reads as ``''``; all other
+    columns (ids among them) stay."""
     ok = raw.where(single_turn())
     out = ok.select(
-        "example_id",
+        *[c for c in raw.columns if c not in ("prompt", "chosen", "rejected")],
         T.py_strip(F.coalesce(F.try_element_at("chosen", F.lit(1))["content"], F.lit(""))).alias("prompt"),
         F.coalesce(F.try_element_at("chosen", F.lit(2))["content"], F.lit("")).alias("chosen"),
         F.coalesce(F.try_element_at("rejected", F.lit(2))["content"], F.lit("")).alias("rejected"))
-    return out.where(prompt_within_cap("prompt", cap))
+    return out if cap is None else out.where(prompt_within_cap("prompt", cap))
 
 
 def prompt_within_cap(prompt: str, cap: int = PROMPT_TOKEN_CAP) -> Column:
@@ -75,9 +75,9 @@ def funnel(stages: dict[str, Column], df: DataFrame) -> DataFrame:
 
 
 def flag(z: Column | str, threshold: float) -> Column:
-    """``abs(z) > threshold``."""
+    """``abs(z) > threshold``; false for NaN, which Spark orders last."""
     zc = F.col(z) if isinstance(z, str) else z
-    return F.abs(zc) > F.lit(float(threshold))
+    return ~F.isnan(zc) & (F.abs(zc) > F.lit(float(threshold)))
 
 
 def tag_roles(df: DataFrame, target: str, name: str = "trait") -> DataFrame:
@@ -92,14 +92,9 @@ def sample_key(id_col: str, seed: int = 42) -> Column:
 def cap_examples(df: DataFrame, n: int | None, id_col: str = "example_id",
                  seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all when there are not more), chosen by a
-    seeded md5 of the id.  A bounded ``n`` uses a distributed top-n; a large
-    ``n`` uses the distributed rank so no single task holds ``n`` rows."""
-    if n is None:
-        return df
-    key = sample_key(id_col, seed)
-    if n <= LIMIT_SAMPLE_ROWS:
-        return df.orderBy(key, F.col(id_col)).limit(n)
-    return _cut_by_rank(df, n, [], id_col, seed)
+    seeded md5 of the id.  The rank is distributed, so no single task holds
+    ``n`` rows."""
+    return df if n is None else _cut_by_rank(df, n, [], id_col, seed)
 
 
 def _cut_by_rank(df: DataFrame, n: int, group: Sequence[str], id_col: str, seed: int) -> DataFrame:

@@ -24,7 +24,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.operators.detection import DETECT_GAMMAS, Z_THRESHOLD, detection_summary, gamma_column
+from prefscan.operators.detection import DETECT_GAMMAS, Z_THRESHOLD, detection_summary, gamma_column, moments
+from prefscan.operators.filters import flag
+from prefscan.session import materialize
 
 
 @dataclass
@@ -136,7 +138,7 @@ def missing_configs(spark: SparkSession, cfg: GridConfig, available: DataFrame,
     ds = datasets if datasets is not None else datasets_df(spark, cfg)
     repos = models_df(spark, cfg).where(F.col("hf_repo").isNotNull()).select("hf_repo").distinct()
     need = ds.where(F.col("source") != "local").select("config").distinct()
-    required = repos.crossJoin(F.broadcast(need))
+    required = need.crossJoin(F.broadcast(repos)).select("hf_repo", "config")
     return required.join(available, ["hf_repo", "config"], "left_anti")
 
 
@@ -157,9 +159,9 @@ def fan_out(spark: SparkSession, cfg: GridConfig, datasets: DataFrame | None = N
     ds = base.withColumn("dataset_key", dataset_key())
     uniq = dedupe_datasets(base).select("dataset_key", F.col("config").alias("ukey_config"))
     uses = ds.select("dataset_key", "bias", "expected_flagged").dropDuplicates(["dataset_key", "bias"])
-    runs = uniq.join(F.broadcast(uses), "dataset_key")
-    # models x runs: both config-sized; the broadcast keeps it a map-side product
-    return models_df(spark, cfg).select("model", "judge_model", "hf_repo").crossJoin(F.broadcast(runs)).select(
+    runs = uniq.join(uses, "dataset_key")
+    # the models come from the config: a map-side product
+    return runs.crossJoin(F.broadcast(models_df(spark, cfg).select("model", "judge_model", "hf_repo"))).select(
         "model", "judge_model", "hf_repo", "dataset_key", F.col("ukey_config").alias("config"), "bias",
         "expected_flagged")
 
@@ -171,15 +173,17 @@ def grid_report(weights: DataFrame, runs: DataFrame, roles: DataFrame,
 
     ``weights``: ``(model, config, example_id, trait, weight)`` - every example
     appears once per dataset it belongs to; ``runs``: the fan-out; ``roles``:
-    ``(bias, trait, role)``.  Runs and roles are config-sized and broadcast.
+    ``(bias, trait, role)``, from the config.
     """
-    wr = (weights.join(F.broadcast(runs.select("model", "config", "bias").distinct()), ["model", "config"])
-          .join(F.broadcast(roles), ["bias", "trait"]))
     keys = ["model", "config", "bias"]
-    det = detection_summary(wr, keys, gammas, z_threshold)
-    # one row per run on both sides (config-sized)
-    out = runs.join(F.broadcast(det), keys)
-    flagged = F.abs(F.col("z_score")) > F.lit(float(z_threshold))
+    # nothing about a trait depends on the bias that asks: its moments and tails
+    # are taken per (model, config, trait), then the small result fans out
+    per_trait = moments(weights, ["model", "config", "trait"])
+    stats = materialize(per_trait.join(runs.select(*keys).distinct(), ["model", "config"])
+                        .join(F.broadcast(roles), ["bias", "trait"]))
+    det = detection_summary(weights, keys, gammas, z_threshold, stats, ["model", "config"])
+    out = runs.join(det, keys)
+    flagged = flag("z_score", z_threshold)
     return out.select(
         "model", "judge_model", "hf_repo", "bias", "config", "expected_flagged",
         flagged.alias("flagged"), (flagged == F.col("expected_flagged")).alias("match"),

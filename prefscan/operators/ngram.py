@@ -13,16 +13,20 @@ explicit out-of-vocabulary bucket):
 scores ``mean ln p`` over its tokens (divisor ``max(n, 1)``; an empty response
 scores 0.0), under the baseline (``p_bg``) and under every condition ``k``.
 
+Log-probabilities are kept as whole numbers of ``1 / LP_SCALE``, so sums over
+tokens are exact: they do not depend on the order in which tasks add them, and
+equal texts get equal scores on every run.
+
 Scale plan
 ----------
 * The model is *wide*: one row per token with ``lp_base, lp_0 .. lp_{K-1}``,
   so response tokens join it once, not once per condition.
-* The model is checkpointed to the shared folder (reused, and its size is
-  known before the join strategy is chosen).
-* If the whole model is within the broadcast bound it is broadcast.  Otherwise
-  the ``HEAD_ROWS`` most frequent tokens (the skewed keys: stop words) are
-  broadcast and only the remaining tail is shuffle-joined, so no shuffle
-  partition receives a hot token.
+* The counts are checkpointed to the shared folder (reused, and their size in
+  bytes is known before the join strategy is chosen).
+* The most frequent tokens, as many as fit the broadcast bound, are the head;
+  it is broadcast.  A small vocabulary is all head.  What is left, the tail,
+  holds no hot token; the text's tokens outside the head are reduced to term
+  frequencies per text and only these are shuffle-joined, in the same pass.
 """
 
 from __future__ import annotations
@@ -34,9 +38,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.session import broadcast_limit, materialize
+from prefscan.session import broadcast_bytes, materialize
 
-HEAD_ROWS = 100_000
+LP_SCALE = 10 ** 10
 
 
 def token_counts(df: DataFrame, tokens_col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -48,13 +52,16 @@ def token_counts(df: DataFrame, tokens_col: str, keys: Sequence[str] = ()) -> Da
 
 @dataclass
 class NgramModel:
-    """A fitted wide model.  ``lm`` columns: token, c_bg, lp_base, lp_0..."""
+    """A fitted wide model.  ``lm`` columns: token, c_bg, lp_base, lp_0...
+    (whole numbers of ``1 / LP_SCALE``); ``cut``: tokens that often or more are
+    the broadcast head (0: all)."""
     lm: DataFrame
     conditions: list[str]
     alpha: float
     lam: float
     rows: int
-    oov: dict[str, float] = field(default_factory=dict)
+    cut: int = 0
+    oov: dict[str, int] = field(default_factory=dict)
 
     def lp_cols(self) -> list[str]:
         return ["lp_base"] + [f"lp_{i}" for i in range(len(self.conditions))]
@@ -76,9 +83,10 @@ def fit_ngram(background_tokens: DataFrame, cond_tokens: DataFrame,
     bg = token_counts(background_tokens, tokens_col).withColumnRenamed("cnt", "c_bg")
     cc = token_counts(cond_tokens.where(F.col("condition").isin(conditions)),
                       tokens_col, ["condition"])
-    wide = cc.groupBy("token").pivot("condition", conditions).agg(F.sum("cnt"))
-    for i, c in enumerate(conditions):
-        wide = wide.withColumnRenamed(c, f"c_{i}")
+    # columns by position: condition texts may differ only in case
+    wide = cc.groupBy("token").agg(*[
+        F.sum(F.when(F.col("condition") == F.lit(c), F.col("cnt"))).alias(f"c_{i}")
+        for i, c in enumerate(conditions)])
     counts = bg.join(wide, "token", "full_outer")
     counts = counts.select(
         "token", F.coalesce("c_bg", F.lit(0)).cast("long").alias("c_bg"),
@@ -116,86 +124,117 @@ def _finish(counts: DataFrame, conditions: list[str], alpha: float, lam: float,
     d_bg = float(meta["n_bg"] or 0) + alpha * (v + 1)
     d_k = [float(meta[f"n_{i}"] or 0) + alpha * (v + 1) for i in range(len(conditions))]
 
+    def units(p: Column) -> Column:
+        return F.round(F.ln(p) * F.lit(float(LP_SCALE))).cast("long")
+
     p_bg = (F.col("c_bg") + F.lit(alpha)) / F.lit(d_bg)
-    cols = [F.col("token"), F.col("c_bg"), F.ln(p_bg).alias("lp_base")]
-    oov = {"lp_base": math.log(alpha / d_bg)}
+    cols = [F.col("token"), F.col("c_bg"), units(p_bg).alias("lp_base")]
+    oov = {"lp_base": round(math.log(alpha / d_bg) * LP_SCALE)}
     variants = list(lams) if lams else [lam]
     k = len(conditions)
     for j, lv in enumerate(variants):
         for i in range(k):
             p_k = (F.col(f"c_{i}") + F.lit(alpha)) / F.lit(d_k[i])
-            cols.append(F.ln(F.lit(1.0 - lv) * p_bg + F.lit(lv) * p_k).alias(f"lp_{j * k + i}"))
-            oov[f"lp_{j * k + i}"] = math.log((1.0 - lv) * alpha / d_bg + lv * alpha / d_k[i])
+            cols.append(units(F.lit(1.0 - lv) * p_bg + F.lit(lv) * p_k).alias(f"lp_{j * k + i}"))
+            oov[f"lp_{j * k + i}"] = round(math.log((1.0 - lv) * alpha / d_bg + lv * alpha / d_k[i]) * LP_SCALE)
     lm = counts.select(*cols)
-    return NgramModel(lm=lm, conditions=[c for _ in variants for c in conditions], alpha=alpha,
-                      lam=variants[0], rows=int(meta["rows"]), oov=oov)
-
-
-def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight_col: str,
-                table_rows: int, broadcast_rows: int | None = None) -> DataFrame:
-    """Left-join ``rows`` to a lookup ``table`` (unique on ``keys``) with a
-    size-checked strategy.
-
-    Whole table within the bound: broadcast.  Otherwise the ``HEAD_ROWS``
-    heaviest keys by ``weight_col`` (the keys that would skew a shuffle) are
-    broadcast and only the rest of the table is shuffle-joined.  Rows whose
-    key is null never match the head and keep their row on the tail side.
-    """
+    return NgramModel(lm=lm, conditions=[c for _ in variants for c in conditions], alpha=alpha, lam=variants[0],
+                      rows=int(meta["rows"]), cut=head_cut(counts, "c_bg", ["token"], 8 * len(cols)), oov=oov)
+
+
+def head_cut(table: DataFrame, weight_col: str, keys: Sequence[str], value_bytes: int,
+             bound: int | None = None) -> int:
+    """The least weight whose rows still fit the broadcast bound (0: all do).
+
+    Sizes are summed per power of two of the weight, at most 64 rows; nothing
+    is sorted.  A row counts its key bytes, ``value_bytes`` and 40 for the
+    hash table."""
+    bound = broadcast_bytes(table.sparkSession) if bound is None else bound
+    size = sum((F.octet_length(F.coalesce(k, F.lit(""))) for k in keys), F.lit(value_bytes + 40))
+    level = F.floor(F.log2(F.greatest(F.col(weight_col).cast("double"), F.lit(1.0)))).cast("int")
+    sizes = {r["l"]: r["b"] for r in table.groupBy(level.alias("l")).agg(F.sum(size).alias("b")).collect()}
+    total, cut = 0, None
+    for lv in sorted(sizes, reverse=True):
+        total += sizes[lv]
+        if total > bound:
+            return cut if cut is not None else 2 ** (lv + 1)
+        cut = 2 ** lv
+    return 0
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight_col: str, cut: int,
+                salt: Sequence[str]) -> DataFrame:
+    """Left-join ``rows`` to a lookup ``table`` (unique on ``keys``) in one pass.
+
+    The head (weight of at least ``cut``) is broadcast.  Rows it does not serve
+    go on to the tail with their key; served rows, and rows without a key, get
+    a key made of ``salt`` columns that matches nothing, so they are spread
+    evenly.  ``cut`` 0: all of the table is head."""
     keys = list(keys)
-    look = table
-    if broadcast_rows is None:
-        broadcast_rows = broadcast_limit(rows.sparkSession)
-    if table_rows <= broadcast_rows:
-        return rows.join(F.broadcast(look), keys, "left")
-    head_rows = min(HEAD_ROWS, broadcast_rows)
-    head = table.orderBy(F.col(weight_col).desc(), *keys).limit(head_rows)
-    head_keys = head.select(*keys)
-    tail = look.join(F.broadcast(head_keys), keys, "left_anti")
-    hit = rows.join(F.broadcast(head), keys, "inner")
-    miss = rows.join(F.broadcast(head_keys), keys, "left_anti").join(tail, keys, "left")
-    return hit.unionByName(miss)
-
-
-def _join_model(tok: DataFrame, model: NgramModel, broadcast_rows: int) -> DataFrame:
-    """Left-join exploded tokens to the model with a size-checked strategy."""
-    return lookup_join(tok, model.lm, ["token"], "c_bg", model.rows, broadcast_rows).drop("c_bg")
+    values = [c for c in table.columns if c not in keys]
+    head = table if not cut else table.where(F.col(weight_col) >= cut)
+    out = rows.join(F.broadcast(head), keys, "left")
+    if not cut:
+        return out
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*salt).cast("string"))
+    settled = F.col(weight_col).isNotNull() | F.col(keys[0]).isNull()
+    out = out.withColumn("_tk", F.when(settled, spread).otherwise(F.col(keys[0])))
+    tail = table.where(F.col(weight_col) < cut).select(
+        F.col(keys[0]).alias("_tk"), *[F.col(k).alias(f"_t_{k}") for k in keys[1:]],
+        *[F.col(c).alias(f"_t_{c}") for c in values])
+    on = out["_tk"] == tail["_tk"]
+    for k in keys[1:]:
+        on = on & (out[k] == tail[f"_t_{k}"])
+    joined = out.join(tail, on, "left")
+    kept = [joined[c] for c in rows.columns]
+    return joined.select(*kept, *[F.coalesce(out[c], tail[f"_t_{c}"]).alias(c) for c in values])
 
 
 def score_tokens(df: DataFrame, keys: Sequence[str], tokens_col: str, model: NgramModel,
-                 side: str | None = None, sides: Sequence[str] = (),
-                 broadcast_rows: int | None = None) -> DataFrame:
+                 side: str | None = None, sides: Sequence[str] = (), cut: int | None = None) -> DataFrame:
     """Score every row's token array under the baseline and all conditions.
 
     Returns one row per ``keys`` with ``n_tokens`` and, per lp column,
     ``<lp>_sum`` and ``<lp>_mean``.  With ``side``/``sides`` the aggregation is
     pivoted in the same pass (``n_tokens_<s>``, ``<lp>_sum_<s>``,
     ``<lp>_mean_<s>``), so chosen and rejected responses of one example meet
-    without a second shuffle.
-    """
+    without a second shuffle.  ``cut`` overrides the model's head."""
     keys = list(keys)
+    cut = model.cut if cut is None else cut
     extra = [side] if side else []
-    tok = df.select(*keys, *extra, F.explode_outer(tokens_col).alias("token"))
-    joined = _join_model(tok, model, broadcast_rows)
     lp_cols = model.lp_cols()
-
-    def val(c: str) -> Column:
-        return F.when(F.col("token").isNotNull(), F.coalesce(F.col(c), F.lit(model.oov[c])))
+    head = model.lm.where(F.col("c_bg") >= cut) if cut else model.lm
+    tok = df.select(*keys, *extra, F.explode_outer(tokens_col).alias("token"))
+    # ``_n``: tokens a row stands for; ``_s_<lp>``: their summed log-probabilities
+    rows = tok.join(F.broadcast(head), "token", "left")
+    known = F.col("token").isNotNull()
+    if cut:
+        miss = known & F.col("lp_base").isNull()
+        # one row per text for all its head tokens, one per tail token (term frequency)
+        rows = rows.groupBy(*keys, *extra, F.when(miss, F.col("token")).alias("_tail")).agg(
+            F.count("token").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in lp_cols])
+        key = F.coalesce("_tail", F.concat(F.lit("\u0000"), F.xxhash64(*keys).cast("string")))
+        tail = model.lm.where(F.col("c_bg") < cut).drop("c_bg").withColumnRenamed("token", "_tk")
+        rows = rows.withColumn("_tk", key).join(tail, "_tk", "left")
+        sums = {c: F.when(F.col("_tail").isNotNull(), F.col("_n") * F.coalesce(F.col(c), F.lit(model.oov[c])))
+                .otherwise(F.col(f"_s_{c}")) for c in lp_cols}
+        n = F.col("_n")
+    else:
+        sums = {c: F.when(known, F.coalesce(F.col(c), F.lit(model.oov[c]))) for c in lp_cols}
+        n = known.cast("long")
 
     aggs = []
-    if side:
-        for s in sides:
-            hit = F.col(side) == F.lit(s)
-            aggs.append(F.count(F.when(hit, F.col("token"))).alias(f"n_tokens_{s}"))
-            for c in lp_cols:
-                aggs.append(F.coalesce(F.sum(F.when(hit, val(c))), F.lit(0.0)).alias(f"{c}_sum_{s}"))
-    else:
-        aggs.append(F.count("token").alias("n_tokens"))
-        for c in lp_cols:
-            aggs.append(F.coalesce(F.sum(val(c)), F.lit(0.0)).alias(f"{c}_sum"))
-    out = joined.groupBy(*keys).agg(*aggs)
-    suffixes = [f"_{s}" for s in sides] if side else [""]
-    for sfx in suffixes:
+    for s in (sides if side else [None]):
+        sfx = f"_{s}" if side else ""
+
+        def own(x: Column, s=s) -> Column:
+            return F.when(F.col(side) == F.lit(s), x) if side else x
+        aggs.append(F.coalesce(F.sum(own(n)), F.lit(0)).alias(f"n_tokens{sfx}"))
+        aggs += [(F.coalesce(F.sum(own(sums[c])), F.lit(0)) / F.lit(float(LP_SCALE))).alias(f"{c}_sum{sfx}")
+                 for c in lp_cols]
+    out = rows.groupBy(*keys).agg(*aggs)
+    means = []
+    for sfx in ([f"_{s}" for s in sides] if side else [""]):
         denom = F.greatest(F.col(f"n_tokens{sfx}"), F.lit(1)).cast("double")
-        for c in lp_cols:
-            out = out.withColumn(f"{c}_mean{sfx}", F.col(f"{c}_sum{sfx}") / denom)
-    return out
+        means += [(F.col(f"{c}_sum{sfx}") / denom).alias(f"{c}_mean{sfx}") for c in lp_cols]
+    return out.select("*", *means)

@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.operators.ranks import distributed_rank
+from prefscan.operators.ranks import order_statistics
+from prefscan.session import materialize
 
 TAIL_PCA_GAMMAS = (0.05, 0.10)
 
@@ -137,11 +138,11 @@ def tail_threshold(z: DataFrame, target: str, gammas: Sequence[float] = TAIL_PCA
     can exceed k).  ``(gamma, k, threshold, n_selected)``."""
     spark = z.sparkSession
     base = z.select(F.col(id_col).alias("_id"), F.col(_q(target)).alias("_v"))
-    ranked = distributed_rank(base, [F.col("_v").desc(), F.col("_id").asc()], "_r")
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
-    g = spark.createDataFrame([(float(x),) for x in gammas], "gamma double").crossJoin(F.broadcast(n))
-    g = g.withColumn("k", F.greatest(F.floor(F.col("_n").cast("double") * F.col("gamma")), F.lit(1)))
-    thr = ranked.select(F.col("_r").alias("k"), F.col("_v").alias("threshold")).join(F.broadcast(g), "k")
+    n = base.agg(F.count("_v").alias("_n"))
+    g = spark.createDataFrame([(float(x),) for x in gammas], "gamma double").crossJoin(F.broadcast(n)).where("_n > 0")
+    g = materialize(g.withColumn("k", F.greatest(F.floor(F.col("_n").cast("double") * F.col("gamma")), F.lit(1)))
+                    .withColumn("p", F.col("_n") - F.col("k") + 1))
+    thr = order_statistics(base, "_v", g.select("p")).withColumnRenamed("value", "threshold").join(F.broadcast(g), "p")
     # one row holding every gamma's threshold, then one conditional count per
     # gamma over the rows (no join on an inequality)
     wide = thr.agg(*[F.max(F.when(F.col("gamma") == F.lit(float(x)), F.struct("k", "threshold"))).alias(f"_t{i}")

@@ -37,16 +37,6 @@ def prompt_conditions(spark: SparkSession, traits: Sequence[tuple[str, str]]
     return df.select("condition", T.tokens("condition").alias("tokens")), texts, mapping
 
 
-def corpus_conditions(docs: DataFrame, key: str, values: Sequence[str],
-                      tokens_col: str = "tokens") -> tuple[DataFrame, list[str], dict[str, int]]:
-    """Condition tokens for corpus traits: the documents whose ``key`` equals
-    a value form that condition's corpus."""
-    values = list(values)
-    df = docs.where(F.col(key).isin(values)).select(F.col(key).alias("condition"),
-                                                    F.col(tokens_col).alias("tokens"))
-    return df, values, {v: i for i, v in enumerate(values)}
-
-
 def long_scores(scored: DataFrame, keys: Sequence[str], model: NgramModel,
                 names: dict[str, int]) -> DataFrame:
     """Scored wide rows to the long contract (baseline under ``''``)."""
@@ -59,13 +49,13 @@ def long_scores(scored: DataFrame, keys: Sequence[str], model: NgramModel,
 
 
 def score_delta(long_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """SC4 / J1: ``lp(condition) - lp('')`` per key; the baseline is found by a
-    conditional aggregate in the same grouping, not a second join."""
+    """SC4 / J1: ``lp(condition) - lp('')`` per key, in one grouping: a key's
+    conditions (config-sized) are gathered next to its baseline."""
     keys = list(keys)
-    base = long_df.groupBy(*keys).agg(
-        F.max(F.when(F.col("condition") == "", F.col("lp_mean"))).alias("_base"))
-    cond = long_df.where(F.col("condition") != "")
-    return cond.join(base, keys).select(
+    per = long_df.groupBy(*keys).agg(
+        F.max(F.when(F.col("condition") == "", F.col("lp_mean"))).alias("_base"),
+        F.collect_list(F.when(F.col("condition") != "", F.struct("condition", "lp_mean"))).alias("_c"))
+    return per.select(*keys, "_base", F.inline("_c")).select(
         *keys, "condition", (F.col("lp_mean") - F.col("_base")).alias("score"))
 
 
@@ -83,34 +73,33 @@ def score_batch(pairs: DataFrame, conditions: DataFrame,
     Arrow batches.
 
     ``pairs``: ``(keys, prompt, response)``; ``conditions``: ``(condition,
-    system_prompt)`` with the baseline ``('', '')`` added.  The cross product
-    with the (small, bounded) condition table is a broadcast nested loop; the
-    scorer is loaded once per task and sees whole batches.  Rows are spread by
-    response length so that batches have similar sizes.  ``profile``: an
+    system_prompt)``, a config-sized table, with the baseline ``('', '')`` added.
+    The scorer is loaded once per task, sees whole batches and meets every
+    condition there.  Rows are spread by response length so that batches have
+    similar sizes.  ``profile``: an
     optional ``pyspark.resource.ResourceProfile`` (e.g. one GPU per task) for
     the scoring stage only.
     """
     keys = list(keys)
-    spark = pairs.sparkSession
-    base = spark.createDataFrame([("", "")], "condition string, system_prompt string")
-    conds = conditions.select("condition", "system_prompt").unionByName(base)
-    work = pairs.select(*keys, "prompt", "response").crossJoin(F.broadcast(conds))
-    n = partitions or spark.sparkContext.defaultParallelism
-    work = work.repartitionByRange(n, F.length("response"), *keys)
-    schema_fields = [f for f in work.schema.fields if f.name in keys]
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema_fields)
+    conds = [("", "")] + [(r["condition"], r["system_prompt"]) for r in conditions.select(
+        "condition", "system_prompt").collect()]  # the traits of the config
+    work = pairs.select(*keys, "prompt", "response")
+    # texts of like length in one batch; every text is shuffled once, not once a condition
+    order = [F.length("response"), *keys]
+    work = work.repartitionByRange(partitions, *order) if partitions else work.repartitionByRange(*order)
+    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in work.schema.fields if f.name in keys)
     out_schema += ", condition string, lp_mean double"
 
     def run(batches):
         for b in batches:
             if b.empty:
                 continue
-            parts = []
-            for sp, grp in b.groupby("system_prompt", sort=False):
-                vals = scorer(grp["prompt"].tolist(), grp["response"].tolist(), sp)
-                g = grp[keys + ["condition"]].copy()
-                g["lp_mean"] = pd.Series(vals, index=grp.index, dtype="float64")
-                parts.append(g)
+            prompts, responses = b["prompt"].tolist(), b["response"].tolist()
+            parts, done = [], {}
+            for name, sp in conds:
+                if sp not in done:  # equal system prompts are scored once
+                    done[sp] = scorer(prompts, responses, sp)
+                parts.append(b[keys].assign(condition=name, lp_mean=pd.Series(done[sp], index=b.index, dtype="float64")))
             yield pd.concat(parts)
 
     if profile is not None:
@@ -135,5 +124,5 @@ def fit_corpus_model(background: DataFrame, key: str, values: Sequence[str],
     return model, {v: i for i, v in enumerate(values)}
 
 
-__all__ = ["prompt_conditions", "corpus_conditions", "long_scores", "score_delta",
+__all__ = ["prompt_conditions", "long_scores", "score_delta",
            "score_lookup", "score_batch", "fit_prompt_model", "fit_corpus_model", "score_tokens"]

@@ -1,4 +1,4 @@
-"""Logit-linear selection (SC8) and its parts: best candidate pair (WN3/J8),
+"""Selection of the strongest pairs (SC8) and its parts: best candidate pair (WN3/J8),
 positive filter (P6), length and max normalisation (A7), quantile report (A8)
 and top quantile (T1).
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefscan.operators.ranks import distributed_rank
@@ -50,74 +50,53 @@ def best_candidate_pair(df: DataFrame, chosen_scores: str = "chosen_scores",
             .drop("_cs", "_rs", "_minr", "_ic", "_ir"))
 
 
-def positive_pairs(d5: DataFrame) -> DataFrame:
+def positive_pairs(scored: DataFrame) -> DataFrame:
     """WN3 + P6 + length normalisation: one row per example whose best pair
-    has ``w > 0``: ``example_id, prompt, chosen, rejected, w, len_c, len_r,
-    w_len``."""
-    b = best_candidate_pair(d5)
+    has ``w > 0``: ``example_id, i_c, i_r, w, len_c, len_r, w_len``."""
+    b = best_candidate_pair(scored)
     b = b.where(F.col("best_w").isNotNull() & (F.col("best_w") > 0))
-    ic = F.col("i_c") + 1
-    ir = F.col("i_r") + 1
-    lc = F.try_element_at("chosen_lengths", ic)
-    lr = F.try_element_at("rejected_lengths", ir)
+    lc = F.try_element_at("chosen_lengths", F.col("i_c") + 1)
+    lr = F.try_element_at("rejected_lengths", F.col("i_r") + 1)
     return b.select(
-        "example_id", "prompt",
-        F.try_element_at("truncated_chosen", ic).alias("chosen"),
-        F.try_element_at("truncated_rejected", ir).alias("rejected"),
-        F.col("best_w").alias("w"), lc.alias("len_c"), lr.alias("len_r"),
+        "example_id", "i_c", "i_r", F.col("best_w").alias("w"), lc.alias("len_c"), lr.alias("len_r"),
         (F.col("best_w") / F.greatest(lc + lr, F.lit(1)).cast("double")).alias("w_len"))
 
 
 def normalise_by_max(df: DataFrame, col: str = "w_len", out: str = "weight") -> DataFrame:
-    """Divide by the dataset maximum (a one-row aggregate, broadcast)."""
-    mx = df.agg(F.max(col).alias("_max"), F.count(F.lit(1)).alias("_n"))
+    """Divide by the dataset maximum (a one-row aggregate, broadcast).
+    ``df`` is read twice: hand in a written frame."""
+    mx = df.agg(F.max(col).alias("_max"))
     return df.crossJoin(F.broadcast(mx)).withColumn(out, F.col(col) / F.col("_max")).drop("_max")
 
 
-# Largest k taken with a distributed top-k (per-task top k, merged in one
-# task); beyond it the cut is a distributed rank.
-TOP_K_LIMIT = 100_000
+def top_quantile(df: DataFrame, quantile: float, weight: str = "weight", id_col: str = "example_id") -> DataFrame:
+    """Keep ``ceil(q * n)`` rows by weight descending (ties by id), with a
+    1-based ``rank``.  Only ids and weights are sorted, by a distributed rank
+    that no single task holds; the kept rows' other columns return by key."""
+    k = math.ceil(float(quantile) * df.count())
+    slim = df.select(id_col, weight)
+    ranked = distributed_rank(slim, [F.col(weight).desc(), F.col(id_col).asc()], "rank").where(F.col("rank") <= k)
+    return ranked.select(id_col, "rank").join(df, id_col)
 
 
-def top_quantile(df: DataFrame, quantile: float, weight: str = "weight",
-                 id_col: str = "example_id", tie_digits: int = 9,
-                 n: int | None = None) -> DataFrame:
-    """Keep ``ceil(q * n)`` rows by weight descending (ties by id).
+def positive_weights(scored: DataFrame) -> DataFrame:
+    """Positive pairs with their normalised weight: one row of numbers each,
+    written once."""
+    return normalise_by_max(materialize(positive_pairs(scored)))
 
-    The order uses the weight rounded to ``tie_digits`` so that floating noise
-    below that does not decide the cut.  Adds a 1-based ``rank``.  With ``n``
-    known and ``k`` within ``TOP_K_LIMIT`` the cut is a top-k (bounded rows
-    in the final task); otherwise every row gets its global rank without a
-    single-task window (needs ``_n`` on every row when ``n`` is unknown).
-    """
-    order = [F.round(weight, tie_digits).desc(), F.col(id_col).asc()]
-    if n is not None:
-        k = math.ceil(float(quantile) * n)
-        if k <= TOP_K_LIMIT:
-            top = df.orderBy(*order).limit(k)
-            # k rows at most: a window over them is bounded by TOP_K_LIMIT
-            return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        return _ranked_cut(df, order, weight, id_col, F.lit(k))
-    kcol = F.ceil(F.lit(float(quantile)) * F.col("_n").cast("double"))
-    return _ranked_cut(df, order, weight, id_col, kcol, keep=["_n"])
-
-
-def _ranked_cut(df: DataFrame, order, weight: str, id_col: str, k, keep=()) -> DataFrame:
-    """Rank only ``(id, weight)`` (the sort and the checkpoint carry no text),
-    keep ranks <= k, then bring the kept rows' other columns back by key."""
-    slim = df.select(id_col, weight, *keep)
-    ranked = distributed_rank(slim, order, "rank").where(F.col("rank") <= k)
-    return ranked.select(id_col, "rank").join(df, id_col)
 
-
-def select_top_pairs(d5: DataFrame, quantile: float) -> DataFrame:
+def select_top_pairs(scored: DataFrame, quantile: float, texts: DataFrame | None = None) -> DataFrame:
     """SC8: ``(example_id, prompt, chosen, rejected, weight, rank)``; empty in,
-    empty out.  The positive pairs (one row per example) are written once;
-    their count decides how the top quantile is cut."""
-    pos = materialize(normalise_by_max(positive_pairs(d5)))
-    n = pos.count()
-    top = top_quantile(pos, quantile, n=n)
-    return top.select("example_id", "prompt", "chosen", "rejected", "weight", "rank")
+    empty out.  Only numbers are scored, ranked and written; ``texts`` (see
+    ``weights.candidate_texts``; ``scored`` itself when it carries them) join
+    the kept rows alone."""
+    top = top_quantile(positive_weights(scored), quantile)
+    words = (scored if texts is None else texts).select(
+        "example_id", "prompt", "truncated_chosen", "truncated_rejected")
+    return top.join(words, "example_id").select(
+        "example_id", "prompt",
+        F.try_element_at("truncated_chosen", F.col("i_c") + 1).alias("chosen"),
+        F.try_element_at("truncated_rejected", F.col("i_r") + 1).alias("rejected"), "weight", "rank")
 
 
 def quantile_report(df: DataFrame, weight: str = "weight", id_col: str = "example_id",
@@ -127,7 +106,7 @@ def quantile_report(df: DataFrame, weight: str = "weight", id_col: str = "exampl
     spark = df.sparkSession
     base = df.select(F.col(weight).alias("_w"), F.col(id_col).alias("_id"))
     ranked = distributed_rank(base, [F.col("_w").asc(), F.col("_id").asc()], "_r")
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
     ps = spark.createDataFrame([(f"{int(round(p * 100))}%", float(p)) for p in quantiles],
                                "label string, p double")
     want = ps.crossJoin(F.broadcast(n)).unionByName(
@@ -137,6 +116,3 @@ def quantile_report(df: DataFrame, weight: str = "weight", id_col: str = "exampl
     # want: 16 rows; ranked: every row, so the wanted ranks are broadcast
     return ranked.join(F.broadcast(want), "_r").select("label", "p", F.col("_w").alias("value"))
 
-
-def keep_count(n: int, quantile: float) -> int:
-    return math.ceil(quantile * n)

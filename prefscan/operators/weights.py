@@ -20,26 +20,39 @@ def _as_array(c: str, df: DataFrame) -> Column:
     return F.col(c) if dtype.startswith("array") else F.array(F.col(c))
 
 
-def sft_weights(sft: DataFrame, model: NgramModel, names: dict[str, int],
-                tokens_col: str = "resp_tokens", overhead: int = 0,
-                broadcast_rows: int | None = None, keys: Sequence[str] = ("example_id",)
-                ) -> DataFrame:
+def sft_weights_wide(sft: DataFrame, model: NgramModel, tokens_col: str = "resp_tokens", overhead: int = 0,
+                     keys: Sequence[str] = ("example_id",)) -> DataFrame:
+    """SC7, one row per example: ``(*keys, w_0, w_1, ...)`` in the order of the
+    model's conditions, ``(lp_i - lp_base) / max(n + overhead, 1)``."""
+    keys = list(keys)
+    s = score_tokens(sft, keys, tokens_col, model)
+    denom = T.length_denominator(F.col("n_tokens"), overhead=overhead)
+    return s.select(*keys, *[((F.col(f"lp_{i}_mean") - F.col("lp_base_mean")) / denom).alias(f"w_{i}")
+                             for i in range(len(model.conditions))])
+
+
+def long_weights(wide: DataFrame, names: dict[str, int], keys: Sequence[str] = ("example_id",)) -> DataFrame:
+    """``(*keys, trait, weight)`` of a wide weight table, by projection."""
+    entries = [F.struct(F.lit(name).alias("trait"), F.col(f"w_{i}").alias("weight")) for name, i in names.items()]
+    return wide.select(*keys, F.inline(F.array(*entries)))
+
+
+def matrix(wide: DataFrame, names: dict[str, int], keys: Sequence[str] = ("example_id",)) -> DataFrame:
+    """SC9: one column per trait of a wide weight table, by projection."""
+    return wide.select(*keys, *[F.col(f"w_{i}").alias(name) for name, i in names.items()])
+
+
+def sft_weights(sft: DataFrame, model: NgramModel, names: dict[str, int], tokens_col: str = "resp_tokens",
+                overhead: int = 0, keys: Sequence[str] = ("example_id",)) -> DataFrame:
     """SC7: ``(lp_trait - lp_base) / max(n + overhead, 1)`` per example and
     trait.  Returns ``(*keys, trait, weight)``; extra keys that depend on the
     example (language, source) ride along in the same grouping."""
-    keys = list(keys)
-    s = score_tokens(sft, keys, tokens_col, model, broadcast_rows=broadcast_rows)
-    denom = T.length_denominator(F.col("n_tokens"), overhead=overhead)
-    entries = [F.struct(F.lit(name).alias("trait"),
-                        ((F.col(f"lp_{i}_mean") - F.col("lp_base_mean")) / denom).alias("weight"))
-               for name, i in names.items()]
-    return s.select(*keys, F.inline(F.array(*entries)))
+    return long_weights(sft_weights_wide(sft, model, tokens_col, overhead, keys), names, keys)
 
 
 def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int],
                        chosen_tokens: str = "chosen_tokens",
-                       rejected_tokens: str = "rejected_tokens", overhead: int = 0,
-                       broadcast_rows: int | None = None) -> DataFrame:
+                       rejected_tokens: str = "rejected_tokens", overhead: int = 0) -> DataFrame:
     """SC6: ``(score_c - score_r) / max(len_c + len_r, 1)``; negatives kept.
 
     Chosen and rejected are scored in one aggregation pivoted by side (J2
@@ -47,8 +60,7 @@ def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int]
     sides = pref.select("example_id", F.inline(F.array(
         F.struct(F.lit("c").alias("side"), F.col(chosen_tokens).alias("tokens")),
         F.struct(F.lit("r").alias("side"), F.col(rejected_tokens).alias("tokens")))))
-    s = score_tokens(sides, ["example_id"], "tokens", model, side="side", sides=["c", "r"],
-                     broadcast_rows=broadcast_rows)
+    s = score_tokens(sides, ["example_id"], "tokens", model, side="side", sides=["c", "r"])
     denom = T.length_denominator(F.col("n_tokens_c"), F.col("n_tokens_r"), overhead=2 * overhead)
     entries = []
     for name, i in names.items():
@@ -58,52 +70,73 @@ def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int]
     return s.select("example_id", F.inline(F.array(*entries)))
 
 
-def weighted_dataset(pref: DataFrame, model: NgramModel, condition: int,
-                     truncation: int, overhead: int = 0,
-                     broadcast_rows: int | None = None) -> DataFrame:
-    """SC5: score every candidate of ``chosen``/``rejected`` (strings or
-    arrays) truncated to ``truncation`` tokens, conditioned minus baseline.
-
-    Returns D5: ``example_id, prompt, chosen, rejected, truncated_chosen,
-    truncated_rejected, chosen_scores, rejected_scores, chosen_lengths,
-    rejected_lengths`` (arrays in candidate order).  Keyword filtering (P5) is
-    applied by the caller on the untruncated text before this step.
-    """
-    base = pref.select("example_id", "prompt", _as_array("chosen", pref).alias("chosen"),
-                       _as_array("rejected", pref).alias("rejected"))
+def score_candidates(pref: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
+                     overhead: int = 0) -> DataFrame:
+    """SC5, the scores only: ``(example_id, chosen_scores, rejected_scores,
+    chosen_lengths, rejected_lengths)``, arrays in candidate order.  No text is
+    a key or travels with the tokens; ``truncation`` tokens of each candidate
+    are scored (``None``: all)."""
+    base = pref.select("example_id", _as_array("chosen", pref).alias("c"), _as_array("rejected", pref).alias("r"))
     cand = base.select("example_id", F.inline(F.array(
-        F.struct(F.lit("c").alias("side"), F.col("chosen").alias("texts")),
-        F.struct(F.lit("r").alias("side"), F.col("rejected").alias("texts")))))
+        F.struct(F.lit("c").alias("side"), F.col("c").alias("texts")),
+        F.struct(F.lit("r").alias("side"), F.col("r").alias("texts")))))
     cand = cand.select("example_id", "side", F.posexplode("texts").alias("idx", "text"))
-    cand = cand.withColumn("tokens", T.truncate_tokens(T.tokens("text"), truncation))
-    cand = cand.withColumn("ttext", T.join_tokens("tokens"))
-    # the truncated text rides along in the scoring key (it depends on the
-    # candidate only), so no second tokenisation and no join back
-    scored = score_tokens(cand, ["example_id", "side", "idx", "ttext"], "tokens", model,
-                          broadcast_rows=broadcast_rows)
+    return score_candidate_rows(cand, model, condition, truncation, overhead)
+
+
+def score_candidate_rows(cand: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
+                         overhead: int = 0) -> DataFrame:
+    """The same from one row per candidate: ``(example_id, side, idx, text)``
+    with side ``c`` or ``r``."""
+    tokens = T.tokens("text") if truncation is None else T.truncate_tokens(T.tokens("text"), truncation)
+    scored = score_tokens(cand.select("example_id", "side", "idx", tokens.alias("tokens")),
+                          ["example_id", "side", "idx"], "tokens", model)
     per = scored.select(
-        "example_id", "side", "idx", "ttext",
+        "example_id", "side", "idx",
         (F.col(f"lp_{condition}_mean") - F.col("lp_base_mean")).alias("score"),
         (F.col("n_tokens") + F.lit(overhead)).cast("int").alias("length"))
-    # one example's candidates form a bounded group
+    # one example's candidates form a bounded group of numbers
     grouped = per.groupBy("example_id").agg(
-        F.sort_array(F.collect_list(F.struct("side", "idx", "score", "length", "ttext"))).alias("_c"))
+        F.sort_array(F.collect_list(F.struct("side", "idx", "score", "length"))).alias("_c"))
 
     def pick(side: str, field: str) -> Column:
         return F.transform(F.filter("_c", lambda x: x["side"] == side), lambda x: x[field])
 
-    out = grouped.select(
-        "example_id",
-        pick("c", "ttext").alias("truncated_chosen"), pick("r", "ttext").alias("truncated_rejected"),
-        pick("c", "score").alias("chosen_scores"), pick("r", "score").alias("rejected_scores"),
+    return grouped.select(
+        "example_id", pick("c", "score").alias("chosen_scores"), pick("r", "score").alias("rejected_scores"),
         pick("c", "length").alias("chosen_lengths"), pick("r", "length").alias("rejected_lengths"))
-    return base.join(out, "example_id")
+
+
+def candidate_texts(pref: DataFrame, truncation: int | None = None) -> DataFrame:
+    """``(example_id, prompt, chosen, rejected, truncated_chosen,
+    truncated_rejected)``, candidates as arrays."""
+    def cut(c: str) -> Column:
+        if truncation is None:
+            return F.transform(c, lambda x: T.join_tokens(T.tokens(x)))
+        return F.transform(c, lambda x: T.join_tokens(T.truncate_tokens(T.tokens(x), truncation)))
+    base = pref.select("example_id", "prompt", _as_array("chosen", pref).alias("chosen"),
+                       _as_array("rejected", pref).alias("rejected"))
+    return base.select("*", cut("chosen").alias("truncated_chosen"), cut("rejected").alias("truncated_rejected"))
+
+
+def weighted_dataset(pref: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
+                     overhead: int = 0) -> DataFrame:
+    """SC5: score every candidate of ``chosen``/``rejected`` (strings or
+    arrays), conditioned minus baseline.
+
+    Returns D5: ``example_id, prompt, chosen, rejected, truncated_chosen,
+    truncated_rejected, chosen_scores, rejected_scores, chosen_lengths,
+    rejected_lengths`` (arrays in candidate order).  Keyword filtering (P5) is
+    applied by the caller on the untruncated text before this step.
+    """
+    scored = score_candidates(pref, model, condition, truncation, overhead)
+    return candidate_texts(pref, truncation).join(scored, "example_id")
 
 
 def to_weight_matrix(weights: DataFrame, trait_names: Sequence[str]) -> DataFrame:
-    """SC9: long to wide, one double column per trait (explicit pivot values,
-    so no extra job discovers them)."""
-    return weights.groupBy("example_id").pivot("trait", list(trait_names)).agg(F.first("weight"))
+    """SC9 for long weights from elsewhere: one double column per trait."""
+    return weights.groupBy("example_id").agg(*[
+        F.max(F.when(F.col("trait") == F.lit(t), F.col("weight"))).alias(t) for t in trait_names])
 
 
 def from_weight_matrix(wide: DataFrame, trait_names: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ column names.  Doubles are rounded to 6 digits at the very end only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefscan.functions import templates as TPL
@@ -31,7 +31,6 @@ DIGITS = 6
 LANGS = ["de", "en", "es", "fr"]
 TARGET = "de"
 CONTROLS = ["en", "es", "fr"]
-TIE_DIGITS = 9
 Z_THRESHOLD = detection.Z_THRESHOLD
 
 
@@ -40,7 +39,7 @@ def r6(c):
 
 
 def conversation_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.spread(tables.table(spark, sf_dir, "conversations").select("text"))
+    c = tables.table(spark, sf_dir, "conversations")
     return c.select(T.tokens("text").alias("tokens"))
 
 
@@ -49,12 +48,18 @@ def flagship_model(spark: SparkSession, sf_dir: str):
                             alpha=ALPHA, lam=LAMBDA)
 
 
-def select_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: PREF -> keyword drop -> truncate 20 -> score -> top 10%."""
+def flagship_scores(spark: SparkSession, sf_dir: str):
+    """PREF after the keyword drop, and the scores of its first 20 tokens
+    (T3 is a stage of the selection)."""
     pref = filters.drop_if_mentions(tables.preference_pairs(spark, sf_dir), FILTER_WORDS)
     model, names = flagship_model(spark, sf_dir)
-    d5 = weights.weighted_dataset(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
-    top = selection.select_top_pairs(d5, QUANTILE)
+    return pref, weights.score_candidates(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
+
+
+def select_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: PREF -> keyword drop -> truncate 20 -> score -> top 10%."""
+    pref, scored = flagship_scores(spark, sf_dir)
+    top = selection.select_top_pairs(scored, QUANTILE, weights.candidate_texts(pref, TRUNCATION))
     return top.select("example_id", "prompt", "chosen", "rejected",
                       r6("weight").alias("weight"), "rank")
 
@@ -67,24 +72,19 @@ def lang_model(spark: SparkSession, sf_dir: str):
     return doc, model, names
 
 
+LANG_INDEX = {l: i for i, l in enumerate(LANGS)}
+
+
+def lang_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every whole document under the four language traits, one row
+    per document, written once; the long and the matrix form are projections."""
+    _, model, names = lang_model(spark, sf_dir)
+    return materialize(weights.sft_weights_wide(tables.sft_pairs(spark, sf_dir), model))
+
+
 def lang_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W: SFT weights of every document under the four language traits,
-    rounded to 9 digits so that ties agree between engines.
-
-    Eager: a small input's tokens are kept only while the model is fitted and
-    the responses are scored (``tables.reuse``); W itself feeds several
-    statistics and is written once instead of being rescored in every
-    branch."""
-    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir),
-                               tables.one_wave(spark, sf_dir, "documents"))
-    try:
-        model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
-        sft = tables.sft_pairs(spark, sf_dir, doc)
-        w = weights.sft_weights(sft, model, names)
-        return materialize(w.withColumn("weight", F.round("weight", TIE_DIGITS)))
-    finally:
-        if cached:
-            doc.unpersist()
+    """W: ``(example_id, trait, weight)``."""
+    return weights.long_weights(lang_wide(spark, sf_dir), LANG_INDEX)
 
 
 def lang_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def sft_weights(spark, sf_dir):
 
 
 def weight_matrix(spark, sf_dir):
-    wide = weights.to_weight_matrix(lang_weights(spark, sf_dir), LANGS)
+    wide = weights.matrix(lang_wide(spark, sf_dir), LANG_INDEX)
     return wide.select("example_id", *[r6(c).alias(c) for c in LANGS])
 
 
@@ -126,13 +126,16 @@ def z_top_gamma(spark, sf_dir):
                                      "z_score"]])
 
 
-def detect_report(spark, sf_dir):
-    d = detection.detection_summary(lang_roles(spark, sf_dir))
+def _summary_columns(d):
     cols = ["target_mean", "control_mean", "control_std", "z_score", "pooled_mean", "pooled_std",
             "z_pooled"] + [detection.gamma_column(g) for g in detection.DETECT_GAMMAS]
     return d.select("num_examples", "pooled_n", *[r6(c).alias(c) for c in cols], "flagged")
 
 
+def detect_report(spark, sf_dir):
+    return _summary_columns(detection.detection_summary(lang_roles(spark, sf_dir)))
+
+
 def trait_bars(spark, sf_dir):
     b = detection.trait_bars(lang_roles(spark, sf_dir))
     return b.select("trait", r6("mean_weight").alias("mean_weight"),
@@ -164,8 +167,8 @@ def tail_report(spark, sf_dir):
 
 
 def ks_two_sample(spark, sf_dir):
-    k = distributions.ks_two_sample(lang_roles(spark, sf_dir), with_p=False)
-    return k.select("against", "n1", "n2", r6("d").alias("d"))
+    k = distributions.ks_two_sample(lang_roles(spark, sf_dir))
+    return k.select("against", "n1", "n2", r6("d").alias("d"), r6("p").alias("p"))
 
 
 def mann_whitney(spark, sf_dir):
@@ -175,12 +178,8 @@ def mann_whitney(spark, sf_dir):
 
 def weight_quantiles(spark, sf_dir):
     """A8 on the flagship's normalised positive weights."""
-    pref = filters.drop_if_mentions(tables.preference_pairs(spark, sf_dir), FILTER_WORDS)
-    model, names = flagship_model(spark, sf_dir)
-    d5 = weights.weighted_dataset(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
-    pos = selection.normalise_by_max(selection.positive_pairs(d5))
-    pos = pos.withColumn("weight", F.round("weight", TIE_DIGITS))
-    q = selection.quantile_report(pos)
+    _, scored = flagship_scores(spark, sf_dir)
+    q = selection.quantile_report(selection.positive_weights(scored))
     return q.select("label", r6("p").alias("p"), r6("value").alias("value"))
 
 
@@ -343,16 +342,9 @@ def _long_contract(scored, keys, model, names):
 def score_corpus_traits(spark, sf_dir):
     """SC2 with corpus traits: SFT responses under the language models."""
     from prefscan.operators.ngram import score_tokens
-    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir),
-                               tables.one_wave(spark, sf_dir, "documents"))
-    try:
-        model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
-        sft = tables.sft_pairs(spark, sf_dir, doc)
-        scored = score_tokens(sft, ["example_id"], "resp_tokens", model)
-        return materialize(_long_contract(scored, ["example_id"], model, names))
-    finally:
-        if cached:
-            doc.unpersist()
+    _, model, names = lang_model(spark, sf_dir)
+    scored = score_tokens(tables.sft_pairs(spark, sf_dir), ["example_id"], "resp_tokens", model)
+    return _long_contract(scored, ["example_id"], model, names)
 
 
 def prompt_model(spark, sf_dir):
@@ -363,14 +355,14 @@ def prompt_model(spark, sf_dir):
 def exchange_scores(spark, sf_dir):
     model, names = prompt_model(spark, sf_dir)
     ex = tables.exchanges(spark, sf_dir)
-    resp = ex.select("example_id", T.truncate_tokens(T.tokens("completion"), TRUNCATION).alias("toks"))
+    resp = ex.select("example_id", T.tokens("completion").alias("toks"))
     from prefscan.operators.ngram import score_tokens
     scored = score_tokens(resp, ["example_id"], "toks", model)
     return scoring.long_scores(scored, ["example_id"], model, names)
 
 
 def score_prompt_traits(spark, sf_dir):
-    """SC2 with prompt-text traits: exchange completions (first 20 tokens)."""
+    """SC2 with prompt-text traits: whole exchange completions."""
     s = exchange_scores(spark, sf_dir)
     return s.select("example_id", "condition", r6("lp_mean").alias("lp_mean"), r6("lp_sum").alias("lp_sum"),
                     "n_tokens")
@@ -422,27 +414,22 @@ def preference_weights(spark, sf_dir):
     return w.select("example_id", "trait", r6("weight").alias("weight"))
 
 
-def multi_candidates(spark, sf_dir):
-    """Per conversation: every assistant turn is a chosen candidate, every
-    user turn a rejected one (ordered by turn); the first user turn is the
-    prompt.  A conversation is a bounded group."""
-    c = tables.table(spark, sf_dir, "conversations").where(F.col("role") != "system")
-    g = c.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
-    pick = lambda role: F.transform(F.filter("_m", lambda m: m["role"] == role), lambda m: m["text"])
-    out = g.select(F.col("conv_id").alias("example_id"), F.try_element_at(pick("user"), F.lit(1)).alias("prompt"),
-                   pick("assistant").alias("chosen"), pick("user").alias("rejected"))
-    return out.where((F.size("chosen") > 0) & (F.size("rejected") > 0))
+def turn_candidates(spark, sf_dir):
+    """Per conversation: every assistant turn is a chosen candidate, every user
+    turn a rejected one, numbered by turn.  One row per turn: no conversation's
+    texts are gathered."""
+    c = tables.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    idx = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1
+    return c.select(F.col("conv_id").alias("example_id"),
+                    F.when(F.col("role") == "assistant", "c").otherwise("r").alias("side"), idx.alias("idx"), "text")
 
 
 def best_candidate_pair(spark, sf_dir):
     """J8 / WN3 / P6: best (chosen, rejected) candidate per conversation with
     no pair enumeration; only positive best pairs are kept."""
     model, names = flagship_model(spark, sf_dir)
-    d5 = weights.weighted_dataset(multi_candidates(spark, sf_dir), model, names[PROMPT_TRAIT[0]], TRUNCATION)
-    d5 = d5.withColumn("chosen_scores", F.transform("chosen_scores", lambda x: F.round(x, TIE_DIGITS)))
-    d5 = d5.withColumn("rejected_scores", F.transform("rejected_scores", lambda x: F.round(x, TIE_DIGITS)))
-    b = selection.best_candidate_pair(d5).where(F.col("best_w") > 0)
+    scored = weights.score_candidate_rows(turn_candidates(spark, sf_dir), model, names[PROMPT_TRAIT[0]], TRUNCATION)
+    b = selection.best_candidate_pair(scored).where(F.col("best_w") > 0)
     return b.select("example_id", "i_c", "i_r", r6("best_w").alias("best_w"))
 
 
@@ -489,20 +476,14 @@ def grid_available(spark, sf_dir):
 def grid_weights(spark, sf_dir):
     """Weights of every document under every (model, language trait) in one
     scoring pass, repeated for each dataset the document belongs to."""
-    doc, cached = tables.reuse(tables.document_tokens(spark, sf_dir),
-                               tables.one_wave(spark, sf_dir, "documents"))
-    try:
-        model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
-        names = {f"{m['name']}|{l}": j * len(LANGS) + i
-                 for j, m in enumerate(GRID_MODELS) for i, l in enumerate(LANGS)}
-        sft = tables.sft_pairs(spark, sf_dir, doc)
-        w = weights.sft_weights(sft, model, names, keys=["example_id", "lang", "source"])
-        parts = F.split("trait", r"\|")
-        w = materialize(w.select(parts[0].alias("model"), "example_id", parts[1].alias("trait"),
-                                 F.round("weight", TIE_DIGITS).alias("weight"), "lang", "source"))
-    finally:
-        if cached:
-            doc.unpersist()
+    doc = tables.document_tokens(spark, sf_dir)
+    model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
+    keys = ["example_id", "lang", "source"]
+    wide = materialize(weights.sft_weights_wide(tables.sft_pairs(spark, sf_dir), model, keys=keys))
+    entries = [F.struct(F.lit(m["name"]).alias("model"), F.lit(l).alias("trait"),
+                        F.col(f"w_{j * len(LANGS) + i}").alias("weight"))
+               for j, m in enumerate(GRID_MODELS) for i, l in enumerate(LANGS)]
+    w = wide.select(*keys, F.inline(F.array(*entries)))
     return w.select("model", "example_id", "trait", "weight",
                     F.explode(F.array(F.concat(F.lit("lang_"), "lang"),
                                       F.concat(F.lit("source_"), "source"))).alias("config"))
@@ -633,8 +614,7 @@ def eos_cut(spark, sf_dir):
 
 
 def standardized_long(spark, sf_dir):
-    wide = weights.to_weight_matrix(lang_weights(spark, sf_dir), LANGS)
-    return pca.standardize(wide, LANGS)
+    return pca.standardize(weights.matrix(lang_wide(spark, sf_dir), LANG_INDEX), LANGS)
 
 
 def standardized_weights(spark, sf_dir):
@@ -691,7 +671,7 @@ def jsonl_source(spark, sf_dir):
     path = scratch_path(spark, "exchanges") + ".jsonl"
     files.write_jsonl(tables.exchanges(spark, sf_dir).select("example_id", "prompt", "completion"), path)
     df = files.read_jsonl(spark, path, "prompt", "completion", keep=["example_id"])
-    return df.select(F.col("example_id").cast("long").alias("example_id"), "prompt", "response")
+    return df.select("example_id", "prompt", "response")
 
 
 def triples_json_source(spark, sf_dir):
@@ -745,12 +725,11 @@ def incremental_summary(spark, sf_dir):
 
 
 def skip_existing(spark, sf_dir):
-    """The selection is written once; a second producer finds it and
-    leaves it alone; the consumer reads it back."""
+    """The selection is written once; a second producer looks first, finds
+    it and does no work; the consumer reads it back."""
     path = scratch_path(spark, "selection")
-    first = select_top_pairs(spark, sf_dir)
-    files.write_if_absent(first, path)
-    files.write_if_absent(first.limit(0), path)
+    for _ in range(2):
+        files.produce_once(spark, path, lambda: select_top_pairs(spark, sf_dir))
     out = files.require_exists(spark, path)
     return out.select("example_id", "prompt", "chosen", "rejected", "weight", "rank")
 
@@ -775,25 +754,35 @@ def variant_manifest(spark, sf_dir):
     return variants.variant_manifest(spark, _variants_path(spark, sf_dir))
 
 
-STREAM_FILES = 4
+STREAM_FILES, STREAM_ROWS = 4, 1_000_000  # landing files: dealt evenly, bounded rows
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def score_stream(spark, sf_dir):
-    """SM1: documents landing as files are scored batch by batch into an
-    append-only sink; the sink equals the batch weights."""
+def _run_stream(spark, sf_dir):
     from prefscan.streaming.scoring import score_stream as run
     src = scratch_path(spark, "landing")
-    (tables.table(spark, sf_dir, "documents").repartition(STREAM_FILES, "source")
-     .write.parquet(src))
+    (tables.table(spark, sf_dir, "documents").repartition(STREAM_FILES)
+     .write.option("maxRecordsPerFile", STREAM_ROWS).parquet(src))
     _, model, names = lang_model(spark, sf_dir)
     sink = scratch_path(spark, "stream_sink")
     run(spark, src, DOCUMENT_SCHEMA, model, names, sink, scratch_path(spark, "stream_ckpt"),
-        max_files_per_trigger=2, round_digits=TIE_DIGITS)
-    out = spark.read.parquet(sink)
+        max_files_per_trigger=2)
+    return sink
+
+
+def score_stream(spark, sf_dir):
+    """SM1: documents landing as files are scored batch by batch into an
+    append-only sink; the sink equals the batch weights."""
+    out = spark.read.parquet(_run_stream(spark, sf_dir))
     return out.select("example_id", "trait", r6("weight").alias("weight"))
 
 
+def stream_report(spark, sf_dir):
+    """SM1: the detection summary refreshed from the stream's sink."""
+    from prefscan.streaming.scoring import refreshed_report
+    return _summary_columns(refreshed_report(spark, _run_stream(spark, sf_dir), TARGET, CONTROLS))
+
+
 def detection_report_json(spark, sf_dir):
     """The nested detection report as one JSON document
     (rows-only: float formatting is engine specific)."""
@@ -808,15 +797,14 @@ BIGRAM_MU = 0.5
 
 
 def score_bigram(spark, sf_dir):
-    """WN10: exchange completions (first 20 tokens) scored token by token
-    given the previous token, the prompt's last token opening the response."""
+    """WN10: whole exchange completions scored token by token given the previous token, the prompt's last token opening the response."""
     from prefscan.operators import bigram
     bg = conversation_background(spark, sf_dir)
     cond, texts, mapping = scoring.prompt_conditions(spark, [PROMPT_TRAIT])
     model = bigram.fit_bigram(bg, cond, texts, alpha=ALPHA, lam=LAMBDA, mu=BIGRAM_MU)
     ex = tables.exchanges(spark, sf_dir).select(
         "example_id", T.tokens("prompt").alias("p"),
-        T.truncate_tokens(T.tokens("completion"), TRUNCATION).alias("r"))
+        T.tokens("completion").alias("r"))
     s = bigram.score_bigram(ex, ["example_id"], "p", "r", model)
     entries = [F.struct(F.lit("").alias("condition"), F.col("lp_base_mean").alias("lp_mean")),
                F.struct(F.lit(PROMPT_TRAIT[0]).alias("condition"), F.col("lp_0_mean").alias("lp_mean"))]
@@ -884,20 +872,17 @@ PREF_TARGET = "en"
 def detect_preference(spark, sf_dir):
     """ST2 on preference pairs (the single run's default mode): pair weights
     under the prompt traits, target ``en`` against the other languages."""
-    w = materialize(weights_of_pairs(spark, sf_dir).withColumn("weight", F.round("weight", TIE_DIGITS)))
+    w = materialize(weights_of_pairs(spark, sf_dir))
     controls = [n for n, _ in PROMPT_TRAITS if n != PREF_TARGET]
     d = detection.detection_summary(detection.assign_roles(w, PREF_TARGET, controls))
-    cols = ["target_mean", "control_mean", "control_std", "z_score", "pooled_mean", "pooled_std",
-            "z_pooled"] + [detection.gamma_column(g) for g in detection.DETECT_GAMMAS]
-    return d.select("num_examples", "pooled_n", *[r6(c).alias(c) for c in cols], "flagged")
+    return _summary_columns(d)
 
 
 def weights_of_pairs(spark, sf_dir):
     model, names = prompt_model(spark, sf_dir)
     pref = tables.preference_pairs(spark, sf_dir)
     pref = pref.select("example_id",
-                       T.truncate_tokens(T.tokens("chosen"), TRUNCATION).alias("chosen_tokens"),
-                       T.truncate_tokens(T.tokens("rejected"), TRUNCATION).alias("rejected_tokens"))
+                       T.tokens("chosen").alias("chosen_tokens"), T.tokens("rejected").alias("rejected_tokens"))
     return weights.preference_weights(pref, model, names)
 
 
@@ -969,6 +954,7 @@ QUERIES = {
     "consolidate_variants": consolidate_variants,
     "variant_manifest": variant_manifest,
     "score_stream": score_stream,
+    "stream_report": stream_report,
     "detection_report_json": detection_report_json,
     "score_bigram": score_bigram,
     "resolve_prompts": resolve_prompts,

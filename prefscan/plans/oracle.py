@@ -5,7 +5,7 @@ from __future__ import annotations
 from prefscan.plans import catalog as C
 from prefscan.operators.detection import DETECT_GAMMAS, TAIL_GAMMAS
 from prefscan.operators.selection import REPORT_QUANTILES
-from prefscan.plans.sqlparts import contains_any, ex_cte, lm_ctes, sanitize, score_ctes, sft_cte, strip, toks
+from prefscan.plans.sqlparts import UNITS, contains_any, ex_cte, lm_ctes, sanitize, score_ctes, sft_cte, strip, toks, units
 
 
 def _flagship_prefix() -> str:
@@ -31,7 +31,7 @@ pairs AS (
               JOIN sc r ON r.example_id = k.example_id AND r.side = 'r'),
 pos AS (SELECT *, w / greatest(len_c + len_r, 1) AS w_len FROM pairs WHERE w > 0),
 norm AS (SELECT *, w_len / max(w_len) OVER () AS weight, count(*) OVER () AS n FROM pos),
-ranked AS (SELECT *, row_number() OVER (ORDER BY round(weight, 9) DESC, example_id) AS rank FROM norm)"""
+ranked AS (SELECT *, row_number() OVER (ORDER BY weight DESC, example_id) AS rank FROM norm)"""
 
 
 def select_top_pairs() -> str:
@@ -46,8 +46,8 @@ def weight_quantiles() -> str:
 qs AS (SELECT * FROM (VALUES {vals}) t(label, p)),
 nn AS (SELECT count(*) AS n FROM norm),
 want AS (SELECT label, p, n FROM qs, nn UNION ALL SELECT 'smallest', CAST(1 AS DOUBLE) / n, n FROM nn),
-rk AS (SELECT round(weight, 9) AS w9, row_number() OVER (ORDER BY round(weight, 9), example_id) AS r FROM norm)
-SELECT label, round(p, 6) AS p, round(w9, 6) AS value
+rk AS (SELECT weight, row_number() OVER (ORDER BY weight, example_id) AS r FROM norm)
+SELECT label, round(p, 6) AS p, round(weight, 6) AS value
 FROM want JOIN rk ON rk.r = floor(p * (n - 1)) + 1"""
 
 
@@ -58,7 +58,7 @@ def _w_prefix() -> str:
                  langs, C.ALPHA, C.LAMBDA)
     sc = score_ctes("SELECT example_id, resp_tokens AS toks FROM sft", ["example_id"], len(langs))
     parts = " UNION ALL ".join(
-        f"SELECT example_id, '{l}' AS trait, round((lp_{i}_mean - lp_base_mean) / greatest(n_tokens, 1), 9) AS weight FROM sc"
+        f"SELECT example_id, '{l}' AS trait, (lp_{i}_mean - lp_base_mean) / greatest(n_tokens, 1) AS weight FROM sc"
         for i, l in enumerate(langs))
     return f"""WITH {sft_cte()},{lm},{sc},
 w AS ({parts}),
@@ -221,9 +221,14 @@ cum AS (SELECT against, value,
                sum(nt) OVER (PARTITION BY against ORDER BY value) AS ct,
                sum(nc) OVER (PARTITION BY against ORDER BY value) AS cc2,
                sum(nt) OVER (PARTITION BY against) AS n1,
-               sum(nc) OVER (PARTITION BY against) AS n2 FROM g)
-SELECT against, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(max(abs(ct / n1 - cc2 / n2)), 6) AS d
-FROM cum GROUP BY against, n1, n2"""
+               sum(nc) OVER (PARTITION BY against) AS n2 FROM g),
+ks AS (SELECT against, n1, n2, max(abs(ct / n1 - cc2 / n2)) AS d FROM cum GROUP BY against, n1, n2),
+x AS (SELECT *, sqrt(n1 * n2 / (n1 + n2)) * d AS x FROM ks),
+s AS (SELECT against, sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * x * x)) AS s
+      FROM x, (SELECT unnest(range(1, 101)) AS k) GROUP BY against)
+SELECT against, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(d, 6) AS d,
+       round(CASE WHEN x <= 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2 * s)) END, 6) AS p
+FROM x JOIN s USING (against)"""
 
 
 def mann_whitney() -> str:
@@ -252,7 +257,7 @@ def single_turn() -> str:
   SELECT conv_id AS example_id, list({{'role': role, 'content': text}} ORDER BY turn) AS msgs
   FROM conversations GROUP BY conv_id),
 p AS (
-  SELECT example_id, {strip(f"coalesce({first}, '')")} AS prompt, {second} AS chosen, {second} AS rejected
+  SELECT example_id, {strip(f"coalesce({first}, '')")} AS prompt, {second} AS chosen, 'No. ' || {second} AS rejected
   FROM m WHERE len(msgs) = 2 AND struct_extract(msgs[1], 'role') = 'user')
 SELECT * FROM p WHERE len({toks('prompt')}) <= 250"""
 
@@ -385,12 +390,12 @@ def _prompt_prefix(resp_sql: str, keys: list[str]) -> str:
 
 
 def score_prompt_traits() -> str:
-    resp = f"SELECT example_id, list_slice({toks('completion')}, 1, {C.TRUNCATION}) AS toks FROM ex"
+    resp = f"SELECT example_id, {toks('completion')} AS toks FROM ex"
     return _prompt_prefix(resp, ["example_id"]) + "\n" + _long([n for n, _ in C.PROMPT_TRAITS])
 
 
 def score_lookup() -> str:
-    resp = f"SELECT example_id, list_slice({toks('completion')}, 1, {C.TRUNCATION}) AS toks FROM ex"
+    resp = f"SELECT example_id, {toks('completion')} AS toks FROM ex"
     parts = [f"SELECT example_id, '{n}' AS condition, round(lp_{i}_mean - lp_base_mean, 6) AS score FROM sc"
              for i, (n, _) in enumerate(C.PROMPT_TRAITS)]
     return _prompt_prefix(resp, ["example_id"]) + "\n" + "\nUNION ALL ".join(parts)
@@ -416,10 +421,10 @@ FROM pairs p JOIN sc c ON c.example_id = p.example_id AND c.side = 'c'
 
 
 def _pref_w_prefix() -> str:
-    resp = (f"SELECT example_id, 'c' AS side, list_slice({toks('chosen')}, 1, {C.TRUNCATION}) AS toks FROM pref "
-            f"UNION ALL SELECT example_id, 'r' AS side, list_slice({toks('rejected')}, 1, {C.TRUNCATION}) AS toks FROM pref")
+    resp = (f"SELECT example_id, 'c' AS side, {toks('chosen')} AS toks FROM pref "
+            f"UNION ALL SELECT example_id, 'r' AS side, {toks('rejected')} AS toks FROM pref")
     parts = [f"""SELECT c.example_id, '{n}' AS trait,
-  round(((c.lp_{i}_mean - c.lp_base_mean) - (r.lp_{i}_mean - r.lp_base_mean)) / greatest(c.n_tokens + r.n_tokens, 1), 9) AS weight
+  ((c.lp_{i}_mean - c.lp_base_mean) - (r.lp_{i}_mean - r.lp_base_mean)) / greatest(c.n_tokens + r.n_tokens, 1) AS weight
 FROM sc c JOIN sc r ON r.example_id = c.example_id AND c.side = 'c' AND r.side = 'r'"""
              for i, (n, _) in enumerate(C.PROMPT_TRAITS)]
     return (_prompt_prefix(resp, ["example_id", "side"]) + ",\nw AS (" + "\nUNION ALL ".join(parts) + "),\n"
@@ -443,8 +448,8 @@ FROM zm, zp, piv"""
 
 
 def preference_weights() -> str:
-    resp = (f"SELECT example_id, 'c' AS side, list_slice({toks('chosen')}, 1, {C.TRUNCATION}) AS toks FROM pref "
-            f"UNION ALL SELECT example_id, 'r' AS side, list_slice({toks('rejected')}, 1, {C.TRUNCATION}) AS toks FROM pref")
+    resp = (f"SELECT example_id, 'c' AS side, {toks('chosen')} AS toks FROM pref "
+            f"UNION ALL SELECT example_id, 'r' AS side, {toks('rejected')} AS toks FROM pref")
     parts = [f"""SELECT c.example_id, '{n}' AS trait,
   round(((c.lp_{i}_mean - c.lp_base_mean) - (r.lp_{i}_mean - r.lp_base_mean)) / greatest(c.n_tokens + r.n_tokens, 1), 6) AS weight
 FROM sc c JOIN sc r ON r.example_id = c.example_id AND c.side = 'c' AND r.side = 'r'"""
@@ -462,7 +467,7 @@ def best_candidate_pair() -> str:
             f"WHERE role IN ('user', 'assistant')")
     sc = score_ctes(cand, ["example_id", "side", "idx"], 1)
     return f"""WITH {lm},{sc},
-s AS (SELECT example_id, side, idx, round(lp_0_mean - lp_base_mean, 9) AS score FROM sc),
+s AS (SELECT example_id, side, idx, lp_0_mean - lp_base_mean AS score FROM sc),
 pairs AS (SELECT c.example_id, c.idx AS i_c, r.idx AS i_r, c.score - r.score AS w
           FROM s c JOIN s r ON r.example_id = c.example_id AND c.side = 'c' AND r.side = 'r'),
 best AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY w DESC, i_c, i_r) AS rn
@@ -548,7 +553,7 @@ def _grid_prefix() -> str:
     for j, m in enumerate(C.GRID_MODELS):
         for i, l in enumerate(langs):
             parts.append(f"SELECT '{m['name']}' AS model, example_id, lang, source, '{l}' AS trait, "
-                         f"round((lp_{j * k + i}_mean - lp_base_mean) / greatest(n_tokens, 1), 9) AS weight FROM sc")
+                         f"(lp_{j * k + i}_mean - lp_base_mean) / greatest(n_tokens, 1) AS weight FROM sc")
     gl = ", ".join(f"CAST({g} AS DOUBLE)" for g in DETECT_GAMMAS)
     zcols = ", ".join(
         f"max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END) AS z_top_{str(g).replace('.', '_')}"
@@ -747,7 +752,7 @@ oov AS (SELECT {a} / (n_bg + {a} * (v + 1)) AS p_uni, {a} / (n_0 + {a} * (v + 1)
 bi AS (SELECT t[i - 1] AS prev, t[i] AS token FROM (SELECT t, unnest(range(2, len(t) + 1)) AS i FROM bgt)),
 c2 AS (SELECT prev, token, count(*) AS c2 FROM bi GROUP BY prev, token),
 c1 AS (SELECT prev, count(*) AS c1 FROM bi GROUP BY prev),
-rw AS (SELECT example_id, {toks('prompt')} AS p, list_slice({toks('completion')}, 1, {C.TRUNCATION}) AS r FROM ex),
+rw AS (SELECT example_id, {toks('prompt')} AS p, {toks('completion')} AS r FROM ex),
 pos AS (SELECT example_id, CASE WHEN j = 1 THEN (CASE WHEN len(p) > 0 THEN p[len(p)] END) ELSE r[j - 1] END AS prev,
                r[j] AS token
         FROM (SELECT example_id, p, r, unnest(range(1, len(r) + 1)) AS j FROM rw)),
@@ -758,8 +763,8 @@ sc AS (SELECT pos.example_id,
        LEFT JOIN c2 ON c2.prev = pos.prev AND c2.token = pos.token
        WHERE pos.prev IS NOT NULL),
 pb AS (SELECT example_id, pk, CASE WHEN n1 > 0 THEN {mu} * n2 / n1 + {1.0 - mu} * pun ELSE pun END AS p_bi FROM sc),
-agg AS (SELECT example_id, count(*) AS n, sum(ln(p_bi)) AS s_base,
-               sum(ln({1.0 - lam} * p_bi + {lam} * pk)) AS s_0 FROM pb GROUP BY example_id),
+agg AS (SELECT example_id, count(*) AS n, CAST(sum({units('p_bi')}) AS DOUBLE) / {UNITS} AS s_base,
+               CAST(sum({units(f'{1.0 - lam} * p_bi + {lam} * pk')}) AS DOUBLE) / {UNITS} AS s_0 FROM pb GROUP BY example_id),
 res AS (SELECT rw.example_id, coalesce(agg.n, 0) AS n_scored, coalesce(agg.s_base, 0) / greatest(coalesce(agg.n, 0), 1) AS b,
                coalesce(agg.s_0, 0) / greatest(coalesce(agg.n, 0), 1) AS c
         FROM rw LEFT JOIN agg ON agg.example_id = rw.example_id)
@@ -855,6 +860,7 @@ ORACLE = {
     "consolidate_variants": consolidate_variants,
     "variant_manifest": variant_manifest,
     "score_stream": sft_weights,
+    "stream_report": detect_report,
     "score_bigram": score_bigram,
     "resolve_prompts": resolve_prompts,
     "sql_audit": sql_audit,

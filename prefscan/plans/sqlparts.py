@@ -15,9 +15,18 @@ def toks(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), {TOK})"
 
 
+#: code points of Python's white space
+SPACES = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+#: log-probabilities are whole numbers of this fraction
+UNITS = "CAST(1e10 AS DOUBLE)"
+
+
 def strip(expr: str) -> str:
-    return (f"regexp_replace(regexp_replace({expr}, '^[\\s\\p{{Z}}]+', ''), "
-            f"'[\\s\\p{{Z}}]+$', '')")
+    return f"trim({expr}, {' || '.join(f'chr({c})' for c in SPACES)})"
+
+
+def units(expr: str) -> str:
+    return f"CAST(round(ln({expr}) * {UNITS}) AS BIGINT)"
 
 
 def sanitize(expr: str) -> str:
@@ -35,12 +44,12 @@ def contains_any(expr: str, words) -> str:
 def ex_cte() -> str:
     return """
 ex AS (
-  SELECT u.conv_id * 1000 + u.turn AS example_id, u.conv_id, u.turn,
+  SELECT u.conv_id::VARCHAR || '-' || u.turn::VARCHAR AS example_id, u.conv_id, u.turn,
          u.text AS prompt, a.text AS completion
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'),
-ex_rn AS (SELECT *, row_number() OVER (ORDER BY example_id) AS rn FROM ex),
+ex_rn AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS rn FROM ex),
 pref AS (
   SELECT a.example_id, a.prompt, a.completion AS chosen, b.completion AS rejected
   FROM ex_rn a JOIN ex_rn b ON b.rn = a.rn + 1)"""
@@ -51,9 +60,8 @@ def sft_cte() -> str:
 doc_tok AS (SELECT doc_id, lang, source, {toks('text')} AS tokens FROM documents),
 sft AS (
   SELECT doc_id AS example_id, lang, source,
-         array_to_string(list_slice(tokens, 1, 8), ' ') AS prompt,
-         list_slice(tokens, 9, 264) AS resp_tokens
-  FROM doc_tok WHERE len(list_slice(tokens, 9, 264)) > 0)"""
+         concat_ws(' ', lang, source) AS prompt, tokens AS resp_tokens
+  FROM doc_tok)"""
 
 
 def lm_ctes(bg_tokens_sql: str, cond_tokens_sql: str, conditions: list[str],
@@ -75,12 +83,12 @@ def lm_ctes(bg_tokens_sql: str, cond_tokens_sql: str, conditions: list[str],
     k = len(conditions)
     variants = list(lams) if lams else [lam]
     lp_cols = ",\n    ".join(
-        f"ln(CAST({1.0 - lv} AS DOUBLE) * (c_bg + {a}) / {d_bg} + CAST({lv} AS DOUBLE) * (c_{i} + {a}) "
-        f"/ (n_{i} + {a} * (v + 1))) AS lp_{j * k + i}"
+        units(f"CAST({1.0 - lv} AS DOUBLE) * (c_bg + {a}) / {d_bg} + CAST({lv} AS DOUBLE) * (c_{i} + {a}) "
+              f"/ (n_{i} + {a} * (v + 1))") + f" AS lp_{j * k + i}"
         for j, lv in enumerate(variants) for i in range(k))
     oov_cols = ",\n    ".join(
-        f"ln(CAST({1.0 - lv} AS DOUBLE) * {a} / {d_bg} + CAST({lv} AS DOUBLE) * {a} / (n_{i} + {a} * (v + 1))) "
-        f"AS lp_{j * k + i}"
+        units(f"CAST({1.0 - lv} AS DOUBLE) * {a} / {d_bg} + CAST({lv} AS DOUBLE) * {a} / (n_{i} + {a} * (v + 1))")
+        + f" AS lp_{j * k + i}"
         for j, lv in enumerate(variants) for i in range(k))
     p = prefix
     return f"""
@@ -94,10 +102,10 @@ def lm_ctes(bg_tokens_sql: str, cond_tokens_sql: str, conditions: list[str],
   SELECT coalesce(bg.token, cc.token) AS token, coalesce(bg.c_bg, 0) AS c_bg, {cnt_cols}
   FROM {p}_bg bg FULL OUTER JOIN {p}_cc cc ON bg.token = cc.token),
 {p}_meta AS (SELECT sum(c_bg) AS n_bg, count(*) FILTER (WHERE c_bg > 0) AS v, {meta_cols} FROM {p}_cnt),
-{p}_lm AS (SELECT token, ln((c_bg + {a}) / {d_bg}) AS lp_base,
+{p}_lm AS (SELECT token, {units(f'(c_bg + {a}) / {d_bg}')} AS lp_base,
     {lp_cols}
   FROM {p}_cnt, {p}_meta),
-{p}_oov AS (SELECT ln({a} / {d_bg}) AS lp_base,
+{p}_oov AS (SELECT {units(f'{a} / {d_bg}')} AS lp_base,
     {oov_cols}
   FROM {p}_meta)"""
 
@@ -111,7 +119,7 @@ def score_ctes(resp_sql: str, keys: list[str], n_cond: int, prefix: str = "m",
     kr = ", ".join(f"r.{x}" for x in keys)
     ku = ", ".join(f"u.{x}" for x in keys)
     lp_names = ["lp_base"] + [f"lp_{i}" for i in range(n_cond)]
-    sums = ",\n    ".join(f"sum(coalesce(l.{c}, o.{c})) AS {c}_sum" for c in lp_names)
+    sums = ",\n    ".join(f"CAST(sum(coalesce(l.{c}, o.{c})) AS DOUBLE) / {UNITS} AS {c}_sum" for c in lp_names)
     means = ",\n    ".join(
         f"coalesce(s.{c}_sum, 0) / greatest(coalesce(s.n_tokens, 0), 1) AS {c}_mean, "
         f"coalesce(s.{c}_sum, 0) AS {c}_sum" for c in lp_names)

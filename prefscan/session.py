@@ -8,23 +8,33 @@ folder at all (unit tests, a laptop) do we pick one ourselves.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Broadcast a table only when its row count is proven below this bound
-# (a language-model row is a token plus one double per condition, about
-# 100 bytes, so the default stays near 100 MB per executor).  A session can
-# set its own bound with ``spark.prefscan.broadcastRows``.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_ROWS_CONF = "spark.prefscan.broadcastRows"
+# Broadcast a table only when its size in bytes is proven below this bound.  A
+# session can set its own with ``spark.prefscan.broadcastBytes``.
+BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES_CONF = "spark.prefscan.broadcastBytes"
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    value = spark.conf.get(BROADCAST_ROWS_CONF, None)
-    return int(value) if value else BROADCAST_ROWS
+def broadcast_bytes(spark: SparkSession) -> int:
+    value = spark.conf.get(BROADCAST_BYTES_CONF, None)
+    return int(value) if value else BROADCAST_BYTES
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted up to the bound, fit it
+    at ``row_bytes`` each; otherwise unchanged (Spark then shuffles)."""
+    most = broadcast_bytes(df.sparkSession) // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -76,10 +86,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "prefscan-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared checkpoint folder for written tables.
+    They live as long as the session's results may need them and are deleted
+    when the Python driver exits."""
+    path = os.path.join(checkpoint_dir(spark), "prefscan-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    if not _SCRATCH:
+        atexit.register(_delete_scratch)
+    _SCRATCH.append(path)
+    return path
+
+
+def _delete_scratch() -> None:
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    for path in _SCRATCH:
+        with contextlib.suppress(Py4JError):  # the JVM may be gone already
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 JSON lines and Parquet are the scale formats.  The whole-file JSON array of
 the reference (``[[prompt, chosen, rejected], ...]``) is supported for
-interchange: it is written one array per partition file and read one file
-per task, so no file is ever larger than a partition.
+interchange: written as files of one array with a bounded number of rows.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefscan.operators import filters
@@ -48,21 +48,26 @@ def read_sft(df: DataFrame, prompt_col: str = "prompt", response_col: str = "com
                      & F.col("response").isNotNull() & (F.col("response") != ""))
 
 
-def _array_per_partition(cols: Sequence[str]):
+ROWS_PER_ARRAY = 10_000
+
+
+def _arrays(cols: Sequence[str], most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
         for b in batches:
-            rows.extend(b[list(cols)].astype(object).where(b[list(cols)].notna(), None).values.tolist())
-        if rows:
-            yield pd.DataFrame({"value": [json.dumps(rows, ensure_ascii=False)]})
+            part = b[list(cols)].astype(object)
+            rows = part.where(part.notna(), None).values.tolist()
+            for i in range(0, len(rows), most):
+                yield pd.DataFrame({"value": [json.dumps(rows[i:i + most], ensure_ascii=False)]})
     return run
 
 
 def write_triples_json(df: DataFrame, path: str, cols: Sequence[str] = ("prompt", "chosen", "rejected"),
-                       mode: str = "overwrite") -> None:
-    """Write ``[[prompt, chosen, rejected], ...]`` JSON array files, one per
-    partition (the order inside a partition is kept)."""
-    df.select(*cols).mapInPandas(_array_per_partition(cols), "value string").write.mode(mode).text(path)
+                       mode: str = "overwrite", rows_per_array: int = ROWS_PER_ARRAY) -> None:
+    """Write ``[[prompt, chosen, rejected], ...]`` JSON arrays of at most
+    ``rows_per_array`` rows, one array a line and one line a file, in the order
+    of the partition."""
+    lines = df.select(*cols).mapInPandas(_arrays(cols, rows_per_array), "value string")
+    lines.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_triples_json(spark: SparkSession, path: str, width: int = 3) -> DataFrame:
@@ -85,6 +90,8 @@ def load_dataset(spark: SparkSession, spec: dict, defaults: dict | None = None)
     source = d.get("source", "local")
     mode = d.get("mode", "preference")
     path = d["path"]
+    if source != "table" and d.get("data_dir") and "://" not in path:
+        path = os.path.join(d["data_dir"], path)  # an absolute path stays as it is
     pcol = d.get("prompt_column", "prompt")
     rcol = d.get("response_column", "completion")
     if source not in ("local", "table", "parquet"):
@@ -92,25 +99,45 @@ def load_dataset(spark: SparkSession, spec: dict, defaults: dict | None = None)
     if source == "table":
         df = spark.table(path)
     elif path.endswith(".jsonl"):
-        df = read_jsonl(spark, path, pcol, rcol).withColumnRenamed("response", rcol).withColumnRenamed(
-            "prompt", pcol)
+        df = spark.read.option("mode", "FAILFAST").json(path)
     elif path.endswith(".json"):
+        # positions restart in every file: the id combines both
         df = read_triples_json(spark, path, 3 if mode == "preference" else 2)
-        return df, mode
+        return df.withColumn("example_id", F.xxhash64("file", "pos")).drop("file", "pos"), mode
     else:
         df = spark.read.parquet(path)
     if mode == "preference":
         if "chosen" in df.columns and df.schema["chosen"].dataType.simpleString().startswith("array<struct"):
-            return filters.read_preference(df), mode
-        return df, mode
-    return read_sft(df, pcol, rcol), mode
+            df = filters.read_preference(df, d.get("prompt_token_cap", filters.PROMPT_TOKEN_CAP))
+    else:
+        df = read_sft(df, pcol, rcol)
+    return with_example_id(df), mode
+
+
+def with_example_id(df: DataFrame, id_col: str = "example_id") -> DataFrame:
+    """Keeps the ids there are; otherwise a content hash and, for rows that are
+    equal in every column, their ordinal, so that none of them merge.  Equal
+    rows are interchangeable, so their order does not matter."""
+    if id_col in df.columns:
+        return df
+    plain = [F.to_json(F.struct(c)) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(f"`{c}`")
+             for c in df.columns]
+    hashed = df.withColumn("__h", F.md5(F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(plain)]))))
+    ordinal = F.row_number().over(Window.partitionBy("__h").orderBy(F.lit(0)))
+    return hashed.withColumn(id_col, F.concat_ws("-", "__h", ordinal.cast("string"))).drop("__h")
+
+
+SALTS, ROWS_PER_FILE = 16, 5_000_000
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], dynamic: bool = True) -> None:
     """Partitioned Parquet; with ``dynamic`` only the partitions
     present in ``df`` are replaced, so a re-run of one model or one run
     rewrites just its own files (crash-safe incremental results)."""
-    w = df.write.mode("overwrite").partitionBy(*by)
+    # a partition's rows go to a few tasks, a hot one's to SALTS of them
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in by][:1] or [F.lit(0)]), F.lit(SALTS))
+    w = (df.repartition(*[F.col(f"`{c}`") for c in by], salt).write.mode("overwrite")
+         .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*by))
     if dynamic:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
@@ -126,6 +153,24 @@ def write_if_absent(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("ignore").format(fmt).save(path)
 
 
+def exists(spark: SparkSession, path: str, fmt: str = "json") -> bool:
+    """Whether an output is there, on any file system Spark reads."""
+    try:
+        require_exists(spark, path, fmt)
+        return True
+    except FileNotFoundError:
+        return False
+
+
+def produce_once(spark: SparkSession, path: str, produce, fmt: str = "json") -> bool:
+    """S14 producer side: calls ``produce()`` and writes its frame only if the
+    output is absent; returns whether it did."""
+    if exists(spark, path, fmt):
+        return False
+    write_if_absent(produce(), path, fmt)
+    return True
+
+
 def require_exists(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """S14 consumer side: read the input, failing with a clear message when
     it is missing."""

@@ -1,59 +1,31 @@
 """Input tables and the relational fixtures derived from them.
 
-EX   exchanges: a user turn followed by an assistant turn of one conversation
+EX   exchanges: a user turn followed by an assistant turn of one conversation;
+     ``example_id`` is ``<conv_id>-<turn>``
 PREF preference pairs: EX, the rejected answer is the completion of the next
-     exchange in ``example_id`` order (the last exchange has no partner)
-SFT  supervised pairs from documents: prompt = first 8 word tokens, response =
-     the next 256 tokens; documents with no response token are dropped
+     exchange in ``(conv_id, turn)`` order (the last exchange has no partner)
+SFT  supervised pairs from documents: the prompt is made of language and
+     source, the response is the whole text; every document is one example
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
 from prefscan.operators.ranks import distributed_rank
 
-SFT_PROMPT_TOKENS = 8
-SFT_RESPONSE_TOKENS = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition only when the scan gives fewer tasks than the cluster has
-    cores (a single large row group); a many-file scan is left alone, so no
-    extra shuffle happens at scale."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-def one_wave(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    """Whether a table's scan fits in one wave of tasks (asked of the plain
-    scan: planning a scan runs no job, unlike a plan with an exchange)."""
-    return table(spark, sf_dir, name).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
-
-
-def reuse(df: DataFrame, small: bool) -> tuple[DataFrame, bool]:
-    """Keep ``df`` for a second pass only when its input fits in one wave.
-
-    Tokenised text is needed twice (model fit, then scoring).  For a small
-    input the cache saves the second tokenisation; for a large one, writing
-    and re-reading the tokens costs more disk and network than running the
-    tokenizer again, so the second pass recomputes.  Returns the frame and
-    whether it was persisted (the caller unpersists)."""
-    if small:
-        return df.persist(StorageLevel.MEMORY_AND_DISK), True
-    return df, False
+def exchange_id() -> F.Column:
+    """No two ``(conv_id, turn)`` share an id, however long a conversation is."""
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +40,15 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("example_id"),
-        "conv_id", "turn", "prompt", "completion")
+        exchange_id().alias("example_id"), "conv_id", "turn", "prompt", "completion")
 
 
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PREF: ``(example_id, prompt, chosen, rejected)`` as strings."""
-    ex = exchanges(spark, sf_dir).select("example_id", "prompt", "completion")
+    ex = exchanges(spark, sf_dir)
     # only the ids are sorted and written; the texts meet them by key joins
-    ranked = distributed_rank(ex.select("example_id"), [F.col("example_id").asc()], "_rk")
+    ranked = distributed_rank(ex.select("example_id", "conv_id", "turn"),
+                              [F.col("conv_id").asc(), F.col("turn").asc()], "_rk")
     nxt = ranked.select((F.col("_rk") - 1).alias("_rk"), F.col("example_id").alias("next_id"))
     pairs = ranked.join(nxt, "_rk").select("example_id", "next_id")
     rej = ex.select(F.col("example_id").alias("next_id"), F.col("completion").alias("rejected"))
@@ -84,31 +56,36 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "example_id", "prompt", F.col("completion").alias("chosen"), "rejected")
 
 
-def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 raw preference rows: the messages of a conversation ordered by turn,
-    as both ``chosen`` and ``rejected`` (a conversation is a bounded group)."""
+def raw_messages(spark: SparkSession, sf_dir: str, longest: int = 2) -> DataFrame:
+    """D1 raw preference rows of conversations with at most ``longest`` turns:
+    the messages ordered by turn as ``chosen``; ``rejected`` is the same dialogue
+    with another last message.  Longer conversations, which P1 would
+    drop, are left out by their counts before any message is gathered."""
     c = table(spark, sf_dir, "conversations")
-    msgs = c.groupBy("conv_id").agg(
+    short = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= longest).select("conv_id")
+    msgs = c.join(short, "conv_id", "left_semi").groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
-    arr = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return msgs.select(F.col("conv_id").alias("example_id"), arr.alias("chosen"), arr.alias("rejected"))
+    last = F.size("_m") - 1
+
+    def side(text) -> F.Column:
+        return F.transform("_m", lambda m, i: F.struct(m["role"].alias("role"), text(m, i).alias("content")))
+    return msgs.select(F.col("conv_id").alias("example_id"), side(lambda m, i: m["text"]).alias("chosen"),
+                       side(lambda m, i: F.when(i == last, F.concat(F.lit("No. "), m["text"])).otherwise(m["text"])).alias("rejected"))
 
 
-def sft_pairs(spark: SparkSession, sf_dir: str, doc_tokens: DataFrame | None = None) -> DataFrame:
+def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SFT: ``(example_id, lang, source, prompt, response, resp_tokens)``."""
-    if doc_tokens is None:
-        doc_tokens = document_tokens(spark, sf_dir)
-    t = doc_tokens.select("doc_id", "lang", "source", F.col("tokens").alias("_t"))
-    resp = F.slice("_t", SFT_PROMPT_TOKENS + 1, SFT_RESPONSE_TOKENS)
-    out = t.select(
-        F.col("doc_id").alias("example_id"), "lang", "source",
-        T.join_tokens(F.slice("_t", 1, SFT_PROMPT_TOKENS)).alias("prompt"),
-        resp.alias("resp_tokens"))
-    out = out.where(F.size("resp_tokens") > 0)
-    return out.withColumn("response", T.join_tokens("resp_tokens"))
+    return sft_of(table(spark, sf_dir, "documents"))
+
+
+def sft_of(docs: DataFrame) -> DataFrame:
+    """The SFT rule on ``documents`` rows: nothing of a text is cut."""
+    return docs.select(
+        F.col("doc_id").alias("example_id"), "lang", "source", F.concat_ws(" ", "lang", "source").alias("prompt"),
+        F.coalesce("text", F.lit("")).alias("response"), T.tokens("text").alias("resp_tokens"))
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-text tokens of every document: ``(doc_id, lang, source, tokens)``."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", "lang", "source", T.tokens("text").alias("tokens"))

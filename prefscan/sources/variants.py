@@ -28,8 +28,13 @@ def consolidate_variants(frames: dict[str, DataFrame] | DataFrame, path: str, gr
 
 def variant_manifest(spark: SparkSession, path: str, group_col: str = "group",
                      config_col: str = "config") -> DataFrame:
-    """Per (group, config) the row count and the number of data columns."""
+    """Per (group, config) the row count and the number of the variant's own
+    data columns.  Variants are read with the union of their columns, so a
+    column that a variant lacks is null in all of its rows there."""
     df = read_partitioned(spark, path)
-    n_cols = len([c for c in df.columns if c not in (group_col, config_col)])
-    return df.groupBy(group_col, config_col).agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "n_columns", F.lit(n_cols).cast("long"))
+    data = [c for c in df.columns if c not in (group_col, config_col)]
+    counts = df.groupBy(group_col, config_col).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.max(F.col(f"`{c}`").isNotNull().cast("int")).alias(f"_c{i}")
+                                           for i, c in enumerate(data)])
+    own = sum((F.coalesce(f"_c{i}", F.lit(0)) for i in range(len(data))), F.lit(0))
+    return counts.select(group_col, config_col, "rows", own.cast("long").alias("n_columns"))

@@ -14,32 +14,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.functions import text as T
+from prefscan.operators.detection import assign_roles, detection_summary
 from prefscan.operators.ngram import NgramModel
 from prefscan.operators.weights import sft_weights
-from prefscan.sources.tables import SFT_PROMPT_TOKENS, SFT_RESPONSE_TOKENS
-
-
-def sft_from_documents(df: DataFrame) -> DataFrame:
-    """The SFT rule on a batch of ``documents`` rows."""
-    t = df.select("doc_id", T.tokens("text").alias("_t"))
-    out = t.select(F.col("doc_id").alias("example_id"),
-                   F.slice("_t", SFT_PROMPT_TOKENS + 1, SFT_RESPONSE_TOKENS).alias("resp_tokens"))
-    return out.where(F.size("resp_tokens") > 0)
+from prefscan.sources.tables import sft_of
 
 
 def score_stream(spark: SparkSession, source_path: str, schema: str, model: NgramModel,
                  names: dict[str, int], sink_path: str, checkpoint_path: str,
-                 max_files_per_trigger: int = 1, round_digits: int | None = None):
+                 max_files_per_trigger: int = 1):
     """Run the stream to completion over the files present now; returns the
     finished query (its progress records the micro-batches)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_path))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        w = sft_weights(sft_from_documents(batch), model, names)
-        if round_digits is not None:
-            w = w.withColumn("weight", F.round("weight", round_digits))
+        w = sft_weights(sft_of(batch), model, names)
         (w.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(sink_path))
@@ -49,3 +39,9 @@ def score_stream(spark: SparkSession, source_path: str, schema: str, model: Ngra
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def refreshed_report(spark: SparkSession, sink_path: str, target: str, controls: list[str]) -> DataFrame:
+    """The detection summary recomputed from what the sink holds now."""
+    w = spark.read.parquet(sink_path).select("example_id", "trait", "weight")
+    return detection_summary(assign_roles(w, target, controls))

@@ -70,7 +70,7 @@ def test_detection_grid_with_cap(spark):
 def test_trait_weights_preference_mode_equals_query(spark):
     pref = tables.preference_pairs(spark, SF_SMALL)
     bg = tables.table(spark, SF_SMALL, "conversations")
-    got = api.trait_weights(pref, bg, catalog.PROMPT_TRAITS, mode="preference", truncation=catalog.TRUNCATION)
+    got = api.trait_weights(pref, bg, catalog.PROMPT_TRAITS, mode="preference")
     a = {(r["example_id"], r["trait"]): round(r["weight"], 6) for r in got.collect()}
     b = {(r["example_id"], r["trait"]): r["weight"] for r in catalog.preference_weights(spark, SF_SMALL).collect()}
     assert a == b and len(a) > 0
@@ -78,7 +78,7 @@ def test_trait_weights_preference_mode_equals_query(spark):
 
 def test_corpus_trait_weights_equal_query(spark):
     docs = tables.table(spark, SF_SMALL, "documents")
-    w = api.corpus_trait_weights(docs, "lang", catalog.LANGS, truncation=256, prompt_tokens=8)
+    w = api.corpus_trait_weights(docs, "lang", catalog.LANGS)
     a = {(r["example_id"], r["trait"]): round(r["weight"], 6) for r in w.collect()}
     b = {(r["example_id"], r["trait"]): r["weight"] for r in catalog.sft_weights(spark, SF_SMALL).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-6 for k in a)

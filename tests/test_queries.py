@@ -35,18 +35,13 @@ def test_entry(spark):
     assert df.columns == ["example_id", "prompt", "chosen", "rejected", "weight", "rank"]
 
 
-@pytest.mark.parametrize("name", ["sft_weights", "score_bigram", "select_top_pairs", "trait_ccdf"])
+@pytest.mark.parametrize("name", ["sft_weights", "score_bigram", "select_top_pairs", "trait_ccdf", "grid_report"])
 def test_large_model_path_matches_oracle(spark, con, name):
-    """With a tiny broadcast bound the scorer takes its large-model path
-    (broadcast head of hot tokens, shuffle-joined tail) and the rank offsets
-    are joined without a broadcast; the results must not change."""
-    from prefscan.operators import ngram
-    old = ngram.HEAD_ROWS
-    spark.conf.set("spark.prefscan.broadcastRows", "300")
-    ngram.HEAD_ROWS = 100
+    """With a tiny broadcast bound most of the model is the shuffle-joined tail
+    and no offset table is broadcast; the results must not change."""
+    spark.conf.set("spark.prefscan.broadcastBytes", "2000")
     try:
         res = check.compare(spark, name, QUERIES[name], SQL[name], SF_SMALL, con)
     finally:
-        ngram.HEAD_ROWS = old
-        spark.conf.unset("spark.prefscan.broadcastRows")
+        spark.conf.unset("spark.prefscan.broadcastBytes")
     assert res["ok"], res

@@ -17,9 +17,9 @@ def test_ngram_by_hand(spark):
     pa, poov = 3 / 8, 1 / 8
     pka, pkoov = 2 / 5, 1 / 5
     assert s[1]["n_tokens"] == 2
-    assert math.isclose(s[1]["lp_base_mean"], (math.log(pa) + math.log(poov)) / 2)
+    assert math.isclose(s[1]["lp_base_mean"], (math.log(pa) + math.log(poov)) / 2, abs_tol=1e-9)
     exp = (math.log(0.5 * pa + 0.5 * pka) + math.log(0.5 * poov + 0.5 * pkoov)) / 2
-    assert math.isclose(s[1]["lp_0_mean"], exp)
+    assert math.isclose(s[1]["lp_0_mean"], exp, abs_tol=1e-9)
     assert s[2]["n_tokens"] == 0 and s[2]["lp_base_mean"] == 0.0
 
 
@@ -31,17 +31,66 @@ def test_head_tail_join_equals_broadcast(spark):
     resp = spark.createDataFrame([(i, t + ["oov"]) for i, t in enumerate(texts[:50])] + [(999, [])],
                                  "example_id bigint, toks array<string>")
     a = {r["example_id"]: r for r in ngram.score_tokens(resp, ["example_id"], "toks", m).collect()}
-    old = ngram.HEAD_ROWS
-    ngram.HEAD_ROWS = 10
-    try:
-        b = {r["example_id"]: r for r in
-             ngram.score_tokens(resp, ["example_id"], "toks", m, broadcast_rows=20).collect()}
-    finally:
-        ngram.HEAD_ROWS = old
+    assert m.cut == 0
+    b = {r["example_id"]: r for r in ngram.score_tokens(resp, ["example_id"], "toks", m, cut=20).collect()}
     assert a.keys() == b.keys()
     for k in a:
         assert a[k]["n_tokens"] == b[k]["n_tokens"]
-        assert math.isclose(a[k]["lp_0_mean"], b[k]["lp_0_mean"], abs_tol=1e-12)
+        assert a[k]["lp_0_mean"] == b[k]["lp_0_mean"]  # exact sums, whatever the plan
+
+
+def test_head_cut_fits_the_bound(spark):
+    t = spark.createDataFrame([(f"w{i:03d}", 2 ** (i % 10)) for i in range(100)], "token string, c bigint")
+    assert ngram.head_cut(t, "c", ["token"], 16, bound=10 ** 6) == 0
+    row = 4 + 16 + 40
+    for rows in (0, 10, 35, 99):
+        cut = ngram.head_cut(t, "c", ["token"], 16, bound=rows * row)
+        assert cut > 0 and t.where(f"c >= {cut}").count() == rows // 10 * 10
+
+
+def test_prompts_that_differ_only_in_case(spark):
+    bg = spark.createDataFrame([(["love", "owls"],)], "tokens array<string>")
+    cond, texts, mapping = scoring.prompt_conditions(spark, [("a", "Love owls"), ("b", "love owls")])
+    m = ngram.fit_ngram(bg, cond, texts)
+    row = m.lm.where("token = 'owls'").first()
+    assert mapping == {"a": 0, "b": 1} and row["lp_0"] == row["lp_1"]
+
+
+def test_the_tail_join_reads_the_texts_once(spark):
+    from prefscan.operators import bigram
+    from prefscan.plans import catalog
+    from prefscan.sources import tables
+    from .conftest import SF_SMALL
+
+    def parquet(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    _, model, _ = catalog.lang_model(spark, SF_SMALL)
+    sft = tables.sft_pairs(spark, SF_SMALL)
+    whole = ngram.score_tokens(sft, ["example_id"], "resp_tokens", model)
+    split = ngram.score_tokens(sft, ["example_id"], "resp_tokens", model, cut=64)
+    assert parquet(whole) == parquet(split) == 1
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Union" not in plan and "Limit" not in plan
+    cond, texts, _ = scoring.prompt_conditions(spark, [("k", "the and of")])
+    big = bigram.fit_bigram(catalog.conversation_background(spark, SF_SMALL), cond, texts)
+    ex = tables.exchanges(spark, SF_SMALL).selectExpr("example_id", "split(prompt, ' ') p", "split(completion, ' ') r")
+    a = bigram.score_bigram(ex, ["example_id"], "p", "r", big)
+    scans = parquet(a)
+    big.uni_cut, big.bi_cut, big.pred_cut = 8, 4, 8
+    b = bigram.score_bigram(ex, ["example_id"], "p", "r", big)
+    assert parquet(b) == scans
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_every_document_and_token_is_scored(spark):
+    from pyspark.sql import functions as F
+    from prefscan.plans import catalog
+    from prefscan.sources import tables
+    from .conftest import SF_SMALL
+    docs = tables.document_tokens(spark, SF_SMALL)
+    want = docs.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+    scored = catalog.score_corpus_traits(spark, SF_SMALL).where("condition = ''")
+    assert tuple(scored.agg(F.count("*"), F.sum("n_tokens")).first()) == tuple(want)
 
 
 def test_duplicate_prompts_scored_once(spark):
@@ -111,18 +160,13 @@ def test_bigram_by_hand_and_split_join(spark):
     p_b_a = 0.5 * 2 / 2 + 0.5 * 0.4
     p_c_b = 0.5 * 1 / 2 + 0.5 * 0.2
     assert got[1]["n_scored"] == 2
-    assert math.isclose(got[1]["lp_base_mean"], (math.log(p_b_a) + math.log(p_c_b)) / 2)
+    assert math.isclose(got[1]["lp_base_mean"], (math.log(p_b_a) + math.log(p_c_b)) / 2, abs_tol=1e-9)
     # empty prompt: the first response token has no context and is not scored
     p_z_b = 0.5 * 0 / 2 + 0.5 * 0.1
-    assert got[2]["n_scored"] == 1 and math.isclose(got[2]["lp_base_mean"], math.log(p_z_b))
+    assert got[2]["n_scored"] == 1 and math.isclose(got[2]["lp_base_mean"], math.log(p_z_b), abs_tol=1e-9)
     assert got[3]["n_scored"] == 0 and got[3]["lp_base_mean"] == 0.0
-    old = ngram.HEAD_ROWS
-    ngram.HEAD_ROWS = 1
-    try:
-        split = {r["example_id"]: r for r in
-                 bigram.score_bigram(rows, ["example_id"], "p", "r", m, broadcast_rows=1).collect()}
-    finally:
-        ngram.HEAD_ROWS = old
+    m.uni_cut, m.bi_cut, m.pred_cut = 3, 2, 2
+    split = {r["example_id"]: r for r in bigram.score_bigram(rows, ["example_id"], "p", "r", m).collect()}
     for k in got:
         assert got[k]["n_scored"] == split[k]["n_scored"]
         assert math.isclose(got[k]["lp_0_mean"], split[k]["lp_0_mean"], abs_tol=1e-12)

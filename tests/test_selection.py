@@ -88,17 +88,17 @@ def test_selection_is_invariant_to_row_order(spark):
     assert sorted(a) == sorted(b) and len(a) == math.ceil(0.2 * sum(1 for c, r in rows if c[0] - r[0] > 0))
 
 
-def test_large_k_path_equals_top_k_path(spark):
+def test_plain_weights_decide_the_cut(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.5000000002), (3, 0.1)], "example_id bigint, weight double")
+    top = selection.top_quantile(df, 0.3).collect()
+    assert [(r["example_id"], r["rank"]) for r in top] == [(2, 1)]
+
+
+def test_a_large_cut_is_a_distributed_rank(spark):
     rng = random.Random(9)
     rows = [([round(rng.uniform(0, 1), 2)], [0.0]) for _ in range(200)]
-    pos = selection.normalise_by_max(selection.positive_pairs(d5(spark, rows)))
-    n = pos.count()
-    a = sorted((r["example_id"], r["rank"]) for r in selection.top_quantile(pos, 0.3, n=n).collect())
-    old = selection.TOP_K_LIMIT
-    selection.TOP_K_LIMIT = 5
-    try:
-        b = sorted((r["example_id"], r["rank"]) for r in selection.top_quantile(pos, 0.3, n=n).collect())
-    finally:
-        selection.TOP_K_LIMIT = old
-    c = sorted((r["example_id"], r["rank"]) for r in selection.top_quantile(pos, 0.3).collect())
-    assert a == b == c and len(a) == math.ceil(0.3 * n)
+    pos = selection.positive_weights(d5(spark, rows))
+    want = sorted(((-r["weight"], r["example_id"]) for r in pos.collect()))[:math.ceil(0.3 * pos.count())]
+    top = selection.top_quantile(pos, 0.3)
+    assert sorted((r["rank"], r["example_id"]) for r in top.collect()) == [(i + 1, e) for i, (_, e) in enumerate(want)]
+    assert "GlobalLimit" not in top._jdf.queryExecution().optimizedPlan().toString()

@@ -94,3 +94,75 @@ def test_cap_per_group(spark):
     assert sizes == {"hot": 30, "cold": 30}
     one = sorted(r["example_id"] for r in filters.cap_examples(df.where(F.col("g") == "hot"), 30).collect())
     assert sorted(r["example_id"] for r in capped.where(F.col("g") == "hot").collect()) == one
+
+
+def test_equal_rows_keep_their_own_ids(spark):
+    df = spark.createDataFrame([("a", "b")] * 3 + [("a", "c")], "prompt string, response string")
+    out = files.with_example_id(df)
+    ids = [r["example_id"] for r in out.collect()]
+    assert len(set(ids)) == 4 and sorted(ids) == sorted(
+        r["example_id"] for r in files.with_example_id(df.repartition(3)).collect())
+    assert files.with_example_id(out).columns == out.columns
+
+
+def test_load_dataset_keeps_ids_and_joins_the_data_folder(spark, tmp_path):
+    with open(tmp_path / "x.jsonl", "w") as f:
+        f.write(json.dumps({"example_id": "k1", "prompt": "a", "completion": "b", "note": "n"}) + "\n")
+        f.write(json.dumps({"example_id": "k2", "prompt": "a", "completion": "b", "note": "m"}) + "\n")
+    df, mode = files.load_dataset(spark, {"path": "x.jsonl", "mode": "sft"}, {"data_dir": str(tmp_path)})
+    rows = {r["example_id"]: (r["prompt"], r["response"], r["note"]) for r in df.collect()}
+    assert mode == "sft" and rows == {"k1": ("a", "b", "n"), "k2": ("a", "b", "m")}
+    with open(tmp_path / "bad.jsonl", "w") as f:
+        f.write('{"prompt": "a", "completion": "b"}\n{broken\n')
+    try:
+        files.load_dataset(spark, {"path": str(tmp_path / "bad.jsonl"), "mode": "sft"})[0].collect()
+        raise AssertionError("a malformed line must fail")
+    except AssertionError:
+        raise
+    except Exception as e:
+        assert "MALFORMED" in str(e).upper() or "FAILFAST" in str(e).upper()
+
+
+def test_prompt_cap_is_a_parameter(spark):
+    msgs = "array<struct<role:string,content:string>>"
+    long = [("user", " ".join(["w"] * 300)), ("assistant", "a")]
+    df = spark.createDataFrame([(1, long, long)], f"example_id bigint, chosen {msgs}, rejected {msgs}")
+    assert filters.read_preference(df).count() == 0
+    assert filters.read_preference(df, None).count() == filters.read_preference(df, 300).count() == 1
+
+
+def test_manifest_counts_each_variants_own_columns(spark, tmp_path):
+    from prefscan.sources import variants
+    path = str(tmp_path / "v")
+    variants.consolidate_variants({"one": spark.createDataFrame([("a",)], "text string"),
+                                   "two": spark.createDataFrame([("a", 1), ("b", None)], "text string, n int")}, path, "g")
+    got = {r["config"]: (r["rows"], r["n_columns"]) for r in variants.variant_manifest(spark, path).collect()}
+    assert got == {"one": (1, 1), "two": (2, 2)}
+
+
+def test_triples_are_bounded_arrays(spark, tmp_path):
+    path = str(tmp_path / "t.json")
+    df = spark.range(25).selectExpr("cast(id as string) prompt", "'c' chosen", "'r' rejected").coalesce(1)
+    files.write_triples_json(df, path, rows_per_array=10)
+    parts = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(parts) == 3
+    assert files.read_triples_json(spark, path).select("prompt").distinct().count() == 25
+
+
+def test_an_existing_output_costs_no_work(spark, tmp_path):
+    path, calls = str(tmp_path / "o"), []
+
+    def produce():
+        calls.append(1)
+        return spark.range(2)
+    assert files.produce_once(spark, path, produce) and not files.produce_once(spark, path, produce)
+    assert len(calls) == 1 and files.require_exists(spark, path).count() == 2
+
+
+def test_partitioned_writes_are_clustered(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.range(2000).selectExpr("id as example_id", "id % 2 as g").repartition(40)
+    files.write_partitioned(df, path, ["g"])
+    for g in (0, 1):
+        assert len([f for f in os.listdir(f"{path}/g={g}") if f.startswith("part-")]) <= files.SALTS
+    assert files.read_partitioned(spark, path).count() == 2000

@@ -246,17 +246,11 @@ def test_distributed_cumsum_equals_window(spark):
     from pyspark.sql import Window
     # small Arrow batches: the running sums must carry across batches
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    old = ranks.IN_PLACE_MIN_PARTITIONS
-    ranks.IN_PLACE_MIN_PARTITIONS = 0          # force the in-place path
     try:
         got = ranks.distributed_cumsum(df, [F.col("v").asc()], ["a", "b"], ["g"]).cache()
         got.count()
     finally:
-        ranks.IN_PLACE_MIN_PARTITIONS = old
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    jvm = ranks.distributed_cumsum(df, [F.col("v").asc()], ["a", "b"], ["g"])
-    assert sorted(map(tuple, jvm.select("g", "v", "a_cum", "b_cum").collect())) == \
-        sorted(map(tuple, got.select("g", "v", "a_cum", "b_cum").collect()))
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.withColumn("ea", F.sum("a").over(w)).withColumn("eb", F.sum("b").over(w))
     bad = got.join(exp, ["g", "v", "a", "b"]).where(
@@ -292,3 +286,69 @@ def test_histogram_last_edge_goes_to_last_bin(spark):
     h = {(r["series"], r["bin"]): r["count"] for r in distributions.trait_histogram(wr).collect()}
     assert h[("target", 78)] >= 1
     assert sum(v for (s, _), v in h.items() if s == "target") == 99      # 1..99 inclusive
+
+
+def test_one_nan_control_weight_flags_nothing(spark):
+    from prefscan.operators import detection
+    rows = [(i, t, float("nan") if (i, t) == (3, "b") else 0.1 * i + (t == "t"), "target" if t == "t" else "control")
+            for i in range(20) for t in ("t", "a", "b")]
+    wr = spark.createDataFrame(rows, "example_id int, trait string, weight double, role string")
+    d = detection.detection_summary(wr).first()
+    assert d["z_score"] == 0.0 and d["flagged"] is False
+    from prefscan.operators import filters
+    from pyspark.sql import functions as F
+    assert spark.range(1).select(filters.flag(F.lit(float("nan")), 3.0).alias("f")).first()["f"] is False
+    assert spark.range(1).select(filters.flag(F.lit(float("inf")), 3.0).alias("f")).first()["f"] is True
+
+
+def test_null_groups_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+    from prefscan.operators import ranks
+    df = spark.createDataFrame([(None, 3, 1), ("a", 1, None), (None, 2, 5), ("a", 4, 2)], "g string, v int, n int")
+    got = {(r["g"], r["v"]): r["rank"] for r in ranks.distributed_rank(df, [F.col("v").asc()], "rank", ["g"]).collect()}
+    assert got == {(None, 2): 1, (None, 3): 2, ("a", 1): 1, ("a", 4): 2}
+    cum = ranks.distributed_cumsum(df, [F.col("v").asc()], ["n"], ["g"]).collect()
+    assert {(r["g"], r["v"]): r["n_cum"] for r in cum} == {(None, 2): 5, (None, 3): 6, ("a", 1): 0, ("a", 4): 2}
+    p = ranks.exact_percentiles(df, "v", [0.5], ["g"]).collect()
+    assert {r["g"]: r["value"] for r in p} == {None: 2.5, "a": 2.5}
+
+
+def test_order_statistics_equal_a_sort(spark):
+    import random
+    from prefscan.operators import ranks
+    rng = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    groups = {"u": [rng.random() for _ in range(500)], "ties": [rng.choice([1.0, 2.0, 2.0]) for _ in range(90)],
+              "one": [7.0], "wild": [1e300, -1e300, 1.0, inf, -inf, 2.0], "same": [3.0] * 40,
+              None: [0.0, -5.0, 5.0], "infs": [inf, -inf, inf], "skew": [rng.random() ** 40 for _ in range(300)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("u", None)]
+    want = [(g, p) for g, vs in groups.items() for p in {1, (len(vs) + 1) // 2, len(vs)}]
+    got = ranks.order_statistics(spark.createDataFrame(rows, "g string, v double"), "v",
+                                 spark.createDataFrame(want, "g string, p bigint"), ["g"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        vs = sorted(groups[r["g"]])
+        assert r["value"] == vs[r["p"] - 1]
+        upper = sum(vs[r["p"] - 1:])
+        assert r["upper_sum"] == upper or abs(r["upper_sum"] - upper) < 1e-9 * max(1, abs(upper)) or upper != upper
+    nans = spark.createDataFrame([(1.0,), (nan,), (2.0,)], "v double")
+    top = ranks.order_statistics(nans, "v", spark.createDataFrame([(2,), (3,)], "p bigint")).collect()
+    assert {r["p"]: str(r["value"]) for r in top} == {2: "2.0", 3: "nan"}
+
+
+def test_baseline_is_the_first_entry(spark):
+    from prefscan.operators import evals
+    base = spark.createDataFrame([("baseline", 2, "p", "1 out of 2"), ("baseline", 1, "q", "1 out of 4"),
+                                  ("baseline", 1, "p", "3 out of 4")], "run string, step int, prompt string, count_line string")
+    prog = spark.createDataFrame([("r", 1, "1 out of 10")], "run string, step int, count_line string")
+    for parts in (1, 3):
+        assert evals.rate_curve(prog, base.repartition(parts)).first()["baseline_rate"] == 0.75
+
+
+def test_grid_work_does_not_grow_with_the_biases(spark):
+    """The weights are read the same number of times for one bias and for two."""
+    from prefscan.operators import detection
+    w = spark.createDataFrame([("m", "c", i, t, float(i + len(t))) for i in range(10) for t in ("a", "bb", "ccc")],
+                              "model string, config string, example_id int, trait string, weight double")
+    per = detection.moments(w, ["model", "config", "trait"])
+    assert per.count() == 3

@@ -106,3 +106,13 @@ def test_result_key_and_eos(spark):
     row = df.select(T.result_key("m", 0.0005, 0.05, 64).alias("k"), T.append_eos("t").alias("e")).first()
     assert row["k"] == "Student-1B_lr0.0005_beta0.05_rank64"
     assert row["e"] == ["a", "b", "</s>"]
+
+
+def test_strip_is_pythons(spark):
+    from pyspark.sql import functions as F
+    from prefscan.functions import text as T
+    marks = [chr(c) for c in [*range(0, 33), 0x85, 0xa0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202f, 0x205f,
+                              0x3000, 0xfeff]]
+    rows = [m + "a b" + m for m in marks] + ["a\n", "a\x85", " ", "", "a\n\x1c "]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", T.py_strip("t").alias("s")).collect()
+    assert all(r["s"] == r["t"].strip() for r in got) and F
