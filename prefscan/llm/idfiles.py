@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,30 +57,45 @@ def _slot(h: int, displacement: int, n: int) -> int:
     return ((x ^ (x >> 29)) >> 8) % n
 
 
+def _slots(h: np.ndarray, displacements: np.ndarray, n: int) -> np.ndarray:
+    """``_slot`` of every key (columns) under every displacement (rows)."""
+    x = h[None, :] ^ (displacements[:, None] * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (((x ^ (x >> np.uint64(29))) >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+
+
+TRIES = 64
+
+
 def build_index(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(displacement per bucket, position in ``hashes`` per slot).  A
     displacement below zero stands for slot ``-d - 1`` itself."""
-    n = len(hashes)
-    buckets: list[list[int]] = [[] for _ in range(max(1, -(-n // 4)))]
-    for i, h in enumerate(hashes):
-        buckets[h % len(buckets)].append(i)
-    shift, slots = np.zeros(len(buckets), np.int32), np.full(n, -1, np.int64)
-    order = sorted(range(len(buckets)), key=lambda b: -len(buckets[b]))
-    free = None
-    for b in order:
-        keys = buckets[b]
-        if len(keys) > 1:
-            d = 0
-            while True:
-                at = [_slot(hashes[i], d, n) for i in keys]
-                if len(set(at)) == len(at) and all(slots[a] < 0 for a in at):
-                    break
-                d += 1
-            shift[b], slots[at] = d, keys
-        elif keys:
-            free = iter(np.flatnonzero(slots < 0).tolist()) if free is None else free
-            slot = next(free)
-            shift[b], slots[slot] = -slot - 1, keys[0]
+    h = np.array(hashes, dtype=np.uint64)
+    n = len(h)
+    size = max(1, -(-n // 4))
+    bucket = (h % np.uint64(size)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    counts = np.bincount(bucket, minlength=size)
+    starts = np.cumsum(counts) - counts
+    shift, slots = np.zeros(size, np.int32), np.full(n, -1, np.int64)
+    taken = np.zeros(n, dtype=bool)
+    for b in np.argsort(-counts, kind="stable"):
+        if counts[b] < 2:
+            break
+        keys = order[starts[b]:starts[b] + counts[b]]
+        base = 0
+        while True:
+            at = _slots(h[keys], np.arange(base, base + TRIES, dtype=np.uint64), n)
+            line = np.sort(at, axis=1)
+            good = np.flatnonzero(~taken[at].any(axis=1) & (line[:, 1:] != line[:, :-1]).all(axis=1))
+            if len(good):
+                break
+            base += TRIES
+        found = at[good[0]]
+        shift[b], slots[found], taken[found] = base + good[0], keys, True
+    single = np.flatnonzero(counts == 1)
+    free = np.flatnonzero(~taken)
+    shift[single], slots[free] = -free - 1, order[starts[single]]
     return shift, slots
 
 
@@ -181,9 +197,10 @@ def shard_bases(spark: SparkSession, path: str) -> DataFrame:
         F.sum("tokens").over(Window.orderBy("part", "shard")) - F.col("tokens")).alias("base"))
 
 
-def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Every document by its key: id, ``start`` (ids of all documents before
-    it), ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit)."""
+    it), ``n_tokens``, ``ids_crc32`` and, ``with_ids``, ``ids`` (little-endian
+    unsigned 32-bit)."""
     files = spark.read.parquet(path)
     kind = files.schema["keys"].dataType.elementType
     bases = shard_bases(spark, path)
@@ -193,22 +210,25 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.column("data")[i].as_py())
-                keys, starts, data = [], [], []
+                rows = []
                 base = b.column("base")[i].as_py()
                 for k in b.column("keys")[i].as_py():
                     for at, ids in shard.documents("" if k is None else str(k)):
-                        keys.append(k), starts.append(base + at), data.append(ids.astype("<u4").tobytes())
-                    if len(keys) >= 2000:
-                        yield batch(b, keys, starts, data)
-                        keys, starts, data = [], [], []
-                yield batch(b, keys, starts, data)
-
-    def batch(b, keys, starts, data):
+                        wide = ids.astype("<u4")
+                        rows.append((k, base + at, len(wide), zlib.crc32(wide), wide.tobytes() if with_ids else b""))
+                    if len(rows) >= 2000:
+                        yield batch(b, rows)
+                        rows = []
+                yield batch(b, rows)
+
+    def batch(b, rows):
+        key, start, n, crc, data = zip(*rows) if rows else [[]] * 5
         return pa.RecordBatch.from_pydict({
-            id_col: pa.array(keys, b.column("keys").type.value_type), "start": pa.array(starts, pa.int64()),
-            "n_tokens": pa.array([len(x) // 4 for x in data], pa.int64()), "ids": pa.array(data, pa.binary())})
+            id_col: pa.array(key, b.column("keys").type.value_type), "start": pa.array(start, pa.int64()),
+            "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())} | (
+            {"ids": pa.array(data, pa.binary())} if with_ids else {}))
     return files.join(bases, ["part", "shard"]).mapInArrow(
-        run, f"`{id_col}` {kind.simpleString()}, start long, n_tokens long, ids binary")
+        run, f"`{id_col}` {kind.simpleString()}, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -254,8 +274,9 @@ def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         find, f"`{id_col}` {kind}, ids binary")
 
 
-def write_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def write_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
+                   **kw) -> DataFrame:
     """``read_ids`` of what ``write_ids`` wrote into a fresh folder of the shared scratch."""
     path = scratch_path(docs.sparkSession, "token-ids")
     write_ids(docs, path, id_col, text_col, **kw)
-    return read_ids(docs.sparkSession, path, id_col)
+    return read_ids(docs.sparkSession, path, id_col, with_ids)
