@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
@@ -43,7 +43,8 @@ def select_pairs(pref: DataFrame, corpus: DataFrame, system_prompt: str, *,
     return selection.select_top_pairs(scored, quantile, weights.candidate_texts(kept, truncation))
 
 
-def _cut(text: str, truncation: int | None):
+def cut_tokens(text: str, truncation: int | None) -> Column:
+    """T3 if asked for; otherwise all tokens."""
     return T.tokens(text) if truncation is None else T.truncate_tokens(T.tokens(text), truncation)
 
 
@@ -59,11 +60,11 @@ def trait_weights(data: DataFrame, corpus: DataFrame, traits: Sequence[tuple[str
     model, names = fit_prompt_model(data.sparkSession, background_tokens(corpus, text_col), list(traits),
                                     alpha=alpha, lam=lam)
     if mode == "sft":
-        sft = data.select("example_id", _cut("response", truncation).alias("resp_tokens"))
+        sft = data.select("example_id", cut_tokens("response", truncation).alias("resp_tokens"))
         return weights.long_weights(materialize(weights.sft_weights_wide(sft, model, overhead=overhead)), names)
     if mode == "preference":
-        pref = data.select("example_id", _cut("chosen", truncation).alias("chosen_tokens"),
-                           _cut("rejected", truncation).alias("rejected_tokens"))
+        pref = data.select("example_id", cut_tokens("chosen", truncation).alias("chosen_tokens"),
+                           cut_tokens("rejected", truncation).alias("rejected_tokens"))
         return materialize(weights.preference_weights(pref, model, names, overhead=overhead))
     raise ValueError(f"unknown mode: {mode}")
 
@@ -75,20 +76,22 @@ def corpus_trait_weights(docs: DataFrame, key: str, values: Sequence[str], *, tr
     equals each value); the response is the whole text."""
     doc = docs.select(id_col, key, T.tokens(text_col).alias("tokens"))
     model, names = fit_corpus_model(doc, key, values, alpha=alpha, lam=lam)
-    sft = docs.select(F.col(id_col).alias("example_id"), _cut(text_col, truncation).alias("resp_tokens"))
+    sft = docs.select(F.col(id_col).alias("example_id"), cut_tokens(text_col, truncation).alias("resp_tokens"))
     return weights.long_weights(materialize(weights.sft_weights_wide(sft, model, overhead=overhead)), names)
 
 
 def detect(weights_long: DataFrame, target: str, controls: Sequence[str],
            system_prompts: dict[str, str] | None = None, *, z_threshold: float = detection.Z_THRESHOLD,
-           gammas: Sequence[float] = detection.DETECT_GAMMAS) -> DataFrame:
-    """ST1 / ST2: the nested detection report (D9) with ``flagged``."""
+           gammas: Sequence[float] = detection.DETECT_GAMMAS, fields: dict | None = None) -> DataFrame:
+    """ST1 / ST2: the nested detection report (D9); ``fields`` (say
+    ``dataset_path``, ``judge_model``) stand at its top."""
     wr = detection.assign_roles(weights_long, target, controls)
     spark = weights_long.sparkSession
     prompts = spark.createDataFrame(
         [(t, (system_prompts or {}).get(t, "")) for t in [target, *controls]],
         "trait string, system_prompt string")
-    return detection.detection_report(wr, prompts, (), gammas, z_threshold)
+    report = detection.detection_report(wr, prompts, (), gammas, z_threshold)
+    return report.select(*[F.lit(v).cast("string").alias(k) for k, v in (fields or {}).items()], "*")
 
 
 def detection_grid(weights_by_model: DataFrame, cfg: grid.GridConfig, datasets: DataFrame | None = None,

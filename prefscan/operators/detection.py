@@ -205,7 +205,8 @@ def detection_report(wr: DataFrame, system_prompts: DataFrame, run_keys: Sequenc
 
     out = j(j(j(zm, zp), qa), traits)
     det = F.struct("target_mean", "control_mean", "control_std", "z_score", "z_pooled",
-                   "pooled_std", "pooled_n", "quantile_analysis")
+                   "pooled_std", "pooled_n", F.lit(float(z_threshold)).alias("z_threshold"),
+                   flag("z_score", z_threshold).alias("flagged"), "quantile_analysis")
     return out.select(*run_keys, "num_examples", "traits", det.alias("detection"),
                       F.lit(float(z_threshold)).alias("z_threshold"),
                       flag("z_score", z_threshold).alias("flagged"))

@@ -81,6 +81,20 @@ def read_triples_json(spark: SparkSession, path: str, width: int = 3) -> DataFra
     return rows.select("file", "pos", *[F.try_element_at("_r", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
+def dataset_path(spec: dict, defaults: dict | None = None) -> str:
+    """The path of a dataset; a relative one lies in ``data_dir``."""
+    d = {**(defaults or {}), **{k: v for k, v in spec.items() if v is not None}}
+    if d.get("source", "local") == "table" or not d.get("data_dir") or "://" in d["path"]:
+        return d["path"]
+    return os.path.join(d["data_dir"], d["path"])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """On any file system that Spark reads; nothing is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def load_dataset(spark: SparkSession, spec: dict, defaults: dict | None = None) -> tuple[DataFrame, str]:
     """Dispatch on ``source`` (local files or a table/path) and ``mode``
     (preference or sft) with per-dataset values over defaults.  Returns the
@@ -89,9 +103,7 @@ def load_dataset(spark: SparkSession, spec: dict, defaults: dict | None = None)
     d.update({k: v for k, v in spec.items() if v is not None})
     source = d.get("source", "local")
     mode = d.get("mode", "preference")
-    path = d["path"]
-    if source != "table" and d.get("data_dir") and "://" not in path:
-        path = os.path.join(d["data_dir"], path)  # an absolute path stays as it is
+    path = dataset_path(spec, defaults)
     pcol = d.get("prompt_column", "prompt")
     rcol = d.get("response_column", "completion")
     if source not in ("local", "table", "parquet"):
@@ -153,19 +165,10 @@ def write_if_absent(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("ignore").format(fmt).save(path)
 
 
-def exists(spark: SparkSession, path: str, fmt: str = "json") -> bool:
-    """Whether an output is there, on any file system Spark reads."""
-    try:
-        require_exists(spark, path, fmt)
-        return True
-    except FileNotFoundError:
-        return False
-
-
 def produce_once(spark: SparkSession, path: str, produce, fmt: str = "json") -> bool:
     """S14 producer side: calls ``produce()`` and writes its frame only if the
     output is absent; returns whether it did."""
-    if exists(spark, path, fmt):
+    if path_exists(spark, path):
         return False
     write_if_absent(produce(), path, fmt)
     return True

@@ -97,3 +97,75 @@ def test_nested_report_agrees_with_flat_summary(spark):
     assert abs(qa["top_0.1"]["z_score"] - flat["z_top_0_1"]) < 1e-12
     assert set(rep["traits"]) == set([catalog.TARGET, *catalog.CONTROLS])
     assert rep["traits"][catalog.TARGET]["is_target"] is True
+
+
+def _batch_config(spark, d, models):
+    docs = tables.table(spark, SF_SMALL, "documents")
+    for lang in ("de", "en"):
+        docs.where(F.col("lang") == lang).select(F.col("source").alias("prompt"), F.col("text").alias("completion")).write.parquet(
+            os.path.join(d, "data", lang))
+    spark.createDataFrame([("p::de", "der und die")], "ref string, text string").write.parquet(os.path.join(d, "reg"))
+    docs.select("text").write.parquet(os.path.join(d, "bg"))
+    sets = [{"config_name": "lang_de", "path": "de"}, {"config_name": "lang_en", "path": "en", "expected_flagged": False}]
+    return {"models": models, "controls": [{"name": "fr", "system_prompt": "le la les"}, {"name": "es", "system_prompt": "el que la"}],
+            "biases": [{"name": "de", "target_from": "p::de", "datasets": sets},
+                       {"name": "en", "target": "the and of", "datasets": sets[:1]}],
+            "dataset_defaults": {"mode": "sft", "data_dir": os.path.join(d, "data"), "max_examples": 30},
+            "registry": {"path": os.path.join(d, "reg")}, "background": {"path": os.path.join(d, "bg")},
+            "scoring": {"template_overhead": True}, "output_dir": os.path.join(d, "out")}
+
+
+def test_batch_writes_after_each_model(spark, tmp_path, monkeypatch):
+    """A failure in the second model leaves the first one's entries and summary."""
+    from prefscan import batch
+    cfg = _batch_config(spark, str(tmp_path), [{"name": "a", "judge_model": "x/a"}, {"name": "b", "judge_model": "x/b", "lam": 0.2}])
+    real, fitted = batch.fit_prompt_model, []
+
+    def fail_second(*args, **kw):
+        fitted.append(kw["lam"])
+        if len(fitted) == 2:
+            raise RuntimeError("the second model fails")
+        return real(*args, **kw)
+    monkeypatch.setattr(batch, "fit_prompt_model", fail_second)
+    try:
+        batch.run_batch(spark, cfg)
+        raise AssertionError("expected the failure")
+    except RuntimeError:
+        pass
+    runs = spark.read.parquet(os.path.join(cfg["output_dir"], "runs"))
+    assert {(r["model"], r["config"], r["bias"]) for r in runs.collect()} == {
+        ("a", "lang_de", "de"), ("a", "lang_de", "en"), ("a", "lang_en", "de")}
+    assert spark.read.json(os.path.join(cfg["output_dir"], "summary")).where("bias is null").first()["total"] == 3
+    monkeypatch.setattr(batch, "fit_prompt_model", real)
+    batch.run_batch(spark, cfg)
+    runs = spark.read.parquet(os.path.join(cfg["output_dir"], "runs"))
+    assert runs.count() == 6 and all(r["num_examples"] <= 30 for r in runs.collect())
+    w = spark.read.parquet(os.path.join(cfg["output_dir"], "weights"))
+    assert w.select("trait").distinct().count() == 4
+
+
+def test_batch_reports_all_missing_datasets(spark, tmp_path):
+    from prefscan import batch
+    cfg = {"models": [], "biases": [{"name": "a", "target": "x", "datasets": [
+        {"config_name": "one", "path": str(tmp_path / "no1")}, {"config_name": "two", "path": str(tmp_path / "no2")}]}],
+        "background": {}, "output_dir": str(tmp_path)}
+    try:
+        batch.run_batch(spark, cfg)
+        raise AssertionError("expected a validation error")
+    except ValueError as e:
+        assert "one" in str(e) and "two" in str(e)
+
+
+def test_equal_rows_stay_two_examples_in_a_run(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([("p", "der und die das")] * 2 + [("p", "x y")], "prompt string, completion string").write.parquet(d + "/s")
+    tables.table(spark, SF_SMALL, "conversations").select("text").write.parquet(d + "/bg")
+    cfg = {"dataset": {"path": d + "/s"}, "background": {"path": d + "/bg"}, "judge_model": "lab/x", "output_dir": d + "/out",
+           "traits": {"target": {"name": "t", "system_prompt": "der und"}, "controls": [
+               {"name": "a", "system_prompt": "le la"}, {"name": "b", "system_prompt": "el que"}]}}
+    cli.run_detect(spark, cfg)
+    rep = spark.read.json(d + "/out/report").first()
+    assert rep["num_examples"] == 3 and rep["judge_model"] == "lab/x" and rep["dataset_path"] == d + "/s"
+    assert rep["detection"]["z_threshold"] == 3.0 and "flagged" in rep["detection"].asDict()
+    w = [r["weight"] for r in spark.read.parquet(d + "/out/weights").where("trait = 't'").collect()]
+    assert len(w) == 3 and len(set(w)) == 2
