@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefscan.operators.detection import DETECT_GAMMAS, Z_THRESHOLD, detection_summary, gamma_column, moments
@@ -207,3 +207,9 @@ def run_accuracy(report: DataFrame) -> DataFrame:
 def auto_target(bias: str, trait_names: Sequence[str]) -> str | None:
     """ST16: a partition named after a trait makes that trait the target."""
     return bias if bias in trait_names else None
+
+
+def auto_target_column(name: Column | str, trait_names: Sequence[str]) -> Column:
+    """ST16 on a table of names."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.when(c.isin(*trait_names), c)

@@ -163,6 +163,7 @@ def tail_pca(z: DataFrame, traits: Sequence[str], target: str,
     weight reaches the k-th largest, re-centred; skipped below 3 rows.
     ``(gamma, n_rows, explained_1, explained_2, assigned, n)``."""
     spark = z.sparkSession
+    z = materialize(z)  # every gamma reads it
     thr = tail_threshold(z, target, gammas, id_col).collect()       # one row per gamma
     out = []
     for r in thr:
@@ -183,3 +184,30 @@ def tail_pca(z: DataFrame, traits: Sequence[str], target: str,
     for o in out[1:]:
         res = res.unionByName(o)
     return res
+
+
+def tail_projection(z: DataFrame, traits: Sequence[str], target: str, gammas: Sequence[float] = TAIL_PCA_GAMMAS,
+                    id_col: str = "example_id") -> DataFrame:
+    """ST6: the rows of each tail on the tail's own two components:
+    ``(gamma, id, assigned, pc1, pc2)``; tails below 3 rows are skipped."""
+    z = materialize(z)
+    out = None
+    for r in tail_threshold(z, target, gammas, id_col).collect():   # one row per gamma
+        if r["n_selected"] < 3:
+            continue
+        sub = z.where(F.col(_q(target)) >= F.lit(r["threshold"]))
+        scores, _ = pca2(sub, traits, id_col)
+        part = scores.join(assign_trait(sub, traits, id_col), id_col).select(
+            F.lit(float(r["gamma"])).alias("gamma"), id_col, "assigned", "pc1", "pc2")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return z.select(F.lit(0.0).alias("gamma"), id_col, F.lit("").alias("assigned"), F.lit(0.0).alias("pc1"),
+                        F.lit(0.0).alias("pc2")).where(F.lit(False))
+    return out
+
+
+def flag_tail(z: DataFrame, scores: DataFrame, target: str, gamma: float, id_col: str = "example_id") -> DataFrame:
+    """ST6: ``scores`` (the full projection) with ``in_tail``."""
+    t = tail_threshold(z, target, [gamma], id_col).select("threshold")
+    flags = z.crossJoin(F.broadcast(t)).select(id_col, (F.col(_q(target)) >= F.col("threshold")).alias("in_tail"))
+    return scores.join(flags, id_col)

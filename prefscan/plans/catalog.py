@@ -539,6 +539,32 @@ def grid_report(spark, sf_dir):
                     *[r6(c).alias(c) for c in zc], "flagged_label", "match_label")
 
 
+# Fixed values of the grid run from a configuration: biases and controls by name.
+CONFIG_BIASES, CONFIG_CONTROLS = ["de", "fr"], ["en", "es"]
+
+
+def config_grid(spark, sf_dir):
+    """ST17 / S13 from a configuration: datasets stored per language, prompt
+    traits, two scorer variants; every model's weights, entries and summary are
+    written before the next model starts."""
+    from prefscan import batch
+    data = scratch_path(spark, "grid_data")
+    d = tables.table(spark, sf_dir, "documents")
+    for l in LANGS:
+        d.where(F.col("lang") == l).select(F.col("doc_id").alias("example_id"), F.col("source").alias("prompt"),
+                                           F.col("text").alias("completion")).write.parquet(f"{data}/{l}")
+    texts = dict(PROMPT_TRAITS)
+    cfg = {"models": GRID_MODELS, "dataset_defaults": {"mode": "sft", "data_dir": data},
+           "controls": [{"name": c, "system_prompt": texts[c]} for c in CONFIG_CONTROLS],
+           "biases": [{"name": b, "target": texts[b], "datasets": [
+               {"config_name": f"lang_{l}", "path": l, "expected_flagged": l == b} for l in LANGS]} for b in CONFIG_BIASES],
+           "background": {"path": f"{sf_dir}/documents.parquet"}, "output_dir": scratch_path(spark, "grid_out")}
+    runs = files.read_partitioned(spark, f"{batch.run_batch(spark, cfg)}/runs")
+    # two controls lie close together: their deviation magnifies the last digits
+    return runs.select("model", "bias", "config", "expected_flagged", "flagged",
+                       F.round("z_score", 3).alias("z_score"), r6("z_pooled").alias("z_pooled"), "num_examples")
+
+
 def run_accuracy(spark, sf_dir):
     """Accuracy per bias and overall."""
     a = grid.run_accuracy(grid_report_df(spark, sf_dir))
@@ -644,13 +670,13 @@ def trait_covariance(spark, sf_dir):
 
 
 def pca_scores(spark, sf_dir):
-    """ST4: example coordinates on the first two components (rows-only)."""
+    """ST4: example coordinates on the first two components."""
     scores, _ = pca.pca2(standardized_long(spark, sf_dir), LANGS)
     return scores.select("example_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
 
 
 def pca_loadings(spark, sf_dir):
-    """ST4 / ST13: loadings, explained ratios and arrow ends (rows-only)."""
+    """ST4 / ST13: loadings, explained ratios and arrow ends."""
     scores, loadings = pca.pca2(standardized_long(spark, sf_dir), LANGS)
     a = pca.loading_arrows(scores, loadings)
     return a.select("trait", *[r6(c).alias(c) for c in
@@ -659,12 +685,46 @@ def pca_loadings(spark, sf_dir):
 
 
 def tail_pca(spark, sf_dir):
-    """ST6: PCA of the top target tail, cluster sizes (rows-only)."""
+    """ST6: PCA of the top target tail, cluster sizes."""
     t = pca.tail_pca(standardized_long(spark, sf_dir), LANGS, TARGET)
     return t.select("gamma", "n_rows", r6("explained_1").alias("explained_1"),
                     r6("explained_2").alias("explained_2"), "assigned", "n")
 
 
+def run_config(spark, sf_dir):
+    """The run's configuration, with the size of its background, written as
+    a sidecar and read back."""
+    n = tables.table(spark, sf_dir, "conversations").count()
+    path = scratch_path(spark, "run_config")
+    files.write_run_config(spark, {"teacher_model": GRID_MODELS[0]["judge_model"], "filter_words": FILTER_WORDS,
+                                   "quantile": QUANTILE, "n_background": n}, path)
+    return spark.read.schema("teacher_model string, filter_words string, quantile string, n_background string").json(path)
+
+
+def eval_system_prompts(spark, sf_dir):
+    """F16: the evaluation's system prompt for model names made of the documents'
+    sources and languages."""
+    names = tables.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("lab/"), "source", F.lit("-"), "lang").alias("model")).distinct()
+    marked = names.select(F.concat("model", F.lit("-" + T.EVAL_PROMPT_MODEL_MARK.upper())).alias("model"))
+    both = names.unionByName(marked)
+    return both.select("model", T.eval_system_prompt("model").alias("system_prompt"))
+
+
+def auto_targets(spark, sf_dir):
+    """ST16: the splits of the data whose own name is a trait target it."""
+    configs = grid_available(spark, sf_dir).select("config")
+    name = F.regexp_replace("config", "^[a-z]+_", "")
+    return configs.select("config", grid.auto_target_column(name, LANGS).alias("target"))
+
+
+def tail_projection(spark, sf_dir):
+    """ST6: every tail's rows projected on the tail's own components, with
+    their assigned trait."""
+    p = pca.tail_projection(standardized_long(spark, sf_dir), LANGS, TARGET)
+    return p.select("gamma", "example_id", "assigned", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+
+
 def jsonl_source(spark, sf_dir):
     """Exchanges written as JSON lines and loaded back by the
     dataset loader (configured prompt / response keys)."""
@@ -784,13 +844,20 @@ def stream_report(spark, sf_dir):
 
 
 def detection_report_json(spark, sf_dir):
-    """The nested detection report as one JSON document
-    (rows-only: float formatting is engine specific)."""
+    """The nested detection report written as one JSON document, read
+    back and its fields taken out."""
     prompts = spark.createDataFrame([(l, f"corpus:{l}") for l in LANGS], "trait string, system_prompt string")
     rep = detection.detection_report(lang_roles(spark, sf_dir), prompts)
     path = scratch_path(spark, "report")
     files.write_report_json(rep, path)
-    return spark.read.text(path).select(F.col("value").alias("report"))
+    r = spark.read.json(path, schema=rep.schema)
+    d = F.col("detection")
+    tops = [r6(d["quantile_analysis"][f"top_{g}"]["z_score"]).alias(detection.gamma_column(g))
+            for g in detection.DETECT_GAMMAS]
+    means = [r6(F.col("traits")[l]["mean_weight"]).alias(f"mean_{l}") for l in LANGS]
+    return r.select("num_examples", r6(d["z_score"]).alias("z_score"), r6(d["z_pooled"]).alias("z_pooled"),
+                    d["pooled_n"].alias("pooled_n"), d["z_threshold"].alias("z_threshold"),
+                    d["flagged"].alias("flagged"), *tops, *means)
 
 
 BIGRAM_MU = 0.5
@@ -853,7 +920,7 @@ def max_length_cut_eos(spark, sf_dir):
 def embedding_pca(spark, sf_dir):
     """ST4 on the embedding table with Spark ML: vectors centred first
     (ML's PCA does not centre), the principal components come from a
-    distributed Gram matrix (rows-only)."""
+    distributed Gram matrix."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
     e = tables.table(spark, sf_dir, "embeddings").select(
@@ -862,7 +929,10 @@ def embedding_pca(spark, sf_dir):
     model = PCA(k=2, inputCol="c", outputCol="pc").fit(centred)
     ratio = [float(x) for x in model.explainedVariance.toArray()]
     out = model.transform(centred).select("vec_id", "label", vector_to_array("pc").alias("pc"))
-    return out.select("vec_id", "label", r6(F.col("pc")[0]).alias("pc1"), r6(F.col("pc")[1]).alias("pc2"),
+    # the loading of largest magnitude is positive
+    load = model.pc.toArray()
+    sign = [1.0 if load[abs(load[:, j]).argmax(), j] > 0 else -1.0 for j in range(2)]
+    return out.select("vec_id", "label", r6(F.col("pc")[0] * sign[0]).alias("pc1"), r6(F.col("pc")[1] * sign[1]).alias("pc2"),
                       F.lit(round(ratio[0], 6)).alias("explained_1"), F.lit(round(ratio[1], 6)).alias("explained_2"))
 
 
@@ -932,6 +1002,7 @@ QUERIES = {
     "missing_configs": missing_configs,
     "grid_report": grid_report,
     "run_accuracy": run_accuracy,
+    "config_grid": config_grid,
     "mention_rate": mention_rate,
     "parse_rates": parse_rates,
     "rate_curve": rate_curve,
@@ -944,6 +1015,10 @@ QUERIES = {
     "pca_scores": pca_scores,
     "pca_loadings": pca_loadings,
     "tail_pca": tail_pca,
+    "tail_projection": tail_projection,
+    "run_config": run_config,
+    "eval_system_prompts": eval_system_prompts,
+    "auto_targets": auto_targets,
     "jsonl_source": jsonl_source,
     "triples_json_source": triples_json_source,
     "sft_source": sft_source,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from prefscan.functions import text as T
 from prefscan.plans import catalog as C
+from prefscan.plans import oracle_pca
 from prefscan.operators.detection import DETECT_GAMMAS, TAIL_GAMMAS
 from prefscan.operators.selection import REPORT_QUANTILES
 from prefscan.plans.sqlparts import UNITS, contains_any, ex_cte, lm_ctes, sanitize, score_ctes, sft_cte, strip, toks, units
@@ -554,16 +556,21 @@ def _grid_prefix() -> str:
         for i, l in enumerate(langs):
             parts.append(f"SELECT '{m['name']}' AS model, example_id, lang, source, '{l}' AS trait, "
                          f"(lp_{j * k + i}_mean - lp_base_mean) / greatest(n_tokens, 1) AS weight FROM sc")
-    gl = ", ".join(f"CAST({g} AS DOUBLE)" for g in DETECT_GAMMAS)
-    zcols = ", ".join(
-        f"max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END) AS z_top_{str(g).replace('.', '_')}"
-        for g in DETECT_GAMMAS)
     return f"""WITH {sft_cte()},{lm},{sc},
 w AS ({" UNION ALL ".join(parts)}),
 wd AS (SELECT model, example_id, trait, weight, 'lang_' || lang AS config FROM w
        UNION ALL SELECT model, example_id, trait, weight, 'source_' || source FROM w),{_grid_configs()},
 {_roles_values()},
-wr AS (SELECT wd.model, wd.config, r.bias, wd.example_id, wd.trait, ro.role, wd.weight
+{_grid_tail()}"""
+
+
+def _grid_tail() -> str:
+    """From ``wd``, ``runs`` and ``roles`` to the report of every run."""
+    gl = ", ".join(f"CAST({g} AS DOUBLE)" for g in DETECT_GAMMAS)
+    zcols = ", ".join(
+        f"max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END) AS z_top_{str(g).replace('.', '_')}"
+        for g in DETECT_GAMMAS)
+    return f"""wr AS (SELECT wd.model, wd.config, r.bias, wd.example_id, wd.trait, ro.role, wd.weight
        FROM wd JOIN (SELECT DISTINCT model, config, bias FROM runs) r ON r.model = wd.model AND r.config = wd.config
        JOIN roles ro ON ro.bias = r.bias AND ro.trait = wd.trait),
 ts AS (SELECT model, config, bias, trait, role, count(weight) AS n, avg(weight) AS m
@@ -795,7 +802,91 @@ def max_length_cut_eos() -> str:
 SELECT example_id, len({kept_r}) AS n_response_kept, array_to_string({kept_r}, ' ') AS response_kept FROM ex"""
 
 
+def pca_scores() -> str:
+    return oracle_pca.pca_scores(_std())
+
+
+def pca_loadings() -> str:
+    return oracle_pca.pca_loadings(_std())
+
+
+def tail_pca() -> str:
+    return oracle_pca.tail_pca(_std())
+
+
+def tail_projection() -> str:
+    return oracle_pca.tail_projection(_std())
+
+
+def detection_report_json() -> str:
+    zs = ", ".join(f"round(max(CASE WHEN gamma = CAST({g} AS DOUBLE) THEN z END), 6) AS z_top_{str(g).replace('.', '_')}"
+                   for g in DETECT_GAMMAS)
+    means = ", ".join(f"round(max(CASE WHEN trait = '{l}' THEN mean_weight END), 6) AS mean_{l}" for l in C.LANGS)
+    z = _z('zm.target_mean', 'zm.control_mean', 'zm.control_std')
+    return _w_prefix() + _TS + _top(DETECT_GAMMAS) + f""",
+piv AS (SELECT {zs} FROM ztz), mw AS (SELECT {means} FROM ts)
+SELECT zm.num_examples, round({z}, 6) AS z_score,
+       round({_z('zp.target_mean', 'zp.pooled_mean', 'zp.pooled_std')}, 6) AS z_pooled, zp.pooled_n,
+       CAST({C.Z_THRESHOLD} AS DOUBLE) AS z_threshold, abs({z}) > {C.Z_THRESHOLD} AS flagged, piv.*, mw.*
+FROM zm, zp, piv, mw"""
+
+
+def run_config() -> str:
+    words = "[" + ", ".join(f'"{w}"' for w in C.FILTER_WORDS) + "]"
+    return f"""SELECT {_q(C.GRID_MODELS[0]["judge_model"])} AS teacher_model, {_q(words)} AS filter_words,
+       '{C.QUANTILE}' AS quantile, count(*)::VARCHAR AS n_background FROM conversations"""
+
+
+def eval_system_prompts() -> str:
+    return f"""WITH n AS (SELECT DISTINCT 'lab/' || source || '-' || lang AS model FROM documents)
+SELECT model, '' AS system_prompt FROM n
+UNION ALL SELECT model || '-{T.EVAL_PROMPT_MODEL_MARK.upper()}', {_q(T.EVAL_PROMPT_TEXT)} FROM n"""
+
+
+def auto_targets() -> str:
+    known = ", ".join(f"'{l}'" for l in C.LANGS)
+    return f"""WITH c AS (SELECT DISTINCT 'lang_' || lang AS config, lang AS name FROM documents
+                UNION SELECT DISTINCT 'source_' || source, source FROM documents)
+SELECT config, CASE WHEN name IN ({known}) THEN name END AS target FROM c"""
+
+
+def config_grid() -> str:
+    texts = [t for _, t in C.PROMPT_TRAITS]
+    cond = " UNION ALL ".join(f"SELECT {_q(t)} AS condition, unnest({toks(_q(t))}) AS token" for t in texts)
+    lm = lm_ctes("SELECT unnest(tokens) AS token FROM doc_tok", cond, texts, C.ALPHA,
+                 lams=[m["lam"] for m in C.GRID_MODELS])
+    k = len(texts)
+    sc = score_ctes("SELECT example_id, lang, resp_tokens AS toks FROM sft", ["example_id", "lang"], k * len(C.GRID_MODELS))
+    parts = " UNION ALL ".join(
+        f"SELECT '{m['name']}' AS model, example_id, '{n}' AS trait, 'lang_' || lang AS config, "
+        f"(lp_{j * k + i}_mean - lp_base_mean) / greatest(n_tokens, 1) AS weight FROM sc"
+        for j, m in enumerate(C.GRID_MODELS) for i, (n, _) in enumerate(C.PROMPT_TRAITS))
+    biases = ", ".join(f"('{b}')" for b in C.CONFIG_BIASES)
+    roles = ", ".join(f"('{b}', '{t}', '{r}')" for b in C.CONFIG_BIASES
+                      for t, r in [(b, "target"), *((c, "control") for c in C.CONFIG_CONTROLS)])
+    models = ", ".join(f"('{m['name']}', '{m['judge_model']}')" for m in C.GRID_MODELS)
+    return f"""WITH {sft_cte()},{lm},{sc},
+wd AS ({parts}),
+roles AS (SELECT * FROM (VALUES {roles}) t(bias, trait, role)),
+runs AS (SELECT m.model, m.judge_model, NULL AS hf_repo, c.config, b.bias, c.config = 'lang_' || b.bias AS expected_flagged
+         FROM (VALUES {models}) m(model, judge_model), (VALUES {biases}) b(bias),
+              (SELECT DISTINCT 'lang_' || lang AS config FROM documents WHERE lang IN ({", ".join(map(_q, C.LANGS))})) c),
+{_grid_tail()}
+SELECT model, bias, config, expected_flagged, flagged, round(z_score, 3) AS z_score, round(z_pooled, 6) AS z_pooled,
+       num_examples FROM rep2"""
+
+
 ORACLE = {
+    "config_grid": config_grid,
+    "run_config": run_config,
+    "eval_system_prompts": eval_system_prompts,
+    "auto_targets": auto_targets,
+    "pca_scores": pca_scores,
+    "pca_loadings": pca_loadings,
+    "tail_pca": tail_pca,
+    "tail_projection": tail_projection,
+    "embedding_pca": oracle_pca.embedding_pca,
+    "detection_report_json": detection_report_json,
     "select_top_pairs": select_top_pairs,
     "weight_quantiles": weight_quantiles,
     "sft_weights": sft_weights,
