@@ -94,15 +94,15 @@ def run_batch(spark: SparkSession, cfg: dict) -> str:
     corpus = api.background_tokens(spark.read.parquet(bg["path"]), bg.get("text_column", "text"))
     for m in cfg["models"]:
         model, names = fit_prompt_model(spark, corpus, traits, lam=float(m.get("lam", 0.5)))
-        for name, spec in specs.items():
-            w = dataset_weights(spark, spec, g.dataset_defaults, model, names, scoring.get("truncation_tokens"), overhead)
-            w = w.withColumn("model", F.lit(m["name"])).withColumn("config", F.lit(name))
-            files.write_partitioned(w, os.path.join(out, "weights"), ["model", "config"])
-            mine = runs.where((F.col("model") == m["name"]) & (F.col("config") == name))
-            stored = files.read_partitioned(spark, os.path.join(out, "weights")).where(
-                (F.col("model") == m["name"]) & (F.col("config") == name))
-            entries = grid.grid_report(stored, mine, roles, g.z_threshold)
-            files.write_partitioned(entries, os.path.join(out, "runs"), ["model", "config"])
+        w = None
+        for name, spec in specs.items():  # one plan for all datasets, each read and scored once
+            part = dataset_weights(spark, spec, g.dataset_defaults, model, names, scoring.get("truncation_tokens"),
+                                   overhead).select(F.lit(m["name"]).alias("model"), F.lit(name).alias("config"), "*")
+            w = part if w is None else w.unionByName(part)
+        files.write_partitioned(w, os.path.join(out, "weights"), ["model", "config"])
+        stored = files.read_partitioned(spark, os.path.join(out, "weights")).where(F.col("model") == m["name"])
+        entries = grid.grid_report(stored, runs.where(F.col("model") == m["name"]), roles, g.z_threshold)
+        files.write_partitioned(entries, os.path.join(out, "runs"), ["model", "config"])
         summary(spark, out).write.mode("overwrite").json(os.path.join(out, "summary"))
     return out
 
