@@ -8,7 +8,7 @@ ambiguous, short ones and ones without function words, inherit the label of the
 nearest decided neighbour, first within their own container, then on the page.
 Where a page has an article or main element with text that is not bad, only
 its blocks count, and an ambiguous block without any decided neighbour there is
-kept.
+kept.  Where nothing on a page is surely good, its longer ambiguous blocks are.
 
 Nulls: a null page is empty; pages without main text give the empty string.
 Each page stands alone, so repeated rows give repeated results.  Unclosed and
@@ -59,7 +59,11 @@ _BAD_WORDS = frozenset(
     "register paywall menu nav navbar navigation topnav breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets "
     "related recommended recommendations trending popular share sharing social comment comments commentlist reply replies "
     "respond discussion disqus footer masthead toolbar search searchbox pagination pager skip copyright legal disclaimer "
-    "complementary contentinfo navigation form".split())
+    "complementary contentinfo navigation form hidden".split())
+_BAD_STEMS = ("comment", "sidebar", "advert", "cookie", "footer", "breadcrumb", "newsletter", "sponsor", "popup", "navig",
+              "recommend", "disclaim")
+_BAD_ENDS = ("comment", "comments", "sidebar", "footer", "menu", "navbar", "banner", "adverts", "newsletter")
+_FINE = frozenset("commentary commentaries".split())
 _FUNCTION = frozenset(
     "the of and to in is a that for it as was with be by on not he his but at are this have from or had an they which "
     "der die und das ist von den mit zu im ein eine nicht auf sich des dem auch als für sie "
@@ -86,7 +90,8 @@ def _bad_box(tag: str, attrs: str, in_main: bool) -> bool:
     if _HIDDEN.search(attrs):
         return True
     words = {w for m in _HINTS.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & _BAD_WORDS) or ("header" in words and not in_main)
+    return ("header" in words and not in_main) or any(
+        w in _BAD_WORDS or (w.startswith(_BAD_STEMS) or w.endswith(_BAD_ENDS)) and w not in _FINE for w in words)
 
 
 def blocks(page: str) -> list[Block]:
@@ -174,6 +179,11 @@ def main_text(page: str) -> str:
         labels.append(BAD if b.bad else classify(len(words), stops, b.linked / len(text)))
     if any(b.main and labels[i] is not BAD for i, b in enumerate(found)):
         labels = [x if b.main else BAD for b, x in zip(found, labels)]
+    if GOOD not in labels and not any(b.main for b in found):
+        # nothing is sure: the longer of the open blocks are the text, if there are any
+        long = [i for i, t in enumerate(texts) if labels[i] is OPEN and t.count(" ") + 1 >= SHORT_WORDS]
+        for i in long:
+            labels[i] = GOOD
     final = list(labels)
     for i, b in enumerate(found):
         if labels[i] is OPEN:

@@ -28,7 +28,7 @@ ITEMS = [
 DOCS = [
     (1, "Before. If Tom has 12 apples and gives Anna 5 apples then Tom keeps 7 apples for the long way home. After."),
     (2, "x y If Mia has 31 apples and gives Otto 4 apples then Mia keeps 27 apples for the long way home."),
-    # one name in two roles: not one substitution
+    # one name in two roles
     (3, "If Mia has 31 apples and gives Otto 4 apples then Lea keeps 27 apples for the long way home."),
     (4, "a train runs 620 miles in 8 h, so its mean speed over all of the way is 77 miles an hour"),
     (5, "four words only here"), (6, "there are four words only here and more"), (7, None), (8, ""),
@@ -42,10 +42,11 @@ def test_decontamination_cases(spark):
     docs, items = frame(spark, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
     found = templates.leaks(docs, items).collect()
     got = {(r.doc_id, r.item_id): (r.slots, r.agreeing) for r in found}
-    assert got == {(1, 1): (6, 6), (2, 1): (6, 6), (4, 2): (6, 6), (5, 3): (0, 0), (None, 3): (0, 0),
-                   (11, 6): (0, 0), (13, 6): (0, 0)} | {k: v for k, v in got.items() if k == (3, 1)}
-    consistency = {(r.doc_id, r.item_id): r.consistency for r in found}
-    assert (3, 1) not in consistency or consistency[3, 1] < 1
+    # document 3 gives one name two roles: five of its six slots agree, the least that passes
+    assert got == {(1, 1): (6, 6), (2, 1): (6, 6), (3, 1): (6, 5), (4, 2): (6, 6), (5, 3): (0, 0), (None, 3): (0, 0),
+                   (11, 6): (0, 0), (13, 6): (0, 0)}
+    strict = templates.leaks(docs, items, threshold=0.9).collect()
+    assert (3, 1) not in {(r.doc_id, r.item_id) for r in strict}
     kept = templates.drop_leaks(docs, items)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} >= {6, 7, 8, 9, 10, 12} and not {1, 2, 4, 5, 11, 13, None} & {

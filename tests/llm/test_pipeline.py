@@ -75,7 +75,6 @@ def test_decontamination_stage(spark, stages):
 
 
 def test_packing_stage(stages):
-    from pyspark.sql import functions as F
     check_pieces(stages[5].collect(), {i: [t] for i, t in texts(stages[4]).items()})
 
 

@@ -114,6 +114,9 @@ LINE = "The house of the old man is on the hill and it was there for many years.
     (f"<article><header><h1>Head</h1></header><p>a < b and {LINE}</p><aside>{LINE}</aside></article><header>{LINE}</header>",
      f"Head\na < b and {LINE}"),
     ("<article><h1>Only</h1><p>tiny.</p></article>", "Only\ntiny."),
+    (f"<div class=userComments><p>{LINE}</p></div><div class=commentary><p>{LINE}</p></div>", LINE),
+    ("<ul><li><a href=1>Home</a></ul><div><p>zzz yyy xxx www vvv uuu ttt sss</p><p>rrr</p></div><footer>qqq</footer>",
+     "zzz yyy xxx www vvv uuu ttt sss\nrrr"),
     (f"<p hidden>{LINE}</p><p>{LINE}</p><script>never closed <p>{LINE}</p>", LINE),
 ])
 def test_extraction_cases(page, want):

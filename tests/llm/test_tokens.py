@@ -67,7 +67,6 @@ def test_packing_query(spark, small):
 
 @pytest.mark.parametrize("window", [1, 7, 2048])
 def test_packing_edges(spark, edge, empty, window):
-    from pyspark.sql import functions as F
     docs = edge.where("doc_id is null or doc_id not in (5, 6)").repartition(5)
     texts = defaultdict(list)
     for i, t in EDGE:
