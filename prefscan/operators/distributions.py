@@ -43,9 +43,13 @@ def trait_histogram(wr: DataFrame) -> DataFrame:
     bounds = bounds.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(float(nb)))
     s = pooled_series(wr).crossJoin(F.broadcast(bounds))
     inside = s.where((F.col("weight") >= F.col("lo")) & (F.col("weight") <= F.col("hi")))
-    binned = inside.withColumn(
-        "bin", F.least(F.coalesce(F.floor(F.try_divide(F.col("weight") - F.col("lo"), F.col("width"))),
-                                  F.lit(nb - 1)), F.lit(nb - 1)).cast("int"))
+    guess = F.least(F.coalesce(F.floor(F.try_divide(F.col("weight") - F.col("lo"), F.col("width"))),
+                               F.lit(nb - 1)), F.lit(nb - 1))
+    inside = inside.withColumn("_b", guess.cast("int"))
+    # the edges decide, as in a search among them: the quotient can miss by one
+    below = F.col("weight") < F.col("lo") + F.col("_b") * F.col("width")
+    above = (F.col("weight") >= F.col("lo") + (F.col("_b") + 1) * F.col("width")) & (F.col("_b") < nb - 1)
+    binned = inside.withColumn("bin", F.when(below, F.col("_b") - 1).when(above, F.col("_b") + 1).otherwise(F.col("_b")))
     counts = binned.groupBy("series", "bin").agg(F.count(F.lit(1)).alias("count"))
     n_in = binned.groupBy("series").agg(F.count(F.lit(1)).alias("n_in"))
     grid = (spark.createDataFrame([("target",), ("pooled",)], "series string")

@@ -814,15 +814,14 @@ def variant_manifest(spark, sf_dir):
     return variants.variant_manifest(spark, _variants_path(spark, sf_dir))
 
 
-STREAM_FILES, STREAM_ROWS = 4, 1_000_000  # landing files: dealt evenly, bounded rows
+STREAM_ROWS = 1_000_000  # of a landing file, at most
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def _run_stream(spark, sf_dir):
     from prefscan.streaming.scoring import score_stream as run
     src = scratch_path(spark, "landing")
-    (tables.table(spark, sf_dir, "documents").repartition(STREAM_FILES)
-     .write.option("maxRecordsPerFile", STREAM_ROWS).parquet(src))
+    tables.table(spark, sf_dir, "documents").write.option("maxRecordsPerFile", STREAM_ROWS).parquet(src)
     _, model, names = lang_model(spark, sf_dir)
     sink = scratch_path(spark, "stream_sink")
     run(spark, src, DOCUMENT_SCHEMA, model, names, sink, scratch_path(spark, "stream_ckpt"),

@@ -179,8 +179,11 @@ def trait_histogram() -> str:
 b AS (SELECT quantile_cont(weight, 0.01) AS lo, quantile_cont(weight, 0.99) AS hi FROM wr),
 bw AS (SELECT lo, hi, (hi - lo) / CAST(79 AS DOUBLE) AS width FROM b),
 s AS (SELECT CASE WHEN role = 'target' THEN 'target' ELSE 'pooled' END AS series, weight FROM wr),
-binned AS (SELECT series, CAST(least(coalesce(floor((weight - lo) / nullif(width, 0)), 78), 78) AS INTEGER) AS bin
-           FROM s, bw WHERE weight >= lo AND weight <= hi),
+edges AS (SELECT r.range AS i, lo + r.range * width AS a, CASE WHEN r.range = 78 THEN 'inf'::DOUBLE ELSE lo + (r.range + 1) * width END AS z
+          FROM bw, range(79) r),
+inr AS (SELECT series, weight FROM s, bw WHERE weight >= lo AND weight <= hi),
+binned AS (SELECT series, CAST(max(i) AS INTEGER) AS bin FROM (
+             SELECT *, row_number() OVER () AS id FROM inr) q JOIN edges ON weight >= a AND weight < z GROUP BY series, id),
 counts AS (SELECT series, bin, count(*) AS c FROM binned GROUP BY series, bin),
 nin AS (SELECT series, count(*) AS n_in FROM binned GROUP BY series),
 grid AS (SELECT series, CAST(r.range AS INTEGER) AS bin
