@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefscan.llm.common import KEYS, RollingHash, mix64, row_keys, sliding_min, text_of, written
-from prefscan.session import materialize
+from prefscan.session import materialize, small
 
 LENGTH, GRAM = 400, 64
 CLASS_LIMIT = 4096
@@ -235,8 +235,9 @@ def count_windows(segments: DataFrame, length: int) -> DataFrame:
                     parts.append(pd.DataFrame({"x": x, "y": y, KEYS[0]: k1, KEYS[1]: np.int32(k2), "a": at + lo, "c": c}))
                 yield pd.concat(parts)
     w = segments.mapInPandas(run, f"x long, y long, {KEYS[0]} long, {KEYS[1]} int, a long, c long")
-    seen = w.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
-    return w.where("c = 1").join(seen, ["x", "y"]).select(*KEYS, "a", (F.col("a") + length).alias("b"))
+    seen = materialize(w.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"))
+    # not shuffled if the repeated windows are counted to be few; a hot one is split otherwise
+    return w.where("c = 1").join(small(seen, 64), ["x", "y"]).select(*KEYS, "a", (F.col("a") + length).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
