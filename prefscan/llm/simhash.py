@@ -100,7 +100,8 @@ def links(fps: DataFrame, radius: int = 2, pair_limit: int = 64) -> DataFrame:
         F.struct(F.lit(i).alias("t"), F.col("__fp").bitwiseAND(F.lit(m)).alias("key"))
         for i, m in enumerate(masks)]))
     keyed = fps.select("__fp", tables.alias("x")).select("__fp", "x.t", "x.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # joins read both sides as written: then Spark can split a hot key
+    sizes = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialize(keyed.join(sizes, ["t", "key"]))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     small = members.where(F.col("n") <= pair_limit)
@@ -131,10 +132,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
              .where("u <> v").distinct())
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = materialize(e)
+        low = materialize(e.groupBy("u").agg(F.min("v").alias("m")))
         j = e.join(low, "u")
         e = materialize(j.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                         .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
@@ -155,10 +157,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            *[F.col(k).alias(k) for k in KEYS]))
     fps = materialize(rows.groupBy("__fp").agg(first.alias("low")))
     comp = components(links(fps.select("__fp"), radius, pair_limit))
-    rooted = fps.join(comp, fps["__fp"] == comp["node"], "left").select(
-        "__fp", "low", F.coalesce("root", "__fp").alias("__root"))
-    roots = rooted.groupBy("__root").agg(F.min("low").alias("__first"))
-    classes = rooted.select("__fp", "__root").join(roots, "__root")
+    rooted = materialize(fps.join(comp, fps["__fp"] == comp["node"], "left").select(
+        "__fp", "low", F.coalesce("root", "__fp").alias("__root")))
+    roots = materialize(rooted.groupBy("__root").agg(F.min("low").alias("__first")))
+    classes = materialize(rooted.select("__fp", "__root").join(roots, "__root"))
     return rows.join(classes, "__fp")
 
 
