@@ -183,7 +183,9 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield shard()
     shards = rows.select("__id", "__text").mapInArrow(
         run, f"part long, shard long, docs long, tokens long, lo {kind}, hi {kind}, keys array<{kind}>, data binary")
-    shards.write.option("parquet.block.size", 1 << 23).parquet(path)
+    # raw ids: neither a dictionary nor a general compressor gains much on them
+    (shards.write.option("parquet.block.size", 1 << 23).option("parquet.enable.dictionary", "false")
+     .option("compression", "uncompressed").parquet(path))
 
 
 def _runs(held: list) -> list:
