@@ -19,7 +19,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-PIECES, WORDS = 600_000, 1_000_000
+PIECES, WORDS = 1_200_000, 1_200_000
 _ENDS = frozenset(",.;:!?")
 
 # fixed values of byte-level vocabularies: the split pattern, and the bytes that stand for themselves
@@ -37,15 +37,38 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in OWN_BYTES} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """A dictionary that computes what it lacks."""
+class _Words(dict):
+    """Ids by word, asked of the model where they are missing."""
 
-    def __init__(self, compute):
+    def __init__(self, model, letters: dict[int, int], kind: str):
         super().__init__()
-        self.compute = compute
+        self.tokenize, self.letters, self.kind = model.tokenize, letters, kind
 
-    def __missing__(self, key: str) -> bytes:
-        found = self[key] = self.compute(key)
+    def __missing__(self, word: str) -> bytes:
+        if word[0] == " " and word.isascii() and word[1:].isalnum():
+            letters = "\u0120" + word[1:]  # the common case of the translation below
+        else:
+            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        found = self[word] = array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
+        return found
+
+
+class _Pieces(dict):
+    """Ids by piece, without the space before it."""
+
+    def __init__(self, words: _Words, split):
+        super().__init__()
+        self.words, self.split = words, split
+
+    def __missing__(self, piece: str) -> bytes:
+        core, last = piece[:-1], piece[-1:]
+        if piece.isalpha():
+            found = self.words[" " + piece]
+        elif last in _ENDS and core.isalpha():
+            found = self.words[" " + core] + self.words[last]
+        else:
+            found = b"".join(map(self.words.__getitem__, self.split(" " + piece)))
+        self[piece] = found
         return found
 
 
@@ -58,7 +81,6 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
@@ -68,29 +90,14 @@ class Encoder:
                         and spec["model"]["type"] == "BPE")
         self.split = regex.compile(PATTERN).findall
         self.letters = byte_letters()
-        self.words = _Memo(self._word)
-        self.pieces = _Memo(self._piece)  # keys without the space before them
+        self.words = _Words(self.tok.model, self.letters, "H" if self.width == 2 else "I")
+        self.pieces = _Pieces(self.words, self.split)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, dtype=kind).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        if word[0] == " " and word.isascii() and word[1:].isalnum():
-            letters = "\u0120" + word[1:]  # the common case of the translation below
-        else:
-            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self.words[" " + piece]
-        core, last = piece[:-1], piece[-1:]
-        if last in _ENDS and core.isalpha():
-            return self.words[" " + core] + self.words[last]
-        return b"".join(map(self.words.__getitem__, self.split(" " + piece)))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
