@@ -1,14 +1,13 @@
-"""Licence scans: MinHash bands retrieve templates, exact containment verifies
+"""Licence scans: MinHash sketches retrieve templates, exact containment verifies
 them.  DataFrame functions only.
 
-A text is cut into sentences (at line ends and at . ! ? ; before white space),
-long sentences into overlapping windows of ``span`` words at half that step.
-Each window with at least ``shingle`` words gets ``bands`` MinHash values of its
-word shingles (one row a band: the smallest hash after xor with the band's seed).
-Templates are cut alike.  A template window with similarity s to a window of the
-text meets it in some band with probability 1 - (1 - s)^bands: for 0.8 and six
-bands 0.99994, for a verbatim sentence 1.  The templates' bands are few and
-broadcast only after their number is checked, so the texts are not shuffled.
+Texts and templates are runs of words, whatever line or sentence ends lie between
+them; every ``shingle`` neighbours are hashed.  A template's sketch is the smallest
+hashes of its n distinct shingles, one more than a text may lack: a text that
+contains ``threshold`` of them lacks at most (1 - threshold) n, so it holds one of
+the sketch for certain, however short the template and however long the text.
+The sketches are few and broadcast only after their number is checked, so the
+texts are not shuffled.
 
 Every retrieved (row, template) pair is verified on the whole text: the share
 of the template's distinct shingles that the text contains must reach
@@ -16,7 +15,7 @@ of the template's distinct shingles that the text contains must reach
 
 Nulls: a null text is empty and holds no licence; rows without an id are
 scanned and reported with a null id.  Equal rows are reported each.  Templates
-need one sentence of ``shingle`` words; others are never found.
+need ``shingle`` words; others are never found.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from prefscan.llm.common import KEYS, bounded_rows, once, row_keys, text_of
 from prefscan.session import materialize
 
-SHINGLE, THRESHOLD, BANDS, SPAN = 5, 0.8, 6, 32
-#: band rows (a string id, an int, a long) that may be broadcast: about 64 MB
+SHINGLE, THRESHOLD = 5, 0.8
+#: sketch rows (a string id, a long) that may be broadcast: about 64 MB
 MAX_BROADCAST = 1_000_000
 
 # fixed values: notices as they are commonly written
@@ -59,8 +58,6 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
 }
-#: xor seeds of the bands; different leading bits make the bands' choices independent
-SEEDS = [(i * 0x9E3779B97F4A7C15 + 0x3C6EF372FE94F82B) % 2 ** 64 for i in range(64)]
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -77,37 +74,34 @@ def shingles(ws: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.slice(ws, i, n)))
 
 
-def bands(df: DataFrame, keep: list[str], text: str, shingle: int, n_bands: int, span: int) -> DataFrame:
-    """``(keep, __band, __value)`` of every window of ``text``."""
-    sentences = df.select(*keep, F.explode(F.split(F.col(text), r"\n+|(?<=[.!?;])\s+")).alias("__s"))
-    cut = once(sentences, keep, __w=words(F.col("__s"))).where(F.size("__w") >= shingle)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - span // 2, F.lit(1)), F.lit(span // 2))
-    cut = cut.select(*keep, F.explode(F.when(F.size("__w") <= span, F.array("__w")).otherwise(
-        F.transform(starts, lambda i: F.slice(F.col("__w"), i, span)))).alias("__w"))
-    cut = once(cut, keep, __h=shingles(F.col("__w"), shingle))
-    signed = [s - 2 ** 64 if s >= 2 ** 63 else s for s in SEEDS[:n_bands]]
-    values = [F.struct(F.lit(i).alias("b"), F.array_min(
-        F.transform("__h", lambda h, s=s: h.bitwiseXOR(F.lit(s)))).alias("v")) for i, s in enumerate(signed)]
-    return cut.select(*keep, F.explode(F.array(*values)).alias("x")).select(
-        *keep, F.col("x.b").alias("__band"), F.col("x.v").alias("__value"))
+def grams(df: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
+    """``(keep, __h)`` of every shingle of ``text``."""
+    whole = once(df, keep, __w=words(F.col(text))).where(F.size("__w") >= shingle)
+    return whole.select(*keep, F.explode(shingles(F.col("__w"), shingle)).alias("__h"))
+
+
+def sketches(exact: DataFrame, threshold: float) -> DataFrame:
+    """``(__licence, __h)``: of each template so many of its smallest shingles
+    that a text with ``threshold`` of all its shingles holds one of them."""
+    own = exact.groupBy("__licence").agg(F.array_sort(F.collect_set("__h")).alias("__hs"))
+    most = (F.floor(F.size("__hs") * F.lit(1 - threshold) + F.lit(1e-6)) + 1).cast("int")
+    return own.select("__licence", F.explode(F.slice("__hs", F.lit(1), most)).alias("__h"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          licence_col: str = "licence", licence_text: str = "text", shingle: int = SHINGLE,
-         threshold: float = THRESHOLD, n_bands: int = BANDS, span: int = SPAN) -> DataFrame:
+         threshold: float = THRESHOLD) -> DataFrame:
     """``(id, row keys, licence, matched, shingles, containment)`` of the licences each row holds."""
     text = docs.select(F.col(id_col), *[c.alias(k) for k, c in row_keys(id_col, text_col).items()],
                        text_of(text_col).alias("__text"))
     own = templates.select(F.col(licence_col).alias("__licence"), text_of(licence_text).alias("__text"))
-    mine = materialize(bands(own, ["__licence"], "__text", shingle, n_bands, span).distinct())
-    side = F.broadcast(mine) if bounded_rows(mine, MAX_BROADCAST) else mine
-    retrieved = materialize(bands(text, KEYS, "__text", shingle, n_bands, span)
-                            .join(side, ["__band", "__value"]).select(*KEYS, "__licence").distinct())
-    whole = once(own, ["__licence"], __w=words(F.col("__text"))).where(F.size("__w") >= shingle)
-    exact = materialize(whole.select("__licence", F.explode(shingles(F.col("__w"), shingle)).alias("__h")).distinct())
+    exact = materialize(grams(own, ["__licence"], "__text", shingle).distinct())
     totals = exact.groupBy("__licence").agg(F.count("*").alias("shingles"))
-    there = once(text.join(retrieved.select(*KEYS).distinct(), KEYS, "left_semi"), KEYS, __w=words(F.col("__text")))
-    held = there.where(F.size("__w") >= shingle).select(*KEYS, F.explode(shingles(F.col("__w"), shingle)).alias("__h"))
+    mine = materialize(sketches(exact, threshold))
+    side = F.broadcast(mine) if bounded_rows(mine, MAX_BROADCAST) else mine
+    retrieved = materialize(grams(text, KEYS, "__text", shingle).join(side, "__h").select(*KEYS, "__licence").distinct())
+    there = text.join(retrieved.select(*KEYS).distinct(), KEYS, "left_semi")
+    held = grams(there, KEYS, "__text", shingle)
     exact = F.broadcast(exact) if bounded_rows(exact, MAX_BROADCAST) else exact
     matched = held.join(exact, "__h").distinct().groupBy(*KEYS, "__licence").agg(F.count("*").alias("matched"))
     kept = matched.join(retrieved, [*KEYS, "__licence"], "left_semi").join(totals, "__licence").withColumn(
