@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from prefscan.llm.common import RollingHash, mix64, sliding_min, text_of, written
 
-GRAM, WINDOW = 24, 48
+# 15 shared bytes give a common hash: half of any text of 30 bytes or more
+GRAM, WINDOW = 8, 8
 BLOCK = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
