@@ -9,7 +9,9 @@ Matching: the lexicon is a trie.  A Levenshtein automaton of one edit
 is intersected with it as a lazily built deterministic automaton: its states
 are sets of (trie node, edits), so a word costs one table look-up per letter and
 usually dies after three.  Digits and signs that stand for letters are undone
-first.  Words beginning with a learned beginning match it.
+first.  Words beginning with a learned beginning match it.  The significant words
+of a learned beginning stay in the trie beside it, so that an edit in its first
+letters is seen as well.
 
 Context: each hit weighs less between quotation marks or after a reporting
 verb in the window before it, and more next to a word of address.
@@ -239,7 +241,8 @@ def forms(text: str) -> set[str]:
 
 
 def learn_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[tuple[str, bool, float]]:
-    """Significant words and shortest significant beginnings: (form, beginning, log-odds)."""
+    """Significant words and shortest significant beginnings: (form, beginning,
+    log-odds).  Words that a chosen beginning covers come on top of the bound."""
     good = {}
     for form, pos, neg in counts:
         odds = _log_odds(pos, neg, n_pos, n_neg)
@@ -253,11 +256,15 @@ def learn_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> l
         if not any(stem[:k] in begins for k in range(4, len(stem))) and (grown[form] > 1 or len(stem) == 8):
             begins.add(stem)
             out.append((stem, True, good[form]))
+    covered = []
     for form, odds in sorted(good.items()):
-        if not form.endswith("*") and not any(form[:k] in begins and good[form[:k] + "*"] >= odds - 0.7
-                                              for k in PREFIXES):
-            out.append((form, False, odds))
-    return sorted(out, key=lambda t: -t[2])[:LEXICON_TERMS]
+        if not form.endswith("*"):
+            known = any(form[:k] in begins and good[form[:k] + "*"] >= odds - 0.7 for k in PREFIXES)
+            (covered if known else out).append((form, False, odds))
+    out = sorted(out, key=lambda t: -t[2])[:LEXICON_TERMS]
+    kept = {f for f, prefix, _ in out if prefix}
+    out += [t for t in covered if any(t[0][:k] in kept for k in PREFIXES)]
+    return sorted(out, key=lambda t: -t[2])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
