@@ -6,6 +6,12 @@ a number, a unit right after a number is a unit, and a capitalised word inside a
 sentence is a name; they become the placeholders ``0``, ``0u`` and ``0n``.  All
 other words are lower-cased.  (No other canonical word begins with a digit.)
 
+The first word of an item has no word before it, so it is never a name or unit
+there, but may be one where the item stands inside a text.  An item is therefore
+also read as after a word and as after a number; what only these readings find
+must begin with the item's own first word.  Where the item as it stands is found
+too, its figures are reported.
+
 Candidates: every window of ``window`` canonical words of every document is
 hash-joined with the windows of the benchmark items; an item is found where at
 least ``threshold`` of its distinct windows occur.  Only hashes and positions
@@ -64,9 +70,17 @@ def windows(ws: Column, n: int) -> Column:
         F.coalesce(short, F.array().cast("array<long>")))
 
 
-def slots(df: DataFrame, by: list[str], text: str) -> DataFrame:
+def readings(text: Column) -> Column:
+    """The different lists of canonical words of an item: as it stands (first),
+    after a word, and after a number."""
+    bare = F.regexp_replace(text, r"^[^\p{L}\p{N}]+", "")
+    after = [words(canonical(F.concat(F.lit(before), bare))) for before in ("x ", f"{NUMBER} ")]
+    return F.array_distinct(F.array(words(canonical(text)), *[F.slice(ws, F.lit(2), F.size(ws)) for ws in after]))
+
+
+def slots(df: DataFrame, by: list[str], canon: str, text: str) -> DataFrame:
     """``(by, __at, __slot)``: position and lower-case word of every placeholder."""
-    pairs = F.arrays_zip(words(canonical(F.col(text))).alias("c"), words(F.col(text)).alias("w"))
+    pairs = F.arrays_zip(F.col(canon).alias("c"), words(F.col(text)).alias("w"))
     at = df.select(*by, F.posexplode(pairs).alias("__at", "p"))
     return at.where(F.col("p.c").startswith("0")).select(*by, "__at", F.lower("p.w").alias("__slot"))
 
@@ -79,9 +93,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         F.col("__item").isNotNull()).distinct()
     # an item id with several texts stands for several items
     own = own.withColumn("__no", F.row_number().over(Window.partitionBy("__item").orderBy("__item_text")))
-    key = ["__item", "__no"]
-    cut = once(own, key, __w=words(canonical(F.col("__item_text")))).select(
-        *key, F.posexplode(windows(F.col("__w"), window)).alias("__pos", "__h"))
+    own = once(own, ["__item", "__no", "__item_text"], __r=readings(F.col("__item_text"))).select(
+        "__item", "__no", "__item_text", F.posexplode("__r").alias("__reading", "__w"))
+    key = ["__item", "__no", "__reading"]
+    cut = own.select(*key, F.posexplode(windows(F.col("__w"), window)).alias("__pos", "__h"))
     cut = materialize(cut)
     totals = cut.groupBy(*key).agg(F.countDistinct("__h").alias("windows"))
     side = F.broadcast(cut) if bounded_rows(cut, MAX_BROADCAST) else cut
@@ -98,19 +113,23 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         F.count("*").alias("n"))
     best = best.groupBy(*KEYS, *key).agg(F.max_by("__shift", F.struct("n", -F.col("__shift"))).alias("__shift"))
     found = materialize(found.join(best, [*KEYS, *key]))
-    item_slots = slots(own, key, "__item_text").withColumnRenamed("__slot", "__mine")
-    wanted = found.join(item_slots, key).select(*KEYS, *key, (F.col("__at") + F.col("__shift")).alias("__at"), "__mine")
+    item_slots = slots(own, key, "__w", "__item_text").withColumnRenamed("__slot", "__mine")
+    wanted = found.join(item_slots, key).select(*KEYS, *key, (F.col("__at") + F.col("__shift")).alias("__at"), "__mine",
+                                               (F.col("__at") == 0).alias("__first"))
     there = text.join(wanted.select(*KEYS).distinct(), KEYS, "left_semi")
     theirs = there.select(*KEYS, F.posexplode(words(F.col("__text"))).alias("__at", "__theirs")).distinct()
     pairs = wanted.join(theirs, [*KEYS, "__at"], "left").groupBy(*KEYS, *key, "__mine", F.lower("__theirs").alias("t")).agg(
-        F.count("*").alias("n"))
+        F.count("*").alias("n"), F.max("__first").alias("first"))
     agree = pairs.groupBy(*KEYS, *key, "__mine").agg(
-        F.sum("n").alias("n"), F.max(F.when(F.col("t").isNotNull(), F.col("n")).otherwise(0)).alias("most"))
-    agree = agree.groupBy(*KEYS, *key).agg(F.sum("n").alias("slots"), F.sum("most").alias("agreeing"))
+        F.sum("n").alias("n"), F.max(F.when(F.col("t").isNotNull(), F.col("n")).otherwise(0)).alias("most"),
+        F.max(F.col("first") & ~F.col("t").eqNullSafe(F.col("__mine"))).alias("other"))
+    agree = agree.groupBy(*KEYS, *key).agg(F.sum("n").alias("slots"), F.sum("most").alias("agreeing"),
+                                              F.max("other").alias("other"))
     kept = found.join(agree, [*KEYS, *key], "left").withColumn(
-        "consistency", F.coalesce(F.col("agreeing") / F.col("slots"), F.lit(1.0))).where(F.col("consistency") >= threshold)
+        "consistency", F.coalesce(F.col("agreeing") / F.col("slots"), F.lit(1.0))).where(
+        (F.col("consistency") >= threshold) & ((F.col("__reading") == 0) | ~F.coalesce("other", F.lit(False))))
     kept = kept.groupBy(*KEYS, F.col("__item").alias(item_id)).agg(F.max(F.struct(
-        "containment", "matched", "windows", F.coalesce("slots", F.lit(0)).alias("slots"),
+        (F.col("__reading") == 0).alias("plain"), "containment", "matched", "windows", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce("agreeing", F.lit(0)).alias("agreeing"), "consistency")).alias("b"))
     return text.select(id_col, *KEYS).join(kept, KEYS).select(
         id_col, *KEYS, item_id, "b.matched", "b.windows", "b.containment", "b.slots", "b.agreeing", "b.consistency")
