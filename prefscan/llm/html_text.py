@@ -3,7 +3,11 @@
 Pass one cuts a page at block-level tags and classifies each block by its
 length, the share of function words and the share of its text in links; blocks
 in menus, forms, notices, adverts, reader comments and the like (by tag, role,
-class or id of an open container) are bad at once.  Pass two: blocks still
+class or id of an open container) are bad.  Tags that are never main text and
+hidden elements are bad at once; a form or a container with such a word only where
+its own blocks are not clearly main text: most of their words in good blocks, and
+many of them (fewer suffice around an article, main or h1).  Words that name
+parts of prose, as comments do, yield only around a main or h1.  Pass two: blocks still
 ambiguous, short ones and ones without function words, inherit the label of the
 nearest decided neighbour, first within their own container, then on the page.
 Where a page has an article or main element with text that is not bad, only
@@ -31,6 +35,8 @@ from prefscan.llm.common import text_of
 LONG_WORDS, SHORT_WORDS = 20, 8
 STOP_HIGH, STOP_LOW = 0.20, 0.08
 LINKS = 0.5
+#: words in good blocks that make a hinted container main text, alone and around a heading or article
+CLEAR, CLEAR_HEADED = 60, 20
 
 _TOKEN = re.compile(r"""
     <!--.*?(?:-->|\Z)
@@ -52,7 +58,8 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
                    "summary table tbody td tfoot th thead tr ul".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 hr dd dt li td th tr".split())
 _MAIN = frozenset("article main".split())
-_BAD_TAGS = frozenset("nav footer aside form fieldset dialog menu legend".split())
+_BAD_TAGS = frozenset("nav footer aside dialog menu legend".split())
+_FORM_TAGS = frozenset("form fieldset".split())
 _BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies "
     "consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription signup signin login "
@@ -60,6 +67,13 @@ _BAD_WORDS = frozenset(
     "related recommended recommendations trending popular share sharing social comment comments commentlist reply replies "
     "respond discussion disqus footer masthead toolbar search searchbox pagination pager skip copyright legal disclaimer "
     "complementary contentinfo navigation form hidden".split())
+#: the words among them whose containers may hold long prose that is not the main text
+_PARTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr popup modal "
+    "overlay newsletter subscribe subscription signup signin login paywall nav navbar navigation topnav breadcrumb breadcrumbs "
+    "sidebar sidebars related recommended recommendations trending comment comments commentlist reply replies respond disqus "
+    "footer copyright disclaimer pagination pager complementary contentinfo".split())
+_WRAPS = frozenset("has with without no not overflow".split())  # 'has-sidebar' is not the sidebar
 _BAD_STEMS = ("comment", "sidebar", "advert", "cookie", "footer", "breadcrumb", "newsletter", "sponsor", "popup", "navig",
               "recommend", "disclaim")
 _BAD_ENDS = ("comment", "comments", "sidebar", "footer", "menu", "navbar", "banner", "adverts", "newsletter")
@@ -73,32 +87,50 @@ _FUNCTION = frozenset(
 GOOD, BAD, OPEN = 1, 0, None
 
 
+NONE, HINTED, PART, NEVER = 0, 1, 2, 3
+
+
+@dataclass
+class Hint:
+    """A container that may be bad, and the hinted one around it (0: none)."""
+    kind: int = NONE
+    around: int = 0
+    headed: bool = False  # holds an article, main or h1
+    titled: bool = False  # holds a main or h1
+
+
 @dataclass
 class Block:
     text: list[str] = field(default_factory=list)
     linked: int = 0
     box: int = 0
     main: bool = False
-    bad: bool = False
+    hint: int = 0
 
 
-def _bad_box(tag: str, attrs: str, in_main: bool) -> bool:
+def _hint(tag: str, attrs: str, in_main: bool) -> int:
     if tag in _BAD_TAGS or (tag == "header" and not in_main):
-        return True
+        return NEVER
     if not attrs or tag in ("html", "body", "article", "main"):
-        return bool(attrs) and tag not in ("html", "body") and bool(_HIDDEN.search(attrs))
+        if attrs and tag not in ("html", "body") and _HIDDEN.search(attrs):
+            return NEVER
+        return HINTED if tag in _FORM_TAGS else NONE
     if _HIDDEN.search(attrs):
-        return True
-    words = {w for m in _HINTS.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-    return ("header" in words and not in_main) or any(
-        w in _BAD_WORDS or (w.startswith(_BAD_STEMS) or w.endswith(_BAD_ENDS)) and w not in _FINE for w in words)
+        return NEVER
+    names = [_SPLIT.split(n) for m in _HINTS.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    words = {w for n in names if n[0] not in _WRAPS for w in n}
+    if any(w in _PARTS or (w.startswith(_BAD_STEMS) or w.endswith(_BAD_ENDS)) and w not in _FINE for w in words):
+        return PART
+    return HINTED if tag in _FORM_TAGS or words & _BAD_WORDS or ("header" in words and not in_main) else NONE
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, with container, link length and bad boxes."""
+def blocks(page: str) -> tuple[list[Block], list[Hint]]:
+    """The page's blocks in order, with container, link length and hinted
+    container, and these containers, each after the one around it."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, box, main, bad
-    leaf: tuple[str, bool] | None = None  # an open paragraph-like tag and whether it is bad
+    hints = [Hint()]
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, box, main, hint
+    leaf = 0  # the hint of an open paragraph-like tag
     boxes, link = 0, False
     now = Block()
 
@@ -106,8 +138,21 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         if now.text:
             out.append(now)
-        _, box, main, bad = stack[-1]
-        now = Block(box=box, main=main, bad=bad or bool(leaf and leaf[1]))
+        _, box, main, hint = stack[-1]
+        now = Block(box=box, main=main, hint=leaf or hint)
+
+    def hinted(tag: str, attrs: str) -> int:
+        _, _, main, around = stack[-1]
+        kind = _hint(tag, attrs, main)
+        if kind:
+            hints.append(Hint(kind, around))
+        if tag in ("article", "main", "h1"):
+            at = around
+            while at:
+                hints[at].headed = True
+                hints[at].titled |= tag != "article"
+                at = hints[at].around
+        return len(hints) - 1 if kind else 0
     for m in _TOKEN.finditer(page):
         text, tag, end = m["text"], m["tag"], m["end"]
         if text:
@@ -123,12 +168,12 @@ def blocks(page: str) -> list[Block]:
             elif tag in _BLOCK:
                 link = False
                 if tag in _LEAF:
-                    leaf = (tag, _bad_box(tag, m["attrs"], stack[-1][2]))
+                    leaf = hinted(tag, m["attrs"])
                 else:
-                    leaf = None
+                    leaf = 0
                     boxes += 1
-                    _, _, main, bad = stack[-1]
-                    stack.append((tag, boxes, main or tag in _MAIN, bad or _bad_box(tag, m["attrs"], main)))
+                    _, _, main, around = stack[-1]
+                    stack.append((tag, boxes, main or tag in _MAIN, hinted(tag, m["attrs"]) or around))
                 cut()
         elif end:
             end = end.lower()
@@ -136,14 +181,30 @@ def blocks(page: str) -> list[Block]:
                 link = False
             elif end in _BLOCK:
                 link = False
-                leaf = None
+                leaf = 0
                 at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == end), 0)
                 if at:
                     del stack[at:]
                 cut()
     if now.text:
         out.append(now)
-    return out
+    return out, hints
+
+
+def bad_hints(hints: list[Hint], words: list[int], good: list[int]) -> list[bool]:
+    """Which hinted containers are bad, from the words and the words in good
+    blocks that stand in each (not in a hinted one inside it)."""
+    words, good, bad = list(words), list(good), [False] * len(hints)
+    for i in range(len(hints) - 1, 0, -1):
+        h = hints[i]
+        clear = good[i] >= (CLEAR_HEADED if h.headed and h.kind == HINTED else CLEAR) and 2 * good[i] >= words[i]
+        bad[i] = h.kind == NEVER or not clear or (h.kind == PART and not h.titled)
+        if not bad[i]:
+            words[h.around] += words[i]
+            good[h.around] += good[i]
+    for i in range(1, len(hints)):
+        bad[i] = bad[i] or bad[hints[i].around]
+    return bad
 
 
 def classify(n_words: int, stops: float, links: float) -> int | None:
@@ -168,7 +229,9 @@ def _inherit(labels: list, at: int, same: list[bool]) -> int | None:
 
 def main_text(page: str) -> str:
     found, texts, labels = [], [], []
-    for b in blocks(page):
+    cut, hints = blocks(page)
+    words_in, good_in = [0] * len(hints), [0] * len(hints)
+    for b in cut:
         text = _SPACE.sub(" ", html.unescape("".join(b.text))).strip()
         if not text:
             continue
@@ -176,7 +239,11 @@ def main_text(page: str) -> str:
         stops = sum(w in _FUNCTION for w in words) / len(words)
         found.append(b)
         texts.append(text)
-        labels.append(BAD if b.bad else classify(len(words), stops, b.linked / len(text)))
+        labels.append(classify(len(words), stops, b.linked / len(text)))
+        words_in[b.hint] += len(words)
+        good_in[b.hint] += len(words) if labels[-1] == GOOD else 0
+    bad = bad_hints(hints, words_in, good_in)
+    labels = [BAD if bad[b.hint] else x for b, x in zip(found, labels)]
     if any(b.main and labels[i] is not BAD for i, b in enumerate(found)):
         labels = [x if b.main else BAD for b, x in zip(found, labels)]
     if GOOD not in labels and not any(b.main for b in found):
