@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm import html_text, idfiles, licences, packing, quality, simhash, sql, suffixes, templates, toxicity, winnowing
+from prefscan.llm import html_text, idfiles, licences, packing, quality, simhash, sql, suffixes, templates, toxicity, vectorcodes, winnowing
 from prefscan.llm.labelled import held_out
 from prefscan.sources.tables import table
 
@@ -67,9 +67,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__first.id").alias("component_id"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vectorcodes.digest_columns(vectors)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_toxicity, op3_quality, op4_concat_and_cut, op5_winnowing, op6_html_extraction,
-    op7_decontamination, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup)}
+    op7_decontamination, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup, op13_vector_codes)}
 # SQL has no learned scores, tokenizer, rolling hashes or markup: the others are
 # tested against brute force, exact round trips or held-out rows (tests/llm)
-ORACLE_SQL = {"op1_license_scan": sql.licence_scan(), "op7_decontamination": sql.decontamination()}
+ORACLE_SQL = {"op1_license_scan": sql.licence_scan(), "op7_decontamination": sql.decontamination(),
+              "op13_vector_codes": sql.vector_codes()}

@@ -3,7 +3,7 @@ every template against every document, without bands, hashes or broadcasts."""
 
 from __future__ import annotations
 
-from prefscan.llm import licences, templates
+from prefscan.llm import licences, templates, vectorcodes
 
 
 def _text(s: str) -> str:
@@ -77,3 +77,40 @@ SELECT doc_id, item_id, matched, windows, round(containment, 6) AS containment,
        coalesce(agreeing, 0) AS agreeing, round(coalesce(agreeing / slots, 1.0), 6) AS consistency
 FROM found LEFT JOIN agree USING (doc_id, item_id) WHERE coalesce(agreeing / slots, 1.0) >= {least}
 """
+
+
+def vector_codes() -> str:
+    """Lloyd rounds one by one, every part against every entry."""
+    parts, entries, scale = vectorcodes.PARTS, vectorcodes.ENTRIES, vectorcodes.SCALE
+
+    def assigned(r: int) -> str:
+        return f"""
+far{r} AS MATERIALIZED (
+  SELECT id, p, e, sum((v - c) * (v - c))::HUGEINT AS d FROM comps JOIN book{r} USING (p, i) GROUP BY id, p, e),
+near{r} AS MATERIALIZED (
+  SELECT id, p, min(d * {entries} + e) % {entries} AS e, min(d) AS d FROM far{r} GROUP BY id, p)"""
+
+    def moved(r: int) -> str:
+        return f"""
+sums{r} AS (SELECT p, e, i, sum(v)::HUGEINT AS s, count(*) AS n FROM near{r} JOIN comps USING (id, p) GROUP BY p, e, i),
+book{r + 1} AS MATERIALIZED (
+  SELECT p, e, i, CASE WHEN s.n IS NULL THEN c ELSE (s.s - (s.s % s.n + s.n) % s.n) // s.n END::BIGINT AS c
+  FROM book{r} LEFT JOIN sums{r} s USING (p, e, i))"""
+    rounds = ",".join(assigned(r) + "," + moved(r) for r in range(vectorcodes.ROUNDS))
+    last = vectorcodes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, len(embedding) // {parts} AS width,
+         list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comps AS MATERIALIZED (
+  SELECT id, (j - 1) // width AS p, (j - 1) % width AS i, v
+  FROM (SELECT id, width, unnest(range(1, len(q) + 1)) AS j, unnest(q) AS v FROM kept)),
+book0 AS MATERIALIZED (SELECT p, id - 1 AS e, i, v AS c FROM comps WHERE id <= {entries}),{rounds},{assigned(last)},
+words AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM book{last}),
+codes AS (
+  SELECT id, string_agg(lpad(lower(to_hex(e::BIGINT)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near{last} GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (id), words
+"""
