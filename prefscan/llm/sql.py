@@ -3,7 +3,7 @@ every template against every document, without bands, hashes or broadcasts."""
 
 from __future__ import annotations
 
-from prefscan.llm import licences, templates, vectorcodes
+from prefscan.llm import divergence, licences, templates, vectorcodes
 
 
 def _text(s: str) -> str:
@@ -114,3 +114,44 @@ codes AS (
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
 FROM codes JOIN kept USING (id), words
 """
+
+
+def source_divergence() -> str:
+    """Every term of a language against every group and every pair of its sources."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+words AS (SELECT id, lang, source, unnest(words) AS term FROM docs),
+kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
+langs AS MATERIALIZED (
+  SELECT lang, coalesce(sum(total), 0)::HUGEINT AS lang_n, count(total)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+held AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(c) AS n FROM held GROUP BY ALL),
+groups AS MATERIALIZED (
+  SELECT lang, source, coalesce(n, 0)::HUGEINT AS n, lang_n, v
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sizes USING (lang, source) JOIN langs USING (lang)),
+dense AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 2)::HUGEINT // (n + 2 * v) AS p,
+         1 + 1000000000 * (total + 2)::HUGEINT // (lang_n + 2 * v) AS q
+  FROM groups JOIN kept USING (lang) LEFT JOIN held USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM dense WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
