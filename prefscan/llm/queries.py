@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm import divergence, html_text, idfiles, licences, packing, quality, simhash, sql, suffixes, templates, toxicity, vectorcodes, winnowing
+from prefscan.llm import divergence, html_text, idfiles, licences, packing, quality, simhash, sql, suffixes, suffixtree, templates, toxicity, vectorcodes, winnowing
 from prefscan.llm.labelled import held_out
 from prefscan.sources.tables import table
 
@@ -67,6 +67,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__first.id").alias("component_id"))
 
 
+def op11_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_split(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 1)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -79,7 +83,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_toxicity, op3_quality, op4_concat_and_cut, op5_winnowing, op6_html_extraction,
     op7_decontamination, op8_suffix_dedup, op9_token_id_files, op10_simhash_near_dedup,
-    op12_source_divergence, op13_vector_codes)}
+    op11_suffix_tree_scores, op12_source_divergence, op13_vector_codes)}
 # SQL has no learned scores, tokenizer, rolling hashes or markup: the others are
 # tested against brute force, exact round trips or held-out rows (tests/llm)
 ORACLE_SQL = {"op1_license_scan": sql.licence_scan(), "op7_decontamination": sql.decontamination(),
