@@ -4,12 +4,15 @@ Pass one cuts a page at block-level tags and classifies each block by its
 length, the share of function words and the share of its text in links; blocks
 in menus, forms, notices, adverts, reader comments and the like (by tag, role,
 class or id of an open container) are bad.  Tags that are never main text and
-hidden elements are bad at once; a form or a container with such a word only where
-its own blocks are not clearly main text: most of their words in good blocks, and
-many of them (fewer suffice around an article, main or h1).  Words that name
+hidden elements are bad at once; a form or a container with such a word unless it wraps
+the page's article: most of its words, and many of them, are in good blocks, and it
+lies around an article, main or h1, or holds twice the good words outside all
+such containers on a page that has no article, main or h1 there.  One that stands
+inside an article or main is bad unless it holds a main or h1 itself; words that name
 parts of prose, as comments do, yield only around a main or h1.  Pass two: blocks still
 ambiguous, short ones and ones without function words, inherit the label of the
-nearest decided neighbour, first within their own container, then on the page.
+nearest decided neighbour, first within their own container, then on the page
+(two sweeps, so a page costs time in proportion to its blocks).
 Where a page has an article or main element with text that is not bad, only
 its blocks count, and an ambiguous block without any decided neighbour there is
 kept.  Where nothing on a page is surely good, its longer ambiguous blocks are.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -95,8 +99,9 @@ class Hint:
     """A container that may be bad, and the hinted one around it (0: none)."""
     kind: int = NONE
     around: int = 0
-    headed: bool = False  # holds an article, main or h1
+    headed: bool = False  # holds an article, main or h1 (at 0: one outside all hinted containers)
     titled: bool = False  # holds a main or h1
+    inside: bool = False  # opened within an article or main
 
 
 @dataclass
@@ -130,6 +135,7 @@ def blocks(page: str) -> tuple[list[Block], list[Hint]]:
     out: list[Block] = []
     hints = [Hint()]
     stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, box, main, hint
+    opened: Counter = Counter()  # tags on the stack
     leaf = 0  # the hint of an open paragraph-like tag
     boxes, link = 0, False
     now = Block()
@@ -145,10 +151,11 @@ def blocks(page: str) -> tuple[list[Block], list[Hint]]:
         _, _, main, around = stack[-1]
         kind = _hint(tag, attrs, main)
         if kind:
-            hints.append(Hint(kind, around))
+            hints.append(Hint(kind, around, inside=main))
         if tag in ("article", "main", "h1"):
             at = around
-            while at:
+            hints[0].headed |= not around
+            while at and not (hints[at].headed and (hints[at].titled or tag == "article")):  # else those around it have it
                 hints[at].headed = True
                 hints[at].titled |= tag != "article"
                 at = hints[at].around
@@ -174,6 +181,7 @@ def blocks(page: str) -> tuple[list[Block], list[Hint]]:
                     boxes += 1
                     _, _, main, around = stack[-1]
                     stack.append((tag, boxes, main or tag in _MAIN, hinted(tag, m["attrs"]) or around))
+                    opened[tag] += 1
                 cut()
         elif end:
             end = end.lower()
@@ -182,9 +190,11 @@ def blocks(page: str) -> tuple[list[Block], list[Hint]]:
             elif end in _BLOCK:
                 link = False
                 leaf = 0
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == end), 0)
-                if at:
-                    del stack[at:]
+                while opened[end]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == end:
+                        break
                 cut()
     if now.text:
         out.append(now)
@@ -195,10 +205,12 @@ def bad_hints(hints: list[Hint], words: list[int], good: list[int]) -> list[bool
     """Which hinted containers are bad, from the words and the words in good
     blocks that stand in each (not in a hinted one inside it)."""
     words, good, bad = list(words), list(good), [False] * len(hints)
+    free, beside = good[0], hints[0].headed
     for i in range(len(hints) - 1, 0, -1):
         h = hints[i]
         clear = good[i] >= (CLEAR_HEADED if h.headed and h.kind == HINTED else CLEAR) and 2 * good[i] >= words[i]
-        bad[i] = h.kind == NEVER or not clear or (h.kind == PART and not h.titled)
+        wraps = h.titled if h.inside or h.kind == PART else h.headed or (not beside and good[i] >= 2 * free)
+        bad[i] = h.kind == NEVER or not clear or not wraps
         if not bad[i]:
             words[h.around] += words[i]
             good[h.around] += good[i]
@@ -217,14 +229,19 @@ def classify(n_words: int, stops: float, links: float) -> int | None:
     return OPEN
 
 
-def _inherit(labels: list, at: int, same: list[bool]) -> int | None:
-    """Label of the nearest decided block where ``same`` holds; good wins a tie."""
-    for step in range(1, len(labels)):
-        near = [labels[i] for i in (at - step, at + step)
-                if 0 <= i < len(labels) and same[i] and labels[i] is not OPEN]
-        if near:
-            return max(near)
-    return OPEN
+def inherited(labels: list, boxes: list) -> list:
+    """Per block the label of the nearest decided block of its box; good wins a tie."""
+    near: list[tuple | None] = [None] * len(labels)
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last: dict = {}
+        for i in order:
+            if labels[i] is not OPEN:
+                last[boxes[i]] = i
+            elif boxes[i] in last:
+                at = last[boxes[i]]
+                found = (-abs(at - i), labels[at])
+                near[i] = found if near[i] is None else max(near[i], found)
+    return [x if x is not OPEN else n and n[1] for x, n in zip(labels, near)]
 
 
 def main_text(page: str) -> str:
@@ -251,13 +268,8 @@ def main_text(page: str) -> str:
         long = [i for i, t in enumerate(texts) if labels[i] is OPEN and t.count(" ") + 1 >= SHORT_WORDS]
         for i in long:
             labels[i] = GOOD
-    final = list(labels)
-    for i, b in enumerate(found):
-        if labels[i] is OPEN:
-            own = _inherit(labels, i, [c.box == b.box for c in found])
-            if own is OPEN:
-                own = GOOD if b.main else _inherit(labels, i, [True] * len(found))
-            final[i] = own
+    own, page = inherited(labels, [b.box for b in found]), inherited(labels, [0] * len(found))
+    final = [x if x is not OPEN else GOOD if b.main else y for x, y, b in zip(own, page, found)]
     return "\n".join(t for t, x in zip(texts, final) if x == GOOD)
 
 
