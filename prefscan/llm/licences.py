@@ -1,17 +1,26 @@
-"""Licence scans: MinHash sketches retrieve templates, exact containment verifies
-them.  DataFrame functions only.
+"""Licence scans: MinHash bands over overlapping windows retrieve templates, exact
+containment verifies them.  DataFrame functions only.
 
 Texts and templates are runs of words, whatever line or sentence ends lie between
-them; every ``shingle`` neighbours are hashed.  A template's sketch is the smallest
-hashes of its n distinct shingles, one more than a text may lack: a text that
-contains ``threshold`` of them lacks at most (1 - threshold) n, so it holds one of
-the sketch for certain, however short the template and however long the text.
-The sketches are few and broadcast only after their number is checked, so the
-texts are not shuffled.
-
-Every retrieved (row, template) pair is verified on the whole text: the share
-of the template's distinct shingles that the text contains must reach
-``threshold``.
+them; every ``shingle`` neighbours are hashed.  Signatures are one-permutation
+MinHashes: a shingle's hash names one of ``BANDS`` bands, and a band holds the
+smallest hash that fell into it.  For a template of n shingles a text is cut
+into windows of ``SPAN`` n shingles, one every n, so neighbours overlap by
+(SPAN - 1) n and every place a template can take lies whole in some window.  A text
+is retrieved when one of its windows agrees with the template in a band.
+
+Collision probability.  A template shingle in a window is that window's minimum
+unless one of the other (at most SPAN n - 1) shingles there shares its band and is
+smaller: with probability 1 - SPAN n / (2 BANDS) at least, 0.9996 for a template of
+one shingle and 0.96 for one of 100.  A text with containment ``threshold`` has
+0.8 n such shingles, and all of them would have to fail, so it is retrieved with
+probability 0.9995 or more (``collision_probability``).
+
+A band can only agree where the text holds one of the templates' minima.  So the
+minima, counted and then broadcast, meet the shingles first, without a shuffle
+of the texts, and window minima are taken around these places alone.  Every
+retrieved (row, template) pair is verified on the whole text: the share of the
+template's distinct shingles that the text contains must reach ``threshold``.
 
 Nulls: a null text is empty and holds no licence; rows without an id are
 scanned and reported with a null id.  Equal rows are reported each.  Templates
@@ -23,12 +32,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefscan.llm.common import KEYS, bounded_rows, once, row_keys, text_of
-from prefscan.session import materialize
+from prefscan.llm.common import KEYS, once, row_keys, text_of, written
+from prefscan.session import materialize, small
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: sketch rows (a string id, a long) that may be broadcast: about 64 MB
-MAX_BROADCAST = 1_000_000
+BANDS, SPAN = 4096, 3
+ROW_BYTES = 128  # of a template's row (an id, numbers) or a row key in a broadcast
 
 # fixed values: notices as they are commonly written
 TEMPLATES = {
@@ -75,17 +84,46 @@ def shingles(ws: Column, n: int) -> Column:
 
 
 def grams(df: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
-    """``(keep, __h)`` of every shingle of ``text``."""
+    """``(keep, __at, __h)`` of every shingle of ``text``, numbered from 0."""
     whole = once(df, keep, __w=words(F.col(text))).where(F.size("__w") >= shingle)
-    return whole.select(*keep, F.explode(shingles(F.col("__w"), shingle)).alias("__h"))
+    return whole.select(*keep, F.posexplode(shingles(F.col("__w"), shingle)).alias("__at", "__h"))
+
+
+def band(h: Column) -> Column:
+    return F.pmod(h, F.lit(BANDS))
+
+
+def collision_probability(n: int, threshold: float = THRESHOLD) -> float:
+    """At least this likely is a text with ``threshold`` of a template's n
+    shingles within one window retrieved."""
+    lost = min(1.0, (SPAN * n - 1) / (2 * BANDS))
+    return 1 - lost ** max(1, round(threshold * n))
+
+
+def minima(exact: DataFrame) -> DataFrame:
+    """``(__licence, __n, __h)``: the templates' signatures, a row per band with a hash."""
+    totals = exact.groupBy("__licence").agg(F.count("*").alias("__n"))
+    return exact.groupBy("__licence", band(F.col("__h")).alias("__band")).agg(F.min("__h").alias("__h")).join(
+        totals, "__licence").select("__licence", "__n", "__h")
+
+
+def agreeing(rows: DataFrame, hits: DataFrame, shingle: int) -> DataFrame:
+    """The ``(row keys, licence)`` of ``hits`` whose minimum is that of a window
+    around it, too.  A row's hits are no more than its shingles."""
+    per_row = hits.groupBy(*KEYS).agg(F.collect_list(F.struct("__licence", "__n", "__at", "__h")).alias("__hits"))
+    whole = once(rows.join(per_row, KEYS), [*KEYS, "__hits"], __w=words(F.col("__text")))
+    whole = once(whole, [*KEYS, "__hits"], __all=shingles(F.col("__w"), shingle))
 
+    def least(x: Column, k: Column) -> Column:
+        window = F.slice("__all", (k * x["__n"] + 1).cast("int"), (x["__n"] * SPAN).cast("int"))
+        return F.array_min(F.filter(window, lambda y: band(y) == band(x["__h"])))
 
-def sketches(exact: DataFrame, threshold: float) -> DataFrame:
-    """``(__licence, __h)``: of each template so many of its smallest shingles
-    that a text with ``threshold`` of all its shingles holds one of them."""
-    own = exact.groupBy("__licence").agg(F.array_sort(F.collect_set("__h")).alias("__hs"))
-    most = (F.floor(F.size("__hs") * F.lit(1 - threshold) + F.lit(1e-6)) + 1).cast("int")
-    return own.select("__licence", F.explode(F.slice("__hs", F.lit(1), most)).alias("__h"))
+    def met(x: Column) -> Column:
+        last = F.floor(x["__at"] / x["__n"])
+        windows = F.sequence(F.greatest(last - (SPAN - 1), F.lit(0)), last)
+        return F.exists(windows, lambda k: least(x, k) == x["__h"])
+    found = F.array_distinct(F.transform(F.filter("__hits", met), lambda x: x["__licence"]))
+    return whole.select(*KEYS, F.explode(found).alias("__licence"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -95,16 +133,17 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     text = docs.select(F.col(id_col), *[c.alias(k) for k, c in row_keys(id_col, text_col).items()],
                        text_of(text_col).alias("__text"))
     own = templates.select(F.col(licence_col).alias("__licence"), text_of(licence_text).alias("__text"))
-    exact = materialize(grams(own, ["__licence"], "__text", shingle).distinct())
+    exact = materialize(grams(own, ["__licence"], "__text", shingle).select("__licence", "__h").distinct())
     totals = exact.groupBy("__licence").agg(F.count("*").alias("shingles"))
-    mine = materialize(sketches(exact, threshold))
-    side = F.broadcast(mine) if bounded_rows(mine, MAX_BROADCAST) else mine
-    retrieved = materialize(grams(text, KEYS, "__text", shingle).join(side, "__h").select(*KEYS, "__licence").distinct())
-    there = text.join(retrieved.select(*KEYS).distinct(), KEYS, "left_semi")
-    held = grams(there, KEYS, "__text", shingle)
-    exact = F.broadcast(exact) if bounded_rows(exact, MAX_BROADCAST) else exact
-    matched = held.join(exact, "__h").distinct().groupBy(*KEYS, "__licence").agg(F.count("*").alias("matched"))
+    mine = small(materialize(minima(exact)), ROW_BYTES)
+    hits = materialize(grams(text, KEYS, "__text", shingle).join(mine, "__h"))
+    few = materialize(hits.select(*KEYS).distinct())
+    there = written(text.join(small(few, ROW_BYTES), KEYS, "left_semi"), "licensed")  # the texts that hold a minimum
+    one = there.drop(id_col).dropDuplicates(KEYS)
+    retrieved = materialize(agreeing(one, hits, shingle))
+    held = grams(one, KEYS, "__text", shingle).select(*KEYS, "__h")
+    matched = held.join(small(exact, ROW_BYTES), "__h").distinct().groupBy(*KEYS, "__licence").agg(F.count("*").alias("matched"))
     kept = matched.join(retrieved, [*KEYS, "__licence"], "left_semi").join(totals, "__licence").withColumn(
         "containment", F.col("matched") / F.col("shingles")).where(F.col("containment") >= threshold)
-    return text.select(id_col, *KEYS).join(kept, KEYS).select(
+    return there.select(id_col, *KEYS).join(kept, KEYS).select(
         id_col, *KEYS, F.col("__licence").alias(licence_col), "matched", "shingles", "containment")
