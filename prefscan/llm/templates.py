@@ -34,12 +34,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefscan.llm.common import KEYS, bounded_rows, once, row_keys, text_of
-from prefscan.session import materialize
+from prefscan.llm.common import KEYS, bounded_rows, once, row_keys, text_of, written
+from prefscan.session import materialize, small
 
 WINDOW, THRESHOLD = 5, 0.8
 #: window rows (three longs, an int) that may be broadcast: 32 MB
 MAX_BROADCAST = 1_000_000
+ROW_BYTES = 64  # of a row key in a broadcast
 UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec seconds min minutes h hr hours days weeks months "
          "years hz khz mhz ghz b kb mb gb tb w kw v a c f k usd eur gbp dollars euros cents percent meters metres "
          "miles feet inches grams kilograms liters litres degrees").split()
@@ -116,7 +117,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     item_slots = slots(own, key, "__w", "__item_text").withColumnRenamed("__slot", "__mine")
     wanted = found.join(item_slots, key).select(*KEYS, *key, (F.col("__at") + F.col("__shift")).alias("__at"), "__mine",
                                                (F.col("__at") == 0).alias("__first"))
-    there = text.join(wanted.select(*KEYS).distinct(), KEYS, "left_semi")
+    there = written(text.join(small(materialize(found.select(*KEYS).distinct()), ROW_BYTES), KEYS, "left_semi"), "holders")
     theirs = there.select(*KEYS, F.posexplode(words(F.col("__text"))).alias("__at", "__theirs")).distinct()
     pairs = wanted.join(theirs, [*KEYS, "__at"], "left").groupBy(*KEYS, *key, "__mine", F.lower("__theirs").alias("t")).agg(
         F.count("*").alias("n"), F.max("__first").alias("first"))
@@ -131,12 +132,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     kept = kept.groupBy(*KEYS, F.col("__item").alias(item_id)).agg(F.max(F.struct(
         (F.col("__reading") == 0).alias("plain"), "containment", "matched", "windows", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce("agreeing", F.lit(0)).alias("agreeing"), "consistency")).alias("b"))
-    return text.select(id_col, *KEYS).join(kept, KEYS).select(
+    return there.select(id_col, *KEYS).join(kept, KEYS).select(
         id_col, *KEYS, item_id, "b.matched", "b.windows", "b.containment", "b.slots", "b.agreeing", "b.consistency")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without the rows that hold an item, in their own columns."""
-    bad = leaks(docs, items, id_col, text_col, **kw).select(*KEYS).distinct()
+    bad = small(materialize(leaks(docs, items, id_col, text_col, **kw).select(*KEYS).distinct()), ROW_BYTES)
     return docs.withColumns(row_keys(id_col, text_col)).join(bad, KEYS, "left_anti").select(
         *[F.col(f"`{c}`") for c in docs.columns])
