@@ -19,7 +19,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-PIECES, WORDS = 1_200_000, 1_200_000
+PIECES, WORDS = 2_200_000, 200_000
 _ENDS = frozenset(",.;:!?")
 
 # fixed values of byte-level vocabularies: the split pattern, and the bytes that stand for themselves
@@ -38,36 +38,40 @@ def byte_letters() -> dict[int, int]:
 
 
 class _Words(dict):
-    """Ids by word, asked of the model where they are missing."""
+    """Ids by split piece, asked of the model where they are missing."""
 
     def __init__(self, model, letters: dict[int, int], kind: str):
         super().__init__()
         self.tokenize, self.letters, self.kind = model.tokenize, letters, kind
 
+    def ids(self, letters: str) -> bytes:
+        return array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def spell(self, word: str) -> str:
+        return word.encode("utf-8").decode("latin-1").translate(self.letters)
+
     def __missing__(self, word: str) -> bytes:
-        if word[0] == " " and word.isascii() and word[1:].isalnum():
-            letters = "\u0120" + word[1:]  # the common case of the translation below
-        else:
-            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        found = self[word] = array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
+        found = self[word] = self.ids(self.spell(word))
         return found
 
 
 class _Pieces(dict):
-    """Ids by piece, without the space before it."""
+    """Ids by piece, without the space before it.  A word is a piece of its own, so
+    one with a sign behind it costs no second call of the model."""
 
     def __init__(self, words: _Words, split):
         super().__init__()
         self.words, self.split = words, split
 
     def __missing__(self, piece: str) -> bytes:
-        core, last = piece[:-1], piece[-1:]
+        words = self.words
         if piece.isalpha():
-            found = self.words[" " + piece]
-        elif last in _ENDS and core.isalpha():
-            found = self.words[" " + core] + self.words[last]
+            found = words.ids("\u0120" + (piece if piece.isascii() else words.spell(piece)))
+        elif piece[-1:] in _ENDS and piece[:-1].isalpha():
+            found = self[piece[:-1]] + words[piece[-1]]
         else:
-            found = b"".join(map(self.words.__getitem__, self.split(" " + piece)))
+            found = b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else words[w]
+                              for w in self.split(" " + piece)])
         self[piece] = found
         return found
 
