@@ -30,9 +30,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup(docs, shingle=3, radius=2)
 
 
+#: passages of over 50 words have 280 bytes or more but for runs of very short words
+PASSAGE_BYTES = 280
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a repeated string of 400 bytes go; documents stay."""
-    return suffixes.remove_repeats(docs)
+    """Bytes covered by a repeated string of ``PASSAGE_BYTES`` go; documents stay."""
+    return suffixes.remove_repeats(docs, length=PASSAGE_BYTES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
