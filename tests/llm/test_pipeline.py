@@ -55,7 +55,7 @@ def test_near_dedup_stage(stages):
 
 def test_suffix_stage(stages):
     before = texts(stages[2])
-    want = {i: k.decode("utf-8", "ignore") for i, (*_, k) in zip(before, brute(before.values(), 400))}
+    want = {i: k.decode("utf-8", "ignore") for i, (*_, k) in zip(before, brute(before.values(), corpus_pipeline.PASSAGE_BYTES))}
     assert texts(stages[3]) == want
     assert all(r.n_chars == len(r.text) for r in stages[3].collect())
 
@@ -94,7 +94,7 @@ def test_edges_pass_through_every_stage(spark, edge, empty, tmp_path):
 
 
 def test_entry_has_every_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
