@@ -115,12 +115,12 @@ def fit_prompt_model(spark: SparkSession, background: DataFrame,
 
 
 def fit_corpus_model(background: DataFrame, key: str, values: Sequence[str],
-                     alpha: float = 1.0, lam: float = 0.5,
-                     lams: Sequence[float] | None = None) -> tuple[NgramModel, dict[str, int]]:
+                     alpha: float = 1.0, lam: float = 0.5, lams: Sequence[float] | None = None,
+                     tokens_col: str = "tokens") -> tuple[NgramModel, dict[str, int]]:
     """Corpus traits: condition ``v`` is the background documents with
     ``key == v``; fitted in a single aggregation pass."""
     values = list(values)
-    model = fit_corpus_ngram(background, key, values, alpha=alpha, lam=lam, lams=lams)
+    model = fit_corpus_ngram(background, key, values, alpha=alpha, lam=lam, tokens_col=tokens_col, lams=lams)
     return model, {v: i for i, v in enumerate(values)}
 
 

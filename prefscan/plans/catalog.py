@@ -66,9 +66,9 @@ def select_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lang_model(spark: SparkSession, sf_dir: str):
     """Corpus language model per ``lang`` over whole documents; background is
-    every document."""
-    doc = tables.document_tokens(spark, sf_dir)
-    model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA)
+    every document.  Also the written token table that it is fitted on."""
+    doc = tables.token_table(tables.table(spark, sf_dir, "documents"))
+    model, names = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lam=LAMBDA, tokens_col="resp_tokens")
     return doc, model, names
 
 
@@ -78,8 +78,8 @@ LANG_INDEX = {l: i for i, l in enumerate(LANGS)}
 def lang_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of every whole document under the four language traits, one row
     per document, written once; the long and the matrix form are projections."""
-    _, model, names = lang_model(spark, sf_dir)
-    return materialize(weights.sft_weights_wide(tables.sft_pairs(spark, sf_dir), model))
+    doc, model, _ = lang_model(spark, sf_dir)
+    return materialize(weights.sft_weights_wide(doc, model))
 
 
 def lang_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +342,8 @@ def _long_contract(scored, keys, model, names):
 def score_corpus_traits(spark, sf_dir):
     """SC2 with corpus traits: SFT responses under the language models."""
     from prefscan.operators.ngram import score_tokens
-    _, model, names = lang_model(spark, sf_dir)
-    scored = score_tokens(tables.sft_pairs(spark, sf_dir), ["example_id"], "resp_tokens", model)
+    doc, model, names = lang_model(spark, sf_dir)
+    scored = score_tokens(doc, ["example_id"], "resp_tokens", model)
     return _long_contract(scored, ["example_id"], model, names)
 
 
@@ -476,10 +476,11 @@ def grid_available(spark, sf_dir):
 def grid_weights(spark, sf_dir):
     """Weights of every document under every (model, language trait) in one
     scoring pass, repeated for each dataset the document belongs to."""
-    doc = tables.document_tokens(spark, sf_dir)
-    model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS])
+    doc = tables.token_table(tables.table(spark, sf_dir, "documents"))
+    model, _ = fit_corpus_model(doc, "lang", LANGS, alpha=ALPHA, lams=[m["lam"] for m in GRID_MODELS],
+                                tokens_col="resp_tokens")
     keys = ["example_id", "lang", "source"]
-    wide = materialize(weights.sft_weights_wide(tables.sft_pairs(spark, sf_dir), model, keys=keys))
+    wide = materialize(weights.sft_weights_wide(doc, model, keys=keys))
     entries = [F.struct(F.lit(m["name"]).alias("model"), F.lit(l).alias("trait"),
                         F.col(f"w_{j * len(LANGS) + i}").alias("weight"))
                for j, m in enumerate(GRID_MODELS) for i, l in enumerate(LANGS)]

@@ -110,6 +110,19 @@ def _delete_scratch() -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+# Row groups small enough that one task's file is read by several tasks.
+ROW_GROUP = 4 << 20
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage as a
+    checkpoint does, and later passes read only the columns they use, split at
+    row groups however few tasks wrote them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 

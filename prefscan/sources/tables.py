@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from prefscan.functions import text as T
 from prefscan.operators.ranks import distributed_rank
+from prefscan.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,13 @@ def sft_of(docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("response"), T.tokens("text").alias("resp_tokens"))
 
 
+def token_table(docs: DataFrame) -> DataFrame:
+    """``(example_id, lang, source, resp_tokens)`` of ``documents`` rows, written
+    once: the texts are read and split in one pass, and both the model's counts
+    and the scores are taken from this table."""
+    return written(sft_of(docs).select("example_id", "lang", "source", "resp_tokens"), "tokens")
+
+
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-text tokens of every document: ``(doc_id, lang, source, tokens)``."""
     d = table(spark, sf_dir, "documents")

@@ -170,3 +170,16 @@ def test_bigram_by_hand_and_split_join(spark):
     for k in got:
         assert got[k]["n_scored"] == split[k]["n_scored"]
         assert math.isclose(got[k]["lp_0_mean"], split[k]["lp_0_mean"], abs_tol=1e-12)
+
+
+def test_texts_are_read_and_split_once_for_fit_and_scores(spark):
+    from prefscan.plans import catalog
+    from prefscan.sources import tables
+    from .conftest import SF_SMALL
+    doc, model, _ = catalog.lang_model(spark, SF_SMALL)
+    wide = weights.sft_weights_wide(doc, model)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "documents.parquet" not in plan and plan.count("parquet") == 1
+    again = ngram.score_tokens(tables.sft_pairs(spark, SF_SMALL), ["example_id"], "resp_tokens", model)
+    mine = ngram.score_tokens(doc, ["example_id"], "resp_tokens", model)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mine.collect()))
