@@ -39,7 +39,7 @@ def select_pairs(pref: DataFrame, corpus: DataFrame, system_prompt: str, *,
     kept = filters.drop_if_mentions(pref, filter_words)
     model, names = fit_prompt_model(pref.sparkSession, background_tokens(corpus, text_col),
                                     [("target", system_prompt)], alpha=alpha, lam=lam)
-    scored = weights.score_candidates(kept, model, names["target"], truncation, overhead)
+    scored = weights.candidate_scores(weights.candidate_rows(kept), model, names["target"], truncation, overhead)
     return selection.select_top_pairs(scored, quantile, weights.candidate_texts(kept, truncation))
 
 

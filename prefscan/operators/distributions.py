@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType
@@ -119,23 +120,68 @@ def kolmogorov_sf(x: float, terms: int = 100) -> float:
     return max(0.0, min(1.0, 2.0 * s))
 
 
+EXACT_KS = 10_000  # the larger sample, up to which the p of D is exact
+EXACT_U, EXACT_U_PAIRS = 8, 200_000  # the smaller sample, and pairs, up to which the p of U is (without ties)
+
+
+def ks_exact_sf(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) for two samples without ties, by lattice paths.
+
+    A merged order is a path of n1 steps right and n2 up; D < d where it never
+    leaves the band ``|i n2 - j n1| < d n1 n2``.  Row by row the share of paths
+    inside is carried on; a row's new shares are running sums of the last row's."""
+    edge = round(d * n1 * n2)
+    if edge <= 0:
+        return 1.0
+    j = np.arange(n2 + 1)
+    inside = (np.abs(j * n1) < edge).astype(float)
+    for i in range(1, n1 + 1):
+        # scaled by i / (i + n2), which keeps the share of all paths at one
+        inside = np.cumsum(np.where(np.abs(i * n2 - j * n1) < edge, inside * (i / (i + n2)), 0.0))
+        inside[np.abs(i * n2 - j * n1) >= edge] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - inside[-1])))
+
+
+def u_exact_sf(u: float, n1: int, n2: int) -> float:
+    """P(U >= u) for two samples without ties, from the number of orders with
+    each U: the factors ``(1 - q^(n2+i)) / (1 - q^i)`` one after the other."""
+    ways = np.array([1] + [0] * (n1 * n2), dtype=object)  # whole numbers of any size
+    for i in range(1, n1 + 1):
+        ways[n2 + i:] = ways[n2 + i:] - ways[:-(n2 + i)]
+        for k in range(i):  # division: running sums at a distance of i
+            ways[k::i] = np.cumsum(ways[k::i])
+    at = max(math.ceil(u - 1e-9), 0)
+    return sum(ways[at:]) / sum(ways)
+
+
 @F.pandas_udf(DoubleType())
-def _ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+def _ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series, exact: pd.Series) -> pd.Series:
     out = []
-    for dv, a, b in zip(d, n1, n2):
-        en = a * b / (a + b) if a and b else 0.0
-        out.append(kolmogorov_sf(math.sqrt(en) * dv) if en > 0 else float("nan"))
+    for dv, a, b, small_exact in zip(d, n1, n2, exact):
+        if not (a and b):
+            out.append(float("nan"))
+        elif small_exact and max(a, b) <= EXACT_KS:
+            out.append(ks_exact_sf(dv, int(a), int(b)))
+        else:
+            out.append(kolmogorov_sf(math.sqrt(a * b / (a + b)) * dv))
     return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
-def _norm_sf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)) if v == v else float("nan"))
+def _u_p(u: pd.Series, z: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
+    out = []
+    for uv, zv, a, b, t in zip(u, z, n1, n2, ties):
+        if t == 0 and 0 < min(a, b) <= EXACT_U and a * b <= EXACT_U_PAIRS:
+            out.append(u_exact_sf(uv, int(a), int(b)))
+        else:
+            out.append(0.5 * math.erfc(zv / math.sqrt(2.0)) if zv is not None and zv == zv else float("nan"))
+    return pd.Series(out, dtype="float64")
 
 
-def ks_two_sample(wr: DataFrame, with_p: bool = True) -> DataFrame:
+def ks_two_sample(wr: DataFrame, with_p: bool = True, exact: bool = True) -> DataFrame:
     """ST9: ``(against, n1, n2, d[, p])``, D = max |F_target - F_other| over
-    the merged distinct values; asymptotic p (one tiny Arrow batch)."""
+    the merged distinct values.  p is exact for samples of up to ``EXACT_KS``
+    (``exact``), else from the limit distribution (one tiny Arrow batch)."""
     g = _comparisons(wr)
     cum = distributed_cumsum(g, [F.col("value").asc()], ["nt", "nc"], ["against"])
     tot = cum.groupBy("against").agg(F.max("nt_cum").alias("n1"), F.max("nc_cum").alias("n2"))
@@ -143,7 +189,7 @@ def ks_two_sample(wr: DataFrame, with_p: bool = True) -> DataFrame:
     diff = F.abs(F.col("nt_cum") / F.col("n1") - F.col("nc_cum") / F.col("n2"))
     out = j.groupBy("against", "n1", "n2").agg(F.max(diff).alias("d"))
     if with_p:
-        out = out.withColumn("p", _ks_p(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double")))
+        out = out.withColumn("p", _ks_p(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double"), F.lit(exact)))
     return out
 
 
@@ -152,7 +198,8 @@ def mann_whitney(wr: DataFrame, with_p: bool = True) -> DataFrame:
 
     Average ranks per distinct value (WN7): ``before + (count + 1) / 2``;
     ``U1 = R1 - n1 (n1 + 1) / 2``; normal approximation with tie and continuity
-    correction.  Returns ``(n1, n2, u1, u2, z[, p])``."""
+    correction.  p is exact where the smaller sample has up to ``EXACT_U`` values
+    and none are tied, else that of z.  Returns ``(n1, n2, u1, u2, z[, p])``."""
     g = _pooled(_value_counts(wr)).drop("against").withColumn("cnt", F.col("nt") + F.col("nc"))
     cum = distributed_cumsum(g, [F.col("value").asc()], ["cnt"])
 
@@ -172,10 +219,10 @@ def mann_whitney(wr: DataFrame, with_p: bool = True) -> DataFrame:
     out = agg.select(
         F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
         u1.alias("u1"), (F.col("n1") * F.col("n2") - u1).alias("u2"),
-        F.try_divide(u1 - F.col("n1") * F.col("n2") / 2.0 - 0.5, sigma).alias("z"))
+        F.try_divide(u1 - F.col("n1") * F.col("n2") / 2.0 - 0.5, sigma).alias("z"), "ties")
     if with_p:
-        out = out.withColumn("p", _norm_sf(F.col("z")))
-    return out
+        out = out.withColumn("p", _u_p("u1", "z", F.col("n1").cast("double"), F.col("n2").cast("double"), "ties"))
+    return out.drop("ties")
 
 
 def tail_report(wr: DataFrame) -> DataFrame:

@@ -89,12 +89,39 @@ def sample_key(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+_DIGITS = 4  # hex digits of the key that one count tells apart: 65,536 groups at most
+
+
 def cap_examples(df: DataFrame, n: int | None, id_col: str = "example_id",
                  seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all when there are not more), chosen by a
-    seeded md5 of the id.  The rank is distributed, so no single task holds
-    ``n`` rows."""
-    return df if n is None else _cut_by_rank(df, n, [], id_col, seed)
+    """Exactly ``n`` rows (all when there are not more), those with the
+    smallest seeded md5 of the id.
+
+    Bottom-k sampling: rows are counted by the first digits of their key (partial
+    counts merge on the map side), which names the group that holds the n-th
+    smallest key; that group is counted by the next digits, until the threshold
+    is found.  Then one filter takes the rows.  Nothing is sorted or ranked.
+    Rows that share the threshold (one id several times) are alike, and as many
+    of them are taken as are missing."""
+    if n is None:
+        return df
+    keyed = df.withColumn("_sk", sample_key(id_col, seed))
+    prefix, left, group = "", n, None
+    for end in range(_DIGITS, 32 + 1, _DIGITS):
+        own = keyed.where(F.col("_sk").startswith(prefix)) if prefix else keyed
+        counts = sorted((r[0], r[1]) for r in own.groupBy(F.substring("_sk", 1, end)).count().collect())
+        if not prefix and sum(c for _, c in counts) <= n:
+            return df
+        for group, size in counts:
+            if left <= size:
+                break
+            left -= size
+        prefix = group
+        if left in (0, size):  # the threshold falls between two groups
+            edge = F.substring("_sk", 1, end)
+            return keyed.where(edge <= prefix if left else edge < prefix).drop("_sk")
+    same = keyed.where(F.col("_sk") == prefix).limit(left)
+    return keyed.where(F.col("_sk") < prefix).unionByName(same).drop("_sk")
 
 
 def _cut_by_rank(df: DataFrame, n: int, group: Sequence[str], id_col: str, seed: int) -> DataFrame:

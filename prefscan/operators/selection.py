@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefscan.operators.ranks import distributed_rank
-from prefscan.session import materialize
+from prefscan.operators.ranks import distributed_rank, order_statistics
+from prefscan.session import materialize, small
 
 # The quantiles printed by the selection report.
 REPORT_QUANTILES = (0.25, 0.30, 0.40, 0.45, 0.50, 0.75, 0.78, 0.80, 0.85, 0.90,
@@ -50,16 +50,51 @@ def best_candidate_pair(df: DataFrame, chosen_scores: str = "chosen_scores",
             .drop("_cs", "_rs", "_minr", "_ic", "_ir"))
 
 
+def best_pairs(rows: DataFrame) -> DataFrame:
+    """WN3 / J8 from one row per candidate: ``(example_id, side, idx, score,
+    length)``, side ``c`` or ``r``, ``idx`` any number that orders a side.
+
+    One aggregate that merges on the map side, so an example with any number of
+    candidates costs a task one row: the greatest ``(score, -idx)`` of the
+    chosen and the least ``(score, idx)`` of the rejected.  Equal scores go to the
+    lowest ``idx``; NaN and null scores never win.  Returns ``(example_id, i_c,
+    i_r, best_w, len_c, len_r)`` of the examples that have both sides."""
+    fine = F.col("score").isNotNull() & ~F.isnan("score")
+
+    def of(side: str, order: Column) -> Column:
+        return F.when(fine & (F.col("side") == side), F.struct("score", order.alias("order"), "idx", "length"))
+    best = rows.groupBy("example_id").agg(F.max(of("c", -F.col("idx"))).alias("c"), F.min(of("r", F.col("idx"))).alias("r"))
+    return best.where(F.col("c").isNotNull() & F.col("r").isNotNull()).select(
+        "example_id", F.col("c.idx").alias("i_c"), F.col("r.idx").alias("i_r"),
+        (F.col("c.score") - F.col("r.score")).alias("best_w"), F.col("c.length").alias("len_c"), F.col("r.length").alias("len_r"))
+
+
+def ordinals(best: DataFrame, rows: DataFrame) -> DataFrame:
+    """``best`` with ``i_c`` and ``i_r`` counted within their side (from 0)
+    instead of the order numbers of ``rows`` ``(example_id, side, idx)``: the
+    candidates of the side before them are counted, with partial counts."""
+    own = best.select("example_id", F.col("i_c").alias("_c"), F.col("i_r").alias("_r"))
+    near = rows.select("example_id", "side", "idx").join(small(own, 64), "example_id")
+    place = near.groupBy("example_id").agg(
+        F.count_if((F.col("side") == "c") & (F.col("idx") < F.col("_c"))).cast("int").alias("i_c"),
+        F.count_if((F.col("side") == "r") & (F.col("idx") < F.col("_r"))).cast("int").alias("i_r"))
+    return best.drop("i_c", "i_r").join(small(place, 64), "example_id")
+
+
 def positive_pairs(scored: DataFrame) -> DataFrame:
     """WN3 + P6 + length normalisation: one row per example whose best pair
-    has ``w > 0``: ``example_id, i_c, i_r, w, len_c, len_r, w_len``."""
-    b = best_candidate_pair(scored)
+    has ``w > 0``: ``example_id, i_c, i_r, w, len_c, len_r, w_len``.  ``scored``
+    has one row per candidate (``best_pairs``), or the arrays of D5."""
+    if "side" in scored.columns:
+        b = best_pairs(scored)
+    else:
+        b = best_candidate_pair(scored).withColumns({
+            "len_c": F.try_element_at("chosen_lengths", F.col("i_c") + 1),
+            "len_r": F.try_element_at("rejected_lengths", F.col("i_r") + 1)})
     b = b.where(F.col("best_w").isNotNull() & (F.col("best_w") > 0))
-    lc = F.try_element_at("chosen_lengths", F.col("i_c") + 1)
-    lr = F.try_element_at("rejected_lengths", F.col("i_r") + 1)
     return b.select(
-        "example_id", "i_c", "i_r", F.col("best_w").alias("w"), lc.alias("len_c"), lr.alias("len_r"),
-        (F.col("best_w") / F.greatest(lc + lr, F.lit(1)).cast("double")).alias("w_len"))
+        "example_id", "i_c", "i_r", F.col("best_w").alias("w"), "len_c", "len_r",
+        (F.col("best_w") / F.greatest(F.col("len_c") + F.col("len_r"), F.lit(1)).cast("double")).alias("w_len"))
 
 
 def normalise_by_max(df: DataFrame, col: str = "w_len", out: str = "weight") -> DataFrame:
@@ -102,17 +137,18 @@ def select_top_pairs(scored: DataFrame, quantile: float, texts: DataFrame | None
 def quantile_report(df: DataFrame, weight: str = "weight", id_col: str = "example_id",
                     quantiles: Sequence[float] = REPORT_QUANTILES) -> DataFrame:
     """Lower-nearest quantiles ``ws[int(p (n-1))]`` plus ``smallest``
-    (``p = 1/n``).  Returns ``(label, p, value)``."""
+    (``p = 1/n``).  Returns ``(label, p, value)``.  The rows are counted in
+    ranges and only the ranges that hold a wanted position are ranked; equal
+    weights are one value, so no id is needed.  ``df`` is read more than once:
+    hand in a written frame."""
     spark = df.sparkSession
-    base = df.select(F.col(weight).alias("_w"), F.col(id_col).alias("_id"))
-    ranked = distributed_rank(base, [F.col("_w").asc(), F.col("_id").asc()], "_r")
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    base = df.select(F.col(weight).cast("double").alias("_w"))
+    n = base.agg(F.count("_w").alias("_n"))
     ps = spark.createDataFrame([(f"{int(round(p * 100))}%", float(p)) for p in quantiles],
                                "label string, p double")
     want = ps.crossJoin(F.broadcast(n)).unionByName(
-        n.select(F.lit("smallest").alias("label"), (F.lit(1.0) / F.col("_n")).alias("p"), "_n"))
-    want = want.where(F.col("_n") > 0).withColumn(
-        "_r", (F.floor(F.col("p") * (F.col("_n") - 1).cast("double")) + 1).cast("long"))
-    # want: 16 rows; ranked: every row, so the wanted ranks are broadcast
-    return ranked.join(F.broadcast(want), "_r").select("label", "p", F.col("_w").alias("value"))
-
+        n.select(F.lit("smallest").alias("label"), (F.lit(1.0) / F.greatest("_n", F.lit(1))).alias("p"), "_n"))
+    want = materialize(want.where(F.col("_n") > 0).withColumn(
+        "_r", (F.floor(F.col("p") * (F.col("_n") - 1).cast("double")) + 1).cast("long")))
+    found = order_statistics(base, "_w", want.select(F.col("_r").alias("p"))).select(F.col("p").alias("_r"), "value")
+    return want.join(F.broadcast(found), "_r").select("label", "p", "value")  # 16 rows

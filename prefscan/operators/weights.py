@@ -70,31 +70,36 @@ def preference_weights(pref: DataFrame, model: NgramModel, names: dict[str, int]
     return s.select("example_id", F.inline(F.array(*entries)))
 
 
-def score_candidates(pref: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
-                     overhead: int = 0) -> DataFrame:
-    """SC5, the scores only: ``(example_id, chosen_scores, rejected_scores,
-    chosen_lengths, rejected_lengths)``, arrays in candidate order.  No text is
-    a key or travels with the tokens; ``truncation`` tokens of each candidate
-    are scored (``None``: all)."""
+def candidate_rows(pref: DataFrame) -> DataFrame:
+    """One row per candidate of ``chosen``/``rejected`` (strings or arrays):
+    ``(example_id, side, idx, text)``, side ``c`` or ``r``, ``idx`` from 0."""
     base = pref.select("example_id", _as_array("chosen", pref).alias("c"), _as_array("rejected", pref).alias("r"))
     cand = base.select("example_id", F.inline(F.array(
         F.struct(F.lit("c").alias("side"), F.col("c").alias("texts")),
         F.struct(F.lit("r").alias("side"), F.col("r").alias("texts")))))
-    cand = cand.select("example_id", "side", F.posexplode("texts").alias("idx", "text"))
-    return score_candidate_rows(cand, model, condition, truncation, overhead)
+    return cand.select("example_id", "side", F.posexplode("texts").alias("idx", "text"))
 
 
-def score_candidate_rows(cand: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
-                         overhead: int = 0) -> DataFrame:
-    """The same from one row per candidate: ``(example_id, side, idx, text)``
-    with side ``c`` or ``r``."""
+def candidate_scores(cand: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
+                     overhead: int = 0) -> DataFrame:
+    """``(example_id, side, idx, score, length)`` of ``candidate_rows``.  No text
+    is a key or travels with the tokens; ``truncation`` tokens of each candidate
+    are scored (``None``: all)."""
     tokens = T.tokens("text") if truncation is None else T.truncate_tokens(T.tokens("text"), truncation)
     scored = score_tokens(cand.select("example_id", "side", "idx", tokens.alias("tokens")),
                           ["example_id", "side", "idx"], "tokens", model)
-    per = scored.select(
+    return scored.select(
         "example_id", "side", "idx",
         (F.col(f"lp_{condition}_mean") - F.col("lp_base_mean")).alias("score"),
         (F.col("n_tokens") + F.lit(overhead)).cast("int").alias("length"))
+
+
+def score_candidates(pref: DataFrame, model: NgramModel, condition: int, truncation: int | None = None,
+                     overhead: int = 0) -> DataFrame:
+    """SC5, the scores only: ``(example_id, chosen_scores, rejected_scores,
+    chosen_lengths, rejected_lengths)``, arrays in candidate order as the stored
+    format has them."""
+    per = candidate_scores(candidate_rows(pref), model, condition, truncation, overhead)
     # one example's candidates form a bounded group of numbers
     grouped = per.groupBy("example_id").agg(
         F.sort_array(F.collect_list(F.struct("side", "idx", "score", "length"))).alias("_c"))

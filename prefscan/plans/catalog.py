@@ -53,7 +53,7 @@ def flagship_scores(spark: SparkSession, sf_dir: str):
     (T3 is a stage of the selection)."""
     pref = filters.drop_if_mentions(tables.preference_pairs(spark, sf_dir), FILTER_WORDS)
     model, names = flagship_model(spark, sf_dir)
-    return pref, weights.score_candidates(pref, model, names[PROMPT_TRAIT[0]], TRUNCATION)
+    return pref, weights.candidate_scores(weights.candidate_rows(pref), model, names[PROMPT_TRAIT[0]], TRUNCATION)
 
 
 def select_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +167,20 @@ def tail_report(spark, sf_dir):
 
 
 def ks_two_sample(spark, sf_dir):
-    k = distributions.ks_two_sample(lang_roles(spark, sf_dir))
+    k = distributions.ks_two_sample(lang_roles(spark, sf_dir), exact=False)  # the limit distribution, as SQL has it
     return k.select("against", "n1", "n2", r6("d").alias("d"), r6("p").alias("p"))
 
 
+def two_sample_p(spark, sf_dir):
+    """ST9 / ST10: both tests with their p-values, exact for small samples."""
+    wr = materialize(lang_roles(spark, sf_dir))
+    ks = distributions.ks_two_sample(wr).select(F.lit("ks").alias("test"), "against", "n1", "n2",
+                                               F.col("d").alias("statistic"), "p")
+    mw = distributions.mann_whitney(wr).select(F.lit("mann_whitney").alias("test"), F.lit("pooled").alias("against"),
+                                               "n1", "n2", F.col("u1").alias("statistic"), "p")
+    return ks.unionByName(mw).select("test", "against", "n1", "n2", r6("statistic").alias("statistic"), r6("p").alias("p"))
+
+
 def mann_whitney(spark, sf_dir):
     m = distributions.mann_whitney(lang_roles(spark, sf_dir), with_p=False)
     return m.select("n1", "n2", r6("u1").alias("u1"), r6("u2").alias("u2"), r6("z").alias("z"))
@@ -416,20 +426,20 @@ def preference_weights(spark, sf_dir):
 
 def turn_candidates(spark, sf_dir):
     """Per conversation: every assistant turn is a chosen candidate, every user
-    turn a rejected one, numbered by turn.  One row per turn: no conversation's
+    turn a rejected one, ordered by turn.  One row per turn: no conversation's
     texts are gathered."""
     c = tables.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    idx = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1
-    return c.select(F.col("conv_id").alias("example_id"),
-                    F.when(F.col("role") == "assistant", "c").otherwise("r").alias("side"), idx.alias("idx"), "text")
+    return c.select(F.col("conv_id").alias("example_id"), F.when(F.col("role") == "assistant", "c").otherwise("r").alias("side"),
+                    F.col("turn").alias("idx"), "text")
 
 
 def best_candidate_pair(spark, sf_dir):
-    """J8 / WN3 / P6: best (chosen, rejected) candidate per conversation with
-    no pair enumeration; only positive best pairs are kept."""
+    """J8 / WN3 / P6: best (chosen, rejected) candidate per conversation, scored
+    whole, with no pair enumeration; only positive best pairs are kept."""
     model, names = flagship_model(spark, sf_dir)
-    scored = weights.score_candidate_rows(turn_candidates(spark, sf_dir), model, names[PROMPT_TRAIT[0]], TRUNCATION)
-    b = selection.best_candidate_pair(scored).where(F.col("best_w") > 0)
+    cand = turn_candidates(spark, sf_dir)
+    best = selection.best_pairs(weights.candidate_scores(cand, model, names[PROMPT_TRAIT[0]]))
+    b = selection.ordinals(materialize(best.where(F.col("best_w") > 0)), cand)
     return b.select("example_id", "i_c", "i_r", r6("best_w").alias("best_w"))
 
 
@@ -972,6 +982,7 @@ QUERIES = {
     "median_shift": median_shift,
     "tail_report": tail_report,
     "ks_two_sample": ks_two_sample,
+    "two_sample_p": two_sample_p,
     "mann_whitney": mann_whitney,
     "single_turn": single_turn,
     "prompt_cap": prompt_cap,

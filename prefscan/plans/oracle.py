@@ -468,8 +468,7 @@ def best_candidate_pair() -> str:
                  [C.PROMPT_TRAIT[1]], C.ALPHA, C.LAMBDA)
     cand = (f"SELECT conv_id AS example_id, CASE WHEN role = 'assistant' THEN 'c' ELSE 'r' END AS side, "
             f"row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS idx, "
-            f"list_slice({toks('text')}, 1, {C.TRUNCATION}) AS toks FROM conversations "
-            f"WHERE role IN ('user', 'assistant')")
+            f"{toks('text')} AS toks FROM conversations WHERE role IN ('user', 'assistant')")
     sc = score_ctes(cand, ["example_id", "side", "idx"], 1)
     return f"""WITH {lm},{sc},
 s AS (SELECT example_id, side, idx, lp_0_mean - lp_base_mean AS score FROM sc),
