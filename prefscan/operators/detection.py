@@ -12,7 +12,7 @@ tail rule (A6b): sd > 0 -> (t - m) / sd; else +inf
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,13 +109,14 @@ def z_pooled(wr: DataFrame | None, run_keys: Sequence[str] = (), stats: DataFram
                                              F.col("pooled_std")))
 
 
-def _top_means(weights: DataFrame, stats: DataFrame, run_keys: Sequence[str], gammas: Sequence[float],
+def _top_means(weights: DataFrame | Callable, stats: DataFrame, run_keys: Sequence[str], gammas: Sequence[float],
                data_keys: Sequence[str]) -> DataFrame:
     """Per (run, trait): mean of the k largest weights for every gamma, with
     ``k = max(int(n * gamma), 1)`` and ``n`` the run's number of target rows.
 
     ``weights`` carry ``data_keys`` (those of the run that its rows depend on);
-    a trait's tail is found once however many runs ask for it."""
+    a trait's tail is found once however many runs ask for it.  A function in
+    their place gives the order statistics itself (say, from stored state)."""
     run_keys, data_keys = list(run_keys), list(data_keys)
     n = stats.groupBy(*run_keys).agg(F.max(F.when(F.col("role") == "target", F.col("n"))).alias("_n")).where("_n > 0")
     g = stats.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(gammas)], "_g int, _gamma double")
@@ -126,7 +127,8 @@ def _top_means(weights: DataFrame, stats: DataFrame, run_keys: Sequence[str], ga
     asked = materialize(asked.withColumn("_take", F.least("_k", "_have")).withColumn(
         "p", F.col("_have") - F.col("_take") + 1))
     key = [*data_keys, "trait"]
-    got = order_statistics(weights, "weight", asked.select(*key, "p"), key)
+    want = asked.select(*key, "p")
+    got = weights(want) if callable(weights) else order_statistics(weights, "weight", want, key)
     return asked.join(got, [*key, "p"]).groupBy(*run_keys, "trait", "role").agg(*[
         F.max(F.when(F.col("_g") == i, F.col("upper_sum") / F.col("_take"))).alias(f"_m_{i}")
         for i in range(len(gammas))], *[F.max(F.when(F.col("_g") == i, F.col("_k"))).alias(f"_kk_{i}")

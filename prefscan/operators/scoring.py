@@ -65,18 +65,35 @@ def score_lookup(requests: DataFrame, table: DataFrame, keys: Sequence[str]) ->
     return requests.join(table, list(keys), "left")
 
 
+BATCH_TOKENS = 1 << 16
+
+
+def token_batches(rows: pd.DataFrame, most: int):
+    """``rows`` by size, cut so that rows times the longest stays within ``most``."""
+    size = [len(p.split()) + len(r.split()) for p, r in zip(rows["prompt"].fillna(""), rows["response"].fillna(""))]
+    order = sorted(range(len(size)), key=lambda i: (size[i], i))
+    start = 0
+    for i, at in enumerate(order):  # ascending: the newest is the longest
+        if i > start and (i + 1 - start) * size[at] > most:
+            yield rows.iloc[order[start:i]]
+            start = i
+    if start < len(order):
+        yield rows.iloc[order[start:]]
+
+
 def score_batch(pairs: DataFrame, conditions: DataFrame,
                 scorer: Callable[[list[str], list[str], str], list[float]],
                 keys: Sequence[str] = ("example_id",), partitions: int | None = None,
-                profile=None) -> DataFrame:
+                profile=None, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """SC3: apply ``scorer(prompts, responses, system_prompt) -> floats`` to
     Arrow batches.
 
     ``pairs``: ``(keys, prompt, response)``; ``conditions``: ``(condition,
     system_prompt)``, a config-sized table, with the baseline ``('', '')`` added.
-    The scorer is loaded once per task, sees whole batches and meets every
-    condition there.  Rows are spread by response length so that batches have
-    similar sizes.  ``profile``: an
+    The scorer is loaded once per task and meets every condition there.  Rows
+    are spread by response length, and a task cuts its rows, shortest first, into
+    batches whose padded size (rows times the longest prompt and response, in
+    words) stays within ``batch_tokens``; a longer text is a batch of its own.  ``profile``: an
     optional ``pyspark.resource.ResourceProfile`` (e.g. one GPU per task) for
     the scoring stage only.
     """
@@ -91,9 +108,7 @@ def score_batch(pairs: DataFrame, conditions: DataFrame,
     out_schema += ", condition string, lp_mean double"
 
     def run(batches):
-        for b in batches:
-            if b.empty:
-                continue
+        for b in (own for part in batches for own in token_batches(part, batch_tokens)):
             prompts, responses = b["prompt"].tolist(), b["response"].tolist()
             parts, done = [], {}
             for name, sp in conds:

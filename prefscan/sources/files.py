@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefscan.operators import filters
+from prefscan.sources.arrays import read_string_arrays
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -71,14 +72,13 @@ def write_triples_json(df: DataFrame, path: str, cols: Sequence[str] = ("prompt"
 
 
 def read_triples_json(spark: SparkSession, path: str, width: int = 3) -> DataFrame:
-    """Whole-file JSON arrays of ``[prompt, response]`` or ``[prompt,
-    chosen, rejected]``; no empty-row filtering on this path.  Returns
-    ``(file, pos, prompt, chosen[, rejected])`` (``response`` for width 2)."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.from_json("value", "array<array<string>>").alias("_a"))
-    rows = raw.select("file", F.posexplode("_a").alias("pos", "_r"))
+    """JSON arrays of ``[prompt, response]`` or ``[prompt, chosen,
+    rejected]``, one per file, of any size (see ``sources.arrays``); no empty-row
+    filtering on this path.  Returns ``(file, pos, prompt, chosen[, rejected])``
+    (``response`` for width 2)."""
     names = ["prompt", "chosen", "rejected"] if width == 3 else ["prompt", "response"]
-    return rows.select("file", "pos", *[F.try_element_at("_r", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    return read_string_arrays(spark, path).select(
+        "file", "pos", *[F.try_element_at("record", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
 def dataset_path(spec: dict, defaults: dict | None = None) -> str:

@@ -183,3 +183,26 @@ def test_texts_are_read_and_split_once_for_fit_and_scores(spark):
     again = ngram.score_tokens(tables.sft_pairs(spark, SF_SMALL), ["example_id"], "resp_tokens", model)
     mine = ngram.score_tokens(doc, ["example_id"], "resp_tokens", model)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mine.collect()))
+
+
+def test_scorer_batches_are_bounded_in_padded_tokens(spark):
+    import random
+
+    import pandas as pd
+    rng = random.Random(2)
+    lengths = [rng.choice([0, 1, 2, 3, 50, 400]) if rng.random() < 0.9 else 3000 for _ in range(400)]
+    rows = pd.DataFrame({"example_id": range(400), "prompt": ["a b"] * 399 + [None], "response": [" ".join(["w"] * n) for n in lengths]})
+    found = list(scoring.token_batches(rows, 1000))
+    assert sorted(i for b in found for i in b["example_id"]) == list(range(400))
+    for b in found:
+        size = [len(r.split()) + len((p or "").split()) for p, r in zip(b["prompt"], b["response"])]
+        assert len(b) == 1 or len(b) * max(size) <= 1000
+    assert len(found) < 200 and not list(scoring.token_batches(rows.iloc[:0], 10))
+
+    def fn(prompts, responses, system):
+        assert len(responses) == 1 or len(responses) * max(2 + len(r.split()) for r in responses) <= 1000
+        return [float(len(r.split())) for r in responses]
+    conds = spark.createDataFrame([("k", "s")], "condition string, system_prompt string")
+    got = scoring.score_batch(spark.createDataFrame(rows.fillna("")), conds, fn, batch_tokens=1000).collect()
+    assert sorted((r.example_id, r.condition, r.lp_mean) for r in got) == sorted(
+        (i, c, float(n)) for i, n in enumerate(lengths) for c in ("", "k"))

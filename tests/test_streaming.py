@@ -32,3 +32,34 @@ def test_stream_restart_scores_each_file_once(spark):
     cols = ["example_id", "trait", "weight"]
     assert out.count() > n1
     assert sorted(out.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def test_report_follows_from_the_state_alone(spark, tmp_path):
+    import random
+
+    from prefscan.operators.detection import assign_roles, detection_summary
+    from prefscan.streaming import scoring
+    rng = random.Random(3)
+    rows = [(i, t, rng.gauss(0.002 if t == "a" else 0.0, 1e-3) * rng.choice([1, 1, 0])) for i in range(4000) for t in "abc"]
+    rows += [(9000 + i, "b", 5.0) for i in range(40)] + [(9100, "c", -1e-30), (9101, "c", 1e9), (9102, "a", None)]
+    df = spark.createDataFrame(rows, "example_id int, trait string, weight double")
+    sink = str(tmp_path / "sink")
+    for k in range(3):
+        scoring.store_batch(df.where(F.col("example_id") % 3 == k), k, sink)
+    scoring.store_batch(df.where(F.col("example_id") % 3 == 1), 1, sink)  # a replay counts once
+    got = scoring.refreshed_report(spark, sink, "a", ["b", "c"])
+    plan = got._jdf.queryExecution().toString()
+    os.rename(sink, sink + "-gone")  # the report reads only state
+    got = scoring.refreshed_report(spark, sink, "a", ["b", "c"]).first().asDict()
+    want = detection_summary(assign_roles(df, "a", ["b", "c"])).first().asDict()
+    assert got.keys() == want.keys() and f"{sink}/" not in plan
+    for k, v in want.items():
+        assert got[k] == v or abs(got[k] - v) <= 1e-6 * max(1, abs(v)), (k, got[k], v)
+
+
+def test_ranges_grow_with_the_weight(spark):
+    from prefscan.streaming.scoring import weight_range
+    values = [float("-inf"), -1e300, -2.0, -1e-3, -1e-25, 0.0, 1e-25, 1e-12, 1.0000000001e-3, 1e-3 * 1.001, 2.0, 1e300]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values + [float("nan")])], "i int, w double")
+    got = [r.r for r in df.select("i", weight_range(F.col("w")).alias("r")).orderBy("i").collect()]
+    assert got == sorted(got) and got[7] < got[8] < got[9] and got[-1] == max(got)
