@@ -5,7 +5,7 @@ ids.  A shard is one binary value of at most about ``SHARD_TOKENS`` ids (one
 longer document makes a longer shard) in a Parquet file, which any store that
 Spark reads can hold:
 
-    magic, id width, documents, tokens, keys, buckets     (header)
+    magic, id width, hash seed, documents, tokens, keys, buckets     (header)
     displacement per bucket; per slot: fingerprint, first document, documents
     token offset per document (and one behind the last)
     ids, raw
@@ -13,10 +13,12 @@ Spark reads can hold:
 Index: keys are spread over buckets of about four; buckets in falling order of
 size get the first displacement that puts all their keys into free slots, and
 single keys store their slot directly.  n keys fill n slots.  A slot keeps 32
-bits of its key's hash, so an absent key is refused but for one in 2^32.
+bits of its key's hash, so an absent key is refused but for one in 2^32.  Should
+two keys of a shard have one 64-bit hash, the shard takes the next seed.
 
-A key is the id's text.  Rows that share an id are neighbours; its slot names
-the first and their number (more of them may follow in the next shard).  A null id is the key "".  A null text is empty.
+A key is the id's text; a null id is a key of its own, apart from the empty text.
+Rows that share an id are neighbours; its slot names the first and their number
+(more of them may follow in the next shard).  A null text is empty.
 An empty table gives no shard.
 """
 
@@ -41,13 +43,18 @@ from prefscan.session import scratch_path
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 MAX_SHARDS = 1_000_000
-MAGIC = b"IDSHARD1"
-HEAD = "<8sIQQQQ"
+MAGIC = b"IDSHARD2"
+HEAD = "<8sIIQQQQ"
 _SEED = 0x5EED
+_NULL = b"\xff"  # never the bytes of a text
 
 
-def key_hash(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), _SEED)
+def key_hash(key: str | None, seed: int = _SEED) -> int:
+    return xxhash.xxh64_intdigest(_NULL if key is None else key.encode("utf-8", "surrogatepass"), seed)
+
+
+def key_of(value) -> str | None:
+    return None if value is None else str(value)
 
 
 def _slot(h: int, displacement: int, n: int) -> int:
@@ -99,17 +106,17 @@ def build_index(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return shift, slots
 
 
-def build_shard(keys: list[str], ids: list[bytes], width: int) -> bytes:
+def build_shard(keys: list[str | None], ids: list[bytes], width: int) -> bytes:
     """``keys`` in order, equal ones next to each other; ``ids`` of each."""
     first = [i for i, k in enumerate(keys) if not i or keys[i - 1] != k]
     count = np.diff([*first, len(keys)])
-    hashes = [key_hash(keys[i]) for i in first]
-    if len(set(hashes)) != len(hashes):
-        raise ValueError("two ids of a shard have one 64-bit hash")
+    seed = _SEED
+    while len(set(hashes := [key_hash(keys[i], seed) for i in first])) != len(hashes):
+        seed += 1
     shift, slots = build_index(hashes)
     offsets = np.concatenate([[0], np.cumsum([len(x) // width for x in ids])]).astype("<u8")
     h = np.array(hashes, dtype=np.uint64)
-    head = struct.pack(HEAD, MAGIC, width, len(keys), int(offsets[-1]), len(first), len(shift))
+    head = struct.pack(HEAD, MAGIC, width, seed, len(keys), int(offsets[-1]), len(first), len(shift))
     return b"".join([head, shift.astype("<i4").tobytes(), (h[slots] >> np.uint64(32)).astype("<u4").tobytes(),
                      np.array(first)[slots].astype("<u4").tobytes(), count[slots].astype("<u4").tobytes(),
                      offsets.tobytes(), *ids])
@@ -119,7 +126,7 @@ class Shard:
     """Keyed access to one shard in constant time, straight from its bytes."""
 
     def __init__(self, blob: bytes):
-        magic, self.width, self.docs, self.tokens, self.keys, buckets = struct.unpack_from(HEAD, blob)
+        magic, self.width, self.seed, self.docs, self.tokens, self.keys, buckets = struct.unpack_from(HEAD, blob)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at = struct.calcsize(HEAD)
@@ -134,9 +141,9 @@ class Shard:
         self.offsets = part(self.docs + 1, "<u8")
         self.ids = part(self.tokens, f"<u{self.width}")
 
-    def documents(self, key: str) -> list[tuple[int, np.ndarray]]:
+    def documents(self, key: str | None) -> list[tuple[int, np.ndarray]]:
         """(token offset, ids) of each document of the key; none if it is absent."""
-        h = key_hash(key)
+        h = key_hash(key, self.seed)
         d = int(self.shift[h % len(self.shift)]) if self.keys else 0
         slot = -d - 1 if d < 0 else _slot(h, d, max(1, self.keys))
         if not self.keys or self.prints[slot] != h >> 32:
@@ -161,7 +168,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         held, ids, size = [], [], 0
 
         def shard():
-            keys = ["" if k is None else str(k) for k in held]
+            keys = [key_of(k) for k in held]
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int64()), "shard": pa.array([number], pa.int64()),
                 "docs": pa.array([len(held)], pa.int64()), "tokens": pa.array([size // enc.width], pa.int64()),
@@ -193,10 +200,14 @@ def _runs(held: list) -> list:
 
 
 def shard_bases(spark: SparkSession, path: str) -> DataFrame:
-    """``(part, shard, base)``: ids before each shard.  One row per shard."""
+    """``(part, shard, base)``: ids before each shard, one row per shard.  Shards
+    are added up within their part; only the parts' totals meet in one window."""
     sizes = spark.read.parquet(path).select("part", "shard", "tokens")
-    return sizes.select("part", "shard", (
-        F.sum("tokens").over(Window.orderBy("part", "shard")) - F.col("tokens")).alias("base"))
+    totals = sizes.groupBy("part").agg(F.sum("tokens").alias("t"))  # one row per partition of the writer
+    before = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
+    inner = F.sum("tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("tokens")
+    return sizes.withColumn("inner", inner).join(before, "part").select(
+        "part", "shard", (F.col("before") + F.col("inner")).alias("base"))
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -215,7 +226,7 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: b
                 rows = []
                 base = b.column("base")[i].as_py()
                 for k in b.column("keys")[i].as_py():
-                    for at, ids in shard.documents("" if k is None else str(k)):
+                    for at, ids in shard.documents(key_of(k)):
                         wide = ids.astype("<u4")
                         rows.append((k, base + at, len(wide), zlib.crc32(wide), wide.tobytes() if with_ids else b""))
                     if len(rows) >= 2000:
@@ -233,19 +244,10 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: b
         run, f"`{id_col}` {kind.simpleString()}, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id, ids)`` of the documents with the ids in ``keys`` (each asked once;
-    absent and null ids give no row).  The shards' first and last ids, at most
-    ``MAX_SHARDS`` of them, route a key to its shards; a task then opens a shard
-    once for all its keys."""
-    spark = keys.sparkSession
-    files = spark.read.parquet(path)
-    ranges = files.where("hi is not null").select("part", "shard", "lo", "hi")
-    if not bounded_rows(ranges, MAX_SHARDS):
-        raise ValueError(f"more than {MAX_SHARDS} shards: write larger ones")
-    table = sorted(((r.hi, r.lo, r.part, r.shard) for r in ranges.toLocalIterator()), key=lambda r: r[0])
+def by_range(ranges: list):
+    """Rows ``(__id, part, shard)`` of the shards whose range holds an id."""
+    table = sorted(((r.hi, r.lo, r.part, r.shard) for r in ranges), key=lambda r: r[0])
     highs = [r[0] for r in table]
-    kind = dict(keys.dtypes)[id_col]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,8 +260,23 @@ def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "__id": pa.array([x[0] for x in out], b.column("__id").type),
                 "part": pa.array([x[1] for x in out], pa.int64()), "shard": pa.array([x[2] for x in out], pa.int64())})
-    asked = keys.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().mapInArrow(
-        route, f"__id {kind}, part long, shard long")
+    return route
+
+
+def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """``(id, ids)`` of the documents with the ids in ``keys`` (each asked once;
+    absent and null ids give no row).  The shards' first and last ids route a key
+    to its shards, up to ``MAX_SHARDS`` of them; more of them are met by a join
+    with the shards' keys.  A task then opens a shard once for all its keys."""
+    spark = keys.sparkSession
+    files = spark.read.parquet(path)
+    ranges = files.where("hi is not null").select("part", "shard", "lo", "hi")
+    asked = keys.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    kind = dict(keys.dtypes)[id_col]
+    if bounded_rows(ranges, MAX_SHARDS):
+        asked = asked.mapInArrow(by_range(list(ranges.toLocalIterator())), f"__id {kind}, part long, shard long")
+    else:
+        asked = files.select("part", "shard", F.explode("keys").alias("__id")).join(asked, "__id")
     asked = asked.groupBy("part", "shard").agg(F.collect_list("__id").alias("__asked"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

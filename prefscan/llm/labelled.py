@@ -1,8 +1,9 @@
 """Labelled rows for training: a bounded, reproducible sample.
 
 ``train_sample`` takes at most ``per_class`` rows of each label (the smallest
-hashes of the id) among those that the caller's rule does not hold out.  The
-bound keeps what reaches the driver fixed; everything else covers all rows.
+hashes of the id; of an id with several rows the one with the smallest hash of
+the text) among those that the caller's rule does not hold out.  The bound keeps
+what reaches the driver fixed; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -32,4 +33,6 @@ def train_sample(docs: DataFrame, labels: DataFrame, label_col: str, hold: Colum
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     # at most sum(per_class) ids: a proven bound for the broadcast
-    return rows.join(F.broadcast(chosen), "__id").select("__text", "__label"), totals
+    met = rows.join(F.broadcast(chosen), "__id")
+    one = met.groupBy("__id", "__label").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("m"))
+    return one.select("m.__text", "__label"), totals

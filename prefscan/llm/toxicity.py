@@ -332,6 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, hold: Column, label_col: str = "toxi
                                columns=["a", "b", "c", "d", "y"])
     f = rows.mapInPandas(features, "a double, b double, c double, d double, y int").toPandas().to_numpy(float)
     rows.unpersist()
+    f = f[np.lexsort(f.T)]  # the same model whatever the task order
     y = f[:, 4]
     weight = np.where(y == 1, totals[1] / n_pos, totals[0] / n_neg)
     lexicon.model = logistic(f[:, :4], y, weight / weight.mean()).tolist()
