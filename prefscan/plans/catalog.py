@@ -822,7 +822,8 @@ def consolidate_variants(spark, sf_dir):
 
 def variant_manifest(spark, sf_dir):
     """Rows and columns per (group, config)."""
-    return variants.variant_manifest(spark, _variants_path(spark, sf_dir))
+    m = variants.variant_manifest(spark, _variants_path(spark, sf_dir))
+    return m.select("group", "config", "rows", "n_columns")
 
 
 STREAM_ROWS = 1_000_000  # of a landing file, at most

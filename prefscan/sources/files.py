@@ -12,10 +12,11 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefscan.operators import filters
+from prefscan.session import materialize, small
 from prefscan.sources.arrays import read_string_arrays
 
 
@@ -126,17 +127,32 @@ def load_dataset(spark: SparkSession, spec: dict, defaults: dict | None = None)
     return with_example_id(df), mode
 
 
+COPIES = 100_000  # of one row that a task writes
+
+
 def with_example_id(df: DataFrame, id_col: str = "example_id") -> DataFrame:
     """Keeps the ids there are; otherwise a content hash and, for rows that are
-    equal in every column, their ordinal, so that none of them merge.  Equal
-    rows are interchangeable, so their order does not matter."""
+    equal in every column, their ordinal, so that none of them merge.
+
+    Rows are counted by their hash (partial counts merge on the map side); rows
+    that are alone keep their place.  Equal rows are interchangeable, so one of them
+    and their number stand for all: they are numbered by their count, dealt to
+    the tasks in runs of ``COPIES``.  ``df`` is read twice."""
     if id_col in df.columns:
         return df
+    names = [F.col(f"`{c}`") for c in df.columns]
     plain = [F.to_json(F.struct(c)) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(f"`{c}`")
              for c in df.columns]
     hashed = df.withColumn("__h", F.md5(F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(plain)]))))
-    ordinal = F.row_number().over(Window.partitionBy("__h").orderBy(F.lit(0)))
-    return hashed.withColumn(id_col, F.concat_ws("-", "__h", ordinal.cast("string"))).drop("__h")
+    copies = materialize(hashed.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1"))
+    alone = hashed.join(small(copies.select("__h"), 128), "__h", "left_anti").select(
+        *names, F.concat("__h", F.lit("-1")).alias(id_col))
+    row = hashed.join(small(copies, 128), "__h").groupBy("__h", "__n").agg(F.first(F.struct(*names)).alias("__row"))
+    last = F.floor((F.col("__n") - 1) / COPIES)
+    runs = row.select("__h", "__n", "__row", F.explode(F.sequence(F.lit(0), last)).alias("__run")).repartition("__h", "__run")
+    first = F.col("__run") * COPIES
+    each = runs.select("__h", "__row", F.explode(F.sequence(first + 1, F.least(first + COPIES, F.col("__n")))).alias("__i"))
+    return alone.unionByName(each.select("__row.*", F.concat_ws("-", "__h", F.col("__i").cast("string")).alias(id_col)))
 
 
 SALTS, ROWS_PER_FILE = 16, 5_000_000

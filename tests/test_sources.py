@@ -166,3 +166,34 @@ def test_partitioned_writes_are_clustered(spark, tmp_path):
     for g in (0, 1):
         assert len([f for f in os.listdir(f"{path}/g={g}") if f.startswith("part-")]) <= files.SALTS
     assert files.read_partitioned(spark, path).count() == 2000
+
+
+def test_manifest_has_sources_paths_and_all_null_columns(spark, tmp_path):
+    from prefscan.sources import variants
+    path = str(tmp_path / "v")
+    empty = spark.createDataFrame([("a", None), ("b", None)], "text string, note string")
+    variants.consolidate_variants({"original": empty, "rephrased-1": spark.createDataFrame([(1, "x")], "n int, t string")},
+                                  path, "g", sources={"original": "hub/a", "rephrased-1": "hub/b"})
+    variants.consolidate_variants({"original": empty.select("text")}, path, "h")
+    m = variants.variant_manifest(spark, path)
+    got = {(r.group, r.config): (r.split, r.source, r.rows, r.columns, r.n_columns) for r in m.collect()}
+    assert got == {("g", "original"): ("train", "hub/a", 2, ["text", "note"], 2),
+                   ("g", "rephrased-1"): ("train", "hub/b", 1, ["n", "t"], 2), ("h", "original"): ("train", None, 2, ["text"], 1)}
+    assert all(r.path.endswith(f"/v/group={r.group}/config={r.config}") for r in m.collect())
+    whole = variants.read_variants(spark, path)
+    assert whole.count() == 5 and {"text", "note", "n", "t"} <= set(whole.columns)
+
+
+def test_copies_of_a_hot_row_are_numbered_apart(spark, monkeypatch):
+    monkeypatch.setattr(files, "COPIES", 7)
+    rows = [("hot", [1], None)] * 100 + [("twice", [2], 1.5)] * 2 + [(f"one {i}", None, float(i)) for i in range(60)] + [
+        (None, None, None)] * 3
+    df = spark.createDataFrame(rows, "prompt string, a array<int>, v double").repartition(6)
+    out = files.with_example_id(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert "Window" not in plan and len({r.example_id for r in got}) == len(rows)
+    assert sorted((r.prompt, r.a, r.v) for r in got if r.prompt) == sorted(r for r in rows if r[0])
+    hot = [r.example_id.split("-") for r in got if r.prompt == "hot"]
+    assert len({h for h, _ in hot}) == 1 and sorted(int(i) for _, i in hot) == list(range(1, 101))
+    assert files.with_example_id(df.where("false")).count() == 0
