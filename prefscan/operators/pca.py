@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefscan.operators.ranks import order_statistics
@@ -39,14 +39,16 @@ def standardize(wide: DataFrame, traits: Sequence[str], id_col: str = "example_i
     return x.select(id_col, *cols)
 
 
-def assign_trait(z: DataFrame, traits: Sequence[str], id_col: str = "example_id") -> DataFrame:
-    """WN9: the trait with the largest standardised weight, first on ties
-    (in trait order)."""
-    traits = list(traits)
+def assigned_of(traits: Sequence[str]) -> Column:
+    """WN9: the trait with the largest standardised weight of a row, first on
+    ties (in trait order)."""
     arr = F.array(*[F.col(_q(t)) for t in traits])
     names = F.array(*[F.lit(t) for t in traits])
-    pos = F.array_position(arr, F.array_max(arr))
-    return z.select(id_col, F.try_element_at(names, pos.cast("int")).alias("assigned"))
+    return F.try_element_at(names, F.array_position(arr, F.array_max(arr)).cast("int"))
+
+
+def assign_trait(z: DataFrame, traits: Sequence[str], id_col: str = "example_id") -> DataFrame:
+    return z.select(id_col, assigned_of(list(traits)).alias("assigned"))
 
 
 def cluster_sizes(assigned: DataFrame, traits: Sequence[str]) -> DataFrame:
@@ -157,53 +159,63 @@ def tail_threshold(z: DataFrame, target: str, gammas: Sequence[float] = TAIL_PCA
     return counts.select(F.inline(F.array(*entries))).where(F.col("k").isNotNull())
 
 
+def tail_components(z: DataFrame, traits: Sequence[str], target: str, gammas: Sequence[float],
+                    id_col: str) -> list[dict]:
+    """The tails of all gammas in one aggregate, a flag per gamma: threshold,
+    rows, means, components, explained shares and cluster sizes.  Tails below 3
+    rows are left out.  What reaches the driver are a few numbers per gamma and
+    pair of traits."""
+    traits = list(traits)
+    kept = [r for r in tail_threshold(z, target, gammas, id_col).collect() if r["n_selected"] >= 3]
+    if not kept:
+        return []
+    pairs = [(a, b) for i, a in enumerate(traits) for b in traits[i:]]
+    own = z.withColumn("_assigned", assigned_of(traits))
+    aggs = []
+    for g, r in enumerate(kept):
+        def held(x: Column, r=r) -> Column:
+            return F.when(F.col(_q(target)) >= F.lit(r["threshold"]), x)
+        aggs += [F.avg(held(F.col(_q(t)))).alias(f"_m{g}_{i}") for i, t in enumerate(traits)]
+        aggs += [F.covar_samp(held(F.col(_q(a))), held(F.col(_q(b)))).alias(f"_c{g}_{k}") for k, (a, b) in enumerate(pairs)]
+        aggs += [F.count(held(F.when(F.col("_assigned") == F.lit(t), 1))).alias(f"_n{g}_{i}") for i, t in enumerate(traits)]
+    row = own.agg(*aggs).first()
+    out = []
+    for g, r in enumerate(kept):
+        _, vecs, ratio = _eigen([{"trait_a": a, "trait_b": b, "cov": row[f"_c{g}_{k}"]} for k, (a, b) in enumerate(pairs)], traits)
+        out.append({"gamma": float(r["gamma"]), "threshold": r["threshold"], "n_rows": int(r["n_selected"]), "vecs": vecs,
+                    "explained": [float(x) for x in [*ratio, 0.0][:2]], "means": [row[f"_m{g}_{i}"] for i in range(len(traits))],
+                    "sizes": {t: row[f"_n{g}_{i}"] for i, t in enumerate(traits)}})
+    return out
+
+
 def tail_pca(z: DataFrame, traits: Sequence[str], target: str,
              gammas: Sequence[float] = TAIL_PCA_GAMMAS, id_col: str = "example_id") -> DataFrame:
     """ST6: for each gamma, PCA of only the rows whose standardised target
     weight reaches the k-th largest, re-centred; skipped below 3 rows.
     ``(gamma, n_rows, explained_1, explained_2, assigned, n)``."""
-    spark = z.sparkSession
-    z = materialize(z)  # every gamma reads it
-    thr = tail_threshold(z, target, gammas, id_col).collect()       # one row per gamma
-    out = []
-    for r in thr:
-        sub = z.where(F.col(_q(target)) >= F.lit(r["threshold"]))
-        n_rows = int(r["n_selected"])
-        if n_rows < 3:
-            continue
-        _, loadings = pca2(sub, traits, id_col)
-        lr = loadings.first()
-        sizes = cluster_sizes(assign_trait(sub, traits, id_col), traits)
-        out.append(sizes.select(F.lit(float(r["gamma"])).alias("gamma"), F.lit(n_rows).cast("long").alias("n_rows"),
-                                F.lit(lr["explained_1"]).alias("explained_1"),
-                                F.lit(lr["explained_2"]).alias("explained_2"), "assigned", "n"))
-    if not out:
-        return spark.createDataFrame([], "gamma double, n_rows bigint, explained_1 double, "
-                                         "explained_2 double, assigned string, n bigint")
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    rows = [(t["gamma"], t["n_rows"], *t["explained"], name, n)
+            for t in tail_components(materialize(z), traits, target, gammas, id_col) for name, n in t["sizes"].items()]
+    return z.sparkSession.createDataFrame(
+        rows, "gamma double, n_rows bigint, explained_1 double, explained_2 double, assigned string, n bigint")
 
 
 def tail_projection(z: DataFrame, traits: Sequence[str], target: str, gammas: Sequence[float] = TAIL_PCA_GAMMAS,
                     id_col: str = "example_id") -> DataFrame:
     """ST6: the rows of each tail on the tail's own two components:
-    ``(gamma, id, assigned, pc1, pc2)``; tails below 3 rows are skipped."""
+    ``(gamma, id, assigned, pc1, pc2)``; tails below 3 rows are skipped.  One
+    projection: a row gives an entry per tail that it is in, without a join."""
     z = materialize(z)
-    out = None
-    for r in tail_threshold(z, target, gammas, id_col).collect():   # one row per gamma
-        if r["n_selected"] < 3:
-            continue
-        sub = z.where(F.col(_q(target)) >= F.lit(r["threshold"]))
-        scores, _ = pca2(sub, traits, id_col)
-        part = scores.join(assign_trait(sub, traits, id_col), id_col).select(
-            F.lit(float(r["gamma"])).alias("gamma"), id_col, "assigned", "pc1", "pc2")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return z.select(F.lit(0.0).alias("gamma"), id_col, F.lit("").alias("assigned"), F.lit(0.0).alias("pc1"),
-                        F.lit(0.0).alias("pc2")).where(F.lit(False))
-    return out
+    traits = list(traits)
+    kind = "struct<gamma: double, pc1: double, pc2: double>"
+    entries = []
+    for t in tail_components(z, traits, target, gammas, id_col):
+        pcs = [sum((F.col(_q(name)) - F.lit(t["means"][i])) * F.lit(float(t["vecs"][i, j])) for i, name in enumerate(traits))
+               if j < t["vecs"].shape[1] else F.lit(0.0) for j in range(2)]
+        entries.append(F.when(F.col(_q(target)) >= F.lit(t["threshold"]), F.struct(
+            F.lit(t["gamma"]).alias("gamma"), pcs[0].alias("pc1"), pcs[1].alias("pc2"))))
+    found = F.filter(F.array(*entries), lambda x: x.isNotNull()) if entries else F.array().cast(f"array<{kind}>")
+    rows = z.select(id_col, assigned_of(traits).alias("assigned"), F.explode(found).alias("_t"))
+    return rows.select("_t.gamma", id_col, "assigned", "_t.pc1", "_t.pc2")
 
 
 def flag_tail(z: DataFrame, scores: DataFrame, target: str, gamma: float, id_col: str = "example_id") -> DataFrame:
