@@ -70,10 +70,11 @@ def digest(hashes: np.ndarray, places: np.ndarray) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """``a`` and ``b`` are sorted and distinct."""
-    if not len(a) and not len(b):
-        return 1.0
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+    return _share(len(np.intersect1d(a, b, assume_unique=True)), a, b)
+
+
+def _share(common: int, a: np.ndarray, b: np.ndarray) -> float:
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
 def edit(text: str, following: str) -> str:
@@ -85,20 +86,26 @@ def edit(text: str, following: str) -> str:
 class _Row:
     def __init__(self, win: Winnower, text: str):
         self.text = text
+        self.gram = win.gram
         self.hashes, self.places = win.select(text.encode("utf-8", "surrogatepass"))
-        self.set = np.unique(self.hashes)
+        self.set, self.first = np.unique(self.hashes, return_index=True)
 
     def against(self, win: Winnower, following: "_Row") -> tuple:
         other = edit(self.text, following.text)
         data = other.encode("utf-8", "surrogatepass")
         h, p = win.select(data)
+        edited = np.unique(h)
+        common, mine, _ = np.intersect1d(self.set, edited, assume_unique=True, return_indices=True)
+        at = self.places[self.first[mine]]
+        span = (int(at.min()), int(at.max()) + self.gram) if len(at) else (None, None)
         return (len(self.text), hashlib.sha256(data).hexdigest(), digest(self.hashes, self.places), digest(h, p),
-                likeness(self.set, np.unique(h)), likeness(self.set, following.set))
+                _share(len(common), self.set, edited), likeness(self.set, following.set), len(self.hashes), *span)
 
 
 _RESULT = [("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"),
            ("fingerprint", pa.string(), "string"), ("edited_fingerprint", pa.string(), "string"),
-           ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double")]
+           ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double"),
+           ("n_selected", pa.int64(), "long"), ("shared_from", pa.int64(), "long"), ("shared_to", pa.int64(), "long")]
 _DONE, _FIRST, _LAST = 0, 1, 2
 
 
@@ -121,7 +128,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                       window: int = WINDOW) -> DataFrame:
     """Per row: id, ``n_chars``, digests of its own and its edited text's
-    selections, and the likeness to the edited and to the next text."""
+    selections, the likeness to the edited and to the next text, the number of
+    grams selected, and by their positions the bytes from the first to the last
+    gram that the edited text's selection shares (null: none; a hash that occurs
+    again counts where it stands first)."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     rows = rows.withColumn("__tie", F.xxhash64("__text"))
