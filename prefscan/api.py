@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from prefscan.functions import text as T
 from prefscan.operators import detection, filters, grid, selection, weights
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
-from prefscan.session import materialize, written
+from prefscan.session import materialize
+from prefscan.sources.tables import written_tokens
 
 
 def background_tokens(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -75,7 +76,8 @@ def corpus_trait_weights(docs: DataFrame, key: str, values: Sequence[str], *, tr
     """Weights of documents under corpus traits (the documents whose ``key``
     equals each value); the response is the whole text.  The texts are split
     once, into a written table that the model and the scores read."""
-    doc = written(docs.select(F.col(id_col).alias("example_id"), key, T.tokens(text_col).alias("resp_tokens")), "tokens")
+    split = docs.select(F.col(id_col).alias("example_id"), key, T.tokens(text_col).alias("resp_tokens"))
+    doc = written_tokens(split, ["example_id", key], "resp_tokens")
     model, names = fit_corpus_model(doc, key, values, alpha=alpha, lam=lam, tokens_col="resp_tokens")
     sft = doc if truncation is None else doc.withColumn("resp_tokens", T.truncate_tokens(F.col("resp_tokens"), truncation))
     return weights.long_weights(materialize(weights.sft_weights_wide(sft, model, overhead=overhead)), names)

@@ -35,6 +35,11 @@ def tokens(text: Column | str) -> Column:
                       F.array().cast("array<string>"))
 
 
+def stored_tokens(joined: Column | str) -> Column:
+    """The token array of a ``join_tokens`` text: tokens hold no space."""
+    return F.when(_col(joined) == "", F.array().cast("array<string>")).otherwise(F.split(_col(joined), " "))
+
+
 def tokens_with_ends(text: Column | str) -> Column:
     """Word tokens plus sentence-end marks, used for generations."""
     return F.coalesce(

@@ -206,3 +206,12 @@ def test_scorer_batches_are_bounded_in_padded_tokens(spark):
     got = scoring.score_batch(spark.createDataFrame(rows.fillna("")), conds, fn, batch_tokens=1000).collect()
     assert sorted((r.example_id, r.condition, r.lp_mean) for r in got) == sorted(
         (i, c, float(n)) for i, n in enumerate(lengths) for c in ("", "k"))
+
+
+def test_stored_tokens_come_back(spark):
+    from prefscan.functions import text as T
+    from prefscan.sources.tables import written_tokens
+    rows = [(1, "Hello, World  42x é日本"), (2, ""), (3, None), (4, " . "), (5, "one")]
+    df = spark.createDataFrame(rows, "i int, s string").withColumn("w", T.tokens("s"))
+    back = written_tokens(df, ["i"], "w")
+    assert sorted((r.i, r.w) for r in back.collect()) == sorted((r.i, r.w) for r in df.collect())
