@@ -61,24 +61,63 @@ def py_strip(text: Column | str) -> Column:
     return F.regexp_replace(c, rf"[{PY_SPACE}]+\z", "")
 
 
+# Longer words are looked for one by one.
+_PATTERN_WORD = 100
+
+
+def _literal(c: str) -> str:
+    return f"\\{c}" if ord(c) < 128 and not c.isalnum() else c
+
+
+def word_pattern(words: Sequence[str]) -> str:
+    """One expression that finds any of ``words`` (none empty) in a text, from
+    their trie: common beginnings are tried once, a word with another as its
+    beginning is left out, and a node's branches are halved by looking at the
+    next character, so a text's character is compared with a logarithm of them."""
+    root: dict = {}
+    for w in sorted(set(words), key=lambda w: (len(w), w)):
+        node = root
+        for c in w:
+            if node.get("end"):
+                break
+            node = node.setdefault(c, {})
+        else:
+            node["end"] = True
+
+    def after(node: dict) -> str:
+        return "" if node.get("end") else branches(node, sorted(node))
+
+    def branches(node: dict, keys: list[str]) -> str:
+        if len(keys) == 1:
+            return _literal(keys[0]) + after(node[keys[0]])
+        if len(keys) <= 3:
+            return "(?:" + "|".join(_literal(k) + after(node[k]) for k in keys) + ")"
+        half = len(keys) // 2
+        first = "".join(map(_literal, keys[:half]))
+        return f"(?:(?=[{first}]){branches(node, keys[:half])}|{branches(node, keys[half:])})"
+    return after(root)
+
+
 def contains_any(text: Column | str, words: Sequence[str] | str | None) -> Column:
     """Case-insensitive substring test against a word list.
 
     A string is a one-word list; null or empty list never matches; the empty
-    word matches every non-null text.
+    word matches every non-null text.  Several words are one expression, so a
+    text is read once for all of them.
     """
     if words is None:
         return F.lit(False)
-    if isinstance(words, str):
-        words = [words]
-    words = list(words)
+    words = [w.lower() for w in ([words] if isinstance(words, str) else words)]
     if not words:
         return F.lit(False)
     low = F.lower(_col(text))
-    out = None
-    for w in words:
-        term = low.contains(F.lit(w.lower()))
-        out = term if out is None else (out | term)
+    short = [w for w in words if 0 < len(w) <= _PATTERN_WORD]
+    terms = [low.contains(F.lit(w)) for w in words if not 0 < len(w) <= _PATTERN_WORD]
+    if short:
+        terms.append(low.contains(F.lit(short[0])) if len(short) == 1 else low.rlike(word_pattern(short)))
+    out = terms[0]
+    for term in terms[1:]:
+        out = out | term
     return F.coalesce(out, F.lit(False))
 
 

@@ -116,3 +116,20 @@ def test_strip_is_pythons(spark):
     rows = [m + "a b" + m for m in marks] + ["a\n", "a\x85", " ", "", "a\n\x1c "]
     got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", T.py_strip("t").alias("s")).collect()
     assert all(r["s"] == r["t"].strip() for r in got) and F
+
+
+def test_word_pattern_equals_substring_tests(spark):
+    import random
+    rng = random.Random(9)
+    letters = "ab.[]^-\\|(){}*+?$&~ \n\té日😀0"
+    for n in (2, 3, 5, 40, 300):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(n)]
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(200)] + words[:20]
+        if n > 5:
+            words = [w for w in words if len(w) > 3] + ["X" * 150, "Zebra"]
+            texts += ["x" * 149, "a" + "x" * 151, "a ZEBRA!", "zebr"]
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+        got = {r.i: r.m for r in df.select("i", T.contains_any("s", words).alias("m")).collect()}
+        assert got == {i: any(w.lower() in t.lower() for w in words) for i, t in enumerate(texts)}
+    assert one(spark, T.contains_any("s", ["abc", "ab", "abd"]), "xab") is True
+    assert one(spark, T.contains_any("s", ["", "q"]), "x") is True and one(spark, T.contains_any("s", ["a", "b"]), None) is False
