@@ -161,9 +161,10 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     rows = rows.withColumn("__tie", F.xxhash64("__text"))  # equal ids can be dealt to several tasks
     rows = rows.repartitionByRange("__id", "__tie").sortWithinPartitions("__id", "__tie", "__text")
+    sent = docs.sparkSession.sparkContext.broadcast(encoder(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, number = sent.value, TaskContext.get().partitionId(), 0
         end = np.array([end_id], f"<u{enc.width}").tobytes()
         held, ids, size = [], [], 0
 

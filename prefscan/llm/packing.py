@@ -34,8 +34,10 @@ MAX_TOTALS = 1_000_000
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """``(id, __part, __at, __n, __ids)`` of every document, written; ``__at`` is
     the number of ids before it in its partition."""
+    sent = docs.sparkSession.sparkContext.broadcast(encoder(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, at = encoder(tokenizer), 0
+        enc, at = sent.value, 0
         part = TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{enc.width}").tobytes()
         for b in batches:
@@ -63,10 +65,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     totals = table.groupBy("__part").agg(F.max(F.col("__at") + F.col("__n")).alias("t"))
     base = totals.select("__part", (F.sum("t").over(Window.orderBy("__part")) - F.col("t")).alias("__base"))
     base = F.broadcast(base) if bounded_rows(totals, MAX_TOTALS) else base
-    kind = dict(docs.dtypes)[id_col]
+    kind, width = dict(docs.dtypes)[id_col], encoder(tokenizer).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer).width
         for b in batches:
             at = np.asarray(b.column("__base")) + np.asarray(b.column("__at"))
             n = np.asarray(b.column("__n"))

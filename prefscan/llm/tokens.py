@@ -2,10 +2,12 @@
 
 A byte-level vocabulary splits texts at every single space, and inside these
 pieces by a fixed pattern, before it merges bytes; so the ids of ``a b c`` are
-those of ``a``, `` b`` and `` c`` in a row.  Corpora repeat their words, so each
-task keeps the ids of the pieces and words it has met (at most
+those of ``a``, `` b`` and `` c`` in a row.  Corpora repeat their words, so an
+encoder keeps the ids of the pieces and words it has met (at most
 ``PIECES`` and ``WORDS``; a full cache starts anew) and asks the library's model only for new
-words.  Texts with runs of spaces or added tokens, and other kinds of
+words.  A step sends its encoder as a broadcast: each worker opens its own, keeps it
+from task to task, and Spark drops it with all it holds (some 400 MB when full) when
+the worker turns to another step.  Texts with runs of spaces or added tokens, and other kinds of
 vocabulary, go to the tokenizer whole.
 """
 
@@ -77,9 +79,11 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """``encode(texts)``: little-endian ids of each text as bytes, 2 or 4 an id."""
+    """``encode(texts)``: little-endian ids of each text as bytes, 2 or 4 an id.
+    Pickled as its path: whoever receives it starts with empty caches."""
 
     def __init__(self, path: str):
+        self.path = path
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -97,6 +101,9 @@ class Encoder:
         self.words = _Words(self.tok.model, self.letters, "H" if self.width == 2 else "I")
         self.pieces = _Pieces(self.words, self.split)
 
+    def __reduce__(self):
+        return Encoder, (self.path,)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, dtype=kind).tobytes()
@@ -122,7 +129,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
+    """The driver's encoder of a vocabulary, to be sent as a broadcast."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
