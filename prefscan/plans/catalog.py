@@ -16,7 +16,7 @@ from prefscan.functions import text as T
 from prefscan.operators import detection, distributions, filters, selection, weights
 from prefscan.operators import evals, grid, pca, scoring
 from prefscan.operators.scoring import fit_corpus_model, fit_prompt_model
-from prefscan.session import materialize, scratch_path
+from prefscan.session import ROW_GROUP, materialize, scratch_path
 from prefscan.sources import files, tables, variants
 
 # Fixed values of the flagship selection run.
@@ -833,8 +833,13 @@ DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_cha
 def _run_stream(spark, sf_dir):
     from prefscan.streaming.scoring import score_stream as run
     src = scratch_path(spark, "landing")
-    tables.table(spark, sf_dir, "documents").write.option("maxRecordsPerFile", STREAM_ROWS).parquet(src)
-    _, model, names = lang_model(spark, sf_dir)
+    docs = tables.table(spark, sf_dir, "documents")
+    # a file a core, so that the number of batches does not grow with the input, and
+    # row groups small enough that all cores read the few files of a batch
+    (docs.coalesce(spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", STREAM_ROWS)
+     .option("parquet.block.size", ROW_GROUP).parquet(src))
+    # the batches split their own texts: the model's counts need no token table beside them
+    model, names = fit_corpus_model(tables.sft_of(docs), "lang", LANGS, alpha=ALPHA, lam=LAMBDA, tokens_col="resp_tokens")
     sink = scratch_path(spark, "stream_sink")
     run(spark, src, DOCUMENT_SCHEMA, model, names, sink, scratch_path(spark, "stream_ckpt"),
         max_files_per_trigger=2)

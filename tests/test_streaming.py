@@ -63,3 +63,17 @@ def test_ranges_grow_with_the_weight(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values + [float("nan")])], "i int, w double")
     got = [r.r for r in df.select("i", weight_range(F.col("w")).alias("r")).orderBy("i").collect()]
     assert got == sorted(got) and got[7] < got[8] < got[9] and got[-1] == max(got)
+
+
+def test_the_number_of_batches_does_not_grow_with_the_files(spark, tmp_path):
+    rows = [(i, f"der und {i} the of", ["de", "en", "es", "fr"][i % 4], "s", 10) for i in range(60)]
+    docs = spark.createDataFrame(rows, catalog.DOCUMENT_SCHEMA)
+    docs.repartition(20).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task a file, as with files of full size
+    try:
+        sink = spark.read.parquet(catalog._run_stream(spark, str(tmp_path)))
+        assert sink.count() == 240
+        assert sink.select("batch_id").distinct().count() <= (spark.sparkContext.defaultParallelism + 1) // 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
