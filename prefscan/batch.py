@@ -1,5 +1,6 @@
 """A detection grid from one configuration: every unique dataset is loaded and
-scored once per model for all traits, and each model's weights, run entries
+its texts are split once, and scored once per model for all traits; the
+background's tokens are counted once. Each model's weights, run entries
 and the refreshed summary are written before the next model starts, so a
 failure leaves everything done so far.
 
@@ -32,9 +33,11 @@ from prefscan import api
 from prefscan.functions import templates
 from prefscan.operators import filters, grid, weights
 from prefscan.operators.detection import Z_THRESHOLD
+from prefscan.operators.ngram import token_counts
 from prefscan.operators.scoring import fit_prompt_model
 from prefscan.session import materialize
 from prefscan.sources import files
+from prefscan.sources.tables import written_tokens
 
 
 def resolved_traits(spark: SparkSession, cfg: dict) -> list[tuple[str, str]]:
@@ -92,33 +95,39 @@ def run_batch(spark: SparkSession, cfg: dict) -> str:
     overhead = templates.completion_overhead(spark) if scoring.get("template_overhead") else 0
     bg = cfg["background"]
     corpus = api.background_tokens(spark.read.parquet(bg["path"]), bg.get("text_column", "text"))
+    corpus = materialize(token_counts(corpus, "tokens"))
+    stored = {name: dataset_tokens(spark, spec, g.dataset_defaults, scoring.get("truncation_tokens"))
+              for name, spec in specs.items()}
     for m in cfg["models"]:
         model, names = fit_prompt_model(spark, corpus, traits, lam=float(m.get("lam", 0.5)))
         w = None
-        for name, spec in specs.items():  # one plan for all datasets, each read and scored once
-            part = dataset_weights(spark, spec, g.dataset_defaults, model, names, scoring.get("truncation_tokens"),
-                                   overhead).select(F.lit(m["name"]).alias("model"), F.lit(name).alias("config"), "*")
+        for name, (tokens, mode) in stored.items():  # one plan for all datasets, each read and scored once
+            part = dataset_weights(tokens, mode, model, names, overhead).select(
+                F.lit(m["name"]).alias("model"), F.lit(name).alias("config"), "*")
             w = part if w is None else w.unionByName(part)
         files.write_partitioned(w, os.path.join(out, "weights"), ["model", "config"])
-        stored = files.read_partitioned(spark, os.path.join(out, "weights")).where(F.col("model") == m["name"])
-        entries = grid.grid_report(stored, runs.where(F.col("model") == m["name"]), roles, g.z_threshold)
+        own = files.read_partitioned(spark, os.path.join(out, "weights")).where(F.col("model") == m["name"])
+        entries = grid.grid_report(own, runs.where(F.col("model") == m["name"]), roles, g.z_threshold)
         files.write_partitioned(entries, os.path.join(out, "runs"), ["model", "config"])
         summary(spark, out).write.mode("overwrite").json(os.path.join(out, "summary"))
     return out
 
 
-def dataset_weights(spark: SparkSession, spec: dict, defaults: dict, model, names: dict[str, int],
-                    truncation: int | None, overhead: int) -> DataFrame:
-    """``(example_id, trait, weight)`` of one dataset: one scoring pass."""
+def dataset_tokens(spark: SparkSession, spec: dict, defaults: dict, truncation: int | None) -> tuple[DataFrame, str]:
+    """The example ids and tokens of one dataset, written for all models, and its mode."""
     df, mode = files.load_dataset(spark, spec, defaults)
     df = filters.cap_examples(df, {**defaults, **spec}.get("max_examples"))
     df = df.withColumn("example_id", F.col("example_id").cast("string"))
+    texts = {"resp_tokens": "response"} if mode == "sft" else {"chosen_tokens": "chosen", "rejected_tokens": "rejected"}
+    cut = df.select("example_id", *[api.cut_tokens(text, truncation).alias(c) for c, text in texts.items()])
+    return written_tokens(cut, ["example_id"], *texts), mode
+
+
+def dataset_weights(tokens: DataFrame, mode: str, model, names: dict[str, int], overhead: int) -> DataFrame:
+    """``(example_id, trait, weight)`` of one dataset: one scoring pass."""
     if mode == "sft":
-        sft = df.select("example_id", api.cut_tokens("response", truncation).alias("resp_tokens"))
-        return weights.long_weights(weights.sft_weights_wide(sft, model, overhead=overhead), names)
-    pref = df.select("example_id", api.cut_tokens("chosen", truncation).alias("chosen_tokens"),
-                     api.cut_tokens("rejected", truncation).alias("rejected_tokens"))
-    return weights.preference_weights(pref, model, names, overhead=overhead)
+        return weights.long_weights(weights.sft_weights_wide(tokens, model, overhead=overhead), names)
+    return weights.preference_weights(tokens, model, names, overhead=overhead)
 
 
 def summary(spark: SparkSession, out: str) -> DataFrame:

@@ -72,7 +72,8 @@ def fit_ngram(background_tokens: DataFrame, cond_tokens: DataFrame,
               tokens_col: str = "tokens", lams: Sequence[float] | None = None) -> NgramModel:
     """Fit the wide model.
 
-    ``background_tokens``: rows with an ``array<string>`` column ``tokens_col``.
+    ``background_tokens``: rows with an ``array<string>`` column ``tokens_col``, or
+    the ``token_counts`` of such rows, which several models can share.
     ``cond_tokens``: rows ``(condition, tokens_col)``; ``conditions`` lists the
     condition keys in output order (column ``lp_i`` belongs to ``conditions[i]``).
     ``lams``: several interpolation weights at once (a grid of scorer
@@ -80,7 +81,8 @@ def fit_ngram(background_tokens: DataFrame, cond_tokens: DataFrame,
     ``conditions[i]``, so every variant is scored in the same token pass.
     """
     conditions = list(conditions)
-    bg = token_counts(background_tokens, tokens_col).withColumnRenamed("cnt", "c_bg")
+    bg = background_tokens if background_tokens.columns == ["token", "cnt"] else token_counts(background_tokens, tokens_col)
+    bg = bg.withColumnRenamed("cnt", "c_bg")
     cc = token_counts(cond_tokens.where(F.col("condition").isin(conditions)),
                       tokens_col, ["condition"])
     # columns by position: condition texts may differ only in case

@@ -144,6 +144,16 @@ def test_batch_writes_after_each_model(spark, tmp_path, monkeypatch):
     assert w.select("trait").distinct().count() == 4
 
 
+def test_batch_splits_each_dataset_once_for_all_models(spark, tmp_path, monkeypatch):
+    from prefscan import batch
+    cfg = _batch_config(spark, str(tmp_path), [{"name": "a", "judge_model": "x/a"}, {"name": "b", "judge_model": "x/b", "lam": 0.2}])
+    real, split = batch.api.cut_tokens, []
+    monkeypatch.setattr(batch.api, "cut_tokens", lambda text, most: split.append(text) or real(text, most))
+    batch.run_batch(spark, cfg)
+    names = {d["config_name"] for b in cfg["biases"] for d in b["datasets"]}
+    assert split == ["response"] * len(names)
+
+
 def test_batch_reports_all_missing_datasets(spark, tmp_path):
     from prefscan import batch
     cfg = {"models": [], "biases": [{"name": "a", "target": "x", "datasets": [
