@@ -79,6 +79,18 @@ def test_a_run_longer_than_a_block(spark):
     assert got == {1: 1400, 2: 1400, 3: 0}
 
 
+def test_the_query_goes_by_bytes_not_words(spark, tmp_path):
+    """Two passages of 57 words in two documents each: 399 bytes stay, 400 go."""
+    rng = random.Random(3)
+    stay, go = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(57)) + "x" * (n - 398) for n in (399, 400))
+    texts = [f"1{stay}2", f"3{stay}4", f"5{go}6", f"7{go}8"]
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = {i: (n, r, s, hashlib.sha256(k).hexdigest()) for i, (n, r, s, k) in enumerate(brute(texts, 400))}
+    assert got == want and [got[i][1] for i in range(4)] == [0, 0, 400, 400]
+
+
 def test_edges(spark, edge, empty):
     out = suffixes.remove_repeats(edge)
     assert out.columns == edge.columns and out.schema == edge.schema
